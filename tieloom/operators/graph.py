@@ -74,18 +74,33 @@ def annotated_edges(edges: DataFrame, egos: DataFrame) -> DataFrame:
     return out
 
 
-def annotated_ties(annotated: DataFrame) -> DataFrame:
-    """``annotated_edges`` in both directions."""
-    names = ("", "_degree", "_strength", "_is_ego")
+def annotated_ties(
+    annotated: DataFrame,
+    src: tuple[str, ...] = (),
+    dst: tuple[str, ...] = (),
+    weight: bool = False,
+    of_egos: bool = False,
+) -> DataFrame:
+    """``annotated_edges`` in both directions, with only the annotations asked for.
+
+    ``src`` and ``dst`` name them: ``degree``, ``strength``, ``is_ego``. With ``of_egos`` only
+    ties that start at an ego are kept, and edges without one are dropped at the scan.
+    """
 
     def view(a: str, b: str):
         return F.struct(
-            *[F.col(a + n).alias("src" + n) for n in names],
-            *[F.col(b + n).alias("dst" + n) for n in names],
-            F.col("weight"),
+            F.col(a).alias("src"),
+            F.col(b).alias("dst"),
+            *[F.col(f"{a}_{n}").alias(f"src_{n}") for n in src],
+            *[F.col(f"{b}_{n}").alias(f"dst_{n}") for n in dst],
+            *([F.col("weight")] if weight else []),
+            *([F.col(f"{a}_is_ego").alias("from_ego")] if of_egos else []),
         )
 
-    return annotated.select(F.inline(F.array(view("src", "dst"), view("dst", "src"))))
+    if of_egos:
+        annotated = annotated.filter("src_is_ego OR dst_is_ego")
+    ties = annotated.select(F.inline(F.array(view("src", "dst"), view("dst", "src"))))
+    return ties.filter("from_ego").drop("from_ego") if of_egos else ties
 
 
 def ego_subgraph(edges: DataFrame, egos: DataFrame) -> DataFrame:
@@ -137,8 +152,7 @@ def second_order_paths(edges: DataFrame, egos: DataFrame) -> DataFrame:
     Every neighbour a adds its degree less one, so no path is written out.
     """
     return (
-        annotated_ties(annotated_edges(edges, egos))
-        .filter("src_is_ego")
+        annotated_ties(annotated_edges(edges, egos), dst=("degree",), of_egos=True)
         .groupBy(F.col("src").alias("id"))
         .agg(F.sum(F.col("dst_degree") - 1).alias("paths"))
     )
@@ -153,8 +167,9 @@ def two_paths(edges: DataFrame, egos: DataFrame) -> DataFrame:
     to_q = ratio(F.col("weight"), F.col("src_strength"))
     back = ratio(F.col("weight"), F.col("dst_strength"))
     return (
-        annotated_ties(annotated_edges(edges, egos))
-        .filter("src_is_ego")
+        annotated_ties(
+            annotated_edges(edges, egos), ("strength",), ("degree", "strength"), weight=True, of_egos=True
+        )
         .groupBy(F.col("src").alias("id"))
         .agg(
             F.sum(F.col("dst_degree") - 1).alias("paths"),

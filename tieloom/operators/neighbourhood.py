@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tieloom.functions.arrays import has_entries, same_array, share_a_value
 from tieloom.functions.numeric import copies, every_piece, half_up, piece_of, ratio
-from tieloom.operators.graph import bidirectional
+from tieloom.operators.graph import annotated_ties, bidirectional
+from tieloom.staging import spread
 
 # The gender categories that count towards the neighbour total.
 GENDERS = ["male", "female", "unknown"]
@@ -156,13 +157,13 @@ def reach(edges: DataFrame, vertices: DataFrame, column: str, mode: str = "overl
 
 
 def second_order_degree(
-    ties: DataFrame,
+    annotated: DataFrame,
     hub_degree: int = HUB_DEGREE,
     ties_per_piece: int = HUB_TIES_PER_PIECE,
 ) -> DataFrame:
     """Mean degree of the distinct vertices two steps away from each ego.
 
-    ``ties`` comes from ``annotated_ties``. A vertex b counts once per ego, however many
+    ``annotated`` comes from ``annotated_edges``. A vertex b counts once per ego, however many
     neighbours lead to it, and also if it is a neighbour itself.
 
     Paths through a neighbour of ordinary degree are joined and made distinct. Through a hub
@@ -170,20 +171,20 @@ def second_order_degree(
     same set through them, so that set is built once per group of such egos, and an ego only
     adds what its ordinary neighbours reach beyond it.
     """
-    ego_tie = ties.filter("src_is_ego").select(
+    ego_tie = annotated_ties(annotated, ("degree",), ("degree",), of_egos=True).select(
         F.col("src").alias("ego"),
         F.col("dst").alias("via"),
         F.col("src_degree").alias("ego_degree"),
         F.col("dst_degree").alias("via_degree"),
     )
     ordinary = ego_tie.filter(F.col("via_degree") <= hub_degree)
-    onward = ties.select(
+    onward = annotated_ties(annotated, ("degree",), ("degree",)).select(
         F.col("src").alias("via"),
         F.col("dst").alias("reached"),
         F.col("src_degree").alias("via_degree"),
         F.col("dst_degree").alias("reached_degree"),
     )
-    has_hubs = not ties.filter(F.col("src_degree") > hub_degree).isEmpty()
+    has_hubs = not annotated.filter(F.greatest("src_degree", "dst_degree") > hub_degree).isEmpty()
     if not has_hubs:
         return _mean_reached(_reached_from(ordinary, onward, ["ego"]).groupBy("ego").agg(*_totals()))
 
@@ -208,8 +209,8 @@ def second_order_degree(
     )
     covered = (
         leader_hubs.join(hub_onward, ["via", "piece"])
-        .groupBy("leader", "reached")
-        .agg(F.first("reached_degree").alias("reached_degree"))
+        .select("leader", "reached", "reached_degree")
+        .distinct()
     )
     # A hub leads back to the ego itself, which does not count.
     by_hubs = followers.join(covered.groupBy("leader").agg(*_totals()), "leader").select(
@@ -240,12 +241,11 @@ def second_order_degree(
 
 def _reached_from(ordinary: DataFrame, onward: DataFrame, keys: list[str]) -> DataFrame:
     return (
-        ordinary.drop("via_degree")
-        .repartition("via")
+        spread(ordinary.select(*keys, "via"), "via")
         .join(onward.drop("via_degree"), "via")
         .filter(F.col("reached") != F.col("ego"))
-        .groupBy(*keys, "reached")
-        .agg(F.first("reached_degree").alias("reached_degree"))
+        .select(*keys, "reached", "reached_degree")
+        .distinct()
     )
 
 

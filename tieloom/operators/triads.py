@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tieloom.functions.numeric import copies, every_piece, half_up, piece_of, ratio
 from tieloom.operators.graph import annotated_ties
+from tieloom.staging import spread
 
 TIES_PER_PIECE = 50_000
 
@@ -55,9 +56,7 @@ def closed_triads(annotated: DataFrame, ties_per_piece: int = TIES_PER_PIECE) ->
         every_piece(copies(F.col("low_degree"), ties_per_piece)).alias("piece"),
     )
     closing = edges.select(F.col("low").alias("a"), F.col("high").alias("c"), F.col("weight").alias("w_ac"))
-    # The join needs this partitioning anyway; asking for it spreads the paths over all tasks
-    # even where the second side is small enough for Spark to broadcast.
-    paths = first.repartition("b", "piece").join(second, ["b", "piece"]).filter("a_is_ego OR b_is_ego OR c_is_ego")
+    paths = spread(first, "b", "piece").join(second, ["b", "piece"]).filter("a_is_ego OR b_is_ego OR c_is_ego")
     return paths.join(closing, ["a", "c"]).drop("piece", "a_degree", "b_degree", "c_degree")
 
 
@@ -85,8 +84,7 @@ def _brokerage_columns(n: Column, closed: Column) -> list[Column]:
 def brokerage(annotated: DataFrame, egos: DataFrame, ties_per_piece: int = TIES_PER_PIECE) -> DataFrame:
     """Open triads per ego and their share of all neighbour pairs; 0 for egos without a pair."""
     sizes = (
-        annotated_ties(annotated)
-        .filter("src_is_ego")
+        annotated_ties(annotated, of_egos=True)
         .groupBy(F.col("src").alias("id"))
         .agg(F.count("*").alias("n"))
     )
@@ -110,8 +108,7 @@ def open_pairs(annotated: DataFrame, egos: DataFrame) -> DataFrame:
 def _contacts(annotated: DataFrame, ties_per_piece: int) -> DataFrame:
     """Per ego and neighbour: direct plus indirect share of tie strength, and closed triads."""
     direct = (
-        annotated_ties(annotated)
-        .filter("src_is_ego")
+        annotated_ties(annotated, ("strength",), weight=True, of_egos=True)
         .select(
             F.col("src").alias("ego"),
             F.col("dst").alias("alter"),

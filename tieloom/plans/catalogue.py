@@ -183,7 +183,7 @@ def exploded_attributes(spark, d):
 
 def second_order_degree(spark, d):
     annotated = staged(_annotated(spark, d), "annotated")
-    return _rounded(neighbourhood.second_order_degree(graph.annotated_ties(annotated)))
+    return _rounded(neighbourhood.second_order_degree(annotated))
 
 
 def second_order_paths(spark, d):

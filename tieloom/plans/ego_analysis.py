@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tieloom.operators.features import year_features, years_since_first
-from tieloom.operators.graph import annotated_edges, annotated_ties, focals
+from tieloom.operators.graph import annotated_edges, focals
 from tieloom.operators.neighbourhood import neighbourhood_measures, second_order_degree
 from tieloom.operators.triads import triad_measures
 from tieloom.staging import staged
@@ -29,7 +29,7 @@ def focal_stats(
     if annotated is None:
         annotated = staged(annotated_edges(edges, egos), "annotated")
     first_order = neighbourhood_measures(edges, egos, vertices, end_year, international)
-    second_order = second_order_degree(annotated_ties(annotated))
+    second_order = second_order_degree(annotated)
     return (
         first_order.join(second_order, "id", "left")
         .join(yearly, "id", "left")
