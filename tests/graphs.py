@@ -8,11 +8,12 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 
 from tieloom.schemas import EDGES, VERTICES
+from tieloom.sources.tables import rows_to_table
 
 
 def edge_table(spark: SparkSession, edges) -> DataFrame:
     rows = [(e[0], e[1], e[2] if len(e) > 2 else 1) for e in edges]
-    return spark.createDataFrame(rows, EDGES)
+    return rows_to_table(spark, rows, EDGES)
 
 
 def vertex_table(spark: SparkSession, ids, focal=None, **columns) -> DataFrame:
@@ -32,7 +33,7 @@ def vertex_table(spark: SparkSession, ids, focal=None, **columns) -> DataFrame:
         + tuple(columns.get(c, {}).get(v, default) for c, default in defaults.items())
         for v in ids
     ]
-    return spark.createDataFrame(rows, VERTICES)
+    return rows_to_table(spark, rows, VERTICES)
 
 
 def hub_network(hub_share: int = 120, others: int = 60, seed: int = 7):

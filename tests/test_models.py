@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tieloom.operators import count_models as cm
 from tieloom.operators import predictions
 from tieloom.plans import model_suite
+from tieloom.sources.tables import rows_to_table
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +21,7 @@ def rows(spark):
         mean = math.exp(0.4 + 0.5 * women - 0.8 * x + 0.2 * z + 0.3 * women * x)
         y = np.random.default_rng(k).poisson(mean * rng.expovariate(1))
         data.append((women, x, None if k % 50 == 0 else z, int(y)))
-    return spark.createDataFrame(data, "women int, x double, z double, y long").repartition(5)
+    return rows_to_table(spark, data, "women int, x double, z double, y long").repartition(5)
 
 
 FULL = cm.Model("full", "y", ("women", "x", "z", ("women", "x")))

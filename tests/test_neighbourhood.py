@@ -3,6 +3,8 @@ import pytest
 from tests import graphs
 from tieloom.operators import graph, neighbourhood, triads
 from tieloom.plans.ego_analysis import focal_stats
+from tieloom.staging import staged
+from tieloom.sources.tables import rows_to_table
 
 
 def by_id(df):
@@ -52,7 +54,7 @@ def test_second_order_degree(spark, hub_degree):
     """Paths through hubs are counted once per group of egos and give the same means."""
     edges, ids = graphs.hub_network()
     egos = graph.focals(graphs.vertex_table(spark, ids, set(range(0, len(ids), 3))))
-    annotated = graph.annotated_edges(graphs.edge_table(spark, edges), egos)
+    annotated = staged(graph.annotated_edges(graphs.edge_table(spark, edges), egos), "annotated")
     got = by_id(neighbourhood.second_order_degree(annotated, hub_degree, 5))
     for ego in range(0, len(ids), 3):
         want = graphs.second_order_mean(edges, ego)
@@ -102,7 +104,7 @@ def test_ego_subgraph_keeps_the_constraint(spark):
 def test_focal_stats_has_one_row_per_focal_with_edges(spark):
     edges = graphs.edge_table(spark, [(1, 2), (2, 3)])
     vertices = graphs.vertex_table(spark, [1, 2, 3, 4])
-    yearly = spark.createDataFrame([(1, 2, None)], "id long, `2009` long, `2010` long")
+    yearly = rows_to_table(spark, [(1, 2, None)], "id long, `2009` long, `2010` long")
     rows = by_id(focal_stats(edges, vertices, yearly, 2013))
     assert set(rows) == {1, 2, 3}
     assert rows[1]["2009"] == 2 and rows[2]["2009"] is None

@@ -9,10 +9,11 @@ from tieloom.operators import cohorts, densities, features, quantiles, summaries
 from tieloom.functions.numeric import half_up
 from tieloom.staging import fresh_path
 from tieloom.sources import tables
+from tieloom.sources.tables import rows_to_table
 
 
 def test_half_up(spark):
-    df = spark.createDataFrame([(0.285,), (1.005,), (-0.125,), (None,)], "x double")
+    df = rows_to_table(spark, [(0.285,), (1.005,), (-0.125,), (None,)], "x double")
     assert [r.y for r in df.select(half_up(F.col("x"), 2).alias("y")).collect()] == [0.29, 1.01, -0.13, None]
 
 
@@ -21,7 +22,7 @@ def test_exact_medians(spark, n):
     """One group holds most rows; values repeat; nulls and a null group are kept apart."""
     rng = random.Random(n)
     rows = [("a" if k % 5 else None, float(rng.randint(0, max(2, n // 3))), rng.gauss(0, 1)) for k in range(n)]
-    df = spark.createDataFrame(rows + [("a", None, None), ("c", None, None)], "g string, x double, y double")
+    df = rows_to_table(spark, rows + [("a", None, None), ("c", None, None)], "g string, x double, y double")
     got = {(r.g, r.metric): r.median for r in quantiles.exact_medians(df.repartition(7), ["g"], ["x", "y"]).collect()}
     want = {}
     for g in {r[0] for r in rows}:
@@ -38,7 +39,7 @@ def test_cohorts(spark):
         gender={2: "male", 3: None},
         countries={1: ["A", "B"], 2: ["A", "A"]}, subject_areas={1: ["S1", "S2"]},
     )
-    m = spark.createDataFrame([(1, 4, 0.5), (2, 6, 0.0)], "id long, open_triads_count long, share double")
+    m = rows_to_table(spark, [(1, 4, 0.5), (2, 6, 0.0)], "id long, open_triads_count long, share double")
     got = {
         (r.gender, r.country, r.subject): (r.mean, r.median, r.std_dev)
         for r in cohorts.cohort_stats(v, m, ["open_triads_count"], ["female", "male"], ["A", "B"], ["S1", "S2"]).collect()
@@ -49,7 +50,8 @@ def test_cohorts(spark):
 
 
 def test_summaries(spark):
-    df = spark.createDataFrame(
+    df = rows_to_table(
+        spark,
         [("female", 0.0, 2.0), ("female", 1.0, None), ("male", 0.0, 4.0), (None, 5.0, 5.0)], "g string, x double, y double"
     )
     shares = {r.g: r.pct_zero_x for r in summaries.zero_share(df, "g", "x", ["y"]).collect()}
@@ -69,11 +71,12 @@ def test_summaries(spark):
 
 
 def test_features(spark):
-    counts = spark.createDataFrame([(1, 1, None, 3, 2), (2, None, None, None, 1)], "id long, `2009` long, `2010` long, `2011` long, `2012` long")
+    counts = rows_to_table(spark, [(1, 1, None, 3, 2), (2, None, None, None, 1)], "id long, `2009` long, `2010` long, `2011` long, `2012` long")
     rows = {r.id: r for r in features.year_features(counts, [2009, 2010, 2011], [2012]).collect()}
     assert (rows[1].baseline_output, rows[1].outcome_output, rows[1].avg_year_diff) == (4, 2, 1.5)
     assert (rows[2].baseline_output, rows[2].avg_year_diff) == (0, None)
-    df = spark.createDataFrame(
+    df = rows_to_table(
+        spark,
         [(1, "female", ["A", "B"], ["S"]), (2, None, [], ["S"]), (3, "male", None, ["S", "T"])],
         "id long, gender string, c array<string>, s array<string>",
     )
@@ -87,7 +90,7 @@ def test_features(spark):
 
 
 def test_histogram_edges(spark):
-    df = spark.createDataFrame([(1, x) for x in (0.0, 1.9, 2.0, 4.0, 4.1)] + [(0, 1.0)], "g int, x double")
+    df = rows_to_table(spark, [(1, x) for x in (0.0, 1.9, 2.0, 4.0, 4.1)] + [(0, 1.0)], "g int, x double")
     got = {(r.g, r.bin): (r.rows, r.density) for r in densities.density_histogram(df, "x", "g", 0, 4, 2).collect()}
     assert got == {(1, 0): (2, 0.25), (1, 1): (2, 0.25), (0, 0): (1, 0.5)}
 

@@ -6,10 +6,11 @@ from tieloom.schemas import EDGES, conform
 from tieloom.sources import cooccurrence, tables
 from tieloom.staging import fresh_path
 from tieloom.streaming import resume
+from tieloom.sources.tables import rows_to_table
 
 
 def test_conform(spark):
-    df = spark.createDataFrame([(1, 2, 3, "x")], "src long, dst long, weight long, relationship string")
+    df = rows_to_table(spark, [(1, 2, 3, "x")], "src long, dst long, weight long, relationship string")
     assert conform(df, EDGES).columns == ["src", "dst", "weight"]
     with pytest.raises(ValueError, match="weight"):
         conform(df.drop("weight"), EDGES)
@@ -18,7 +19,7 @@ def test_conform(spark):
 def test_cooccurrence_with_split_contexts(spark):
     """A context that holds a third of the rows is split and gives the same edges."""
     rows = [(u, 0) for u in range(40)] + [(u, 1 + u % 9) for u in range(80)]
-    incidence = spark.createDataFrame(rows, "unit long, context long")
+    incidence = rows_to_table(spark, rows, "unit long, context long")
     want = {}
     for c in range(10):
         members = sorted(u for u, k in rows if k == c)
@@ -33,7 +34,7 @@ def test_cooccurrence_with_split_contexts(spark):
 @pytest.mark.parametrize("parts", [1, 5])
 def test_global_index(spark, parts):
     ids = [(i * 37 % 1009, "x") for i in range(1009)]
-    df = spark.createDataFrame(ids, "id long, note string").repartition(parts)
+    df = rows_to_table(spark, ids, "id long, note string").repartition(parts)
     got = batching.global_index(df, "id").collect()
     assert all(r["index"] == r.id for r in got) and len(got) == 1009
 
@@ -54,7 +55,7 @@ def test_batches_partition_the_rows(spark, rows, batches):
 
 def test_dedupe_keeps_a_defined_row(spark):
     rows = [(1, 5, "b"), (1, 5, "a"), (1, 7, "a"), (2, 1, None)] + [(3, k, "z") for k in range(50)]
-    df = spark.createDataFrame(rows, "id long, n long, s string")
+    df = rows_to_table(spark, rows, "id long, n long, s string")
     for parts in (1, 6):
         got = tables.dedupe_by_key(df.repartition(parts), ["id"], ["n"]).collect()
         assert sorted(map(tuple, got)) == [(1, 5, "a"), (2, 1, None), (3, 0, "z")]
@@ -87,6 +88,6 @@ def test_batched_run_equals_one_run_and_resumes(spark):
 
 
 def test_pending_bounds(spark):
-    degrees = spark.createDataFrame([(1, 0), (2, 250), (3, 251)], "id long, degree long")
+    degrees = rows_to_table(spark, [(1, 0), (2, 250), (3, 251)], "id long, degree long")
     assert [r.id for r in resume.pending(degrees, None, 250).collect()] == [2]
     assert sorted(r.id for r in resume.pending(degrees, None).collect()) == [2, 3]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tieloom.schemas import conform
 from tieloom.staging import fresh_path
@@ -65,6 +67,14 @@ def read_summary_csv(spark: SparkSession, path: str, schema: T.StructType) -> Da
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def rows_to_table(spark: SparkSession, rows: list, schema) -> DataFrame:
-    """A few driver-side rows, such as model coefficients, as a table."""
-    return spark.createDataFrame(rows, schema)
+def rows_to_table(spark: SparkSession, rows: list, schema: T.StructType | str) -> DataFrame:
+    """A few driver-side rows, such as model coefficients, as a table.
+
+    They go through Arrow, so that reading the table needs no Python worker.
+    """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(schema)
+    columns = list(zip(*rows)) or [()] * len(arrow)
+    arrays = [pa.array(list(values), field.type) for values, field in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema)
