@@ -14,6 +14,11 @@ def half_up(value: Column, places: int) -> Column:
     return F.round(value.cast("decimal(28,10)"), places).cast("double")
 
 
+def significant(value: Column, digits: int) -> Column:
+    """Round to a number of significant digits."""
+    return F.format_string(f"%.{digits - 1}e", value).cast("double")
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     """Quotient as double; null where the divisor is zero or either side is null."""
     return F.try_divide(top.cast("double"), bottom.cast("double"))

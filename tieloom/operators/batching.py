@@ -9,13 +9,7 @@ from tieloom.sources.tables import rows_to_table
 from tieloom.staging import staged
 
 
-def global_index(df: DataFrame, key: str) -> DataFrame:
-    """Adds ``index``: the 0-based rank of the row by ``key``, which must be unique.
-
-    The rows are range-partitioned by key and written once, so that the ranges cannot move
-    between the count and the numbering. Each range is numbered on its own and shifted by
-    the rows in the ranges before it.
-    """
+def _indexed(df: DataFrame, key: str) -> tuple[DataFrame, int]:
     spark = df.sparkSession
     ranged = staged(
         df.repartitionByRange(key).withColumn("range_no", F.spark_partition_id()), "ranges"
@@ -28,12 +22,23 @@ def global_index(df: DataFrame, key: str) -> DataFrame:
         before += rows
     shift = rows_to_table(spark, offsets, "range_no int, before long")
     rank = F.row_number().over(Window.partitionBy("range_no").orderBy(key)) - 1
-    return (
+    indexed = (
         ranged.withColumn("index", rank.cast("long"))
         .join(F.broadcast(shift), "range_no")
         .withColumn("index", F.col("index") + F.col("before"))
         .drop("range_no", "before")
     )
+    return indexed, before
+
+
+def global_index(df: DataFrame, key: str) -> DataFrame:
+    """Adds ``index``: the 0-based rank of the row by ``key``, which must be unique.
+
+    The rows are range-partitioned by key and written once, so that the ranges cannot move
+    between the count and the numbering. Each range is numbered on its own and shifted by
+    the rows in the ranges before it.
+    """
+    return _indexed(df, key)[0]
 
 
 def assign_batches(df: DataFrame, key: str, batches: int) -> DataFrame:
@@ -41,8 +46,8 @@ def assign_batches(df: DataFrame, key: str, batches: int) -> DataFrame:
 
     The last batch takes the remainder, and everything if there are fewer rows than batches.
     """
-    indexed = staged(global_index(df, key), "indexed")
-    size = indexed.count() // batches
+    indexed, rows = _indexed(df, key)
+    size = rows // batches
     last = F.lit(batches - 1).cast("long")
     batch = F.least(F.floor(F.col("index") / F.lit(size)), last) if size else last
     return indexed.withColumn("batch", batch.cast("int"))

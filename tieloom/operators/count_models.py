@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import warnings
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -47,12 +47,30 @@ class Model:
 
 @dataclass(frozen=True)
 class Fit:
+    """A fitted model with the sums that any of the covariance estimates needs."""
+
     model: Model
     coefficients: np.ndarray
-    covariance: np.ndarray
     log_likelihood: float
     rows: int
     passes: int
+    observed: np.ndarray
+    expected: np.ndarray
+    score_products: np.ndarray
+    kind: str = "robust"
+    bread: str = "observed"
+
+    @property
+    def covariance(self) -> np.ndarray:
+        """HC0 around the chosen information, or the inverse of the expected information."""
+        if self.kind == "model":
+            return _inverse(self.expected)
+        inverse = _inverse({"observed": self.observed, "expected": self.expected}[self.bread])
+        return inverse @ self.score_products @ inverse
+
+    def with_covariance(self, kind: str, bread: str = "observed") -> Fit:
+        """The same fit with another covariance; the data is not read again."""
+        return replace(self, kind=kind, bread=bread)
 
     def coefficient(self, parameter: str) -> float:
         return float(self.coefficients[self.model.parameters.index(parameter)])
@@ -213,13 +231,10 @@ def fit_models(
             continue
         p, sums = len(final[i]), summed[i]
         at = 2 + p
-        observed, expected, squared = (
-            sums[at + k * p * p : at + (k + 1) * p * p].reshape(p, p) for k in range(3)
+        matrices = [sums[at + k * p * p : at + (k + 1) * p * p].reshape(p, p) for k in range(3)]
+        fits[model.name] = Fit(
+            model, final[i], float(sums[1]), int(sums[0]), passes + 1, *matrices, covariance, bread
         )
-        inverse = _inverse({"observed": observed, "expected": expected}[bread])
-        # The model-based covariance rests on the expected information.
-        cov = inverse @ squared @ inverse if covariance == "robust" else _inverse(expected)
-        fits[model.name] = Fit(model, final[i], cov, float(sums[1]), int(sums[0]), passes + 1)
     return fits
 
 
@@ -257,7 +272,9 @@ def coefficient_table(spark: SparkSession, fitted: Fit, places: int | None = 4)
     return rows_to_table(spark, rows, COEFFICIENT_SCHEMA)
 
 
-def suite_table(spark: SparkSession, fits: dict[str, Fit], order: list[str], places: int = 4) -> DataFrame:
+def suite_table(
+    spark: SparkSession, fits: dict[str, Fit], order: list[str], places: int | None = 4
+) -> DataFrame:
     """One row per statistic and variable, one column per model; terms a model lacks are null."""
     variables = list(dict.fromkeys(v for f in fits.values() for v in f.model.parameters))
     values: dict[tuple[str, str], dict[str, float | None]] = {("Log-Likelihood", ""): {}}

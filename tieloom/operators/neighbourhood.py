@@ -184,7 +184,9 @@ def second_order_degree(
         F.col("src_degree").alias("via_degree"),
         F.col("dst_degree").alias("reached_degree"),
     )
-    has_hubs = not annotated.filter(F.greatest("src_degree", "dst_degree") > hub_degree).isEmpty()
+    has_hubs = not annotated.filter(
+        (F.col("src_degree") > hub_degree) | (F.col("dst_degree") > hub_degree)
+    ).isEmpty()
     if not has_hubs:
         return _mean_reached(_reached_from(ordinary, onward, ["ego"]).groupBy("ego").agg(*_totals()))
 

@@ -15,7 +15,7 @@ from tieloom.functions.numeric import copies, every_piece, half_up, piece_of, ra
 from tieloom.operators.graph import annotated_ties
 from tieloom.staging import spread
 
-TIES_PER_PIECE = 50_000
+TIES_PER_PIECE = 5_000
 
 _END = ("", "_degree", "_strength", "_is_ego")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tieloom.functions.arrays import joined, share_a_value
-from tieloom.functions.numeric import half_up
+from tieloom.functions.numeric import half_up, significant
 from tieloom.operators import (
     batching,
     cohorts,
@@ -122,8 +122,7 @@ def degree(spark, d):
 def degree_ranked(spark, d):
     net = pn.load(spark, d)
     degrees = graph.degree(net.edges, graph.focals(net.vertices))
-    todo = resume.pending(degrees, None, CONSTRAINT_MAX_DEGREE)
-    return degrees.join(todo, "id").orderBy(F.col("degree").asc(), F.col("id").asc())
+    return resume.pending(degrees, None, CONSTRAINT_MAX_DEGREE).orderBy(F.col("degree").asc(), F.col("id").asc())
 
 
 def attribute_mix(spark, d):
@@ -402,16 +401,19 @@ def design_interactions(spark, d):
 
 
 def _coefficients(spark, fitted, places):
-    table = count_models.coefficient_table(spark, fitted, None).drop("p_value")
-    return _report(table, places)
+    table = count_models.coefficient_table(spark, fitted, None)
+    irr = F.when(F.col("irr").isNotNull(), significant(F.col("irr"), 6))
+    return _long_counts(_rounded(table, places, ["coefficient", "std_error", "z", "p_value"]).withColumn("irr", irr))
 
 
 def nb_by_group(spark, d):
     """Outcome by gender, with robust and with model-based standard errors."""
-    rows, model = _multihot(spark, d), count_models.Model("by group", "outcome_output", ("women",))
+    fitted = count_models.fit(
+        _multihot(spark, d), count_models.Model("by group", "outcome_output", ("women",))
+    )
     parts = [
-        _coefficients(spark, count_models.fit(rows, model, covariance=c), 6).withColumn("covariance", F.lit(c))
-        for c in ("robust", "model")
+        _coefficients(spark, fitted.with_covariance(k), 6).withColumn("covariance", F.lit(k))
+        for k in ("robust", "model")
     ]
     return parts[0].unionByName(parts[1])
 
@@ -427,15 +429,25 @@ def nb_two_param(spark, d):
 
 
 def nb_full(spark, d):
-    rows = _exploded(spark, d)
-    fitted = count_models.fit(rows, model_suite.main_model("outcome_output", PLACES))
-    return count_models.coefficient_table(spark, fitted)
+    """All key predictors with products, on the rows per unit, country and subject."""
+    fitted = count_models.fit(_exploded(spark, d), model_suite.main_model("outcome_output", PLACES))
+    return _coefficients(spark, fitted, 4)
 
 
 def nb_model_suite(spark, d):
     models = model_suite.nested_models("outcome_output", PLACES)
     fits = count_models.fit_models(_exploded(spark, d), models)
-    return count_models.suite_table(spark, fits, [m.name for m in models])
+    names = [m.name for m in models]
+    table = count_models.suite_table(spark, fits, names, None)
+
+    def shown(name):
+        value = F.col(f"`{name}`")
+        irr = F.when(value.isNotNull(), significant(value, 6))
+        return F.when(F.col("statistic") == "IRR", irr).otherwise(
+            half_up(F.when(F.col("statistic") != "IRR", value), 4)
+        )
+
+    return _long_counts(table.withColumns({n: shown(n) for n in names}))
 
 
 # --- predictions and plot data -------------------------------------------------------------

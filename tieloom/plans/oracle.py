@@ -16,6 +16,19 @@ def r(expression: str, places: int = 8) -> str:
     return f"CAST(round(CAST({expression} AS DECIMAL(28,10)), {places}) AS DOUBLE)"
 
 
+def sig(expression: str, digits: int = 6) -> str:
+    """Round to significant digits."""
+    return f"CAST(printf('%.{digits - 1}e', {expression}) AS DOUBLE)"
+
+
+def p_value(z: str) -> str:
+    """Two-sided normal tail, by Simpson's rule on the density from 0 to |z|."""
+    n, step = 400, f"(least(abs({z}), 10e0) / 400)"
+    weights = f"CASE WHEN k IN (0, {n}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    area = f"list_sum(list_transform(range({n + 1}), lambda k: ({weights}) * exp(-(k * {step}) * (k * {step}) / 2)))"
+    return f"greatest(1 - 2 / sqrt(2 * pi()) * {step} / 3 * {area}, 0)"
+
+
 def _in(values: list[str]) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
@@ -251,14 +264,141 @@ def _two_param() -> str:
 def _coefficient_rows(source: str) -> str:
     def row(position: int, name: str, b: str, v: str) -> str:
         return (
-            f"SELECT {position} AS position, '{name}' AS variable, {r(b, 6)} AS coefficient, {r(f'exp({b})', 6)} AS irr, "
-            f"{r(f'sqrt({v})', 6)} AS std_error, {r(f'({b}) / sqrt({v})', 6)} AS z FROM {source}"
+            f"SELECT {position} AS position, '{name}' AS variable, {r(b, 6)} AS coefficient, {sig(f'exp({b})')} AS irr, "
+            f"{r(f'sqrt({v})', 6)} AS std_error, {r(f'({b}) / sqrt({v})', 6)} AS z, "
+            f"{r(p_value(f'({b}) / sqrt({v})'), 6)} AS p_value FROM {source}"
         )
 
-    first = f"SELECT 0 AS position, 'Log-Likelihood' AS variable, {r('ll', 6)} AS coefficient, NULL AS irr, NULL AS std_error, NULL AS z FROM {source}"
+    first = (
+        f"SELECT 0 AS position, 'Log-Likelihood' AS variable, {r('ll', 6)} AS coefficient, "
+        f"NULL AS irr, NULL AS std_error, NULL AS z, NULL AS p_value FROM {source}"
+    )
     return " UNION ALL ".join([first, row(1, "Intercept", "b0", "v00"), row(2, "{slope}", "b1", "v11")])
 
 
+# --- any number of models, with the matrices as tables --------------------------------------
+
+NEWTON_STEPS = 9
+RIGHT = 1000  # column of the right-hand side; the identity columns follow it
+
+
+def _eliminate(start: str, size: int, name: str) -> list[str]:
+    """Gauss-Jordan elimination of all models' matrices, one common table per pivot."""
+    ctes, source = [], start
+    for k in range(size):
+        ctes.append(
+            f"""{name}{k} AS MATERIALIZED (
+  SELECT m.model, m.i, m.j, CASE WHEN d.v IS NULL THEN m.v WHEN m.i = {k} THEN m.v / d.v
+    ELSE m.v - coalesce(c.v, 0) * coalesce(p.v, 0) / d.v END AS v
+  FROM {source} m LEFT JOIN {source} d ON d.model = m.model AND d.i = {k} AND d.j = {k}
+  LEFT JOIN {source} c ON c.model = m.model AND c.i = m.i AND c.j = {k}
+  LEFT JOIN {source} p ON p.model = m.model AND p.i = {k} AND p.j = m.j)"""
+        )
+        source = f"{name}{k}"
+    return ctes
+
+
+def _newton(models) -> str:
+    """Newton's method for several models at once, unrolled into common tables.
+
+    ``est`` holds the estimates, ``ll`` the log-likelihoods and ``se`` the robust standard errors.
+    """
+    terms = []
+    for model in models:
+        for j, t in enumerate(["one", *model.terms]):
+            a, b = (t, "one") if isinstance(t, str) else t
+            terms.append(f"('{model.name}', {j}, '{a}', '{b}')")
+    columns = list(dict.fromkeys(x for model in models for x in model.columns[1:]))
+    size = max(len(m.parameters) for m in models)
+    ctes = [
+        f"""u AS MATERIALIZED (SELECT row_number() OVER () AS rid, CAST({models[0].outcome} AS DOUBLE) AS y, 1e0 AS one,
+    {", ".join(f"CAST({q(x)} AS DOUBLE) AS {q(x)}" for x in columns)} FROM design)""",
+        f"base AS MATERIALIZED (UNPIVOT u ON one, {', '.join(q(x) for x in columns)} INTO NAME c VALUE x)",
+        f"terms(model, j, a, b) AS (VALUES {', '.join(terms)})",
+        """x0 AS MATERIALIZED (SELECT model, t.j, p.rid, p.x * o.x AS x
+    FROM terms t JOIN base p ON p.c = t.a JOIN base o ON o.c = t.b AND o.rid = p.rid)""",
+        """rows_ok AS (SELECT model, rid FROM x0 GROUP BY model, rid
+    HAVING count(*) = (SELECT count(*) FROM terms t WHERE t.model = x0.model))""",
+        "xs AS MATERIALIZED (SELECT x0.* FROM x0 JOIN rows_ok USING (model, rid))",
+        """nb0 AS MATERIALIZED (SELECT t.model, t.j, CASE WHEN t.j = 0 THEN ln(m) ELSE 0e0 END AS b FROM terms t JOIN (
+    SELECT model, avg(y) AS m FROM rows_ok JOIN u USING (rid) GROUP BY model) USING (model))""",
+    ]
+
+    def at(k: int) -> str:
+        return f"""e{k} AS MATERIALIZED (SELECT model, rid, y, mu, (y - mu) / (1 + mu) AS s, mu * (1 + y) / ((1 + mu) * (1 + mu)) AS a
+    FROM (SELECT xs.model, xs.rid, any_value(u.y) AS y, exp(sum(xs.x * nb{k}.b)) AS mu FROM xs
+      JOIN nb{k} ON nb{k}.model = xs.model AND nb{k}.j = xs.j JOIN u ON u.rid = xs.rid GROUP BY xs.model, xs.rid)),
+  h{k} AS MATERIALIZED (SELECT l.model, l.j AS i, r.j AS j, sum(e.a * l.x * r.x) AS v
+    FROM xs l JOIN xs r ON r.model = l.model AND r.rid = l.rid JOIN e{k} e ON e.model = l.model AND e.rid = l.rid
+    GROUP BY l.model, l.j, r.j)"""
+
+    for k in range(NEWTON_STEPS):
+        ctes.append(at(k))
+        ctes.append(
+            f"""m{k}_ AS MATERIALIZED (SELECT * FROM h{k} UNION ALL SELECT l.model, l.j, {RIGHT}, sum(e.s * l.x)
+    FROM xs l JOIN e{k} e ON e.model = l.model AND e.rid = l.rid GROUP BY l.model, l.j)"""
+        )
+        ctes += _eliminate(f"m{k}_", size, f"m{k}_")
+        ctes.append(
+            f"""nb{k + 1} AS MATERIALIZED (SELECT o.model, o.j, o.b + s.v AS b FROM nb{k} o
+    JOIN m{k}_{size - 1} s ON s.model = o.model AND s.i = o.j AND s.j = {RIGHT})"""
+        )
+    last = NEWTON_STEPS
+    ctes.append(at(last))
+    ctes.append(
+        f"""inv_ AS MATERIALIZED (SELECT * FROM h{last} UNION ALL
+    SELECT l.model, l.j, {RIGHT} + o.j, CASE WHEN l.j = o.j THEN 1e0 ELSE 0e0 END FROM terms l JOIN terms o ON o.model = l.model)"""
+    )
+    ctes += _eliminate("inv_", size, "inv_")
+    ctes.append(
+        f"""inverse AS MATERIALIZED (SELECT model, i, j - {RIGHT} AS j, v FROM inv_{size - 1} WHERE j >= {RIGHT}),
+  meat AS MATERIALIZED (SELECT l.model, l.j AS i, r.j AS j, sum(e.s * e.s * l.x * r.x) AS v
+    FROM xs l JOIN xs r ON r.model = l.model AND r.rid = l.rid JOIN e{last} e ON e.model = l.model AND e.rid = l.rid
+    GROUP BY l.model, l.j, r.j),
+  half AS MATERIALIZED (SELECT a.model, a.i, m.j, sum(a.v * m.v) AS v FROM inverse a
+    JOIN meat m ON m.model = a.model AND m.i = a.j GROUP BY a.model, a.i, m.j),
+  se AS MATERIALIZED (SELECT h.model, h.i AS j, sqrt(sum(h.v * a.v)) AS se FROM half h
+    JOIN inverse a ON a.model = h.model AND a.i = h.j AND a.j = h.i GROUP BY h.model, h.i),
+  ll AS (SELECT model, sum(y * ln(mu / (1 + mu)) - ln(1 + mu)) AS ll FROM e{last} GROUP BY model),
+  est AS MATERIALIZED (SELECT n.model, n.j, n.b, se.se, n.b / se.se AS z FROM nb{last} n JOIN se ON se.model = n.model AND se.j = n.j)"""
+    )
+    return ",\n".join(ctes)
+
+
+def _full_model() -> str:
+    model = model_suite.main_model("outcome_output", c.PLACES)
+    names = ", ".join(f"({j}, '{name}')" for j, name in enumerate(model.parameters))
+    return _with(
+        _exploded + ",\n" + _newton([model]),
+        f"""SELECT CAST(0 AS BIGINT) AS position, 'Log-Likelihood' AS variable, {r("ll", 4)} AS coefficient, NULL AS irr,
+          NULL AS std_error, NULL AS z, NULL AS p_value FROM ll
+        UNION ALL SELECT CAST(j + 1 AS BIGINT), name, {r("b", 4)}, {sig("exp(b)")}, {r("se", 4)}, {r("z", 4)}, {r(p_value("z"), 4)}
+        FROM est JOIN (VALUES {names}) n(k, name) ON k = j""",
+    )
+
+
+def _suite() -> str:
+    models = model_suite.nested_models("outcome_output", c.PLACES)
+    variables = list(dict.fromkeys(v for m in models for v in m.parameters))
+    names = ", ".join(
+        f"('{m.name}', {j}, '{v}', {variables.index(v)})" for m in models for j, v in enumerate(m.parameters)
+    )
+    cells = " UNION ALL ".join(
+        f"SELECT 1 + 3 * k + {n} AS position, '{statistic}' AS statistic, variable, model, {value} AS v FROM named"
+        for n, (statistic, value) in enumerate(
+            [("Coefficient", r("b", 4)), ("IRR", sig("exp(b)")), ("P-value", r(p_value("z"), 4))]
+        )
+    )
+    wide = ", ".join(f"max(v) FILTER (model = '{m.name}') AS {q(m.name)}" for m in models)
+    return _with(
+        _exploded + ",\n" + _newton(models)
+        + f""",\nnamed AS MATERIALIZED (SELECT est.*, n.variable, n.k FROM est JOIN (VALUES {names}) n(model, j, variable, k)
+          ON n.model = est.model AND n.j = est.j),
+        cells AS (SELECT 0 AS position, 'Log-Likelihood' AS statistic, '' AS variable, model, {r("ll", 4)} AS v FROM ll UNION ALL {cells})""",
+        f"SELECT CAST(position AS BIGINT) AS position, statistic, variable, {wide} FROM cells GROUP BY position, statistic, variable",
+    )
+
+
 DEGREE_GRID = """
 ends AS (SELECT min(degree) AS lo, max(degree) AS hi FROM design),
 grid AS (SELECT w.women, CAST(lo AS DOUBLE) + (CAST(hi AS DOUBLE) - CAST(lo AS DOUBLE)) * k / 99.0e0 AS degree
@@ -555,14 +695,16 @@ ORACLE: dict[str, str] = {
     "nb_by_group": _with(
         _multihot + "," + GROUP_MODEL,
         " UNION ALL ".join(
-            f"SELECT CAST(position AS BIGINT) AS position, variable, coefficient, irr, std_error, z, '{k}' AS covariance FROM ({_coefficient_rows(k).format(slope='women')})"
+            f"SELECT CAST(position AS BIGINT) AS position, variable, coefficient, irr, std_error, z, p_value, '{k}' AS covariance FROM ({_coefficient_rows(k).format(slope='women')})"
             for k in ("robust", "model")
         ),
     ),
     "nb_two_param": _with(
         _two,
-        f"SELECT CAST(position AS BIGINT) AS position, variable, coefficient, irr, std_error, z FROM ({_coefficient_rows('fit').format(slope='degree')})",
+        f"SELECT CAST(position AS BIGINT) AS position, variable, coefficient, irr, std_error, z, p_value FROM ({_coefficient_rows('fit').format(slope='degree')})",
     ),
+    "nb_full": _full_model(),
+    "nb_model_suite": _suite(),
     "grid_points": _with(_multihot + "," + DEGREE_GRID, _grids()),
     "profile_grid": _with(
         _multihot + "," + MOMENTS,

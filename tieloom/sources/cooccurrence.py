@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tieloom.functions.numeric import copies, every_piece, piece_of
 
-CONTEXT_ROWS_PER_PIECE = 10_000
+CONTEXT_ROWS_PER_PIECE = 2_000
 
 
 def cooccurrence_edges(

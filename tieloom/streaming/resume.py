@@ -25,7 +25,7 @@ def pending(degrees: DataFrame, done: DataFrame | None, max_degree: int | None =
         todo = todo.filter(F.col("degree") <= max_degree)
     if done is not None:
         todo = todo.join(done.select("id"), "id", "left_anti")
-    return todo.select("id")
+    return todo
 
 
 def constraint_of_batch(edges: DataFrame, egos: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def run_batches(
     only: range | None = None,
 ) -> None:
     """Compute ``measure`` batch by batch and append each result to ``path``."""
-    assigned = staged(assign_batches(todo, "id", batches), "batches")
+    assigned = staged(assign_batches(todo.select("id"), "id", batches), "batches")
     for number in only if only is not None else range(batches):
         egos = assigned.filter(F.col("batch") == number).select("id")
         append_table(measure(edges, egos), path)
