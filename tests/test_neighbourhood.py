@@ -96,8 +96,8 @@ def test_ego_subgraph_keeps_the_constraint(spark):
     got = [tuple(r) for r in sub.collect()]
     assert len(got) == len(set(got)) == 2 * len(want)
     assert {g for g in got if g[0] < g[1]} == want
-    small = triads.constraint(graph.annotated_edges(sub.filter("src < dst"), egos))
-    whole = triads.constraint(graph.annotated_edges(table, egos))
+    small = triads.constraint(staged(graph.annotated_edges(graph.ego_edges(table, egos), egos), "annotated"))
+    whole = triads.constraint(staged(graph.annotated_edges(table, egos), "annotated"))
     assert sorted(small.collect()) == sorted(whole.collect())
 
 

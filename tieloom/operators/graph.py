@@ -103,10 +103,10 @@ def annotated_ties(
     return ties.filter("from_ego").drop("from_ego") if of_egos else ties
 
 
-def ego_subgraph(edges: DataFrame, egos: DataFrame) -> DataFrame:
-    """Edges with an end among the egos or their neighbours, in both directions.
+def ego_edges(edges: DataFrame, egos: DataFrame) -> DataFrame:
+    """Edges with an end among the egos or their neighbours.
 
-    It holds every tie of each ego and of each of its neighbours. Two look-ups against the
+    They hold every tie of each ego and of each of its neighbours. Two look-ups against the
     member list flag the edges, so they are neither duplicated nor made distinct again.
     """
     ids = egos.select("id").distinct()
@@ -121,8 +121,12 @@ def ego_subgraph(edges: DataFrame, egos: DataFrame) -> DataFrame:
         flagged = flagged.join(
             members.select(F.col("id").alias(end), F.lit(True).alias(f"{end}_in")), end, "left"
         )
-    kept = flagged.filter("src_in OR dst_in").select("src", "dst", "weight")
-    return bidirectional(kept)
+    return flagged.filter("src_in OR dst_in").select("src", "dst", "weight")
+
+
+def ego_subgraph(edges: DataFrame, egos: DataFrame) -> DataFrame:
+    """``ego_edges`` in both directions."""
+    return bidirectional(ego_edges(edges, egos))
 
 
 def neighbour_sets(edges: DataFrame, egos: DataFrame) -> DataFrame:

@@ -17,18 +17,17 @@ from tieloom.staging import spread
 
 TIES_PER_PIECE = 5_000
 
-_END = ("", "_degree", "_strength", "_is_ego")
+NOTES = ("degree", "strength", "is_ego")
 
 
 def _oriented(annotated: DataFrame) -> DataFrame:
-    src_first = (F.col("src_degree") < F.col("dst_degree")) | (
-        (F.col("src_degree") == F.col("dst_degree")) & (F.col("src") < F.col("dst"))
-    )
-
-    def end(name: str, yes: str, no: str) -> list[Column]:
-        return [F.when(src_first, F.col(yes + n)).otherwise(F.col(no + n)).alias(name + n) for n in _END]
-
-    return annotated.select(*end("low", "src", "dst"), *end("high", "dst", "src"), "weight")
+    """Edges from ``low`` to ``high``, by degree and then by id, with the notes of both ends."""
+    low_is_src = "src_degree < dst_degree OR (src_degree = dst_degree AND src < dst)"
+    columns = ["weight"]
+    for n in ("", *(f"_{n}" for n in NOTES)):
+        columns.append(f"if(low_is_src, src{n}, dst{n}) AS low{n}")
+        columns.append(f"if(low_is_src, dst{n}, src{n}) AS high{n}")
+    return annotated.selectExpr("*", f"{low_is_src} AS low_is_src").selectExpr(*columns)
 
 
 def closed_triads(annotated: DataFrame, ties_per_piece: int = TIES_PER_PIECE) -> DataFrame:
@@ -37,35 +36,33 @@ def closed_triads(annotated: DataFrame, ties_per_piece: int = TIES_PER_PIECE) ->
     The path join meets at b. A b of high degree can be the upper end of a large part of all
     edges, so its incoming edges are spread over pieces and its few outgoing edges repeated
     in each. The closing join is keyed by a pair, which has few paths on either side.
+
+    A tie without an ego only needs to go on to an ego. This is part of the join key, so the
+    other paths are not formed at all: ties to an ego are offered under both keys.
     """
     edges = _oriented(annotated)
-
-    def named(low: str, high: str, weight: str, keep_low: bool = True) -> list[Column]:
-        ends = [("high", high)] + ([("low", low)] if keep_low else [])
-        return [F.col(e + n).alias(as_name + n) for e, as_name in ends for n in _END] + [
-            F.col("weight").alias(weight)
-        ]
-
-    first = edges.select(
-        *named("a", "b", "w_ab"),
-        piece_of(F.col("low"), copies(F.col("high_degree"), ties_per_piece)).alias("piece"),
-    )
-    second = edges.select(
-        F.col("low").alias("b"),
-        *named("b", "c", "w_bc", keep_low=False),
-        every_piece(copies(F.col("low_degree"), ties_per_piece)).alias("piece"),
+    first = edges.selectExpr(
+        "low AS a", "low_strength AS a_strength", "low_is_ego AS a_is_ego",
+        "high AS b", "high_strength AS b_strength", "high_is_ego AS b_is_ego",
+        "weight AS w_ab", "high_degree", "NOT (low_is_ego OR high_is_ego) AS ego_next",
+    ).withColumn("piece", piece_of(F.col("a"), copies(F.col("high_degree"), ties_per_piece)))
+    second = edges.selectExpr(
+        "low AS b", "high AS c", "high_strength AS c_strength", "high_is_ego AS c_is_ego",
+        "weight AS w_bc", "low_degree", "explode(if(high_is_ego, array(true, false), array(false))) AS ego_next",
+    ).withColumn("piece", every_piece(copies(F.col("low_degree"), ties_per_piece)))
+    closing = edges.selectExpr("low AS a", "high AS c", "weight AS w_ac")
+    paths = spread(first.drop("high_degree"), "b", "piece").join(
+        second.drop("low_degree"), ["b", "piece", "ego_next"]
     )
-    closing = edges.select(F.col("low").alias("a"), F.col("high").alias("c"), F.col("weight").alias("w_ac"))
-    paths = spread(first, "b", "piece").join(second, ["b", "piece"]).filter("a_is_ego OR b_is_ego OR c_is_ego")
-    return paths.join(closing, ["a", "c"]).drop("piece", "a_degree", "b_degree", "c_degree")
+    return paths.join(closing, ["a", "c"]).drop("piece", "ego_next")
 
 
 def closed_pairs(annotated: DataFrame, ties_per_piece: int = TIES_PER_PIECE) -> DataFrame:
     """Per ego, the number of neighbour pairs that are tied to each other."""
-    corners = [F.struct(F.col(x).alias("id"), F.col(f"{x}_is_ego").alias("is_ego")) for x in "abc"]
+    corners = ", ".join(f"struct({x} AS id, {x}_is_ego AS is_ego)" for x in "abc")
     return (
         closed_triads(annotated, ties_per_piece)
-        .select(F.inline(F.array(*corners)))
+        .selectExpr(f"inline(array({corners}))")
         .filter("is_ego")
         .groupBy("id")
         .agg(F.count("*").alias("closed_pairs"))
@@ -117,25 +114,15 @@ def _contacts(annotated: DataFrame, ties_per_piece: int) -> DataFrame:
         )
     )
 
-    def weight(x: str, y: str) -> Column:
-        return F.col("w_" + "".join(sorted(x + y)))
-
-    def by_way_of(ego: str, q: str, alter: str) -> Column:
-        share = ratio(weight(ego, q), F.col(f"{ego}_strength")) * ratio(
-            weight(q, alter), F.col(f"{q}_strength")
-        )
-        return F.struct(
-            F.col(f"{ego}_is_ego").alias("is_ego"),
-            F.col(ego).alias("ego"),
-            F.col(alter).alias("alter"),
-            share.alias("share"),
-            F.lit(1).cast("long").alias("triads"),
-        )
+    def by_way_of(ego: str, q: str, alter: str) -> str:
+        out, onward = "w_" + "".join(sorted(ego + q)), "w_" + "".join(sorted(q + alter))
+        share = f"double({out}) / {ego}_strength * (double({onward}) / {q}_strength)"
+        return f"struct({ego}_is_ego AS is_ego, {ego} AS ego, {alter} AS alter, {share} AS share, 1L AS triads)"
 
-    roles = [("a", "b", "c"), ("a", "c", "b"), ("b", "a", "c"), ("b", "c", "a"), ("c", "a", "b"), ("c", "b", "a")]
+    roles = ["abc", "acb", "bac", "bca", "cab", "cba"]
     indirect = (
         closed_triads(annotated, ties_per_piece)
-        .select(F.inline(F.array(*[by_way_of(*r) for r in roles])))
+        .selectExpr(f"inline(array({', '.join(by_way_of(*r) for r in roles)}))")
         .filter("is_ego")
         .drop("is_ego")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tieloom.operators.batching import assign_batches
-from tieloom.operators.graph import annotated_edges, ego_subgraph
+from tieloom.operators.graph import annotated_edges, ego_edges
 from tieloom.operators.triads import constraint
 from tieloom.sources.tables import append_table, compact
 from tieloom.staging import staged
@@ -30,7 +30,7 @@ def pending(degrees: DataFrame, done: DataFrame | None, max_degree: int | None =
 
 def constraint_of_batch(edges: DataFrame, egos: DataFrame) -> DataFrame:
     """Constraint of some egos from their subgraph, which holds all ties that matter to them."""
-    subgraph = ego_subgraph(edges, egos).filter("src < dst")
+    subgraph = staged(ego_edges(edges, egos), "batch-subgraph")
     return constraint(staged(annotated_edges(subgraph, egos), "batch-edges"))
 
 
