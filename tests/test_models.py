@@ -1,6 +1,5 @@
 import math
 import random
-import warnings
 
 import numpy as np
 import pytest
