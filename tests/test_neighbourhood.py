@@ -41,8 +41,8 @@ def test_reach_modes(spark):
         spark, [1, 2, 3, 4, 5, 6],
         countries={1: ["A", "B"], 2: ["B", "A"], 3: ["C"], 4: [], 5: None, 6: [None]},
     )
-    overlap = by_id(neighbourhood.reach(edges, vertices, "countries", "overlap"))
-    exact = by_id(neighbourhood.reach(edges, vertices, "countries", "exact"))
+    overlap = by_id(neighbourhood.reach(edges, vertices, ["countries"], "overlap"))
+    exact = by_id(neighbourhood.reach(edges, vertices, ["countries"], "exact"))
     assert overlap[1].reach == pytest.approx(2 / 3)
     assert exact[1].reach == 1.0
     assert 4 not in overlap and 5 not in overlap

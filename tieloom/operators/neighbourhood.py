@@ -141,19 +141,20 @@ def neighbour_means(
     )
 
 
-def reach(edges: DataFrame, vertices: DataFrame, column: str, mode: str = "overlap") -> DataFrame:
+def reach(edges: DataFrame, vertices: DataFrame, columns: list[str], mode: str = "overlap") -> DataFrame:
     """Share of neighbours that differ in an array attribute, for every vertex with edges.
 
-    Only neighbours count where both ends have an entry.
+    One row per vertex and attribute, all attributes from one aggregation. Only neighbours
+    count where both ends have an entry.
     """
     match = {"exact": same_array, "overlap": share_a_value}[mode]
-    return (
+    counted = (
         ego_ties(edges, vertices, vertices)
         .groupBy(F.col("ego").alias("id"))
-        .agg(*_reach_counts(column, match, "reach"))
-        .filter("reach_compared > 0")
-        .select("id", _reach("reach"))
+        .agg(*[count for c in columns for count in _reach_counts(c, match, c)])
     )
+    rows = [F.struct(F.lit(c).alias("attribute"), _reach(c).alias("reach")) for c in columns]
+    return counted.select("id", F.inline(F.array(*rows))).filter("reach IS NOT NULL")
 
 
 def second_order_degree(

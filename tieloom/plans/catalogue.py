@@ -142,11 +142,8 @@ def neighbor_means(spark, d):
 
 def _reach(spark, d, mode):
     net = pn.load(spark, d)
-    parts = [
-        neighbourhood.reach(net.edges, net.vertices, c, mode).withColumn("attribute", F.lit(c))
-        for c in ("subject_areas", "countries", "countries_wo_eu")
-    ]
-    return _rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    attributes = ["subject_areas", "countries", "countries_wo_eu"]
+    return _rounded(neighbourhood.reach(net.edges, net.vertices, attributes, mode))
 
 
 def reach_overlap(spark, d):
