@@ -8,25 +8,33 @@ read back. Reading it back as Parquet keeps column pruning and pushdown, which a
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, str] = {}
-
 
 def staging_root(spark: SparkSession) -> str:
-    """Shared folder for staged tables, one subfolder per application."""
-    app = spark.sparkContext.applicationId
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/tieloom-{app}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="tieloom-")
-    return _local_roots[app]
+    """Shared folder for staged tables, one subfolder per application.
+
+    It lies in ``spark.checkpoint.dir``, or in the session's warehouse where that is unset.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/tieloom-{spark.sparkContext.applicationId}"
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession) -> Iterator[str]:
+    """Removes all tables staged by the session when the block ends, however it ends.
+
+    Results that read staged tables must have been written or collected by then.
+    """
+    try:
+        yield staging_root(spark)
+    finally:
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging_root(spark))
+        root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
