@@ -85,14 +85,15 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, miss:
     sketch = staged(sketches(items, least, miss), "sketches")
     lengths = sorted({r["words"] for r in items.select("words").distinct().collect()})  # at most five
     all_shingles = text_shingles(F.col("text"), lengths)
-    probed = docs.select("doc_id", F.length("text").alias("n"), F.explode(all_shingles).alias("s"))
+    # what goes along with the shingles is computed below the explosion, once per text
+    probed = docs.select("doc_id", F.length("text").alias("n"), all_shingles.alias("h")).select("doc_id", "n", F.explode("h").alias("s"))
     pairs = staged(
         probed.join(small(sketch.select("item_id", "s", "needs")), "s").where("n >= needs").select("doc_id", "item_id").distinct(),
         "candidates",
     )
     # the candidates' documents, read again
     near = docs.join(small(staged(pairs.select("doc_id").distinct(), "candidate_ids")), "doc_id")
-    held = near.select("doc_id", F.explode(F.array_distinct(all_shingles)).alias("s"))
+    held = near.select("doc_id", F.array_distinct(all_shingles).alias("h")).select("doc_id", F.explode("h").alias("s"))
     wanted = items.select("item_id", F.size("shingles").alias("item_shingles"), F.explode("shingles").alias("s"))
     shared = (
         held.join(small(staged(wanted, "wanted")), "s").groupBy("doc_id", "item_id")
