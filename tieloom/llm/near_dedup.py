@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tieloom.llm.components import components
-from tieloom.llm.words import Words, mix, sequence_hashes
+from tieloom.llm.words import Words, mix, sequence_hashes, slices
 from tieloom.staging import staged
 
 SHINGLE = 5
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, set_id, keys`` of ``docs`` (``doc_id, text``)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             words = Words(batch.column(1))
             h = words.hashes()
             n, ids, keys = [], [], []
@@ -113,7 +113,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = [pack.compress(t.encode()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["doc", "text"])
 
@@ -136,7 +136,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
         current, centre = None, None
-        for batch in batches:
+        for batch in slices(batches, 4, 1 << 20):
             a, b = [], []
             texts = pa.array([unpack.decompress(t).decode() for t in batch.column(4).to_pylist()], pa.large_string())
             words = Words(texts)

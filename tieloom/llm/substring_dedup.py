@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tieloom.llm.tables import small
-from tieloom.llm.words import Words, mix, sequence_hashes
+from tieloom.llm.words import Words, mix, sequence_hashes, slices
 from tieloom.staging import staged
 
 WINDOW = 13
@@ -86,7 +86,7 @@ def _least_hash_blobs(docs: DataFrame, buckets: int, groups: int) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1, 8 << 20):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             words = Words(batch.column(1))
             owner = _window_owner(words)
@@ -127,7 +127,7 @@ def _by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> pa.Table:
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     first = _runs(bucket)
-    ends = np.append(first[1:], len(bucket))
+    ends = np.append(first[1:], len(bucket))[: len(first)]
     packed = [pa.array([c[order][i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary()) for c in columns]
     return pa.table([pa.array(bucket[first].astype(np.int32), pa.int32()), *packed], names=["b", *[f"v{k}" for k in range(len(columns))]])
 
@@ -149,14 +149,14 @@ def _packed_docs(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in slices(batches, 1, 8 << 20):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             texts = [t.encode() for t in batch.column(1).to_pylist()]
             table = _bucket(ids, buckets)
             out = [[], [], [], []]
             order = np.argsort(table, kind="stable")
             first = _runs(table[order])
-            for i, j in zip(first, np.append(first[1:], len(order)), strict=True):
+            for i, j in zip(first, np.append(first[1:], len(order)), strict=False):
                 own = order[i:j]
                 parts = [texts[k] for k in own]
                 out[0].append(int(table[own[0]]))
@@ -181,7 +181,7 @@ def long_prefixes(docs: DataFrame, share: float) -> frozenset[str]:
     """Prefixes of one and two words that start more than ``share`` of the suffixes of a sample."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 0):
             found = Counter()
             for text in batch.column(0).to_pylist():
                 w = text.split()
@@ -325,7 +325,7 @@ def _whole(docs: DataFrame, gone: bool) -> DataFrame:
     """Result rows of documents that are repeats as a whole (of 13 words or more), or of none."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = ([], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 w = (text or "").encode().split()

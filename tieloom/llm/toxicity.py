@@ -1,13 +1,15 @@
 """Toxicity by weak supervision.
 
-1. Terms (words, and word beginnings of 4 and 6 letters) that mark toxic texts are mined from a
+1. Terms (words, and word beginnings of 4 to 9 letters) that mark toxic texts are mined from a
    bounded sample of labelled training rows, counted per task before they are summed.
 2. Terms are grouped by stem into voters; fixed word lists and surface patterns vote too. A
    voter says "toxic" or nothing. There are at most 16, so all documents together give at most
    65,536 patterns of votes, counted by Spark over every training document.
-3. A generative label model is fitted to these counts by expectation maximization: each voter's
-   rate among toxic and other texts, and the correlation of each pair of voters within a class.
-   A voter counts the less, the more it repeats others.
+3. A generative label model is fitted to these counts by expectation maximization: the accuracy
+   of each voter's votes, and the correlation of each pair of voters within a class. Silence says
+   nothing, as voters of one language are silent on all others; one voter speaks where all others
+   are silent. A voter counts the less, the more it repeats others. Labelled training texts count
+   beside the expected ones.
 4. A logistic regression on the terms is trained on the posterior labels of a bounded sample of
    training rows and scores every text.
 
@@ -27,17 +29,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tieloom.llm.words import slices
 from tieloom.staging import staged
 
 # General English insults, as a voter of its own.
 INSULTS = ("idiot", "moron", "stupid", "loser", "trash", "scum", "pathetic", "worthless", "disgusting", "clown", "dumb", "fool", "jerk", "filthy", "garbage", "imbecile")
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_"
 MAX_VOTERS = 16
+#: Lengths of the word beginnings that are terms, written with a star.
+PREFIXES = range(4, 10)
 
 
 @dataclass
 class Voters:
-    """Terms by id, and the voter of each term; three more voters follow the mined ones."""
+    """Terms by id, and the voter of each term. After the mined voters come the fixed list, two
+    surface patterns, and the one that votes where no other does."""
 
     terms: dict[str, int] = field(default_factory=dict)
     voter: list[int] = field(default_factory=list)
@@ -59,8 +65,8 @@ def _words(text: str) -> set[str]:
 
 def _terms(words: set[str]) -> set[str]:
     out = set(words)
-    out.update(w[:4] + "*" for w in words if len(w) > 4)
-    out.update(w[:6] + "*" for w in words if len(w) > 6)
+    for n in PREFIXES:
+        out.update(w[:n] + "*" for w in words if len(w) >= n)
     out.discard("")
     return out
 
@@ -70,7 +76,7 @@ def mine_terms(labelled: DataFrame, most: int = 512) -> tuple[dict[str, tuple[in
     of toxic and other texts that hold them; and the numbers of texts."""
 
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches, 0):
             found = (Counter(), Counter())
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found[toxic].update(_terms(_words(text or "")))
@@ -98,9 +104,9 @@ def make_voters(mined: dict[str, tuple[int, int]]) -> Voters:
     stems = Counter()
     for term, (n, _) in mined.items():
         stems[term[:4].rstrip("*")] = max(stems[term[:4].rstrip("*")], n)
-    own = {stem: i for i, (stem, _) in enumerate(sorted(stems.items(), key=lambda x: (-x[1], x[0]))[: MAX_VOTERS - 4])}
+    own = {stem: i for i, (stem, _) in enumerate(sorted(stems.items(), key=lambda x: (-x[1], x[0]))[: MAX_VOTERS - 5])}
     rest = len(own)
-    out = Voters(count=rest + 4)
+    out = Voters(count=rest + 5)
     for term in mined:
         out.terms[term] = len(out.voter)
         out.voter.append(own.get(term[:4].rstrip("*"), rest))
@@ -117,22 +123,26 @@ def read_texts(docs: DataFrame, voters: Voters) -> DataFrame:
 
     def run(batches):
         table, voter, last = voters.terms, voters.voter, voters.count
-        for batch in batches:
+        begins = {t[:3] for t in table}
+        lengths = [n for n in PREFIXES if any(len(t) == n + 1 and t[-1] == "*" for t in table)]
+        for batch in slices(batches, 2):
             ids, votes = [], []
             for text in batch.column(2).to_pylist():
                 text = text or ""
                 words = _words(text)
                 hits = set()
                 for w in words:
-                    for key in (w, w[:4] + "*", w[:6] + "*") if len(w) > 6 else (w, w[:4] + "*") if len(w) > 4 else (w,):
-                        if (i := table.get(key)) is not None:
-                            hits.add(i)
+                    if w[:3] in begins:
+                        for key in (w, *[w[:n] + "*" for n in lengths if n <= len(w)]):
+                            if (i := table.get(key)) is not None:
+                                hits.add(i)
                 mask = 0
                 for i in hits:
                     mask |= 1 << voter[i]
-                mask |= (not insults.isdisjoint(words)) << (last - 3)
-                mask |= ("!!" in text) << (last - 2)
-                mask |= text.isupper() << (last - 1)
+                mask |= (not insults.isdisjoint(words)) << (last - 4)
+                mask |= ("!!" in text) << (last - 3)
+                mask |= text.isupper() << (last - 2)
+                mask |= (mask == 0) << (last - 1)
                 ids.append(sorted(hits))
                 votes.append(mask)
             yield pa.RecordBatch.from_arrays(
@@ -144,41 +154,37 @@ def read_texts(docs: DataFrame, voters: Voters) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {key}, held_out boolean, terms array<int>, votes int")
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, n_voters: int, prior: float, rates: np.ndarray, rounds: int = 60):
-    """Posterior of each vote pattern, rates of each voter by class (2 x voters) and correlations.
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, n_voters: int, prior: float, yes: np.ndarray, no: np.ndarray, rounds: int = 60):
+    """Posterior of each vote pattern, accuracy of each voter's votes, and correlations of voters.
 
-    The pair correlations within a class come from the posterior of the independent model; a
-    second fit divides each voter's log odds by one plus its correlation with earlier voters.
+    A voter that keeps silent says nothing; its vote multiplies the odds by accuracy over prior
+    odds. ``yes`` and ``no`` are the labelled texts that it voted on, by label: they stand beside
+    the expected ones of all texts. The correlation of a pair within a class comes from the first
+    fit; in the second a voter's log odds are divided by one plus its correlations with the voters
+    before it.
     """
     votes = (patterns[:, None] >> np.arange(n_voters)) & 1
+    logit = lambda p: np.log(p / (1 - p))
     discount, correlation = np.ones(n_voters), np.zeros((n_voters, n_voters))
-    start = np.log(prior / (1 - prior))
     for fit in range(2):
-        theta, odds = rates.copy(), start
+        accuracy = (yes + prior) / (yes + no + 1)
         for _ in range(rounds):
-            on, off = np.log(theta[1] / theta[0]), np.log((1 - theta[1]) / (1 - theta[0]))
-            z = odds + (votes * on * discount + (1 - votes) * off * discount).sum(1)
+            z = logit(prior) + votes @ ((logit(np.clip(accuracy, 1e-4, 1 - 1e-4)) - logit(prior)) * discount)
             post = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            for y, p in ((1, post), (0, 1 - post)):
-                n = (counts * p).sum()
-                theta[y] = ((counts * p) @ votes + 0.5 * rates[y]) / (n + 0.5)
-            theta = np.clip(theta, 1e-6, 1 - 1e-6)
-            share = np.clip((counts * post).sum() / max(counts.sum(), 1), 1e-4, 0.9)
-            odds = np.log(share / (1 - share))
+            accuracy = ((counts * post) @ votes + yes + prior) / (counts @ votes + yes + no + 1)
         if fit == 0:
             for p in (post, 1 - post):
                 w = counts * p / max((counts * p).sum(), 1e-9)
-                mean = w @ votes
-                dev = votes - mean
+                dev = votes - w @ votes
                 cov = (dev * w[:, None]).T @ dev
-                sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-                correlation = np.maximum(correlation, np.where(np.outer(sd, sd) > 1e-9, cov / np.outer(sd, sd), 0))
+                scale = np.sqrt(np.outer(np.diag(cov), np.diag(cov)))
+                correlation = np.maximum(correlation, np.divide(cov, scale, out=np.zeros_like(cov), where=scale > 1e-12))
             np.fill_diagonal(correlation, 0)
-            discount = 1 / (1 + np.maximum(np.tril(correlation), 0).sum(1))
-    return post, theta, correlation
+            discount = 1 / (1 + np.tril(correlation).sum(1))
+    return post, accuracy, correlation
 
 
-def fit_logistic(rows: list[list[int]], target: np.ndarray, weight: np.ndarray, width: int, ridge: float = 0.02, rounds: int = 30) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: list[list[int]], target: np.ndarray, weight: np.ndarray, width: int, ridge: float = 0.002, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Weights and bias by Newton steps on soft labels; ``rows`` hold the term ids of each text."""
     x = np.zeros((len(rows), width + 1))
     x[:, width] = 1
@@ -226,16 +232,13 @@ def score_texts(
     counts = np.array([r["count"] for r in counted], float)
     if not len(patterns):
         patterns, counts = np.zeros(1, np.int64), np.ones(1)
+    yes, no = np.zeros(voters.count), np.zeros(voters.count)
+    for r in training.join(known, "doc_id").groupBy("votes", "toxic").count().collect():  # twice as many at most
+        (yes if r["toxic"] else no)[[j for j in range(voters.count) if r["votes"] >> j & 1]] += r["count"]
     prior = (sizes.get(1, 0) + 1) / (sizes.get(1, 0) + sizes.get(0, 0) + 10)
-    rates = np.zeros((2, voters.count))
-    for term, (a, b) in mined.items():
-        j = voters.voter[voters.terms[term]]
-        rates[1, j] = max(rates[1, j], a / max(n1, 1))
-        rates[0, j] = max(rates[0, j], b / max(n0, 1))
-    rates[1, -3], rates[0, -3] = max(rates[1].max(), 0.3), 0.002
-    rates[:, -2:] = 0.05
-    rates = np.clip(rates, 1e-3, 0.95)
-    post, theta, correlation = fit_label_model(patterns, counts, voters.count, prior, rates)
+    if not sizes.get(1):  # no toxic label: the fixed list is taken at its word
+        yes[-4], no[-1] = 99, 999
+    post, accuracy, correlation = fit_label_model(patterns, counts, voters.count, prior, yes, no)
     of = dict(zip(patterns.tolist(), post.tolist(), strict=True))
 
     toxic_patterns = [int(p) for p, q in of.items() if q > 0.5]
@@ -254,4 +257,4 @@ def score_texts(
     table = F.array(*[F.lit(float(b)) for b in beta])
     z = F.aggregate("terms", F.lit(bias), lambda total, i: total + F.get(table, i))
     scored = read.select("doc_id", "held_out", (1 / (1 + F.exp(-z))).alias("score"))
-    return scored, Model(voters, beta, bias, theta, correlation)
+    return scored, Model(voters, beta, bias, accuracy, correlation)

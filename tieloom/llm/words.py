@@ -7,11 +7,12 @@ costs no more memory at a time than many short ones.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words as Spark's SQL splits them.
@@ -103,14 +104,16 @@ def sequence_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
-
-    def run(batches):
-        for batch in batches:
-            yield from work(batch)
-
-    return df.mapInArrow(run, schema)
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of about ``most`` bytes of the text column, a row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < batch.num_rows:
+            before = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(first, last - first)
+            first = last
 
 
 def word_count(text: Column) -> Column:
