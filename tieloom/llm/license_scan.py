@@ -125,7 +125,9 @@ class Scanner:
     def findings(self, text: str):
         if not any(s in text for s in _SIGNS):
             return
-        for start, end in blocks(text, self.longest):
+        waiting = blocks(text, self.longest)
+        while waiting:
+            start, end = waiting.pop(0)
             block = text[start:end]
             ranked = sorted(enumerate(self.reductions(block)), key=lambda x: (-x[1], x[0]))
             best = None
@@ -137,6 +139,9 @@ class Scanner:
                     best = (self.names[k], start + a, start + b, reduction, cover, changes)
             if best:
                 yield best
+                # the rest of the block may hold another notice
+                rest = ((start, best[1]), (best[2], end))
+                waiting[:0] = [(a, b) for a, b in rest if b - a < end - start and _TRIGGER.search(text, a, b)]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

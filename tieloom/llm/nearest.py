@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from tieloom.staging import staged
 
 SAMPLE_ROWS = 4096
-PARTS, PROBES = 16, 6
+PARTS, PROBES = 16, 13
 BLOCK_ROWS = 512
 QUERY_CHUNK = 256
 

@@ -158,20 +158,22 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, n_voters: int, pri
     """Posterior of each vote pattern, accuracy of each voter's votes, and correlations of voters.
 
     A voter that keeps silent says nothing; its vote multiplies the odds by accuracy over prior
-    odds. ``yes`` and ``no`` are the labelled texts that it voted on, by label: they stand beside
-    the expected ones of all texts. The correlation of a pair within a class comes from the first
+    odds. ``yes`` and ``no`` are the labelled texts that it voted on, by label. They weigh twice as
+    much as all its other votes together, as a voter that is often alone would else confirm itself. The correlation of a pair within a class comes from the first
     fit; in the second a voter's log odds are divided by one plus its correlations with the voters
     before it.
     """
     votes = (patterns[:, None] >> np.arange(n_voters)) & 1
     logit = lambda p: np.log(p / (1 - p))
+    cast, known = counts @ votes, yes + no
+    share = np.where(known > 0, np.minimum(1, known / np.maximum(2 * cast, 1)), 1)
     discount, correlation = np.ones(n_voters), np.zeros((n_voters, n_voters))
     for fit in range(2):
         accuracy = (yes + prior) / (yes + no + 1)
         for _ in range(rounds):
             z = logit(prior) + votes @ ((logit(np.clip(accuracy, 1e-4, 1 - 1e-4)) - logit(prior)) * discount)
             post = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            accuracy = ((counts * post) @ votes + yes + prior) / (counts @ votes + yes + no + 1)
+            accuracy = (share * ((counts * post) @ votes) + yes + prior) / (share * cast + known + 1)
         if fit == 0:
             for p in (post, 1 - post):
                 w = counts * p / max((counts * p).sum(), 1e-9)
