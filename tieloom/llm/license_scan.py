@@ -110,13 +110,15 @@ class Scanner:
         return [1 - len(c.compress(data)) / alone for c in self.told]
 
     def confirm(self, block: str, k: int):
-        """Cover of template k, and the differences, between its first and last word in the block."""
+        """Cover of template k, its place in the block, and the differences there."""
         found = list(_WORD.finditer(block))
         words = [m[0].lower().rstrip(".") for m in found]
         runs = [r for r in SequenceMatcher(None, self.words[k], words, autojunk=False).get_matching_blocks() if r.size]
         if not runs:
             return 0.0, 0, 0, []
-        first, last = runs[0].b, runs[-1].b + runs[-1].size
+        # as many words more as the template has before its first and after its last match
+        first = max(0, runs[0].b - runs[0].a)
+        last = min(len(words), runs[-1].b + len(self.words[k]) - runs[-1].a)
         cover = sum(r.size for r in runs) / len(self.words[k])
         steps = SequenceMatcher(None, self.words[k], words[first:last], autojunk=False).get_opcodes()
         changes = [f"{' '.join(self.words[k][a:b])} -> {' '.join(words[first:last][c:d])}" for tag, a, b, c, d in steps if tag != "equal"]

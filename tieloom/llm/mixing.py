@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tieloom.llm.tables import small
 from tieloom.llm.words import word_count
 from tieloom.staging import staged
 
@@ -73,7 +74,7 @@ def mix_sizes(sizes: DataFrame, seed: str = "mix", slice_rows: int = 1024, weigh
     slices grow alike.
     """
     sizes = sizes.withColumn("source_key", _source_key(F.col("source")))
-    targets = source_targets(sizes, weights, share, most)
+    targets = small(staged(source_targets(sizes, weights, share, most), "targets"))
     slice_size = max(slice_rows, math.isqrt(sizes.count()))
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     keyed = (
