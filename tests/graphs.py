@@ -19,7 +19,7 @@ def edge_table(spark: SparkSession, edges) -> DataFrame:
 def vertex_table(spark: SparkSession, ids, focal=None, **columns) -> DataFrame:
     """Vertices with default attributes; ``columns`` maps a column to {id: value}."""
     defaults = {
-        "gender": "female",
+        "category": "female",
         "first_pub_year": 1990,
         "pub_count": 1,
         "subject_areas": ["S1"],

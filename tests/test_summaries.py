@@ -36,12 +36,12 @@ def test_exact_medians(spark, n):
 def test_cohorts(spark):
     v = graphs.vertex_table(
         spark, [1, 2, 3, 4], focal={1, 2, 3},
-        gender={2: "male", 3: None},
+        category={2: "male", 3: None},
         countries={1: ["A", "B"], 2: ["A", "A"]}, subject_areas={1: ["S1", "S2"]},
     )
     m = rows_to_table(spark, [(1, 4, 0.5), (2, 6, 0.0)], "id long, open_triads_count long, share double")
     got = {
-        (r.gender, r.country, r.subject): (r.mean, r.median, r.std_dev)
+        (r.category, r.country, r.subject): (r.mean, r.median, r.std_dev)
         for r in cohorts.cohort_stats(v, m, ["open_triads_count"], ["female", "male"], ["A", "B"], ["S1", "S2"]).collect()
     }
     assert got[("male", "A", "S1")] == (6.0, 6.0, None)
@@ -78,7 +78,7 @@ def test_features(spark):
     df = rows_to_table(
         spark,
         [(1, "female", ["A", "B"], ["S"]), (2, None, [], ["S"]), (3, "male", None, ["S", "T"])],
-        "id long, gender string, c array<string>, s array<string>",
+        "id long, category string, c array<string>, s array<string>",
     )
     crossed = features.cross_affiliation(df, "c", "s").select("id", "country", "subject").collect()
     assert sorted(map(tuple, crossed)) == [(1, "A", "S"), (1, "B", "S")]

@@ -1,4 +1,4 @@
-"""Cohorts: egos of one gender, country and subject."""
+"""Cohorts: egos of one category, country and subject."""
 
 from __future__ import annotations
 
@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from tieloom.operators.quantiles import exact_medians
 
 
-def cohort_filter(vertices: DataFrame, gender: str, country: str, subject: str) -> DataFrame:
+def cohort_filter(vertices: DataFrame, category: str, country: str, subject: str) -> DataFrame:
     """Focal vertices of one cohort; a vertex with several entries is in several cohorts."""
     return vertices.filter(
         F.col("is_focal")
-        & (F.col("gender") == gender)
+        & (F.col("category") == category)
         & F.array_contains("countries", country)
         & F.array_contains("subject_areas", subject)
     )
@@ -22,7 +22,7 @@ def cohort_stats(
     vertices: DataFrame,
     measures: DataFrame,
     columns: list[str],
-    genders: list[str],
+    categorys: list[str],
     countries: list[str],
     subjects: list[str],
 ) -> DataFrame:
@@ -32,14 +32,14 @@ def cohort_stats(
     and subjects and grouped once. One row per cohort and measure.
     """
     placed = (
-        vertices.filter(F.col("is_focal") & F.col("gender").isin(genders))
-        .select("id", "gender", F.explode(F.array_distinct("countries")).alias("country"), "subject_areas")
+        vertices.filter(F.col("is_focal") & F.col("category").isin(categorys))
+        .select("id", "category", F.explode(F.array_distinct("countries")).alias("country"), "subject_areas")
         .filter(F.col("country").isin(countries))
-        .select("id", "gender", "country", F.explode(F.array_distinct("subject_areas")).alias("subject"))
+        .select("id", "category", "country", F.explode(F.array_distinct("subject_areas")).alias("subject"))
         .filter(F.col("subject").isin(subjects))
         .join(measures.select("id", *columns), "id")
     )
-    keys = ["gender", "country", "subject"]
+    keys = ["category", "country", "subject"]
     stats = (
         placed.groupBy(*keys)
         .agg(

@@ -205,8 +205,11 @@ def fit_models(
             p = len(beta[i])
             log_likelihood, score = sums[1], sums[2 : 2 + p]
             if not np.isfinite(sums).all():
-                open_fits.discard(i)
-                beta.pop(i)
+                if i not in before:
+                    open_fits.discard(i)
+                    beta.pop(i)
+                else:
+                    beta[i] = (beta[i] + before[i][0]) / 2
                 continue
             if i in before and log_likelihood < before[i][1] - 1e-9 * abs(before[i][1]):
                 beta[i] = (beta[i] + before[i][0]) / 2
@@ -275,7 +278,10 @@ def coefficient_table(spark: SparkSession, fitted: Fit, places: int | None = 4)
 def suite_table(
     spark: SparkSession, fits: dict[str, Fit], order: list[str], places: int | None = 4
 ) -> DataFrame:
-    """One row per statistic and variable, one column per model; terms a model lacks are null."""
+    """One row per statistic and variable, one column per model; terms a model lacks are null.
+
+    The last row tells which models of ``order`` could be fitted.
+    """
     variables = list(dict.fromkeys(v for f in fits.values() for v in f.model.parameters))
     values: dict[tuple[str, str], dict[str, float | None]] = {("Log-Likelihood", ""): {}}
     for variable in variables:
@@ -288,6 +294,8 @@ def suite_table(
             values[("Coefficient", v)][name] = _finite(float(b), places)
             values[("IRR", v)][name] = _finite(math.exp(b), places)
             values[("P-value", v)][name] = _finite(_p_value(z), places)
+    # 1 for a model that was fitted, 0 for one that was not
+    values["Converged", ""] = {name: float(name in fits) for name in order}
     rows = [
         (k, statistic, variable, *[cells.get(m) for m in order])
         for k, ((statistic, variable), cells) in enumerate(values.items())

@@ -16,23 +16,22 @@ GRID_POINTS = 200
 def density_histogram(df: DataFrame, column: str, group: str, start: float, stop: float, width: float) -> DataFrame:
     """Density per bin and group; bins are half-open, the last one includes its end.
 
-    Rows outside ``start`` .. ``stop`` are left out, of the bins and of the total.
+    Rows below ``start`` and above ``stop`` are counted in bins -1 and ``bins``, which have no
+    start and no density; densities are among the rows between.
     """
     bins = int(round((stop - start) / width))
     x = F.col(column)
-    bin_no = F.least(F.floor((x - start) / width), F.lit(bins - 1)).cast("int")
-    counts = (
-        df.filter((x >= start) & (x <= stop))
-        .groupBy(group, bin_no.alias("bin"))
-        .agg(F.count("*").alias("rows"))
-    )
-    totals = counts.groupBy(group).agg(F.sum("rows").alias("total"))
-    return counts.join(totals, group).select(
+    bin_no = F.least(F.floor((x - start) / width), F.lit(bins - 1))
+    bin_no = F.when(x < start, -1).when(x > stop, bins).otherwise(bin_no).cast("int")
+    counts = df.filter(x.isNotNull()).groupBy(group, bin_no.alias("bin")).agg(F.count("*").alias("rows"))
+    between = (F.col("bin") >= 0) & (F.col("bin") < bins)
+    totals = counts.groupBy(F.col(group).alias("of")).agg(F.sum(F.when(between, F.col("rows"))).alias("total"))
+    return counts.join(totals, F.col(group).eqNullSafe(F.col("of"))).select(
         group,
         "bin",
-        (F.lit(float(start)) + F.col("bin") * F.lit(float(width))).alias("bin_start"),
+        F.when(between, F.lit(float(start)) + F.col("bin") * F.lit(float(width))).alias("bin_start"),
         "rows",
-        ratio(F.col("rows"), F.col("total") * F.lit(float(width))).alias("density"),
+        F.when(between, ratio(F.col("rows"), F.col("total") * F.lit(float(width)))).alias("density"),
     )
 
 
@@ -41,7 +40,7 @@ def density_curve(df: DataFrame, column: str, group: str, log_scale: bool = Fals
 
     Bandwidth is the standard deviation times n^(-1/5). Rows are first counted by distinct
     value; each distinct value then adds its share to every point of its group's grid, inside
-    the task that holds it.
+    the task that holds it. A group of one row or without spread has one row with a null density.
     """
     x = F.col(column).cast("double")
     values = df.select(group, (F.log1p(x) if log_scale else x).alias("x")).filter("x IS NOT NULL")
@@ -49,14 +48,17 @@ def density_curve(df: DataFrame, column: str, group: str, log_scale: bool = Fals
     spread = (
         values.groupBy(group)
         .agg(F.count("*").alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("low"), F.max("x").alias("high"))
-        .filter("sd > 0")
         .withColumn("bandwidth", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
         .withColumn("start", F.col("low") - GRID_CUT * F.col("bandwidth"))
         .withColumn("step", (F.col("high") - F.col("low") + 2 * GRID_CUT * F.col("bandwidth")) / F.lit(points - 1))
-        .select(group, "n", "bandwidth", "start", "step")
+        .select(group, "n", "bandwidth", "start", "step", "low")
     )
     # Written down, its true size tells Spark whether it can be broadcast.
-    spread = staged(spread, "spread")
+    every = staged(spread, "spread")
+    spread = every.filter("bandwidth > 0")
+    flat = every.filter("bandwidth IS NULL OR NOT bandwidth > 0").select(
+        group, F.lit(0).alias("point"), F.col("low").alias("x"), F.lit(None).cast("double").alias("density")
+    )
     z = (F.col("start") + F.col("point") * F.col("step") - F.col("x")) / F.col("bandwidth")
     norm = F.col("n") * F.col("bandwidth") * F.sqrt(2 * F.pi())
     return (
@@ -70,6 +72,7 @@ def density_curve(df: DataFrame, column: str, group: str, log_scale: bool = Fals
             (F.col("start") + F.col("point") * F.col("step")).alias("x"),
             (F.col("kernel_sum") / norm).alias("density"),
         )
+        .unionByName(flat)
     )
 
 

@@ -29,7 +29,7 @@ def years_since_first(end_year: int, column: str = "first_pub_year") -> Column:
     return (F.lit(end_year) - F.col(column)).cast("int")
 
 
-def women(column: str = "gender") -> Column:
+def women(column: str = "category") -> Column:
     """1 for female, 0 for every other value and for null."""
     return F.when(F.col(column) == "female", 1).otherwise(0).cast("int")
 

@@ -10,13 +10,13 @@ from tieloom.functions.numeric import copies, every_piece, half_up, piece_of, ra
 from tieloom.operators.graph import annotated_ties, bidirectional
 from tieloom.staging import spread
 
-# The gender categories that count towards the neighbour total.
-GENDERS = ["male", "female", "unknown"]
+# The categories that count towards the neighbour total.
+CATEGORIES = ["male", "female", "unknown"]
 
-ATTRIBUTES = ["gender", "first_pub_year", "pub_count", "subject_areas", "countries", "countries_wo_eu"]
+ATTRIBUTES = ["category", "first_pub_year", "pub_count", "subject_areas", "countries", "countries_wo_eu"]
 
-HUB_DEGREE = 10_000
-HUB_TIES_PER_PIECE = 50_000
+# Ties of a vertex that are joined in one place.
+TIES_PER_PIECE = 5_000
 
 
 def ego_ties(edges: DataFrame, egos: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -73,9 +73,9 @@ def neighbourhood_measures(
         .groupBy(F.col("ego").alias("id"))
         .agg(
             F.count("*").alias("degree"),
-            F.first("ego_gender").alias("gender"),
-            *[F.count_if(known & (F.col("alter_gender") == g)).alias(f"n_{g}") for g in GENDERS],
-            F.count_if(known & F.col("alter_gender").isNull()).alias("n_missing"),
+            F.first("ego_category").alias("category"),
+            *[F.count_if(known & (F.col("alter_category") == g)).alias(f"n_{g}") for g in CATEGORIES],
+            F.count_if(known & F.col("alter_category").isNull()).alias("n_missing"),
             F.avg(F.lit(end_year) - F.col("alter_first_pub_year")).alias("mean_tenure"),
             F.avg("alter_pub_count").alias("mean_pubs"),
             *_reach_counts("subject_areas", share_a_value, "interdisciplinary_reach"),
@@ -88,13 +88,13 @@ def neighbourhood_measures(
         )
     )
     total = F.col("total_collabs")
-    own = F.when(F.col("gender") == "male", F.col("n_male")).when(
-        F.col("gender") == "female", F.col("n_female")
+    own = F.when(F.col("category") == "male", F.col("n_male")).when(
+        F.col("category") == "female", F.col("n_female")
     )
     return counted.select(
         "id",
         "degree",
-        "gender",
+        "category",
         "n_male",
         "n_female",
         "n_unknown",
@@ -112,7 +112,7 @@ def neighbourhood_measures(
 
 
 def attribute_mix(edges: DataFrame, egos: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Neighbour counts by gender, and the shares of men and women in percent."""
+    """Neighbour counts by category, and the shares of men and women in percent."""
     return (
         neighbourhood_measures(edges, egos, vertices, 0)
         .filter("total_collabs > 0")
@@ -124,11 +124,11 @@ def attribute_mix(edges: DataFrame, egos: DataFrame, vertices: DataFrame) -> Dat
 
 
 def homophily(edges: DataFrame, egos: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Share of neighbours with the ego's gender; null unless that is male or female."""
+    """Share of neighbours with the ego's category; null unless that is male or female."""
     return (
         neighbourhood_measures(edges, egos, vertices, 0)
         .filter("total_collabs > 0")
-        .select("id", "gender", "pct_homophilic_collabs")
+        .select("id", "category", "pct_homophilic_collabs")
     )
 
 
@@ -136,8 +136,10 @@ def neighbour_means(
     edges: DataFrame, egos: DataFrame, vertices: DataFrame, end_year: int
 ) -> DataFrame:
     """Mean tenure and mean output of the neighbours, to 2 decimals."""
-    return neighbourhood_measures(edges, egos, vertices, end_year).select(
-        "id", "mean_collab_tenure", "mean_collab_pub_count"
+    return (
+        neighbourhood_measures(edges, egos, vertices, end_year)
+        .filter("total_collabs > 0")
+        .select("id", "mean_collab_tenure", "mean_collab_pub_count")
     )
 
 
@@ -157,107 +159,39 @@ def reach(edges: DataFrame, vertices: DataFrame, columns: list[str], mode: str =
     return counted.select("id", F.inline(F.array(*rows))).filter("reach IS NOT NULL")
 
 
-def second_order_degree(
-    annotated: DataFrame,
-    hub_degree: int = HUB_DEGREE,
-    ties_per_piece: int = HUB_TIES_PER_PIECE,
-) -> DataFrame:
+def second_order_degree(annotated: DataFrame, ties_per_piece: int = TIES_PER_PIECE) -> DataFrame:
     """Mean degree of the distinct vertices two steps away from each ego.
 
     ``annotated`` comes from ``annotated_edges``. A vertex b counts once per ego, however many
     neighbours lead to it, and also if it is a neighbour itself.
 
-    Paths through a neighbour of ordinary degree are joined and made distinct. Through a hub
-    they would multiply all its egos by all its neighbours. Egos with the same hubs reach the
-    same set through them, so that set is built once per group of such egos, and an ego only
-    adds what its ordinary neighbours reach beyond it.
+    The paths ego - via - reached are joined and made distinct, which combines map-side; their
+    number is the cost. A vertex in the middle with many ties is cut on both sides: its egos and
+    its onward ties are dealt into pieces, and each pair of pieces meets in a place of its own.
     """
-    ego_tie = annotated_ties(annotated, ("degree",), ("degree",), of_egos=True).select(
-        F.col("src").alias("ego"),
-        F.col("dst").alias("via"),
-        F.col("src_degree").alias("ego_degree"),
-        F.col("dst_degree").alias("via_degree"),
-    )
-    ordinary = ego_tie.filter(F.col("via_degree") <= hub_degree)
-    onward = annotated_ties(annotated, ("degree",), ("degree",)).select(
-        F.col("src").alias("via"),
-        F.col("dst").alias("reached"),
-        F.col("src_degree").alias("via_degree"),
-        F.col("dst_degree").alias("reached_degree"),
-    )
-    has_hubs = not annotated.filter(
-        (F.col("src_degree") > hub_degree) | (F.col("dst_degree") > hub_degree)
-    ).isEmpty()
-    if not has_hubs:
-        return _mean_reached(_reached_from(ordinary, onward, ["ego"]).groupBy("ego").agg(*_totals()))
-
-    through_hub = ego_tie.filter(F.col("via_degree") > hub_degree)
-    # Egos with one and the same set of hubs, told apart by two hashes and the size of the set.
-    signature = ["n_hubs", "hash_a", "hash_b"]
-    signed = through_hub.groupBy("ego").agg(
-        F.first("ego_degree").alias("ego_degree"),
-        F.count("*").alias("n_hubs"),
-        F.bit_xor(F.xxhash64("via")).alias("hash_a"),
-        F.bit_xor(F.xxhash64("via", F.lit(1))).alias("hash_b"),
-    )
-    groups = signed.groupBy(*signature).agg(F.min("ego").alias("leader"))
-    followers = signed.join(groups, signature).select("ego", "ego_degree", "leader")
-
     pieces = copies(F.col("via_degree"), ties_per_piece)
-    leader_hubs = through_hub.join(
-        groups.select(F.col("leader").alias("ego")), "ego", "left_semi"
-    ).select(F.col("ego").alias("leader"), "via", every_piece(pieces).alias("piece"))
-    hub_onward = onward.filter(F.col("via_degree") > hub_degree).select(
-        "via", "reached", "reached_degree", piece_of(F.col("reached"), pieces).alias("piece")
-    )
-    covered = (
-        leader_hubs.join(hub_onward, ["via", "piece"])
-        .select("leader", "reached", "reached_degree")
-        .distinct()
-    )
-    # A hub leads back to the ego itself, which does not count.
-    by_hubs = followers.join(covered.groupBy("leader").agg(*_totals()), "leader").select(
-        "ego",
-        (F.col("n_reached") - 1).alias("n_reached"),
-        (F.col("degree_sum") - F.col("ego_degree")).alias("degree_sum"),
-    )
-    hub_egos = followers.select("ego", "leader")
-    beyond = (
-        _reached_from(ordinary.join(hub_egos, "ego"), onward, ["ego", "leader"])
-        .join(covered.select("leader", "reached"), ["leader", "reached"], "left_anti")
-        .groupBy("ego")
-        .agg(*_totals())
-    )
-    plain = (
-        _reached_from(ordinary.join(hub_egos, "ego", "left_anti"), onward, ["ego"])
-        .groupBy("ego")
-        .agg(*_totals())
+    to_via = (
+        annotated_ties(annotated, dst=("degree",), of_egos=True)
+        .select(F.col("src").alias("ego"), F.col("dst").alias("via"), F.col("dst_degree").alias("via_degree"))
+        .select("ego", "via", piece_of(F.col("ego"), pieces).alias("ego_piece"), every_piece(pieces).alias("onward_piece"))
     )
-    both = (
-        by_hubs.unionByName(beyond)
-        .unionByName(plain)
-        .groupBy("ego")
-        .agg(F.sum("n_reached").alias("n_reached"), F.sum("degree_sum").alias("degree_sum"))
-    )
-    return _mean_reached(both)
-
-
-def _reached_from(ordinary: DataFrame, onward: DataFrame, keys: list[str]) -> DataFrame:
+    onward = (
+        annotated_ties(annotated, ("degree",), ("degree",))
+        .select(
+            F.col("src").alias("via"), F.col("dst").alias("reached"),
+            F.col("src_degree").alias("via_degree"), F.col("dst_degree").alias("reached_degree"),
+        )
+        .select(
+            "via", "reached", "reached_degree", piece_of(F.col("reached"), pieces).alias("onward_piece"), every_piece(pieces).alias("ego_piece"),
+        )
+    )
+    place = ["via", "ego_piece", "onward_piece"]
     return (
-        spread(ordinary.select(*keys, "via"), "via")
-        .join(onward.drop("via_degree"), "via")
+        spread(to_via, *place)
+        .join(onward, place)
         .filter(F.col("reached") != F.col("ego"))
-        .select(*keys, "reached", "reached_degree")
+        .select("ego", "reached", "reached_degree")
         .distinct()
-    )
-
-
-def _totals() -> list[Column]:
-    return [F.count("*").alias("n_reached"), F.sum("reached_degree").alias("degree_sum")]
-
-
-def _mean_reached(totals: DataFrame) -> DataFrame:
-    return totals.filter("n_reached > 0").select(
-        F.col("ego").alias("id"),
-        ratio(F.col("degree_sum"), F.col("n_reached")).alias("second_order_collab_mean_degree"),
+        .groupBy(F.col("ego").alias("id"))
+        .agg(ratio(F.sum("reached_degree"), F.count("*")).alias("second_order_collab_mean_degree"))
     )

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieloom.functions.arrays import joined, share_a_value
+from tieloom.functions.arrays import has_entries, joined, share_a_value
 from tieloom.functions.numeric import half_up, significant
 from tieloom.operators import (
     batching,
@@ -33,7 +33,9 @@ from tieloom.streaming import resume
 LOW_QUADRANT = (0.2786, 0.01749)
 HIGH_QUADRANT = (0.8092, 0.3887)
 SAMPLE_ROWS, SAMPLE_SEED = 150, 42
-BROKERAGE_BATCHES, CONSTRAINT_MAX_DEGREE = 20, 250
+BROKERAGE_BATCHES = 20
+# Bounds of the range filter query.
+MOST_DEGREE, MORE_THAN = 60, 1
 
 SUMMARY_COLUMNS = [
     "degree", "years_from_first_pub", "interdisciplinary_reach", "baseline_output",
@@ -109,7 +111,7 @@ def cooccurrence_edges(spark, d):
 def focals(spark, d):
     return _report(
         graph.focals(pn.load(spark, d).vertices).select(
-            "id", "gender", "first_pub_year", "pub_count", "subject_areas", "countries", "countries_wo_eu"
+            "id", "category", "first_pub_year", "pub_count", "subject_areas", "countries", "countries_wo_eu"
         )
     )
 
@@ -122,7 +124,7 @@ def degree(spark, d):
 def degree_ranked(spark, d):
     net = pn.load(spark, d)
     degrees = graph.degree(net.edges, graph.focals(net.vertices))
-    return resume.pending(degrees, None, CONSTRAINT_MAX_DEGREE).orderBy(F.col("degree").asc(), F.col("id").asc())
+    return resume.pending(degrees, None).orderBy(F.col("degree").asc(), F.col("id").asc())
 
 
 def attribute_mix(spark, d):
@@ -155,11 +157,12 @@ def reach_exact(spark, d):
 
 
 def window_totals(spark, d):
-    """Compared and matching neighbours per vertex, by subject."""
+    """Compared and matching neighbours per vertex, by country; both ends need an entry."""
     net = pn.load(spark, d)
-    mine, theirs = F.col("ego_subject_areas"), F.col("alter_subject_areas")
+    mine, theirs = F.col("ego_countries"), F.col("alter_countries")
     return (
         neighbourhood.ego_ties(net.edges, net.vertices, net.vertices)
+        .filter(has_entries(mine) & has_entries(theirs))
         .groupBy(F.col("ego").alias("id"))
         .agg(
             F.count("alter").alias("total_collabs"),
@@ -246,8 +249,9 @@ def dedupe_by_key(spark, d):
     """Incidence rows appended to one output, then compacted to one row per part."""
     path = fresh_path(spark, "dedupe")
     rows = pn.incidence(spark, d)
-    for years in (pn.BASELINE, pn.OUTCOME):
-        tables.append_table(rows.filter(F.col("year").isin(years)), path)
+    early = F.col("year") <= pn.END_YEAR
+    for part in (early, ~early):
+        tables.append_table(rows.filter(part), path)
     tables.compact(spark, path, ["id"], ["context"])
     return _long_counts(tables.read_table(spark, path))
 
@@ -262,10 +266,10 @@ def append_resume(spark, d):
     net = pn.load(spark, d)
     path = fresh_path(spark, "constraint")
     degrees = staged(graph.degree(net.edges, graph.focals(net.vertices)), "degrees")
-    todo = resume.pending(degrees, None, CONSTRAINT_MAX_DEGREE)
+    todo = resume.pending(degrees, None)
     resume.run_batches(net.edges, todo, path, 4, only=range(2))
     done = tables.read_table(spark, path)
-    rest = staged(resume.pending(degrees, done, CONSTRAINT_MAX_DEGREE), "rest")
+    rest = staged(resume.pending(degrees, done), "rest")
     resume.run_batches(net.edges, rest, path, 2)
     resume.finish(spark, path)
     return tables.read_table(spark, path)
@@ -283,7 +287,7 @@ def csv_roundtrip(spark, d):
 
 
 def cohort_filter(spark, d):
-    return cohorts.cohort_filter(pn.load(spark, d).vertices, "female", "EUROPE", "S2").select("id", "gender")
+    return cohorts.cohort_filter(pn.load(spark, d).vertices, "female", "EUROPE", "S2").select("id", "category")
 
 
 def cohort_stats(spark, d):
@@ -317,6 +321,17 @@ def analysis_table(spark, d):
     )
 
 
+def range_filter(spark, d):
+    """The analysis table within bounds, with the number of rows that each bound removes."""
+    table = _analysis(spark, d)
+    removed = table.agg(
+        F.count_if(F.col("degree") > MOST_DEGREE).alias("above_degree"),
+        F.count_if(F.col("baseline_output") <= MORE_THAN).alias("below_output"),
+    )
+    kept = ego_analysis.within(table, MOST_DEGREE, MORE_THAN).select("id", "degree", "baseline_output")
+    return kept.crossJoin(F.broadcast(removed))
+
+
 def null_audit(spark, d):
     stats = _once(spark, d, "focal-stats", lambda: focal_stats(spark, d))
     return summaries.null_audit(stats, [c for c in stats.columns if c != "id"])
@@ -335,19 +350,19 @@ def quadrant_share(spark, d):
 
 
 def group_summary(spark, d):
-    return _rounded(summaries.group_summary(_analysis(spark, d), "gender", SUMMARY_COLUMNS), 6)
+    return _rounded(summaries.group_summary(_analysis(spark, d), "category", SUMMARY_COLUMNS), 6)
 
 
 def group_median(spark, d):
     return _rounded(
-        summaries.group_median(_analysis(spark, d), "gender", ["normalized_brokerage", "brokerage", "constraint"]), 6
+        summaries.group_median(_analysis(spark, d), "category", ["normalized_brokerage", "brokerage", "constraint"]), 6
     )
 
 
 def zero_share(spark, d):
     return _rounded(
         summaries.zero_share(
-            _analysis(spark, d), "gender", "normalized_brokerage", ["normalized_brokerage", "brokerage", "constraint"]
+            _analysis(spark, d), "category", "normalized_brokerage", ["normalized_brokerage", "brokerage", "constraint"]
         ),
         6,
     )
@@ -360,7 +375,7 @@ def describe_table(spark, d):
 
 def summary_transposed(spark, d):
     return _rounded(
-        summaries.summary_transposed(_analysis(spark, d), "gender", ["female", "male"], SUMMARY_COLUMNS), 6
+        summaries.summary_transposed(_analysis(spark, d), "category", ["female", "male"], SUMMARY_COLUMNS), 6
     )
 
 
@@ -404,7 +419,7 @@ def _coefficients(spark, fitted, places):
 
 
 def nb_by_group(spark, d):
-    """Outcome by gender, with robust and with model-based standard errors."""
+    """Outcome by category, with robust and with model-based standard errors."""
     fitted = count_models.fit(
         _multihot(spark, d), count_models.Model("by group", "outcome_output", ("women",))
     )
@@ -431,6 +446,12 @@ def nb_full(spark, d):
     return _coefficients(spark, fitted, 4)
 
 
+def nb_rate_full(spark, d):
+    """The full model of the other outcome, a rate."""
+    fitted = count_models.fit(_exploded(spark, d), model_suite.main_model("rate_outcome", PLACES))
+    return _coefficients(spark, fitted, 4)
+
+
 def nb_model_suite(spark, d):
     models = model_suite.nested_models("outcome_output", PLACES)
     fits = count_models.fit_models(_exploded(spark, d), models)
@@ -566,10 +587,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         second_order_degree, second_order_paths, two_paths, neighbor_sets, neighbor_pairs, open_pairs,
         brokerage, constraint, triad_measures, ego_subgraph, focal_stats, sink_roundtrip,
         dedupe_by_key, batch_assign, append_resume, csv_roundtrip, cohort_filter, cohort_stats,
-        year_features, analysis_table, null_audit, multi_affiliation, quadrant_share, group_summary,
+        year_features, analysis_table, range_filter, null_audit, multi_affiliation, quadrant_share, group_summary,
         group_median, zero_share, describe_table, summary_transposed, design_moments,
         cross_affiliation, design_multihot, design_exploded, design_interactions, nb_by_group,
-        nb_two_param, nb_full, nb_model_suite, grid_points, profile_grid, profile_grid_held,
+        nb_two_param, nb_full, nb_rate_full, nb_model_suite, grid_points, profile_grid, profile_grid_held,
         scenario_grid, predict_grid, predict_interval, marginal_effects, log_outcomes,
         seeded_sample, density_histogram, density_curve,
     )

@@ -38,7 +38,7 @@ def focal_stats(
             "degree",
             "pct_male_first_order",
             "pct_female_first_order",
-            "gender",
+            "category",
             "pct_homophilic_collabs",
             "mean_collab_tenure",
             "mean_collab_pub_count",
@@ -60,11 +60,9 @@ def analysis_table(
     baseline: list[int],
     outcome: list[int],
     end_year: int,
-    max_degree: int = 1000,
-    more_than: int = 1,
     required: tuple[DataFrame, ...] = (),
 ) -> DataFrame:
-    """Model input: focal vertices with all measures, up to a degree and above an output.
+    """Model input: all focal vertices with all measures. ``within`` bounds it.
 
     ``triads`` has brokerage and constraint, ``required`` lists further measure tables whose
     ids an ego must be in. All inputs have one row per ``id``, and all joins are on it.
@@ -79,12 +77,10 @@ def analysis_table(
     )
     for other in required:
         table = table.join(other.select("id"), "id", "left_semi")
-    return table.filter(
-        (F.col("degree") <= max_degree) & (F.col("baseline_output") > more_than)
-    ).select(
+    return table.select(
         "id",
         "degree",
-        "gender",
+        "category",
         years_since_first(end_year).alias("years_from_first_pub"),
         "interdisciplinary_reach",
         "rate_outcome",
@@ -101,6 +97,15 @@ def analysis_table(
     )
 
 
+def within(table: DataFrame, max_degree: int | None = None, more_than: int | None = None) -> DataFrame:
+    """Rows of the analysis table up to a degree and above a baseline output, where given."""
+    if max_degree is not None:
+        table = table.filter(F.col("degree") <= max_degree)
+    if more_than is not None:
+        table = table.filter(F.col("baseline_output") > more_than)
+    return table
+
+
 def from_network(network, baseline: list[int], outcome: list[int], end_year: int) -> DataFrame:
     """The analysis table of a network, from its edges.
 

@@ -60,7 +60,7 @@ parts AS (
 vertices AS MATERIALIZED (
   SELECT id, p_size <= 5 AS is_focal,
     CASE WHEN p_type IN {_in(pn.FEMALE_TYPES)} THEN 'female' WHEN p_type IN {_in(pn.MALE_TYPES)} THEN 'male'
-         WHEN p_type IN {_in(pn.UNKNOWN_TYPES)} THEN 'unknown' END AS gender,
+         WHEN p_type IN {_in(pn.UNKNOWN_TYPES)} THEN 'unknown' END AS category,
     CASE WHEN id % 13 = 0 THEN NULL ELSE 1940 + p_size + id % 7 END AS first_pub_year,
     coalesce(n, 0) AS pub_count,
     CASE WHEN sa = sb THEN [sa] ELSE [sa, sb] END AS subject_areas,
@@ -71,21 +71,21 @@ vertices AS MATERIALIZED (
   FROM parts LEFT JOIN (SELECT id AS pid, count(*) AS n FROM pub WHERE y <= {pn.END_YEAR} GROUP BY 1) ON pid = id),
 focals AS MATERIALIZED (SELECT * FROM vertices WHERE is_focal),
 ft AS MATERIALIZED (
-  SELECT b.src AS id, b.dst AS q, b.weight, f.gender AS own, v.gender, v.first_pub_year, v.pub_count
+  SELECT b.src AS id, b.dst AS q, b.weight, f.category AS own, v.category, v.first_pub_year, v.pub_count
   FROM bi b JOIN focals f ON f.id = b.src JOIN vertices v ON v.id = b.dst)"""
 
 MIX = """
 mix AS MATERIALIZED (
-  SELECT id, any_value(own) AS gender, count(*) FILTER (gender = 'male') AS n_male,
-    count(*) FILTER (gender = 'female') AS n_female, count(*) FILTER (gender = 'unknown') AS n_unknown,
-    count(*) FILTER (gender IS NULL) AS n_missing, count(*) AS total_collabs
+  SELECT id, any_value(own) AS category, count(*) FILTER (category = 'male') AS n_male,
+    count(*) FILTER (category = 'female') AS n_female, count(*) FILTER (category = 'unknown') AS n_unknown,
+    count(*) FILTER (category IS NULL) AS n_missing, count(*) AS total_collabs
   FROM ft GROUP BY id)"""
 
 SHARES = f"""
 {r("n_male / total_collabs", 3)} * 100 AS pct_male_first_order,
 {r("n_female / total_collabs", 3)} * 100 AS pct_female_first_order"""
 
-HOMOPHILY = "CASE mix.gender WHEN 'male' THEN n_male / total_collabs WHEN 'female' THEN n_female / total_collabs END"
+HOMOPHILY = "CASE mix.category WHEN 'male' THEN n_male / total_collabs WHEN 'female' THEN n_female / total_collabs END"
 
 MEANS = f"""
 means AS (
@@ -146,7 +146,7 @@ CASE WHEN {_base} > 0 THEN ({_weighted}) / ({_base}) - {pn.BASELINE[0]} END AS a
 
 STATS = f"""
 stats AS MATERIALIZED (
-  SELECT d.id, degree, {SHARES}, mix.gender, {HOMOPHILY} AS pct_homophilic_collabs,
+  SELECT d.id, degree, {SHARES}, mix.category, {HOMOPHILY} AS pct_homophilic_collabs,
     mean_collab_tenure, mean_collab_pub_count, second.m AS second_order_collab_mean_degree,
     ri.reach AS interdisciplinary_reach, rc.reach AS international_reach_with_eu,
     rn.reach AS international_reach_no_eu, {", ".join(f'"{y}"' for y in YEARS)}
@@ -161,18 +161,17 @@ ANALYSIS = f"""
 rate AS (SELECT id, avg(q) AS rate_outcome FROM ln WHERE y IN ({", ".join(map(str, pn.OUTCOME))}) GROUP BY 1),
 analysis AS MATERIALIZED (
   SELECT * FROM (
-    SELECT s.id, degree, s.gender, {pn.END_YEAR} - first_pub_year AS years_from_first_pub, interdisciplinary_reach,
+    SELECT s.id, degree, s.category, {pn.END_YEAR} - first_pub_year AS years_from_first_pub, interdisciplinary_reach,
       rate_outcome, {YEAR_COLUMNS}, open_triads_count AS brokerage,
       open_triads_per_neighbor AS normalized_brokerage, overall_constraint AS "constraint",
       pct_homophilic_collabs AS homophily, pct_homophilic_collabs AS normalized_homophily,
       f.countries AS countries_focal, f.subject_areas AS subjects_focal
     FROM stats s JOIN focals f ON f.id = s.id JOIN rate ON rate.id = s.id
-    JOIN brok ON brok.id = s.id JOIN cons ON cons.id = s.id)
-  WHERE degree <= 1000 AND baseline_output > 1)"""
+    JOIN brok ON brok.id = s.id JOIN cons ON cons.id = s.id))"""
 
 ALL = ",".join([NETWORK, MIX, MEANS, SECOND, TRIADS, YEARLY, STATS, ANALYSIS])
 
-WOMEN = "CASE WHEN gender = 'female' THEN 1 ELSE 0 END AS women"
+WOMEN = "CASE WHEN category = 'female' THEN 1 ELSE 0 END AS women"
 _places = [(v, "country", "countries_focal", "country") for v in pn.REGIONS if v != pn.REFERENCE_REGION] + [
     (v, "subject", "subjects_focal", "subject") for v in pn.SUBJECTS if v != pn.REFERENCE_SUBJECT
 ]
@@ -365,8 +364,8 @@ def _newton(models) -> str:
     return ",\n".join(ctes)
 
 
-def _full_model() -> str:
-    model = model_suite.main_model("outcome_output", c.PLACES)
+def _full_model(outcome: str) -> str:
+    model = model_suite.main_model(outcome, c.PLACES)
     names = ", ".join(f"({j}, '{name}')" for j, name in enumerate(model.parameters))
     return _with(
         _exploded + ",\n" + _newton([model]),
@@ -394,7 +393,8 @@ def _suite() -> str:
         _exploded + ",\n" + _newton(models)
         + f""",\nnamed AS MATERIALIZED (SELECT est.*, n.variable, n.k FROM est JOIN (VALUES {names}) n(model, j, variable, k)
           ON n.model = est.model AND n.j = est.j),
-        cells AS (SELECT 0 AS position, 'Log-Likelihood' AS statistic, '' AS variable, model, {r("ll", 4)} AS v FROM ll UNION ALL {cells})""",
+        cells AS (SELECT 0 AS position, 'Log-Likelihood' AS statistic, '' AS variable, model, {r("ll", 4)} AS v FROM ll UNION ALL {cells}
+          UNION ALL SELECT {1 + 3 * len(variables)}, 'Converged', '', model, 1.0e0 FROM ll)""",
         f"SELECT CAST(position AS BIGINT) AS position, statistic, variable, {wide} FROM cells GROUP BY position, statistic, variable",
     )
 
@@ -453,10 +453,11 @@ def _scenarios() -> str:
 
 def _histogram(column: str, stop: int, width: int) -> str:
     return f"""SELECT CAST(women AS BIGINT) AS women, '{column}' AS series, CAST(bin AS BIGINT) AS bin,
-      CAST(bin * {width} AS DOUBLE) AS bin_start, count(*) AS rows,
-      {r(f"count(*) / (sum(count(*)) OVER (PARTITION BY women) * {width})")} AS density
-    FROM (SELECT women, least(floor({column} / {width}), {stop // width - 1}) AS bin FROM design
-          WHERE {column} BETWEEN 0 AND {stop}) GROUP BY women, bin"""
+      CASE WHEN bin BETWEEN 0 AND {stop // width - 1} THEN CAST(bin * {width} AS DOUBLE) END AS bin_start, count(*) AS rows,
+      CASE WHEN bin BETWEEN 0 AND {stop // width - 1} THEN
+        {r(f"count(*) / (sum(CASE WHEN bin BETWEEN 0 AND {stop // width - 1} THEN count(*) END) OVER (PARTITION BY women) * {width})")} END AS density
+    FROM (SELECT women, CASE WHEN {column} < 0 THEN -1 WHEN {column} > {stop} THEN {stop // width}
+          ELSE least(floor({column} / {width}), {stop // width - 1}) END AS bin FROM design) GROUP BY women, bin"""
 
 
 def _curve(column: str, x: str) -> str:
@@ -480,7 +481,7 @@ UNION ALL SELECT 'logspace', k,
 
 def _null_audit() -> str:
     columns = [
-        "degree", "pct_male_first_order", "pct_female_first_order", "gender", "pct_homophilic_collabs",
+        "degree", "pct_male_first_order", "pct_female_first_order", "category", "pct_homophilic_collabs",
         "mean_collab_tenure", "mean_collab_pub_count", "second_order_collab_mean_degree",
         "interdisciplinary_reach", "international_reach_with_eu", "international_reach_no_eu",
         *map(str, YEARS),
@@ -500,10 +501,10 @@ def _describe() -> str:
 
 
 def _transposed() -> str:
-    long = _long_stats("analysis", c.SUMMARY_COLUMNS, "gender")
+    long = _long_stats("analysis", c.SUMMARY_COLUMNS, "category")
     return f"SELECT * FROM (WITH l AS ({long}) " + " UNION ALL ".join(
-        f"SELECT metric || '_{s}' AS metric, max({s}) FILTER (gender = 'female') AS female, "
-        f"max({s}) FILTER (gender = 'male') AS male FROM l GROUP BY metric"
+        f"SELECT metric || '_{s}' AS metric, max({s}) FILTER (category = 'female') AS female, "
+        f"max({s}) FILTER (category = 'male') AS male FROM l GROUP BY metric"
         for s in [*STATISTIC, "median"]
     ) + ")"
 
@@ -513,7 +514,7 @@ def _cohorts() -> str:
     for x in ("open_triads_count", "open_triads_per_neighbor"):
         v = f"CAST({x} AS DOUBLE)"
         parts.append(
-            f"SELECT gender, country, subject, '{x}' AS metric, {r(f'avg({v})', 6)} AS mean, {r(f'max({v})', 6)} AS max, "
+            f"SELECT category, country, subject, '{x}' AS metric, {r(f'avg({v})', 6)} AS mean, {r(f'max({v})', 6)} AS max, "
             f"{r(f'min({v})', 6)} AS min, {r(f'stddev_samp({v})', 6)} AS std_dev, {r(f'quantile_cont({v}, 0.5)', 6)} AS median "
             "FROM placed GROUP BY 1, 2, 3"
         )
@@ -521,10 +522,10 @@ def _cohorts() -> str:
 
 
 PLACED = """
-by_country AS (SELECT id, gender, subject_areas, unnest(countries) AS country FROM focals WHERE gender IN ('female', 'male')),
+by_country AS (SELECT id, category, subject_areas, unnest(countries) AS country FROM focals WHERE category IN ('female', 'male')),
 placed AS MATERIALIZED (
   SELECT p.*, brok.open_triads_count, brok.open_triads_per_neighbor
-  FROM (SELECT id, gender, country, unnest(subject_areas) AS subject FROM by_country) p JOIN brok ON brok.id = p.id)"""
+  FROM (SELECT id, category, country, unnest(subject_areas) AS subject FROM by_country) p JOIN brok ON brok.id = p.id)"""
 
 GROUP_SUMMARY = ", ".join(
     f"{r(f'{f}(CAST({q(x)} AS DOUBLE))', 6)} AS {q(f'{x}_{s}')}" for s, f in STATISTIC.items() for x in c.SUMMARY_COLUMNS
@@ -543,7 +544,7 @@ _two = _multihot + ",\n" + _two_param()
 _grid = _two + "," + DEGREE_GRID
 
 STATS_SELECT = f"""SELECT id, degree, {r("pct_male_first_order")} AS pct_male_first_order,
-  {r("pct_female_first_order")} AS pct_female_first_order, gender, {r("pct_homophilic_collabs")} AS pct_homophilic_collabs,
+  {r("pct_female_first_order")} AS pct_female_first_order, category, {r("pct_homophilic_collabs")} AS pct_homophilic_collabs,
   mean_collab_tenure, mean_collab_pub_count, {r("second_order_collab_mean_degree")} AS second_order_collab_mean_degree,
   {r("interdisciplinary_reach")} AS interdisciplinary_reach, {r("international_reach_with_eu")} AS international_reach_with_eu,
   {r("international_reach_no_eu")} AS international_reach_no_eu, {", ".join(f'"{y}"' for y in YEARS)} FROM stats"""
@@ -553,20 +554,20 @@ ORACLE: dict[str, str] = {
     "bidirectional": _with(NETWORK, "SELECT src, dst, weight FROM bi"),
     "focals": _with(
         NETWORK,
-        f"SELECT id, gender, CAST(first_pub_year AS BIGINT) AS first_pub_year, pub_count, {_text('subject_areas')} AS subject_areas, "
+        f"SELECT id, category, CAST(first_pub_year AS BIGINT) AS first_pub_year, pub_count, {_text('subject_areas')} AS subject_areas, "
         f"{_text('countries')} AS countries, {_text('countries_wo_eu')} AS countries_wo_eu FROM focals",
     ),
     "degree": _with(NETWORK, "SELECT d.id, degree FROM deg d JOIN focals f ON f.id = d.id"),
     "degree_ranked": _with(
         NETWORK,
-        f"SELECT d.id, degree FROM deg d JOIN focals f ON f.id = d.id WHERE degree > 0 AND degree <= {c.CONSTRAINT_MAX_DEGREE} ORDER BY degree, d.id",
+        f"SELECT d.id, degree FROM deg d JOIN focals f ON f.id = d.id WHERE degree > 0 ORDER BY degree, d.id",
     ),
     "attribute_mix": _with(
         _net_mix,
         f"SELECT id, n_male, n_female, n_unknown, n_missing, total_collabs, {r('pct_male_first_order')} AS pct_male_first_order, "
         f"{r('pct_female_first_order')} AS pct_female_first_order FROM (SELECT *, {SHARES} FROM mix)",
     ),
-    "homophily": _with(_net_mix, f"SELECT id, gender, {r(HOMOPHILY)} AS pct_homophilic_collabs FROM mix"),
+    "homophily": _with(_net_mix, f"SELECT id, category, {r(HOMOPHILY)} AS pct_homophilic_collabs FROM mix"),
     "neighbor_means": _with(NETWORK + "," + MEANS, "SELECT * FROM means"),
     **{
         f"reach_{mode}": _with(
@@ -581,8 +582,8 @@ ORACLE: dict[str, str] = {
     "window_totals": _with(
         NETWORK,
         """SELECT DISTINCT src AS id, count(dst) OVER w AS total_collabs, CAST(sum(same) OVER w AS BIGINT) AS total_same_collabs
-        FROM (SELECT e.src, e.dst, CASE WHEN list_has_any(a.subject_areas, b.subject_areas) THEN 1 ELSE 0 END AS same
-          FROM bi e JOIN vertices a ON a.id = e.src JOIN vertices b ON b.id = e.dst) WINDOW w AS (PARTITION BY src)""",
+        FROM (SELECT e.src, e.dst, CASE WHEN list_has_any(a.countries, b.countries) THEN 1 ELSE 0 END AS same
+          FROM bi e JOIN vertices a ON a.id = e.src JOIN vertices b ON b.id = e.dst WHERE len(a.countries) > 0 AND len(b.countries) > 0) WINDOW w AS (PARTITION BY src)""",
     ),
     "exploded_attributes": _with(
         NETWORK,
@@ -624,7 +625,7 @@ ORACLE: dict[str, str] = {
     "dedupe_by_key": _with(
         NETWORK,
         f"""SELECT id, ok AS context, y AS year FROM (
-          SELECT *, row_number() OVER (PARTITION BY id ORDER BY ok) AS n FROM pub WHERE y IN ({", ".join(map(str, YEARS))})) WHERE n = 1""",
+          SELECT *, row_number() OVER (PARTITION BY id ORDER BY ok) AS n FROM pub) WHERE n = 1""",
     ),
     "batch_assign": _with(
         NETWORK,
@@ -633,12 +634,12 @@ ORACLE: dict[str, str] = {
     ),
     "append_resume": _with(
         _net_triads,
-        f"SELECT cons.* FROM cons JOIN deg ON deg.id = cons.id WHERE degree > 0 AND degree <= {c.CONSTRAINT_MAX_DEGREE}",
+        f"SELECT cons.* FROM cons JOIN deg ON deg.id = cons.id WHERE degree > 0",
     ),
-    "csv_roundtrip": _with(ALL, f"SELECT gender, {ZERO_SHARE} FROM analysis GROUP BY gender"),
+    "csv_roundtrip": _with(ALL, f"SELECT category, {ZERO_SHARE} FROM analysis GROUP BY category"),
     "cohort_filter": _with(
         NETWORK,
-        "SELECT id, gender FROM focals WHERE gender = 'female' AND list_contains(countries, 'EUROPE') AND list_contains(subject_areas, 'S2')",
+        "SELECT id, category FROM focals WHERE category = 'female' AND list_contains(countries, 'EUROPE') AND list_contains(subject_areas, 'S2')",
     ),
     "cohort_stats": _with(_net_triads + "," + PLACED, _cohorts()),
     "year_features": _with(
@@ -648,12 +649,18 @@ ORACLE: dict[str, str] = {
     ),
     "analysis_table": _with(
         ALL,
-        f"""SELECT id, degree, gender, CAST(years_from_first_pub AS BIGINT) AS years_from_first_pub,
+        f"""SELECT id, degree, category, CAST(years_from_first_pub AS BIGINT) AS years_from_first_pub,
         {r("interdisciplinary_reach")} AS interdisciplinary_reach, {r("rate_outcome")} AS rate_outcome, baseline_output, outcome_output,
         brokerage, {r("normalized_brokerage")} AS normalized_brokerage, {r('"constraint"')} AS "constraint", {r("homophily")} AS homophily,
         {r("normalized_homophily")} AS normalized_homophily, {r("avg_year_diff")} AS avg_year_diff,
         {_text("countries_focal")} AS countries_focal, {_text("subjects_focal")} AS subjects_focal FROM analysis""",
     ),
+    "range_filter": _with(
+        ALL,
+        f"""SELECT id, degree, baseline_output, (SELECT count(*) FROM analysis WHERE degree > {c.MOST_DEGREE}) AS above_degree,
+        (SELECT count(*) FROM analysis WHERE baseline_output <= {c.MORE_THAN}) AS below_output
+        FROM analysis WHERE degree <= {c.MOST_DEGREE} AND baseline_output > {c.MORE_THAN}""",
+    ),
     "null_audit": _with(_stats, _null_audit()),
     "multi_affiliation": _with(
         ALL,
@@ -664,15 +671,15 @@ ORACLE: dict[str, str] = {
         f"""SELECT {r(f'count(*) FILTER (normalized_brokerage <= {c.LOW_QUADRANT[0]}e0 AND "constraint" <= {c.LOW_QUADRANT[1]}e0) / count(*)')} AS low_low,
         {r(f'count(*) FILTER (normalized_brokerage >= {c.HIGH_QUADRANT[0]}e0 AND "constraint" >= {c.HIGH_QUADRANT[1]}e0) / count(*)')} AS high_high FROM analysis""",
     ),
-    "group_summary": _with(ALL, f"SELECT gender, {GROUP_SUMMARY} FROM analysis GROUP BY gender"),
+    "group_summary": _with(ALL, f"SELECT category, {GROUP_SUMMARY} FROM analysis GROUP BY category"),
     "group_median": _with(
         ALL,
         " UNION ALL ".join(
-            f"SELECT gender, '{x}' AS metric, {r(f'quantile_cont(CAST({q(x)} AS DOUBLE), 0.5)', 6)} AS median FROM analysis GROUP BY gender"
+            f"SELECT category, '{x}' AS metric, {r(f'quantile_cont(CAST({q(x)} AS DOUBLE), 0.5)', 6)} AS median FROM analysis GROUP BY category"
             for x in ("normalized_brokerage", "brokerage", "constraint")
         ),
     ),
-    "zero_share": _with(ALL, f"SELECT gender, {ZERO_SHARE} FROM analysis GROUP BY gender"),
+    "zero_share": _with(ALL, f"SELECT category, {ZERO_SHARE} FROM analysis GROUP BY category"),
     "describe_table": _with(_stats, _describe()),
     "summary_transposed": _with(ALL, _transposed()),
     "design_moments": _with(
@@ -703,7 +710,8 @@ ORACLE: dict[str, str] = {
         _two,
         f"SELECT CAST(position AS BIGINT) AS position, variable, coefficient, irr, std_error, z, p_value FROM ({_coefficient_rows('fit').format(slope='degree')})",
     ),
-    "nb_full": _full_model(),
+    "nb_full": _full_model("outcome_output"),
+    "nb_rate_full": _full_model("rate_outcome"),
     "nb_model_suite": _suite(),
     "grid_points": _with(_multihot + "," + DEGREE_GRID, _grids()),
     "profile_grid": _with(

@@ -19,6 +19,7 @@ from tieloom.staging import staged
 BASELINE = [1995, 1996, 1997]
 OUTCOME = [1998, 1999, 2000]
 END_YEAR = 1997
+AFTER_BASELINE = f"{END_YEAR + 1}-01-01"
 
 # Categories of the part attributes.
 FEMALE_TYPES = ["ECONOMY", "STANDARD"]
@@ -50,9 +51,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines with the year of their order: ``id, context, year, quantity``."""
-    orders = _table(spark, sf_dir, "orders").select(
+def lines(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
+    """Order lines with the year of their order: ``id, context, year, quantity``.
+
+    ``before`` is a date that orders must precede; it reaches the scan.
+    """
+    orders = _table(spark, sf_dir, "orders")
+    if before is not None:
+        orders = orders.filter(F.col("o_orderdate") < F.lit(before).cast(orders.schema["o_orderdate"].dataType))
+    orders = orders.select(
         F.col("o_orderkey").alias("context"), F.year("o_orderdate").alias("year")
     )
     return (
@@ -62,14 +69,13 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def incidence(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
     """One row per part and order."""
-    return lines(spark, sf_dir).select("id", "context", "year").distinct()
+    return lines(spark, sf_dir, before).select("id", "context", "year").distinct()
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    window = incidence(spark, sf_dir).filter(F.col("year") <= END_YEAR)
-    return cooccurrence_edges(window, "id", "context")
+    return cooccurrence_edges(incidence(spark, sf_dir, AFTER_BASELINE), "id", "context")
 
 
 def yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +116,7 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
         size != 49, one_or_two(F.col("first_region"), F.col("second_region"))
     )
     published = (
-        incidence(spark, sf_dir)
-        .filter(F.col("year") <= END_YEAR)
+        incidence(spark, sf_dir, AFTER_BASELINE)
         .groupBy(F.col("id").alias("p_partkey"))
         .agg(F.count("*").alias("pub_count"))
     )
@@ -130,7 +135,7 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("p_type").isin(FEMALE_TYPES), "female")
             .when(F.col("p_type").isin(MALE_TYPES), "male")
             .when(F.col("p_type").isin(UNKNOWN_TYPES), "unknown")
-            .alias("gender"),
+            .alias("category"),
             F.when(F.col("p_partkey") % 13 != 0, 1940 + size + F.col("p_partkey") % 7)
             .cast("int")
             .alias("first_pub_year"),

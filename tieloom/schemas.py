@@ -17,7 +17,7 @@ VERTICES = T.StructType(
     [
         T.StructField("id", T.LongType()),
         T.StructField("is_focal", T.BooleanType()),
-        T.StructField("gender", T.StringType()),
+        T.StructField("category", T.StringType()),
         T.StructField("first_pub_year", T.IntegerType()),
         T.StructField("pub_count", T.LongType()),
         T.StructField("subject_areas", T.ArrayType(T.StringType())),
