@@ -92,7 +92,7 @@ def test_features(spark):
 def test_histogram_edges(spark):
     df = rows_to_table(spark, [(1, x) for x in (0.0, 1.9, 2.0, 4.0, 4.1)] + [(0, 1.0)], "g int, x double")
     got = {(r.g, r.bin): (r.rows, r.density) for r in densities.density_histogram(df, "x", "g", 0, 4, 2).collect()}
-    assert got == {(1, 0): (2, 0.25), (1, 1): (2, 0.25), (0, 0): (1, 0.5)}
+    assert got == {(1, 0): (2, 0.25), (1, 1): (2, 0.25), (1, 2): (1, None), (0, 0): (1, 0.5)}
 
 
 def test_density_curve_integrates_to_one(spark):
