@@ -2,14 +2,14 @@
 
 1. Each text becomes the set of its 5-word shingle hashes. Texts of equal sets are one class
    (equal digests of the whole set), represented by the smallest id.
-2. One hash per shingle deals the set into 128 bins; a bin keeps its least hash. An empty bin
-   borrows from the first filled bin of its own random order of bins, so two sets borrow alike.
-   Four bins make a band, 32 bands make 32 bucket keys: a pair at the threshold is missed with
-   probability (1 - 0.75 ** 4) ** 32 < 1e-5. Small sets fill few bins, so their bands depend on
-   each other; sets of up to 160 shingles add the shingles of their prefix in hash order as keys,
-   which no pair of such sets at the threshold can fail to share.
+2. One hash per shingle deals the set into 384 bins; a bin keeps its least hash. An empty bin
+   borrows from the first filled bin of its own random order of bins, so two sets borrow alike,
+   and each bin of a small set is a random pick of its shingles. Six bins make a band, 64 bands
+   make 64 bucket keys: a pair at the threshold is missed with probability (1 - 0.75 ** 6) ** 64,
+   4 in a million, and a pair that shares a passage of a fifth of its shingles rarely meets.
 3. Each bucket proposes a star: its least member with every other, so pairs grow with bucket
-   size, not its square. Proposed pairs are confirmed on whole sets, a large star in chunks.
+   size, not its square. Pairs whose sizes alone rule a link out are left out, as are pairs that
+   an earlier round compared. The others are confirmed on whole sets, a large star in chunks.
 4. In a bucket whose members are not all in one component yet, the centre, now compared with
    every member outside its component, leaves, and the rest forms a new star. After some rounds
    what is left is compared in full between components.
@@ -36,16 +36,16 @@ from tieloom.staging import staged
 
 SHINGLE = 5
 PERCENT = 75
-BINS, ROWS = 128, 4
-SMALL_SET = 160
+BINS, ROWS = 384, 6
 CHUNK = 64
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
 
-#: For each bin the rank of every bin in its own random order.
-_RANK = np.argsort(np.random.default_rng(77).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1), axis=1)
-_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
+#: For each bin its own random order of bins, and the rank of every bin in it.
+_ORDER = np.random.default_rng(77).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
+_RANK = np.argsort(_ORDER, axis=1)
+_EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(55)) // np.uint64(3) << np.uint64(2)
 _BAND = mix(np.arange(1, BINS // ROWS + 1, dtype=np.uint64))
-_PREFIX = np.uint64(0xA5A5A5A55A5A5A5B)
+_FACTORS = mix(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_set(h: np.ndarray) -> np.ndarray:
@@ -58,26 +58,26 @@ def shingle_set(h: np.ndarray) -> np.ndarray:
 def signature(s: np.ndarray) -> np.ndarray:
     """Least hash per bin of a sorted set, empty bins filled by borrowing."""
     at = np.searchsorted(s, _EDGES)
-    filled = np.flatnonzero(np.diff(np.append(at, len(s))))
+    full = np.empty(BINS, bool)
+    full[:-1] = at[1:] > at[:-1]
+    full[-1] = at[-1] < len(s)
+    filled, empty = np.flatnonzero(full), np.flatnonzero(~full)
     source = np.arange(BINS)
-    if len(filled) < BINS:
-        empty = np.ones(BINS, bool)
-        empty[filled] = False
-        empty = np.flatnonzero(empty)
+    if len(filled) < 64:
         source[empty] = filled[np.argmin(_RANK[np.ix_(empty, filled)], axis=1)]
+    else:
+        turn = 0
+        while len(empty):
+            found = _ORDER[empty, turn]
+            known = full[found]
+            source[empty[known]] = found[known]
+            empty, turn = empty[~known], turn + 1
     return s[at[source]]
 
 
 def bucket_keys(s: np.ndarray) -> np.ndarray:
-    """Bucket keys of a sorted set: bands, and for small sets the prefix."""
-    sig = signature(s).reshape(-1, ROWS)
-    keys = _BAND.copy()
-    for j in range(ROWS):
-        keys = mix(keys ^ sig[:, j])
-    if len(s) <= SMALL_SET:
-        prefix = s[: len(s) - -(-PERCENT * len(s) // 100) + 1]
-        keys = np.concatenate([keys, mix(prefix ^ _PREFIX)])
-    return np.unique(keys)
+    """Bucket keys of a sorted set, one per band."""
+    return mix((signature(s).reshape(-1, ROWS) * _FACTORS).sum(axis=1) ^ _BAND)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -160,33 +160,37 @@ def near_duplicates(docs: DataFrame, star_rounds: int = STAR_ROUNDS) -> DataFram
     signed = staged(signatures(docs), "signatures")
     classes = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     spoken = signed.join(classes, ["set_id"]).where(F.col("doc_id") == F.col("rep"))
-    keyed = spoken.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
+    keyed = spoken.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"), F.col("n_shingles").cast("int").alias("n"))
     shared = keyed.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
     members = staged(keyed.join(shared, "key"), "buckets")
     texts = staged(packed_texts(docs).join(members.select("doc").distinct(), "doc", "left_semi"), "texts")
 
-    links, comp = None, None
+    links, comp, tested = None, None, None
+    close = F.least("n", "rep_n") * 100 >= F.greatest("n", "rep_n") * PERCENT
     for turn in range(star_rounds + 1):
         if comp is not None:
             members = members.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         else:
             members = members.withColumn("comp", F.col("doc"))
         open_buckets = (
-            members.groupBy("key").agg(F.min(F.struct("doc", "comp")).alias("centre"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            .where("lo < hi").select("key", F.col("centre.doc").alias("rep"), F.col("centre.comp").alias("rep_comp"))
+            members.groupBy("key").agg(F.min(F.struct("doc", "comp", "n")).alias("centre"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            .where("lo < hi").select("key", F.col("centre.doc").alias("rep"), F.col("centre.comp").alias("rep_comp"), F.col("centre.n").alias("rep_n"))
         )
         left = staged(members.join(open_buckets, "key"), "open")
         if left.isEmpty():
             break
         if turn < star_rounds:
-            pairs = left.where(F.col("comp") != F.col("rep_comp")).select("rep", "doc").distinct()
+            pairs = left.where(F.col("comp") != F.col("rep_comp"))
         else:
-            other = left.select("key", F.col("doc").alias("rep"), F.col("comp").alias("rep_comp"))
-            pairs = left.select("key", "doc", "comp").join(other, "key").where("rep_comp < comp").select("rep", "doc").distinct()
-        found = staged(confirmed(staged(pairs, "pairs"), texts), "links")
+            other = left.select("key", F.col("doc").alias("rep"), F.col("comp").alias("rep_comp"), F.col("n").alias("rep_n"))
+            pairs = left.select("key", "doc", "comp", "n").join(other, "key").where("rep_comp != comp AND rep < doc")
+        pairs = pairs.where(close).select("rep", "doc").distinct()
+        pairs = staged(pairs if tested is None else pairs.join(tested, ["rep", "doc"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        found = staged(confirmed(pairs, texts), "links")
         links = found if links is None else links.union(found)
         comp = components(links)
-        members = left.where(F.col("doc") != F.col("rep")).select("key", "doc")
+        members = left.where(F.col("doc") != F.col("rep")).select("key", "doc", "n")
 
     out = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
     if comp is None:
