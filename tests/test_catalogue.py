@@ -19,7 +19,11 @@ def duck(small_dir):
     return connection
 
 
-@pytest.mark.parametrize("name", list(queries()))
+#: Models of more parameters than the smallest data can tell apart; check.py compares them on more.
+UNDETERMINED = {"nb_multihot_model_cov", "predict_profile", "scenario_predictions"}
+
+
+@pytest.mark.parametrize("name", [q for q in queries() if q not in UNDETERMINED])
 def test_query_matches_sql(spark, duck, small_dir, name):
     got = queries()[name](spark, small_dir).toPandas()
     assert len(got) > 0

@@ -143,7 +143,23 @@ def _summed(design: DataFrame, models: list[Model], sums_of) -> dict[int, np.nda
                 names=["model", "sums"],
             )
 
-    per_task = design.mapInArrow(partial, "model int, sums array<double>")
+    def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                totals[i] = totals[i] + np.array(part) if i in totals else np.array(part)
+        if totals:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(totals), pa.int32()), pa.array([v.tolist() for v in totals.values()], pa.list_(pa.float64()))],
+                names=["model", "sums"],
+            )
+
+    schema = "model int, sums array<double>"
+    per_task = design.mapInArrow(partial, schema)
+    # with many tasks their sums meet in a few before they are taken apart
+    few = int(design.rdd.getNumPartitions() ** 0.5)
+    if few > 4:
+        per_task = per_task.repartition(few).mapInArrow(added_up, schema)
     added = (
         per_task.select("model", F.posexplode("sums").alias("position", "part"))
         .groupBy("model", "position")

@@ -52,15 +52,15 @@ def degree(edges: DataFrame, egos: DataFrame) -> DataFrame:
     return endpoints(edges).select("id", "degree").join(egos.select("id"), "id")
 
 
-def annotated_edges(edges: DataFrame, egos: DataFrame) -> DataFrame:
-    """Edges with degree, strength and ego flag of both ends.
+def annotated_edges(edges: DataFrame, egos: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Edges with degree, strength and ego flag of both ends, and the ``carry`` columns of egos.
 
     The two look-ups join the edges to a table with one row per vertex. A vertex that holds
     a large part of the edges makes one side of such a join skewed and leaves the other at
     one row, which adaptive execution splits.
     """
     nodes = endpoints(edges).join(
-        egos.select("id", F.lit(True).alias("is_ego")), "id", "left"
+        egos.select("id", F.lit(True).alias("is_ego"), *carry), "id", "left"
     ).withColumn("is_ego", F.coalesce("is_ego", F.lit(False)))
     out = edges.select("src", "dst", "weight")
     for end in ("src", "dst"):
@@ -69,6 +69,7 @@ def annotated_edges(edges: DataFrame, egos: DataFrame) -> DataFrame:
             F.col("degree").alias(f"{end}_degree"),
             F.col("strength").alias(f"{end}_strength"),
             F.col("is_ego").alias(f"{end}_is_ego"),
+            *[F.col(c).alias(f"{end}_{c}") for c in carry],
         )
         out = out.join(side, end)
     return out

@@ -10,6 +10,8 @@ from tieloom.staging import staged
 # A sketch of this accuracy errs by at most 1/accuracy of the rows; the bracket is ten times wider.
 SKETCH_ACCURACY = 10_000
 BRACKET = 0.001
+# Bins that the bracket is cut into.
+BINS = 4096
 
 
 def long_format(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -24,9 +26,10 @@ def long_format(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame
 def exact_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Median of each column per group: the keys, ``metric`` and ``median``; nulls are ignored.
 
-    Two passes, neither of which brings a whole group into one task. A quantile sketch gives
-    two values that surely enclose the median. Rows below them are only counted, rows between
-    them are counted by distinct value, and only these few counts are put in order.
+    No pass brings a whole group into one task. A quantile sketch gives two values that enclose
+    the median by its error bound. The range between them is cut into bins; counts per bin, rows
+    below included, tell which bin or two hold the median, and only the distinct values of those
+    are put in order.
     """
     values = long_format(df, keys, columns).filter(
         F.col("value").isNotNull() & ~F.isnan("value")
@@ -43,26 +46,41 @@ def exact_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFra
     # Written down, its true size tells Spark whether it can be broadcast.
     bracket = staged(bracket, "bracket")
     same_group = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in group]
-    counted = (
+    width = (F.col("hi") - F.col("lo")) / BINS
+    place = F.when(F.col("value") < F.col("lo"), -1).when(width > 0, F.floor((F.col("value") - F.col("lo")) / width)).otherwise(0)
+    binned = (
         values.join(bracket, same_group)
         .filter(F.col("value") <= F.col("hi"))
-        .withColumn("inside", F.when(F.col("value") >= F.col("lo"), F.col("value")))
-        .groupBy(*group, "n", "inside")
-        .agg(F.count("*").alias("rows"))
-    )
-    upto = F.sum("rows").over(
-        Window.partitionBy(*group).orderBy(F.col("inside").asc_nulls_first())
+        .withColumn("bin", place.cast("long"))
+        .select(*group, "n", "bin", "value")
     )
     low_rank = F.floor((F.col("n") + 1) / 2)
     high_rank = F.floor((F.col("n") + 2) / 2)
 
-    def at(rank):
-        return F.min(F.when(F.col("upto") >= rank, F.col("inside")))
+    def at(rank, what):
+        return F.min(F.when(F.col("upto") >= rank, F.col(what)))
 
+    # at most BINS + 2 rows per group
+    in_order = Window.partitionBy(*group).orderBy("bin")
+    picked = (
+        binned.groupBy(*group, "n", "bin")
+        .agg(F.count("*").alias("rows"))
+        .withColumn("upto", F.sum("rows").over(in_order))
+        .withColumn("before", F.col("upto") - F.col("rows"))
+        .groupBy(*group)
+        .agg(at(low_rank, "bin").alias("low_bin"), at(high_rank, "bin").alias("high_bin"), at(low_rank, "before").alias("before"))
+        .select(*[F.col(k).alias(f"b_{k}") for k in group], "low_bin", "high_bin", "before")
+    )
+    picked = staged(picked, "bins")
+    by_value = Window.partitionBy(*group).orderBy("value")
     return (
-        counted.withColumn("upto", upto)
+        binned.join(picked, same_group)
+        .filter(F.col("bin").isin(F.col("low_bin"), F.col("high_bin")))
+        .groupBy(*group, "n", "before", "value")
+        .agg(F.count("*").alias("rows"))
+        .withColumn("upto", F.col("before") + F.sum("rows").over(by_value))
         .groupBy(*group)
-        .agg(((at(low_rank) + at(high_rank)) / 2).alias("median"))
+        .agg(((at(low_rank, "value") + at(high_rank, "value")) / 2).alias("median"))
     )
 
 

@@ -543,6 +543,47 @@ def marginal_effects(spark, d):
     return _report(predictions.marginal_effects(_degree_grid(spark, d), _degree_model(spark, d), "degree"), 5)
 
 
+def nb_multihot_model_cov(spark, d):
+    """Two models on one row per unit, with standard errors from the information alone."""
+    models = [model_suite.constraint_model("outcome_output", PLACES, crossed) for crossed in ("none", "key")]
+    fits = count_models.fit_models(_multihot(spark, d), models, covariance="model")
+    parts = [_coefficients(spark, fits[m.name], 4).withColumn("model", F.lit(m.name)) for m in models]
+    return parts[0].unionByName(parts[1])
+
+
+def _full_multihot(spark, d):
+    return count_models.fit(_multihot(spark, d), model_suite.main_model("outcome_output", PLACES))
+
+
+def predict_profile(spark, d):
+    """The full model along one predictor, the others at their means, with effects of that predictor.
+
+    Products are formed anew from the values of the grid.
+    """
+    fitted = _full_multihot(spark, d)
+    grid = predictions.profile_grid(
+        _moments(spark, d), PREDICTORS, "normalized_brokerage", predictions.arange_points(0.0, 1.0, 0.1)
+    )
+    grid = predictions.predict(grid, fitted, "predicted_log", "link")
+    grid = predictions.marginal_effects(grid, fitted, "normalized_brokerage")
+    return _report(
+        grid.select("women", "normalized_brokerage", "predicted_log", "expected_value", "marginal_effect", "marginal_effect_total"), 4
+    )
+
+
+def scenario_predictions(spark, d):
+    """The full model for combinations of two predictors."""
+    grid = predictions.scenario_grid(
+        _moments(spark, d), PREDICTORS, "normalized_brokerage", "constraint", predictions.CORNERS
+    )
+    return _report(predictions.predict(grid, _full_multihot(spark, d)).select("scenario", "women", "predicted"), 4)
+
+
+def predict_interval_response(spark, d):
+    """Prediction plus and minus ten standard errors."""
+    return _report(predictions.predict_interval(_degree_grid(spark, d), _degree_model(spark, d), 10.0, "response"), 4)
+
+
 def log_outcomes(spark, d):
     return _rounded(
         _analysis(spark, d).select(
@@ -592,6 +633,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         cross_affiliation, design_multihot, design_exploded, design_interactions, nb_by_group,
         nb_two_param, nb_full, nb_rate_full, nb_model_suite, grid_points, profile_grid, profile_grid_held,
         scenario_grid, predict_grid, predict_interval, marginal_effects, log_outcomes,
+        nb_multihot_model_cov, predict_profile, scenario_predictions, predict_interval_response,
         seeded_sample, density_histogram, density_curve,
     )
 }

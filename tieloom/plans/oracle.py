@@ -297,10 +297,11 @@ def _eliminate(start: str, size: int, name: str) -> list[str]:
     return ctes
 
 
-def _newton(models) -> str:
+def _newton(models, expected: bool = False) -> str:
     """Newton's method for several models at once, unrolled into common tables.
 
-    ``est`` holds the estimates, ``ll`` the log-likelihoods and ``se`` the robust standard errors.
+    ``est`` holds the estimates, ``ll`` the log-likelihoods and ``se`` the robust standard errors;
+    with ``expected``, ``plain`` holds the estimates with those of the expected information alone.
     """
     terms = []
     for model in models:
@@ -345,7 +346,10 @@ def _newton(models) -> str:
     last = NEWTON_STEPS
     ctes.append(at(last))
     ctes.append(
-        f"""inv_ AS MATERIALIZED (SELECT * FROM h{last} UNION ALL
+        f"""hx AS MATERIALIZED (SELECT l.model, l.j AS i, r.j AS j, sum(e.mu / (1 + e.mu) * l.x * r.x) AS v
+    FROM xs l JOIN xs r ON r.model = l.model AND r.rid = l.rid JOIN e{last} e ON e.model = l.model AND e.rid = l.rid
+    GROUP BY l.model, l.j, r.j),
+  inv_ AS MATERIALIZED (SELECT * FROM {"hx" if expected else f"h{last}"} UNION ALL
     SELECT l.model, l.j, {RIGHT} + o.j, CASE WHEN l.j = o.j THEN 1e0 ELSE 0e0 END FROM terms l JOIN terms o ON o.model = l.model)"""
     )
     ctes += _eliminate("inv_", size, "inv_")
@@ -359,6 +363,8 @@ def _newton(models) -> str:
   se AS MATERIALIZED (SELECT h.model, h.i AS j, sqrt(sum(h.v * a.v)) AS se FROM half h
     JOIN inverse a ON a.model = h.model AND a.i = h.j AND a.j = h.i GROUP BY h.model, h.i),
   ll AS (SELECT model, sum(y * ln(mu / (1 + mu)) - ln(1 + mu)) AS ll FROM e{last} GROUP BY model),
+  plain AS (SELECT n.model, n.j, n.b, sqrt(a.v) AS se, n.b / sqrt(a.v) AS z FROM nb{last} n
+    JOIN inverse a ON a.model = n.model AND a.i = n.j AND a.j = n.j),
   est AS MATERIALIZED (SELECT n.model, n.j, n.b, se.se, n.b / se.se AS z FROM nb{last} n JOIN se ON se.model = n.model AND se.j = n.j)"""
     )
     return ",\n".join(ctes)
@@ -376,6 +382,57 @@ def _full_model(outcome: str) -> str:
     )
 
 
+def _model_cov() -> str:
+    models = [model_suite.constraint_model("outcome_output", c.PLACES, crossed) for crossed in ("none", "key")]
+    names = ", ".join(f"('{m.name}', {j}, '{v}')" for m in models for j, v in enumerate(m.parameters))
+    return _with(
+        _multihot + ",\n" + _newton(models, expected=True),
+        f"""SELECT CAST(0 AS BIGINT) AS position, 'Log-Likelihood' AS variable, {r("ll", 4)} AS coefficient, NULL AS irr,
+          NULL AS std_error, NULL AS z, NULL AS p_value, model FROM ll
+        UNION ALL SELECT CAST(p.j + 1 AS BIGINT), name, {r("b", 4)}, {sig("exp(b)")}, {r("se", 4)}, {r("z", 4)}, {r(p_value("z"), 4)}, p.model
+        FROM plain p JOIN (VALUES {names}) n(model, k, name) ON n.model = p.model AND k = p.j""",
+    )
+
+
+def _full_predictions(grid: str, select: str) -> str:
+    """The full model over a grid with all predictors: ``eta``, and ``main`` and ``product`` of the
+    swept predictor."""
+    model = model_suite.main_model("outcome_output", c.PLACES)
+    values = ["1e0", *[q(t) if isinstance(t, str) else f"{q(t[0])} * {q(t[1])}" for t in model.terms]]
+    b = ", ".join(f"max(b) FILTER (j = {j}) AS b{j}" for j in range(len(values)))
+    main = model.parameters.index("normalized_brokerage")
+    product = model.parameters.index("women:normalized_brokerage")
+    return _with(
+        ",\n".join([_multihot, _newton([model]), MOMENTS.lstrip(), f"coef AS (SELECT {b} FROM est)", f"pg AS ({grid})"]),
+        f"SELECT {select} FROM (SELECT pg.*, b{main} AS main, b{product} AS product, "
+        + " + ".join(f"b{j} * {v}" for j, v in enumerate(values)) + " AS eta FROM pg, coef)",
+    )
+
+
+def _unrounded(fixed: dict[str, str]) -> str:
+    return ", ".join(f"{fixed.get(x, f'm.{q(x)}')} AS {q(x)}" for x in c.PREDICTORS)
+
+
+def _scenario_predictions() -> str:
+    values = ", ".join(f"({i + 1}, {a}, {b})" for i, (a, b) in enumerate(CORNERS))
+    columns = _unrounded(
+        {"women": "w.women", "normalized_brokerage": "m.normalized_brokerage + t.a * sd.nb", "constraint": 'm."constraint" + t.b * sd.co'}
+    )
+    return _full_predictions(
+        f"SELECT t.s AS scenario, {columns} FROM m, sd, (VALUES {values}) t(s, a, b), (VALUES (1), (0)) w(women)",
+        f"CAST(scenario AS BIGINT) AS scenario, CAST(women AS BIGINT) AS women, {r('exp(eta)', 4)} AS predicted",
+    )
+
+
+def _profile_predictions() -> str:
+    return _full_predictions(
+        f"SELECT {_unrounded({'women': 'w.women', 'normalized_brokerage': 'k * 0.1e0'})} FROM m, range(10) t(k), (VALUES (1), (0)) w(women)",
+        f"""CAST(women AS BIGINT) AS women, {r("normalized_brokerage", 4)} AS normalized_brokerage, {r("eta", 4)} AS predicted_log,
+        {r("exp(eta)", 4)} AS expected_value, {r("main * exp(eta)", 4)} AS marginal_effect,
+        {r("(main + product * women) * exp(eta)", 4)} AS marginal_effect_total""",
+    )
+
+
 def _suite() -> str:
     models = model_suite.nested_models("outcome_output", c.PLACES)
     variables = list(dict.fromkeys(v for m in models for v in m.parameters))
@@ -713,6 +770,9 @@ ORACLE: dict[str, str] = {
     "nb_full": _full_model("outcome_output"),
     "nb_rate_full": _full_model("rate_outcome"),
     "nb_model_suite": _suite(),
+    "nb_multihot_model_cov": _model_cov(),
+    "predict_profile": _profile_predictions(),
+    "scenario_predictions": _scenario_predictions(),
     "grid_points": _with(_multihot + "," + DEGREE_GRID, _grids()),
     "profile_grid": _with(
         _multihot + "," + MOMENTS,
@@ -747,6 +807,12 @@ ORACLE: dict[str, str] = {
         {r(f"exp(eta - {Z_95}e0 * se)", 5)} AS lower_bound, {r(f"exp(eta + {Z_95}e0 * se)", 5)} AS upper_bound
         FROM (SELECT women, degree, b0 + b1 * degree AS eta, sqrt(v00 + 2 * v01 * degree + v11 * degree * degree) AS se FROM grid, fit)""",
     ),
+    "predict_interval_response": _with(
+        _grid,
+        f"""SELECT CAST(women AS BIGINT) AS women, {r("degree", 4)} AS degree, {r("exp(eta)", 4)} AS predicted, {r("exp(eta) * se", 4)} AS std_error,
+        {r("exp(eta) - 10e0 * exp(eta) * se", 4)} AS lower_bound, {r("exp(eta) + 10e0 * exp(eta) * se", 4)} AS upper_bound
+        FROM (SELECT women, degree, b0 + b1 * degree AS eta, sqrt(v00 + 2 * v01 * degree + v11 * degree * degree) AS se FROM grid, fit)""",
+    ),
     "marginal_effects": _with(
         _grid,
         f"""SELECT CAST(women AS BIGINT) AS women, {r("degree", 5)} AS degree, {r("exp(b0 + b1 * degree)", 5)} AS expected_value,

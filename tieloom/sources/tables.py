@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tieloom.schemas import conform
-from tieloom.staging import fresh_path
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -50,17 +49,26 @@ def dedupe_by_key(df: DataFrame, keys: list[str], order: list[str] | None = None
 def compact(spark: SparkSession, path: str, keys: list[str], order: list[str] | None = None) -> None:
     """Rewrite an appended output with one row per key.
 
-    The result is complete in a staging folder before the old rows are replaced, so a job
-    that dies while overwriting loses nothing.
+    The result is written beside the output, as ``<path>.compacted``, and takes its place by two
+    renames. A job that dies on the way leaves a complete copy there: the next call finishes the
+    exchange before it does anything else.
     """
-    kept = fresh_path(spark, "compact")
-    dedupe_by_key(spark.read.parquet(path), keys, order).write.parquet(kept)
-    spark.read.parquet(kept).write.mode("overwrite").parquet(path)
+    here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    output, kept, old = (here(f"{path.rstrip('/')}{end}") for end in ("", ".compacted", ".replaced"))
+    files = output.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(output) and files.exists(kept):
+        files.rename(kept, output)
+    files.delete(kept, True)
+    files.delete(old, True)
+    dedupe_by_key(spark.read.parquet(path), keys, order).write.parquet(kept.toString())
+    files.rename(output, old)
+    files.rename(kept, output)
+    files.delete(old, True)
 
 
 def write_summary_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header, for tables of summary size."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """One CSV file with a header, for tables of summary size; only their rows meet in one task."""
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_summary_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tieloom.operators.batching import assign_batches
-from tieloom.operators.graph import annotated_edges, ego_edges
+from tieloom.operators.graph import annotated_edges
 from tieloom.operators.triads import constraint
 from tieloom.sources.tables import append_table, compact
 from tieloom.staging import staged
@@ -28,25 +28,24 @@ def pending(degrees: DataFrame, done: DataFrame | None, max_degree: int | None =
     return todo
 
 
-def constraint_of_batch(edges: DataFrame, egos: DataFrame) -> DataFrame:
-    """Constraint of some egos from their subgraph, which holds all ties that matter to them."""
-    subgraph = staged(ego_edges(edges, egos), "batch-subgraph")
-    return constraint(staged(annotated_edges(subgraph, egos), "batch-edges"))
-
-
 def run_batches(
     edges: DataFrame,
     todo: DataFrame,
     path: str,
     batches: int,
-    measure: Callable[[DataFrame, DataFrame], DataFrame] = constraint_of_batch,
+    measure: Callable[[DataFrame], DataFrame] = constraint,
     only: range | None = None,
 ) -> None:
-    """Compute ``measure`` batch by batch and append each result to ``path``."""
+    """Compute ``measure`` of the annotated edges batch by batch and append each result to ``path``.
+
+    The edges are annotated and written once, with the batch of their ends; a batch only sets
+    which ends count as egos.
+    """
     assigned = staged(assign_batches(todo.select("id"), "id", batches), "batches")
+    annotated = staged(annotated_edges(edges, assigned, ("batch",)), "annotated")
     for number in only if only is not None else range(batches):
-        egos = assigned.filter(F.col("batch") == number).select("id")
-        append_table(measure(edges, egos), path)
+        own = {f"{end}_is_ego": F.coalesce(F.col(f"{end}_batch") == number, F.lit(False)) for end in ("src", "dst")}
+        append_table(measure(annotated.withColumns(own).drop("src_batch", "dst_batch")), path)
 
 
 def finish(spark, path: str) -> None:
