@@ -20,7 +20,7 @@ def _stars(edges: DataFrame, larger_only: bool) -> DataFrame:
         out = tied.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = tied.select(F.inline(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))))
-    return out.where(F.col("a") != F.col("b")).distinct()
+    return out.where(F.col("a") != F.col("b"))
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -35,7 +35,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     )
     mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     for _ in range(most_rounds):
-        edges = staged(_stars(_stars(edges, True), False), "edges")
+        edges = staged(_stars(_stars(edges, True), False).distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("a").alias("doc"), F.col("b").alias("comp"))

@@ -11,8 +11,10 @@
    size, not its square. Pairs whose sizes alone rule a link out are left out, as are pairs that
    an earlier round compared. The others are confirmed on whole sets, a large star in chunks.
 4. In a bucket whose members are not all in one component yet, the centre, now compared with
-   every member outside its component, leaves, and the rest forms a new star. After some rounds
-   what is left is compared in full between components.
+   every member outside its component, leaves. The documents of such buckets, mostly far below the
+   threshold, are bucketed again by 512 random picks of twelve of the same bins: a pair at the
+   threshold still meets in 16 of them on average, one of half that similarity in hardly any. These
+   buckets propose stars for some rounds, and what is left is compared in full between components.
 5. Components of the confirmed links, by alternating stars.
 
 Null and empty texts have no shingles, are linked with nothing and stay. Rows with a null id
@@ -38,14 +40,17 @@ SHINGLE = 5
 PERCENT = 75
 BINS, ROWS = 384, 6
 CHUNK = 64
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 #: For each bin its own random order of bins, and the rank of every bin in it.
 _ORDER = np.random.default_rng(77).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
 _RANK = np.argsort(_ORDER, axis=1)
 _EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(55)) // np.uint64(3) << np.uint64(2)
 _BAND = mix(np.arange(1, BINS // ROWS + 1, dtype=np.uint64))
-_FACTORS = mix(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
+_FACTORS = mix(np.arange(101, 113, dtype=np.uint64)) | np.uint64(1)
+#: The second set of bands: random picks of bins.
+_PICKS = np.argsort(np.random.default_rng(78).random((512, BINS)), axis=1)[:, :12]
+_PICKED = mix(np.arange(1001, 1001 + len(_PICKS), dtype=np.uint64))
 
 
 def shingle_set(h: np.ndarray) -> np.ndarray:
@@ -77,7 +82,12 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def bucket_keys(s: np.ndarray) -> np.ndarray:
     """Bucket keys of a sorted set, one per band."""
-    return mix((signature(s).reshape(-1, ROWS) * _FACTORS).sum(axis=1) ^ _BAND)
+    return mix((signature(s).reshape(-1, ROWS) * _FACTORS[:ROWS]).sum(axis=1) ^ _BAND)
+
+
+def sharper_keys(s: np.ndarray) -> np.ndarray:
+    """Bucket keys of a sorted set, one per pick of bins."""
+    return mix((signature(s)[_PICKS] * _FACTORS).sum(axis=1) ^ _PICKED)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -154,48 +164,92 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"a {key}, b {key}")
 
 
+def sharper(texts: DataFrame) -> DataFrame:
+    """``doc, n, keys`` of packed texts (``doc, text``)."""
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for batch in slices(batches, 1, 1 << 20):
+            words = Words(pa.array([unpack.decompress(t).decode() for t in batch.column(1).to_pylist()], pa.large_string()))
+            h = words.hashes()
+            sets = [shingle_set(h[i:j]) for i, j in zip(words.first[:-1], words.first[1:], strict=True)]
+            keys = pa.array([sharper_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int32()), keys], ["doc", "n", "keys"])
+
+    return texts.mapInArrow(run, f"doc {texts.schema['doc'].dataType.simpleString()}, n int, keys array<bigint>")
+
+
+def _buckets(keyed: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` (``key, doc, n``) whose bucket has two members."""
+    shared = keyed.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
+    return staged(keyed.join(shared, "key"), "buckets")
+
+
+class _Search:
+    """Links found so far, their components, and the pairs compared."""
+
+    def __init__(self, texts: DataFrame):
+        self.texts, self.links, self.comp, self.tested = texts, None, None, None
+
+    def open(self, members: DataFrame) -> DataFrame:
+        """Members (``key, doc, n``) of buckets of several components, with their bucket's centre."""
+        if self.comp is None:
+            members = members.withColumn("comp", F.col("doc"))
+        else:
+            members = members.join(self.comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        centres = (
+            members.groupBy("key").agg(F.min(F.struct("doc", "comp", "n")).alias("centre"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            .where("lo < hi").select("key", F.col("centre.doc").alias("rep"), F.col("centre.comp").alias("rep_comp"), F.col("centre.n").alias("rep_n"))
+        )
+        return staged(members.join(centres, "key"), "open")
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Confirms the pairs (``rep, rep_n, doc, n``) that sizes allow and no round has compared."""
+        close = F.least("n", "rep_n") * 100 >= F.greatest("n", "rep_n") * PERCENT
+        pairs = pairs.where(close).select("rep", "doc").distinct()
+        pairs = staged(pairs if self.tested is None else pairs.join(self.tested, ["rep", "doc"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            return
+        self.tested = pairs if self.tested is None else self.tested.union(pairs)
+        found = staged(confirmed(pairs, self.texts), "links")
+        if not found.isEmpty():
+            self.links = found if self.links is None else self.links.union(found)
+            self.comp = components(self.links)
+
+    def stars(self, members: DataFrame, rounds: int) -> DataFrame | None:
+        """Compares centres with the others, round by round; what is still open, if anything."""
+        for _ in range(rounds):
+            found = self.open(members)
+            if found.isEmpty():
+                return None
+            self.compare(found.where("comp != rep_comp"))
+            members = found.where("doc != rep").select("key", "doc", "n")
+        found = self.open(members)
+        return None if found.isEmpty() else found
+
+
 def near_duplicates(docs: DataFrame, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id, text``)."""
     docs = docs.select("doc_id", "text")
     signed = staged(signatures(docs), "signatures")
     classes = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     spoken = signed.join(classes, ["set_id"]).where(F.col("doc_id") == F.col("rep"))
-    keyed = spoken.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"), F.col("n_shingles").cast("int").alias("n"))
-    shared = keyed.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
-    members = staged(keyed.join(shared, "key"), "buckets")
+    members = _buckets(spoken.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"), F.col("n_shingles").cast("int").alias("n")))
     texts = staged(packed_texts(docs).join(members.select("doc").distinct(), "doc", "left_semi"), "texts")
 
-    links, comp, tested = None, None, None
-    close = F.least("n", "rep_n") * 100 >= F.greatest("n", "rep_n") * PERCENT
-    for turn in range(star_rounds + 1):
-        if comp is not None:
-            members = members.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        else:
-            members = members.withColumn("comp", F.col("doc"))
-        open_buckets = (
-            members.groupBy("key").agg(F.min(F.struct("doc", "comp", "n")).alias("centre"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            .where("lo < hi").select("key", F.col("centre.doc").alias("rep"), F.col("centre.comp").alias("rep_comp"), F.col("centre.n").alias("rep_n"))
-        )
-        left = staged(members.join(open_buckets, "key"), "open")
-        if left.isEmpty():
-            break
-        if turn < star_rounds:
-            pairs = left.where(F.col("comp") != F.col("rep_comp"))
-        else:
-            other = left.select("key", F.col("doc").alias("rep"), F.col("comp").alias("rep_comp"), F.col("n").alias("rep_n"))
-            pairs = left.select("key", "doc", "comp", "n").join(other, "key").where("rep_comp != comp AND rep < doc")
-        pairs = pairs.where(close).select("rep", "doc").distinct()
-        pairs = staged(pairs if tested is None else pairs.join(tested, ["rep", "doc"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = staged(confirmed(pairs, texts), "links")
-        links = found if links is None else links.union(found)
-        comp = components(links)
-        members = left.where(F.col("doc") != F.col("rep")).select("key", "doc", "n")
+    search = _Search(texts)
+    left = search.stars(members, 1)
+    if left is not None:
+        again = sharper(texts.join(left.select("doc").distinct(), "doc", "left_semi"))
+        left = search.stars(_buckets(again.select(F.explode("keys").alias("key"), "doc", "n")), star_rounds)
+    if left is not None:
+        other = left.select("key", F.col("doc").alias("rep"), F.col("comp").alias("rep_comp"), F.col("n").alias("rep_n"))
+        search.compare(left.select("key", "doc", "comp", "n").join(other, "key").where("rep_comp != comp AND rep < doc"))
 
     out = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
-    if comp is None:
+    if search.comp is None:
         found = F.col("rep")
     else:
-        out, found = out.join(comp.withColumnRenamed("doc", "rep"), "rep", "left"), F.coalesce("comp", "rep")
+        out, found = out.join(search.comp.withColumnRenamed("doc", "rep"), "rep", "left"), F.coalesce("comp", "rep")
     component = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce(found, F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
