@@ -89,9 +89,8 @@ def test_near_duplicates_in_a_chain_and_a_large_star(spark):
     star = [" ".join(base[:50] + [f"x{i}"] + base[51:]) for i in range(150)]
     rows = list(enumerate(chain + star))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for rounds in (4, 0):  # 0: all pairs between components at once
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs, rounds).collect()}
-        assert got == brute.near_duplicates(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == brute.near_duplicates(rows)
 
 
 def test_near_duplicates_edge_rows(spark, empty):
@@ -116,6 +115,18 @@ def test_signature_agreement_estimates_similarity():
     assert len(set(near_dedup.signature(a[::1000]))) == 3
 
 
+def test_two_bits_keep_pairs_at_the_threshold():
+    rng = np.random.default_rng(3)
+    count = lambda x, y: sum(int(a ^ b | c ^ d).bit_count() for a, b, c, d in zip(x[:16], y[:16], x[16:], y[16:], strict=True))
+    for n in (4, 9, 30, 170, 2000):
+        for _ in range(60):
+            u = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
+            m = -(-3 * n // 4)
+            a, b = np.sort(u[: m + (n - m) // 2]), np.sort(np.concatenate([u[:m], u[m + (n - m) // 2 :]]))
+            x, y = near_dedup.two_bits(a).view(np.uint64), near_dedup.two_bits(b).view(np.uint64)
+            assert count(x, y) <= near_dedup._MAY_DIFFER and set(near_dedup.bucket_keys(a)) & set(near_dedup.bucket_keys(b))
+
+
 def test_substrings(docs, texts):
     want = brute.without_repeats(list(enumerate(texts)))
     rows = substring_dedup.remove_repeats(docs).collect()

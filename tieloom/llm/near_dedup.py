@@ -10,11 +10,12 @@
 3. Each bucket proposes a star: its least member with every other, so pairs grow with bucket
    size, not its square. Pairs whose sizes alone rule a link out are left out, as are pairs that
    an earlier round compared. The others are confirmed on whole sets, a large star in chunks.
-4. In a bucket whose members are not all in one component yet, the centre, now compared with
-   every member outside its component, leaves. The documents of such buckets, mostly far below the
-   threshold, are bucketed again by 512 random picks of twelve of the same bins: a pair at the
-   threshold still meets in 16 of them on average, one of half that similarity in hardly any. These
-   buckets propose stars for some rounds, and what is left is compared in full between components.
+4. What is left are buckets whose members are not all in one component: the centre has been
+   compared with every member, the others not with each other. Two of them are compared if they are
+   in different components, if their sizes and what each shares with the centre leave room for a
+   link (exact), and if two bits of each of 1,024 finer bins agree often enough: a pair at the threshold
+   falls 4.5 standard deviations short with a probability of 3 in a million. Each such pair comes from
+   the least bucket that it shares, so it is formed once.
 5. Components of the confirmed links, by alternating stars.
 
 Null and empty texts have no shingles, are linked with nothing and stay. Rows with a null id
@@ -40,17 +41,27 @@ SHINGLE = 5
 PERCENT = 75
 BINS, ROWS = 384, 6
 CHUNK = 64
-STAR_ROUNDS = 2
 
-#: For each bin its own random order of bins, and the rank of every bin in it.
-_ORDER = np.random.default_rng(77).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
-_RANK = np.argsort(_ORDER, axis=1)
-_EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(55)) // np.uint64(3) << np.uint64(2)
+
+class Bins:
+    """Equal ranges of hash values. ``order`` is for each bin its own random order of all bins."""
+
+    def __init__(self, count: int, seed: int):
+        self.count = count
+        self.order = np.random.default_rng(seed).permuted(np.tile(np.arange(count, dtype=np.int16), (count, 1)), axis=1)
+        self.rank = np.argsort(self.order, axis=1).astype(np.int16)
+        self.edges = np.array([(i << 64) // count for i in range(count)], np.uint64)
+
+
+BANDED = Bins(BINS, 77)
+#: Finer bins, to tell similarities apart by two bits of each.
+FINE = Bins(1024, 78)
 _BAND = mix(np.arange(1, BINS // ROWS + 1, dtype=np.uint64))
-_FACTORS = mix(np.arange(101, 113, dtype=np.uint64)) | np.uint64(1)
-#: The second set of bands: random picks of bins.
-_PICKS = np.argsort(np.random.default_rng(78).random((512, BINS)), axis=1)[:, :12]
-_PICKED = mix(np.arange(1001, 1001 + len(_PICKS), dtype=np.uint64))
+_FACTORS = mix(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
+_PREFIX = np.uint64(0xA5A5A5A55A5A5A5B)
+#: Most bins that may differ in their two bits: at the threshold 13/16 agree.
+_MAY_DIFFER = FINE.count - int(FINE.count * (13 / 16 - 4.5 * (13 / 16 * 3 / 16 / FINE.count) ** 0.5))
+_LONGS = FINE.count // 64
 
 
 def shingle_set(h: np.ndarray) -> np.ndarray:
@@ -60,20 +71,20 @@ def shingle_set(h: np.ndarray) -> np.ndarray:
     return np.unique(sequence_hashes(h, min(SHINGLE, len(h))))
 
 
-def signature(s: np.ndarray) -> np.ndarray:
+def signature(s: np.ndarray, bins: Bins = BANDED) -> np.ndarray:
     """Least hash per bin of a sorted set, empty bins filled by borrowing."""
-    at = np.searchsorted(s, _EDGES)
-    full = np.empty(BINS, bool)
+    at = np.searchsorted(s, bins.edges)
+    full = np.empty(bins.count, bool)
     full[:-1] = at[1:] > at[:-1]
     full[-1] = at[-1] < len(s)
     filled, empty = np.flatnonzero(full), np.flatnonzero(~full)
-    source = np.arange(BINS)
+    source = np.arange(bins.count)
     if len(filled) < 64:
-        source[empty] = filled[np.argmin(_RANK[np.ix_(empty, filled)], axis=1)]
+        source[empty] = filled[np.argmin(bins.rank[np.ix_(empty, filled)], axis=1)]
     else:
         turn = 0
         while len(empty):
-            found = _ORDER[empty, turn]
+            found = bins.order[empty, turn]
             known = full[found]
             source[empty[known]] = found[known]
             empty, turn = empty[~known], turn + 1
@@ -82,18 +93,18 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def bucket_keys(s: np.ndarray) -> np.ndarray:
     """Bucket keys of a sorted set, one per band."""
-    return mix((signature(s).reshape(-1, ROWS) * _FACTORS[:ROWS]).sum(axis=1) ^ _BAND)
+    return mix((signature(s).reshape(-1, ROWS) * _FACTORS).sum(axis=1) ^ _BAND)
 
 
-def sharper_keys(s: np.ndarray) -> np.ndarray:
-    """Bucket keys of a sorted set, one per pick of bins."""
-    return mix((signature(s)[_PICKS] * _FACTORS).sum(axis=1) ^ _PICKED)
+def two_bits(s: np.ndarray) -> np.ndarray:
+    """Two bits of each fine bin, packed: the first bits, then the second."""
+    bits = mix(signature(s, FINE) ^ _PREFIX)
+    return np.packbits(np.concatenate([bits & np.uint64(1), bits >> np.uint64(1) & np.uint64(1)]).astype(np.uint8)).view(np.int64)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets reach the threshold."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    return len(np.intersect1d(a, b, assume_unique=True))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -132,7 +143,8 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The ``pairs`` (``rep, doc``) that reach the threshold on whole sets, as ``a, b``.
+    """The ``pairs`` (``rep, doc``) with ``both``, the shingles that the whole sets share, and
+    ``linked``, whether that reaches the threshold.
 
     Pairs meet by centre. A star of many members is dealt out in chunks, each with a copy of the
     centre, which comes first in its chunk; a task holds one centre at a time.
@@ -147,7 +159,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         unpack = zstandard.ZstdDecompressor()
         current, centre = None, None
         for batch in slices(batches, 4, 1 << 20):
-            a, b = [], []
+            out = ([], [], [], [])
             texts = pa.array([unpack.decompress(t).decode() for t in batch.column(4).to_pylist()], pa.large_string())
             words = Words(texts)
             h = words.hashes()
@@ -155,17 +167,19 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 s = shingle_set(h[words.first[k] : words.first[k + 1]])
                 if side == 0:
                     current, centre = rep, s
-                elif rep == current and linked(centre, s):
-                    a.append(rep)
-                    b.append(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field(0).type), pa.array(b, batch.schema.field(0).type)], ["a", "b"])
+                elif rep == current:
+                    both = common(centre, s)
+                    for column, value in zip(out, (rep, doc, both, 100 * both >= PERCENT * (len(centre) + len(s) - both)), strict=True):
+                        column.append(value)
+            kinds = (batch.schema.field(0).type, batch.schema.field(3).type, pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["rep", "doc", "both", "linked"])
 
     key = pairs.schema["rep"].dataType.simpleString()
-    return rows.mapInArrow(run, f"a {key}, b {key}")
+    return rows.mapInArrow(run, f"rep {key}, doc {key}, both int, linked boolean")
 
 
-def sharper(texts: DataFrame) -> DataFrame:
-    """``doc, n, keys`` of packed texts (``doc, text``)."""
+def _bits(texts: DataFrame) -> DataFrame:
+    """``doc, bits, keys`` of packed texts (``doc, text``)."""
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -173,83 +187,83 @@ def sharper(texts: DataFrame) -> DataFrame:
             words = Words(pa.array([unpack.decompress(t).decode() for t in batch.column(1).to_pylist()], pa.large_string()))
             h = words.hashes()
             sets = [shingle_set(h[i:j]) for i, j in zip(words.first[:-1], words.first[1:], strict=True)]
-            keys = pa.array([sharper_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int32()), keys], ["doc", "n", "keys"])
-
-    return texts.mapInArrow(run, f"doc {texts.schema['doc'].dataType.simpleString()}, n int, keys array<bigint>")
-
-
-def _buckets(keyed: DataFrame) -> DataFrame:
-    """Rows of ``keyed`` (``key, doc, n``) whose bucket has two members."""
-    shared = keyed.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
-    return staged(keyed.join(shared, "key"), "buckets")
-
-
-class _Search:
-    """Links found so far, their components, and the pairs compared."""
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([two_bits(s) for s in sets], longs), pa.array([bucket_keys(s).view(np.int64) for s in sets], longs)], ["doc", "bits", "keys"]
+            )
 
-    def __init__(self, texts: DataFrame):
-        self.texts, self.links, self.comp, self.tested = texts, None, None, None
+    return texts.mapInArrow(run, f"doc {texts.schema['doc'].dataType.simpleString()}, bits array<bigint>, keys array<bigint>")
 
-    def open(self, members: DataFrame) -> DataFrame:
-        """Members (``key, doc, n``) of buckets of several components, with their bucket's centre."""
-        if self.comp is None:
-            members = members.withColumn("comp", F.col("doc"))
-        else:
-            members = members.join(self.comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        centres = (
-            members.groupBy("key").agg(F.min(F.struct("doc", "comp", "n")).alias("centre"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            .where("lo < hi").select("key", F.col("centre.doc").alias("rep"), F.col("centre.comp").alias("rep_comp"), F.col("centre.n").alias("rep_n"))
-        )
-        return staged(members.join(centres, "key"), "open")
 
-    def compare(self, pairs: DataFrame) -> None:
-        """Confirms the pairs (``rep, rep_n, doc, n``) that sizes allow and no round has compared."""
-        close = F.least("n", "rep_n") * 100 >= F.greatest("n", "rep_n") * PERCENT
-        pairs = pairs.where(close).select("rep", "doc").distinct()
-        pairs = staged(pairs if self.tested is None else pairs.join(self.tested, ["rep", "doc"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            return
-        self.tested = pairs if self.tested is None else self.tested.union(pairs)
-        found = staged(confirmed(pairs, self.texts), "links")
-        if not found.isEmpty():
-            self.links = found if self.links is None else self.links.union(found)
-            self.comp = components(self.links)
-
-    def stars(self, members: DataFrame, rounds: int) -> DataFrame | None:
-        """Compares centres with the others, round by round; what is still open, if anything."""
-        for _ in range(rounds):
-            found = self.open(members)
-            if found.isEmpty():
-                return None
-            self.compare(found.where("comp != rep_comp"))
-            members = found.where("doc != rep").select("key", "doc", "n")
-        found = self.open(members)
-        return None if found.isEmpty() else found
-
-
-def near_duplicates(docs: DataFrame, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def _open(members: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Members (``key, doc, n``) of buckets of several components, with their bucket's centre."""
+    if comp is None:
+        members = members.withColumn("comp", F.col("doc"))
+    else:
+        members = members.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    centres = (
+        members.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("centre"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        .where("lo < hi").select("key", F.col("centre.doc").alias("rep"), F.col("centre.n").alias("rep_n"))
+    )
+    return staged(members.join(centres, "key"), "open")
+
+
+def _possible(left: DataFrame, compared: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (``rep, doc``) of members of open buckets that may be linked; centres are done."""
+    left = left.where("doc != rep").join(compared.select("rep", "doc", "both"), ["rep", "doc"], "left")
+    left = left.join(_bits(texts.join(left.select("doc").distinct(), "doc", "left_semi")), "doc").drop("rep", "rep_n")
+    mine = left.select("key", *[F.col(c).alias(f"a_{c}") for c in ("doc", "comp", "n", "both", "bits", "keys")])
+    theirs = left.select("key", *[F.col(c).alias(f"b_{c}") for c in ("doc", "comp", "n", "both", "bits", "keys")])
+    a = {c: F.col(f"a_{c}") for c in ("doc", "comp", "n", "both", "bits", "keys")}
+    b = {c: F.col(f"b_{c}") for c in a}
+    smaller = F.least(a["n"], b["n"])
+    through_centre = F.least(a["both"], b["both"]) + F.least(a["n"] - a["both"], b["n"] - b["both"])
+    room = F.least(smaller, F.when(a["both"].isNotNull() & b["both"].isNotNull(), through_centre).otherwise(smaller))
+    differ = sum(
+        (
+            F.bit_count(
+                F.get(a["bits"], i).bitwiseXOR(F.get(b["bits"], i)).bitwiseOR(F.get(a["bits"], i + _LONGS).bitwiseXOR(F.get(b["bits"], i + _LONGS)))
+            )
+            for i in range(_LONGS)
+        ),
+        F.lit(0),
+    )
+    wanted = (
+        (a["doc"] < b["doc"]) & (a["comp"] != b["comp"]) & (100 * room >= PERCENT * (a["n"] + b["n"] - room)) & (differ <= _MAY_DIFFER)
+        & (mine["key"] == F.array_min(F.array_intersect(a["keys"], b["keys"])))
+    )
+    return mine.join(theirs, (mine["key"] == theirs["key"]) & wanted).select(a["doc"].alias("rep"), b["doc"].alias("doc"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id, text``)."""
     docs = docs.select("doc_id", "text")
     signed = staged(signatures(docs), "signatures")
     classes = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     spoken = signed.join(classes, ["set_id"]).where(F.col("doc_id") == F.col("rep"))
-    members = _buckets(spoken.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"), F.col("n_shingles").cast("int").alias("n")))
+    keyed = spoken.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"), F.col("n_shingles").cast("int").alias("n"))
+    shared = keyed.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
+    members = staged(keyed.join(shared, "key"), "buckets")
     texts = staged(packed_texts(docs).join(members.select("doc").distinct(), "doc", "left_semi"), "texts")
 
-    search = _Search(texts)
-    left = search.stars(members, 1)
-    if left is not None:
-        again = sharper(texts.join(left.select("doc").distinct(), "doc", "left_semi"))
-        left = search.stars(_buckets(again.select(F.explode("keys").alias("key"), "doc", "n")), star_rounds)
-    if left is not None:
-        other = left.select("key", F.col("doc").alias("rep"), F.col("comp").alias("rep_comp"), F.col("n").alias("rep_n"))
-        search.compare(left.select("key", "doc", "comp", "n").join(other, "key").where("rep_comp != comp AND rep < doc"))
+    comp = None
+    found = _open(members, None)
+    if not found.isEmpty():
+        close = F.least("n", "rep_n") * 100 >= F.greatest("n", "rep_n") * PERCENT
+        stars = staged(found.where("doc != rep").where(close).select("rep", "doc").distinct(), "pairs")
+        compared = staged(confirmed(stars, texts), "compared")
+        links = compared.where("linked").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+        comp = components(links)
+        left = _open(members, comp)
+        if not left.isEmpty():
+            rest = staged(_possible(left, compared, texts), "pairs")
+            more = staged(confirmed(rest, texts).where("linked"), "links")
+            if not more.isEmpty():
+                comp = components(links.union(more.select(F.col("rep").alias("a"), F.col("doc").alias("b"))))
 
     out = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
-    if search.comp is None:
-        found = F.col("rep")
-    else:
-        out, found = out.join(search.comp.withColumnRenamed("doc", "rep"), "rep", "left"), F.coalesce("comp", "rep")
-    component = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce(found, F.col("doc_id")))
+    component = F.col("rep")
+    if comp is not None:
+        out, component = out.join(comp.withColumnRenamed("doc", "rep"), "rep", "left"), F.coalesce("comp", "rep")
+    component = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce(component, F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
