@@ -58,7 +58,7 @@ BANDED = Bins(BINS, 77)
 FINE = Bins(1024, 78)
 _BAND = mix(np.arange(1, BINS // ROWS + 1, dtype=np.uint64))
 _FACTORS = mix(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
-_PREFIX = np.uint64(0xA5A5A5A55A5A5A5B)
+_FINE_KEYS = mix(np.arange(5001, 5001 + FINE.count, dtype=np.uint64))
 #: Most bins that may differ in their two bits: at the threshold 13/16 agree.
 _MAY_DIFFER = FINE.count - int(FINE.count * (13 / 16 - 4.5 * (13 / 16 * 3 / 16 / FINE.count) ** 0.5))
 _LONGS = FINE.count // 64
@@ -97,8 +97,11 @@ def bucket_keys(s: np.ndarray) -> np.ndarray:
 
 
 def two_bits(s: np.ndarray) -> np.ndarray:
-    """Two bits of each fine bin, packed: the first bits, then the second."""
-    bits = mix(signature(s, FINE) ^ _PREFIX)
+    """Two bits of each fine bin, packed: the first bits, then the second.
+
+    They depend on the bin too, so that a hash that fills many bins agrees by chance in each anew.
+    """
+    bits = mix(signature(s, FINE) ^ _FINE_KEYS)
     return np.packbits(np.concatenate([bits & np.uint64(1), bits >> np.uint64(1) & np.uint64(1)]).astype(np.uint8)).view(np.int64)
 
 
