@@ -41,6 +41,8 @@ SHINGLE = 5
 PERCENT = 75
 BINS, ROWS = 384, 6
 CHUNK = 64
+#: Sets below this size are compared whatever their bits: two hashes in one bin weigh too much in them.
+SMALL = 32
 
 
 class Bins:
@@ -232,7 +234,7 @@ def _possible(left: DataFrame, compared: DataFrame, texts: DataFrame) -> DataFra
         F.lit(0),
     )
     wanted = (
-        (a["doc"] < b["doc"]) & (a["comp"] != b["comp"]) & (100 * room >= PERCENT * (a["n"] + b["n"] - room)) & (differ <= _MAY_DIFFER)
+        (a["doc"] < b["doc"]) & (a["comp"] != b["comp"]) & (100 * room >= PERCENT * (a["n"] + b["n"] - room)) & ((smaller < SMALL) | (differ <= _MAY_DIFFER))
         & (mine["key"] == F.array_min(F.array_intersect(a["keys"], b["keys"])))
     )
     return mine.join(theirs, (mine["key"] == theirs["key"]) & wanted).select(a["doc"].alias("rep"), b["doc"].alias("doc"))
