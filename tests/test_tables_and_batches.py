@@ -1,10 +1,12 @@
+import os
+
 import pytest
 
 from tests import graphs
 from tieloom.operators import batching, graph, triads
 from tieloom.schemas import EDGES, conform
 from tieloom.sources import cooccurrence, tables
-from tieloom.staging import fresh_path
+from tieloom.staging import fresh_path, staged, staging
 from tieloom.streaming import resume
 from tieloom.sources.tables import rows_to_table
 
@@ -70,6 +72,24 @@ def test_compact_replaces_an_appended_output(spark):
     assert sorted(r.id for r in tables.read_table(spark, path).collect()) == list(range(10))
 
 
+def test_compact_finishes_what_a_dead_job_left(spark):
+    path = fresh_path(spark, "test-compact")
+    spark.range(5).write.parquet(f"{path}.compacted")  # the renames never came
+    tables.compact(spark, path, ["id"])
+    assert sorted(r.id for r in tables.read_table(spark, path).collect()) == list(range(5))
+
+
+def test_staged_tables_go_with_their_block(spark):
+    kept = staged(spark.range(2), "test-kept", keep=True)
+    with staging(spark):
+        table = staged(spark.range(3), "test-gone")
+        also = staged(spark.range(4), "test-kept", keep=True)
+        assert table.count() == 3
+        files = table.inputFiles()
+    assert kept.count() == 2 and also.count() == 4
+    assert not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in files)
+
+
 def test_batched_run_equals_one_run_and_resumes(spark):
     edges, ids = graphs.hub_network()
     table, egos = graphs.edge_table(spark, edges), graphs.vertex_table(spark, ids, set(range(0, 180, 6)))

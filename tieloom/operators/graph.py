@@ -131,17 +131,12 @@ def ego_subgraph(edges: DataFrame, egos: DataFrame) -> DataFrame:
 
 
 def neighbour_sets(edges: DataFrame, egos: DataFrame) -> DataFrame:
-    """Size and content summary of each ego's neighbour set, without collecting the set."""
+    """Size of each ego's neighbour set, without collecting the set."""
     return (
         bidirectional(edges)
         .join(egos.select(F.col("id").alias("src")), "src", "left_semi")
         .groupBy(F.col("src").alias("id"))
-        .agg(
-            F.count("*").alias("n_neighbours"),
-            F.min("dst").alias("first_neighbour"),
-            F.max("dst").alias("last_neighbour"),
-            F.sum("dst").alias("neighbour_id_sum"),
-        )
+        .agg(F.count("*").alias("n_neighbours"))
     )
 
 

@@ -57,7 +57,7 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataF
     """A table that several queries start from, written once per application."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
-        _written[key] = staged(build(), name)
+        _written[key] = staged(build(), name, keep=True)
     return _written[key]
 
 

@@ -661,8 +661,7 @@ ORACLE: dict[str, str] = {
     ),
     "neighbor_sets": _with(
         NETWORK,
-        """SELECT id, len(s) AS n_neighbours, list_min(s) AS first_neighbour, list_max(s) AS last_neighbour,
-        CAST(list_sum(s) AS BIGINT) AS neighbour_id_sum
+        """SELECT id, len(s) AS n_neighbours
         FROM (SELECT src AS id, list(DISTINCT dst) AS s FROM bi JOIN focals f ON f.id = src GROUP BY 1)""",
     ),
     "neighbor_pairs": _with(_net_triads, "SELECT id, count(*) AS pairs FROM pairs GROUP BY 1"),

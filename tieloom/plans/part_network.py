@@ -157,9 +157,9 @@ def load(spark: SparkSession, sf_dir: str) -> Network:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
         _written[key] = Network(
-            edges=conform(staged(edges(spark, sf_dir), "edges"), EDGES),
-            vertices=conform(staged(vertices(spark, sf_dir), "vertices"), VERTICES),
-            yearly=staged(yearly(spark, sf_dir), "yearly"),
-            rate=staged(rate(spark, sf_dir), "rate"),
+            edges=conform(staged(edges(spark, sf_dir), "edges", keep=True), EDGES),
+            vertices=conform(staged(vertices(spark, sf_dir), "vertices", keep=True), VERTICES),
+            yearly=staged(yearly(spark, sf_dir), "yearly", keep=True),
+            rate=staged(rate(spark, sf_dir), "rate", keep=True),
         )
     return _written[key]

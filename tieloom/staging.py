@@ -24,27 +24,35 @@ def staging_root(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/tieloom-{spark.sparkContext.applicationId}"
 
 
+_blocks: list[list[str]] = []
+
+
 @contextlib.contextmanager
-def staging(spark: SparkSession) -> Iterator[str]:
-    """Removes all tables staged by the session when the block ends, however it ends.
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables staged within the block when it ends, however it ends.
 
-    Results that read staged tables must have been written or collected by then.
+    Results that read them must have been written or collected by then. Tables staged with
+    ``keep`` stay.
     """
+    _blocks.append([])
     try:
-        yield staging_root(spark)
+        yield
     finally:
-        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging_root(spark))
-        root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+        for path in _blocks.pop():
+            table = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(table, True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once and return the written table."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if _blocks and not keep:
+        _blocks[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
