@@ -215,7 +215,10 @@ def _open(members: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 def _possible(left: DataFrame, compared: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (``rep, doc``) of members of open buckets that may be linked; centres are done."""
-    left = left.where("doc != rep").join(compared.select("rep", "doc", "both"), ["rep", "doc"], "left")
+    left = left.where("doc != rep")
+    # without its centre a bucket may be of one component
+    apart = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    left = staged(left.join(apart, "key").join(compared.select("rep", "doc", "both"), ["rep", "doc"], "left"), "apart")
     left = left.join(_bits(texts.join(left.select("doc").distinct(), "doc", "left_semi")), "doc").drop("rep", "rep_n")
     mine = left.select("key", *[F.col(c).alias(f"a_{c}") for c in ("doc", "comp", "n", "both", "bits", "keys")])
     theirs = left.select("key", *[F.col(c).alias(f"b_{c}") for c in ("doc", "comp", "n", "both", "bits", "keys")])
