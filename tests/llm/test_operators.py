@@ -407,3 +407,22 @@ def test_licenses(spark, empty):
     assert texts[0][got[0][0]["start"] : got[0][0]["end"]] == "Released under the MIT License." and got[0][0]["differences"] == []
     assert got[4][0]["differences"] == ["free of charge -> at no cost"] and got[5][0]["differences"] == ["3 -> 2"]
     assert license_scan.scan(empty).collect() == []
+
+
+NOTICES = {
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "MIT": "Released under the MIT License.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "reserved-alone": "All rights reserved.",
+}
+
+
+def test_licenses_of_test_table_against_a_plain_search(spark):
+    sf = "/root/testdata/sf0.01"
+    want = set()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        for name, notice in NOTICES.items():
+            at = (r["text"] or "").find(notice)
+            while at >= 0:
+                want.add((r["doc_id"], name, at))
+                at = r["text"].find(notice, at + 1)
+    got = [(r["doc_id"], r["license"], r["start"]) for r in queries.op1_licenses(spark, sf).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {x[1] for x in want} == set(NOTICES)

@@ -52,6 +52,7 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "reserved": "Copyright. All rights reserved.",
+    "reserved-alone": "All rights reserved.",
 }
 _TRIGGER = re.compile(r"licen[cs]e|copyright|rights reserved|redistribut|hereby granted|free software|creative commons", re.I)
 _SIGNS = ("icens", "icenc", "opyright", "ICENS", "ICENC", "OPYRIGHT", "eserved", "RESERVED", "edistribut", "EDISTRIBUT", "hereby granted", "HEREBY GRANTED", "ree software", "REE SOFTWARE", "reative", "REATIVE")
