@@ -426,3 +426,25 @@ def test_licenses_of_test_table_against_a_plain_search(spark):
                 at = r["text"].find(notice, at + 1)
     got = [(r["doc_id"], r["license"], r["start"]) for r in queries.op1_licenses(spark, sf).collect()]
     assert len(got) == len(set(got)) and set(got) == want and {x[1] for x in want} == set(NOTICES)
+
+
+def test_licenses_in_running_text():
+    """Each template between words that do not compress, with no line break, as it is and with changed wording."""
+    scanner, rng = license_scan.Scanner(license_scan.TEMPLATES), random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    for name, notice in license_scan.TEMPLATES.items():
+        before = prose(300) + ". "
+        text = before + notice + " " + prose(300)
+        (got,) = scanner.findings(text)
+        assert (got[0], got[1], got[4], got[5]) == (name, len(before), 1.0, []) and text[got[1] : got[2]] == notice.rstrip(":"), name
+        (again,) = scanner.findings(" ".join([before, notice.replace("\n", " ").upper(), prose(200)]))
+        assert again[0] == name
+    changed = {"GPL-3.0": ("3", "2"), "Apache-2.0-header": ("compliance", "accordance"), "MIT-text": ("free of charge", "at no cost"), "MIT": ("Released", "Distributed")}
+    for name, (old, new) in changed.items():
+        (got,) = scanner.findings(f"{prose(200)} {license_scan.TEMPLATES[name].replace(old, new)} {prose(200)}")
+        assert got[0] == name and got[5] == [f"{old.lower()} -> {new.lower()}"], got
+    saves_nothing = "shth the and thaning edst thingedan stble that worthless inghewh aerndtionre ththed ernt.\nAll rights reserved."
+    assert [f[0] for f in scanner.findings(saves_nothing)] == ["reserved-alone"]
+    close = "Mit-style: Released under the X-MIT License. Released under the MIT License. All rights reserved. Licensed under the Apache License, Version 2.0."
+    assert [f[0] for f in scanner.findings(close)] == ["MIT", "MIT", "reserved-alone", "Apache-2.0"]
+    assert not list(scanner.findings(f"the works were released {prose(40)} under {prose(30)} the rules of all {prose(9)} license rights {prose(9)} were reserved"))

@@ -1,11 +1,13 @@
 """License texts found by conditional compression.
 
-Candidate blocks are the paragraphs of a text that hold a trigger word; a paragraph much longer than
-the longest template is cut to windows around its triggers, as long as twice that template. A block
-is compressed alone and then with each template as raw dictionary: the more of it a template tells,
-the smaller it gets. Templates are ranked by that reduction, and the best are confirmed in turn by
-the exact differences of wording: the share of the template's words that the block has in order, and
-the words that it lacks, adds or changes.
+Candidate blocks are the words around each trigger word of a text, wherever lines break: for each
+template as many on either side as it has, and half as many more. A block is compressed alone and
+then with that template as raw dictionary: the more of it the template tells, the smaller it gets.
+Templates are ranked by that reduction, which decides between equals only, as a short notice at the
+end of a text may save nothing; those with too few words in the block to be confirmed are left out.
+All others are confirmed in turn by the exact differences of wording: the share of the template's
+words that the block has in order, and the words that it lacks, adds or changes. Of the confirmed,
+the one with most words less differences is the finding, and the search goes on behind it.
 
 Map-only; each text is searched whole. Null and empty texts have no findings, nor do texts without a
 trigger. Repeated rows give repeated findings; further columns are ignored; an empty table gives an
@@ -14,7 +16,9 @@ empty result.
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -57,39 +61,11 @@ TEMPLATES = {
 _TRIGGER = re.compile(r"licen[cs]e|copyright|rights reserved|redistribut|hereby granted|free software|creative commons", re.I)
 _SIGNS = ("icens", "icenc", "opyright", "ICENS", "ICENC", "OPYRIGHT", "eserved", "RESERVED", "edistribut", "EDISTRIBUT", "hereby granted", "HEREBY GRANTED", "ree software", "REE SOFTWARE", "reative", "REATIVE")
 _WORD = re.compile(r"[\w.\-/]+")
-LEAST_REDUCTION = 0.15
 LEAST_COVER = 0.8
-CONFIRMED = 3
 
 
-def blocks(text: str, longest: int) -> list[tuple[int, int]]:
-    """Candidate blocks of a text (code points): paragraphs with triggers, long ones cut to windows."""
-    out: list[tuple[int, int]] = []
-    for m in _TRIGGER.finditer(text):
-        if out and m.start() < out[-1][1]:
-            continue
-        start = text.rfind("\n", 0, m.start()) + 1
-        end = text.find("\n", m.end())
-        end = len(text) if end < 0 else end
-        # a notice broken over lines goes on until an empty line
-        while end < len(text) and end - start < 2 * longest:
-            following = text.find("\n", end + 1)
-            following = len(text) if following < 0 else following
-            if not text[end + 1 : following].strip() or not _continues(text[end + 1 : following]):
-                break
-            end = following
-        start, end = max(start, m.start() - longest), min(end, m.end() + longest)
-        out.append((max(start, out[-1][1]) if out else start, end))
-    return out
-
-
-_KNOWN_WORDS = frozenset(w.lower() for t in TEMPLATES.values() for w in _WORD.findall(t))
-
-
-def _continues(line: str) -> bool:
-    """Whether most words of a line are words of notices."""
-    words = _WORD.findall(line.lower())
-    return sum(w in _KNOWN_WORDS for w in words) > 0.6 * len(words)
+def _plain(word: str) -> str:
+    return word.lower().rstrip(".")
 
 
 class Scanner:
@@ -97,54 +73,78 @@ class Scanner:
 
     def __init__(self, templates: dict[str, str]):
         self.names = list(templates)
-        self.words = [[w.lower().rstrip(".") for w in _WORD.findall(t)] for t in templates.values()]
-        self.longest = max(map(len, templates.values()))
+        self.words = [[_plain(w) for w in _WORD.findall(t)] for t in templates.values()]
+        self.counts = [Counter(w) for w in self.words]
         self.plain = zstandard.ZstdCompressor(level=3)
         self.told = [
             zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             for t in templates.values()
         ]
 
-    def reductions(self, block: str) -> list[float]:
+    def reduction(self, block: str, k: int) -> float:
         data = " ".join(block.lower().split()).encode()
-        alone = len(self.plain.compress(data))
-        return [1 - len(c.compress(data)) / alone for c in self.told]
-
-    def confirm(self, block: str, k: int):
-        """Cover of template k, its place in the block, and the differences there."""
-        found = list(_WORD.finditer(block))
-        words = [m[0].lower().rstrip(".") for m in found]
-        runs = [r for r in SequenceMatcher(None, self.words[k], words, autojunk=False).get_matching_blocks() if r.size]
-        if not runs:
-            return 0.0, 0, 0, []
-        # as many words more as the template has before its first and after its last match
-        first = max(0, runs[0].b - runs[0].a)
-        last = min(len(words), runs[-1].b + len(self.words[k]) - runs[-1].a)
-        cover = sum(r.size for r in runs) / len(self.words[k])
-        steps = SequenceMatcher(None, self.words[k], words[first:last], autojunk=False).get_opcodes()
-        changes = [f"{' '.join(self.words[k][a:b])} -> {' '.join(words[first:last][c:d])}" for tag, a, b, c, d in steps if tag != "equal"]
-        return cover, found[first].start(), found[last - 1].end(), changes
+        return 1 - len(self.told[k].compress(data)) / len(self.plain.compress(data))
+
+    def confirm(self, text: str, found: list[re.Match], words: list[str], low: int, high: int, at: int, k: int):
+        """Cover of template k around word ``at``, within the words ``low`` to ``high``, with the
+        first and last word of its place and the differences there; None if it is elsewhere."""
+        template = self.words[k]
+        while low <= at < high:
+            runs = [r for r in SequenceMatcher(None, template, words[low:high], autojunk=False).get_matching_blocks() if r.size]
+            if not runs:
+                return None
+            # as many words more of the same line as the template has before its first and after its last match
+            first, last = low + runs[0].b, low + runs[-1].b + runs[-1].size
+            for _ in range(runs[0].a):
+                if first > low and "\n" not in text[found[first - 1].end() : found[first].start()]:
+                    first -= 1
+            for _ in range(len(template) - runs[-1].a - runs[-1].size):
+                if last < high and "\n" not in text[found[last - 1].end() : found[last].start()]:
+                    last += 1
+            if first <= at < last:
+                steps = SequenceMatcher(None, template, words[first:last], autojunk=False).get_opcodes()
+                changes = [f"{' '.join(template[a:b])} -> {' '.join(words[first:last][c:d])}" for tag, a, b, c, d in steps if tag != "equal"]
+                return sum(r.size for r in runs) / len(template), first, last, changes
+            # another notice nearby: look again on this side of it
+            longest = max(runs, key=lambda r: r.size)
+            if first > at:
+                high = low + longest.b
+            else:
+                low = low + longest.b + longest.size
+        return None
 
     def findings(self, text: str):
         if not any(s in text for s in _SIGNS):
             return
-        waiting = blocks(text, self.longest)
-        while waiting:
-            start, end = waiting.pop(0)
-            block = text[start:end]
-            ranked = sorted(enumerate(self.reductions(block)), key=lambda x: (-x[1], x[0]))
+        triggers = [m.start() for m in _TRIGGER.finditer(text)]
+        if not triggers:
+            return
+        found = list(_WORD.finditer(text))
+        words = [_plain(m[0]) for m in found]
+        starts = [m.start() for m in found]
+        done = 0
+        for trigger in triggers:
+            at = bisect.bisect_right(starts, trigger) - 1
+            if at < done:
+                continue
+            ranked = []
+            for k, template in enumerate(self.words):
+                reach = len(template) + max(4, len(template) // 2)
+                low, high = max(done, at - reach), min(len(words), at + reach + 1)
+                # words in common bound the cover
+                if (self.counts[k] & Counter(words[low:high])).total() >= LEAST_COVER * len(template):
+                    ranked.append((-self.reduction(text[starts[low] : found[high - 1].end()], k), k, low, high))
             best = None
-            for k, reduction in ranked[:CONFIRMED]:
-                if reduction < LEAST_REDUCTION:
-                    break
-                cover, a, b, changes = self.confirm(block, k)
-                if cover >= LEAST_COVER and (best is None or len(changes) < len(best[5])):
-                    best = (self.names[k], start + a, start + b, reduction, cover, changes)
+            for less, k, low, high in sorted(ranked):
+                confirmed = self.confirm(text, found, words, low, high, at, k)
+                if confirmed and confirmed[0] >= LEAST_COVER:
+                    cover, first, last, changes = confirmed
+                    told = cover * len(self.words[k]) - len(changes)
+                    if best is None or told > best[0]:
+                        best = (told, last, (self.names[k], starts[first], found[last - 1].end(), -less, cover, changes))
             if best:
-                yield best
-                # the rest of the block may hold another notice
-                rest = ((start, best[1]), (best[2], end))
-                waiting[:0] = [(a, b) for a, b in rest if b - a < end - start and _TRIGGER.search(text, a, b)]
+                yield best[2]
+                done = best[1]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
