@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm import brute
 from tieloom.llm import pii
@@ -34,3 +36,27 @@ def test_stages(spark, small_dir):
 
 def test_run_equals_the_stages(spark, small_dir):
     assert corpus_pipeline.run(spark, small_dir).columns == ["doc_id", "size", "source_size", "target", "taken"]
+
+
+def masked_plainly(text):
+    """The text with the base spans of the contract masked, overlapping ones as one; added kinds are left out."""
+    out, done = [], 0
+    for kind, start, end in sorted(brute.base_spans(text), key=lambda s: (s[1], -s[2])):
+        if start >= done:
+            out += [text[done:start], f"[{kind.upper()}]"]
+        done = max(done, end)
+    return "".join(out) + text[done:]
+
+
+def test_personal_data_is_masked_whatever_stands_nearby(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect() if brute.base_spans(r["text"])]
+    for word in pii.DOUBT:
+        rows += [(-1, f"{word} +1 (212) 555-0100 {word}"), (-2, f"{word} 10.0.0.255"), (-3, f"4111 1111 1111 1111 {word}"), (-4, f"a@b.cd, {word}")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.mask_personal_data(spark, docs.withColumn("n_chars", F.length("text")), "").collect())
+    original = dict(rows)
+    plain = [(d, t) for d, t in got if d >= 0 and all(s.kind in pii.BASE_KINDS for s in pii.spans_of(original[d]))]
+    assert len(plain) > 100 and all(t == masked_plainly(original[d]) for d, t in plain)
+    assert {t for d, t in got if d < 0} == {masked_plainly(t) for d, t in rows if d < 0}
+    texts = dict(got)
+    assert "+1 (068) 555-2748" not in texts[2403] and "213.174.22.103" not in texts[3029]

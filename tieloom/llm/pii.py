@@ -148,18 +148,18 @@ def find_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 
 def masked(text: str | None, least: float = 0.5) -> str | None:
-    """The text with each span of at least that score replaced by its kind in brackets.
+    """The text with each span replaced by its kind in brackets: base kinds whatever their score,
+    added ones from a score of ``least``, as in ``spans_of``.
 
     Overlapping spans count as one, named after the first.
     """
     if text is None:
         return None
     out, done = [], 0
-    for s in sorted(spans_of(text), key=lambda s: (s.start, -s.end)):
-        if s.score >= least:
-            if s.start >= done:
-                out += [text[done : s.start], f"[{s.kind.upper()}]"]
-            done = max(done, s.end)
+    for s in sorted(spans_of(text, least=least), key=lambda s: (s.start, -s.end)):
+        if s.start >= done:
+            out += [text[done : s.start], f"[{s.kind.upper()}]"]
+        done = max(done, s.end)
     return "".join(out) + text[done:]
 
 
