@@ -448,3 +448,26 @@ def test_licenses_in_running_text():
     close = "Mit-style: Released under the X-MIT License. Released under the MIT License. All rights reserved. Licensed under the Apache License, Version 2.0."
     assert [f[0] for f in scanner.findings(close)] == ["MIT", "MIT", "reserved-alone", "Apache-2.0"]
     assert not list(scanner.findings(f"the works were released {prose(40)} under {prose(30)} the rules of all {prose(9)} license rights {prose(9)} were reserved"))
+
+
+def test_nearest_groups_are_bounded_on_both_sides(spark, monkeypatch):
+    """Each group gets a chunk of the queries, and small blocks and chunks give the neighbours of a plain search."""
+    plain = nearest._ranked
+
+    def watched(queries_, query_ids, x, ids, k):
+        if max(len(query_ids), len(ids)) > 100:
+            raise ValueError(f"{len(query_ids)} queries meet {len(ids)} vectors")
+        return plain(queries_, query_ids, x, ids, k)
+
+    monkeypatch.setattr(nearest, "_ranked", watched)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 8)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    rows = nearest.search(vectors, F.col("id") % 3 == 0, k=5, parts=2, probes=2, block_rows=50, query_chunk=20).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in range(0, 600, 3):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        assert got[q] == np.lexsort((np.arange(600), d))[:5].tolist()

@@ -7,8 +7,11 @@ A small network learns from the vectors in which parts their neighbours lie.
 
 Index and search: the network names the most probable part of every vector and the several most
 probable parts of each query. Parts are split into blocks by a hash of the id, so a part that holds
-a third of all vectors is many blocks. Each block ranks its own vectors for the queries sent to it,
-by exact Euclidean distance in double precision; the best of all blocks are the answer.
+a third of all vectors is many blocks, and the queries of a part into chunks likewise. Each block
+meets each chunk of its part in a group of its own and ranks its vectors for those queries, by exact
+Euclidean distance in double precision; the best of all blocks are the answer. Blocks and chunks are
+as many rows as twice the root of the number of vectors (``block_rows`` and ``query_chunk`` at
+least): both are sent as often as the other side has pieces, so this keeps copies and groups small.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of
 another length than the commonest (the shorter, if tied). Null ids take no part. Equal vectors go to
@@ -193,9 +196,26 @@ def _ranked(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.n
     return [np.concatenate(c) if c else np.zeros(0) for c in out]
 
 
+def _pieces(routes: DataFrame, most: int, name: str) -> DataFrame:
+    """Per part the number of pieces of about ``most`` rows."""
+    return routes.groupBy("part").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+
+
+def grid(index: DataFrame, asked: DataFrame, pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vectors and queries (``part, id, v``) with ``block`` and ``chunk``: each vector once for each
+    chunk of its part, each query once for each block of the part."""
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    return (
+        index.join(pieces, "part").select("part", own("blocks").alias("block"), every("chunks").alias("chunk"), "id", "v"),
+        asked.join(pieces, "part").select("part", every("blocks").alias("block"), own("chunks").alias("chunk"), "id", "v"),
+    )
+
+
 def search(
     vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding",
     parts: int = PARTS, probes: int = PROBES, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS,
+    query_chunk: int = QUERY_CHUNK,
 ) -> DataFrame:
     """``query_id, rank, <id_column>, score``: for each row that ``is_query`` (a Column of ``id``)
     marks, its ``k`` nearest found among all other rows."""
@@ -205,14 +225,12 @@ def search(
     vectors = vectors.where(F.size("v") == (length["n"] if length else 0))
     router = fit_router(vectors, parts, sample_rows)
     index = staged(routed(vectors, router, 1), "index")
-    sizes = index.groupBy("part").agg(F.count("*").alias("rows"))
-    block = max(block_rows, 2 * int((length["count"] if length else 0) ** 0.5))
-    blocks = F.broadcast(sizes.select("part", F.ceil(F.col("rows") / block).cast("int").alias("blocks")))  # one row per part
-    rows = index.join(blocks, "part").select("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "v")
-    asked = (
-        routed(vectors.where(is_query), router, probes).join(blocks, "part")
-        .select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v")
-    )
+    asked = staged(routed(vectors.where(is_query), router, probes), "asked")
+    least = 2 * int((length["count"] if length else 0) ** 0.5)
+    pieces = F.broadcast(  # one row per part
+        _pieces(index, max(block_rows, least), "blocks").join(_pieces(asked, max(query_chunk, least), "chunks"), "part")
+    )
+    rows, asked = grid(index, asked, pieces)
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
@@ -222,6 +240,7 @@ def search(
             )
         return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "id", "score"])
 
-    candidates = rows.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInArrow(best, "query_id bigint, id bigint, score double")
+    key = ("part", "block", "chunk")
+    candidates = rows.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(best, "query_id bigint, id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id")).cast("int")
     return candidates.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "score")
