@@ -471,3 +471,10 @@ def test_nearest_groups_are_bounded_on_both_sides(spark, monkeypatch):
         d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
         d[q] = np.inf
         assert got[q] == np.lexsort((np.arange(600), d))[:5].tolist()
+
+
+def test_sketches_are_loss_free_up_to_59_shingles(spark):
+    sizes = [1, 4, 20, 58, 59, 60, 200]
+    items = spark.createDataFrame([(n, 5, list(range(n))) for n in sizes], "item_id bigint, words int, shingles array<bigint>")
+    got = {r["item_id"]: (r["count"], n - r["needs"]) for r in decontamination.sketches(items).groupBy("item_id", "needs").count().collect() for n in [r["item_id"]]}
+    assert [n for n in sizes if got[n][0] > got[n][1]] == [1, 4, 20, 58, 59] and got[60] == (15, 15)

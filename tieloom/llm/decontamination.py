@@ -2,11 +2,11 @@
 
 Which test items lie, whole or nearly, inside which documents? The share of an item's shingles
 that a document holds is the containment; a document may be a thousand times longer, so the
-sketch is taken from the item. Items are partitioned by their number of shingles into classes of
-powers of two. An item's sketch is its least shingle hashes, each of which lies in a document
-with the containment as probability; a class has as many as make a miss at the threshold rarer
-than ``miss``. Where that reaches the number of shingles that may be missing, plus one, no miss is
-possible; with the defaults this holds for items of up to 60 shingles. Documents shorter
+sketch is taken from the item: its least shingle hashes, each of which lies in a document with the
+containment as probability, as many as make a miss at the threshold rarer than ``miss``. Where that
+reaches the number of shingles that may be missing, plus one, no miss is possible; with the defaults
+this holds for items of up to 59 shingles. Items are not partitioned by size: the same number of
+hashes serves every size, and the size class in ``sketches`` is for information. Documents shorter
 than the shingles that an item needs are not probed for it. Candidates are verified by exact containment
 of all shingles.
 
