@@ -478,3 +478,17 @@ def test_sketches_are_loss_free_up_to_59_shingles(spark):
     items = spark.createDataFrame([(n, 5, list(range(n))) for n in sizes], "item_id bigint, words int, shingles array<bigint>")
     got = {r["item_id"]: (r["count"], n - r["needs"]) for r in decontamination.sketches(items).groupBy("item_id", "needs").count().collect() for n in [r["item_id"]]}
     assert [n for n in sizes if got[n][0] > got[n][1]] == [1, 4, 20, 58, 59] and got[60] == (15, 15)
+
+
+def test_groups_of_least_hashes_grow_with_the_text(spark, docs, texts, monkeypatch):
+    plain, groups = substring_dedup._least_hash_blobs, []
+
+    def watched(single, buckets, n):
+        groups.append(n)
+        return plain(single, buckets, n)
+
+    monkeypatch.setattr(substring_dedup, "_least_hash_blobs", watched)
+    monkeypatch.setattr(substring_dedup, "HASH_GROUP_BYTES", 1 << 11, raising=False)
+    got = {r["doc_id"]: (r["n_words"], sum(s["end"] - s["start"] for s in r["removed"])) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert groups[0] >= sum(len((t or "").encode()) for t in texts) // (1 << 11) > 4 * 4
+    assert got == {d: x[:2] for d, x in brute.without_repeats(list(enumerate(texts))).items()}

@@ -47,6 +47,8 @@ RUN = 7
 HEAD = 3
 #: Text per document bucket.
 BUCKET_BYTES = 4 << 20
+#: Text per group of least hashes, of which it has some 16 bytes for every fourth word.
+HASH_GROUP_BYTES = 16 << 20
 SAMPLE_DOCS = 2000
 
 
@@ -356,7 +358,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     total = digests.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(4 * partitions, total // BUCKET_BYTES)
     answers = (
-        _least_hash_blobs(single, buckets, 4 * partitions).groupBy("g")
+        _least_hash_blobs(single, buckets, max(4 * partitions, total // HASH_GROUP_BYTES)).groupBy("g")
         .applyInArrow(_repeated_hashes, "b int, v0 binary")
     )
     extend = long_prefixes(named, 1 / (8 * partitions))
