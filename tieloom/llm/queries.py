@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieloom.llm import chat_format, decontamination, language_model, license_scan, mixing, near_dedup, nearest, pii, substring_dedup, toxicity
+from tieloom.llm import chat_format, decontamination, language_id, language_model, license_scan, mixing, near_dedup, nearest, pii, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_languages(_table(spark, sf_dir, "documents"), _remainder(4) == 2)
+
+
 LLM_QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_nearest": op2_nearest,
@@ -87,6 +91,7 @@ LLM_QUERIES = {
     "op8_language_model": op8_language_model,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
+    "op11_language_id": op11_language_id,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
