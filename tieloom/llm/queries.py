@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieloom.llm import chat_format, decontamination, language_id, language_model, license_scan, mixing, near_dedup, nearest, pii, substring_dedup, toxicity
+from tieloom.llm import chat_format, conversation_repair, decontamination, language_id, language_model, license_scan, mixing, near_dedup, nearest, pii, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,11 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_languages(_table(spark, sf_dir, "documents"), _remainder(4) == 2)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    return conversation_repair.damage_and_repair(_table(spark, sf_dir, "conversations"), F.pmod(F.crc32(named.cast("binary")), F.lit(20)))
+
+
 LLM_QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_nearest": op2_nearest,
@@ -92,6 +97,7 @@ LLM_QUERIES = {
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
     "op11_language_id": op11_language_id,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
