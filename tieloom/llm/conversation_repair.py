@@ -195,7 +195,7 @@ def faults(rows: DataFrame) -> DataFrame:
     digest that occurs once take no part in the join that follows.
     """
     rows = rows.withColumn("ck", _id_key())
-    rows = placed(rows, "ck", "turn", "was_role", "was_text", "copy", name="turns").drop("was_role", "was_text", "copy")
+    rows = placed(rows, "ck", "turn", "was_role", "was_text", "copy", drop=("was_role", "was_text", "copy"), name="turns")
     same = F.sha2(F.concat(F.length("ck").cast("string"), F.lit(":"), F.col("ck"), F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")).cast("binary"), 256)
     rows = rows.withColumns(
         {

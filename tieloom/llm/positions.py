@@ -12,8 +12,8 @@ from tieloom.staging import staged
 SPACE = r"\x20\x09-\x0D"
 
 
-def placed(df: DataFrame, *order: Column | str, name: str = "placed") -> DataFrame:
-    """``df`` with ``at``: 0, 1, 2 ... in the given order, over all rows.
+def placed(df: DataFrame, *order: Column | str, drop: tuple[str, ...] = (), name: str = "placed") -> DataFrame:
+    """``df`` with ``at``: 0, 1, 2 ... in the given order, over all rows. ``drop`` names columns that only order.
 
     The rows are dealt into ranges, so a key of any size is cut into several, and written once with
     their number in their range; the driver adds up one count per range. Rows that are equal in
@@ -21,7 +21,8 @@ def placed(df: DataFrame, *order: Column | str, name: str = "placed") -> DataFra
     """
     ranged = staged(
         df.repartitionByRange(*order).sortWithinPartitions(*order)
-        .withColumns({"range_no": F.spark_partition_id(), "row_no": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}),
+        .withColumns({"range_no": F.spark_partition_id(), "row_no": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+        .drop(*drop),
         name,
     )
     before, offsets = 0, []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieloom.llm import chat_format, conversation_repair, decontamination, language_id, language_model, license_scan, mixing, near_dedup, nearest, pii, substring_dedup, toxicity
+from tieloom.llm import chat_format, conversation_repair, decontamination, language_id, language_model, license_scan, mixing, near_dedup, nearest, pii, prefix_trie, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.damage_and_repair(_table(spark, sf_dir, "conversations"), F.pmod(F.crc32(named.cast("binary")), F.lit(20)))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    borrowed = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(4))
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"), borrowed)
+
+
 LLM_QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_nearest": op2_nearest,
@@ -98,6 +103,7 @@ LLM_QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_language_id": op11_language_id,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
