@@ -151,5 +151,29 @@ SELECT doc_id, size, source_size, target,
        (CASE WHEN source_size > 0 THEN budget // source_size * size ELSE 0 END
         + greatest(0, least(size, CASE WHEN source_size > 0 THEN budget % source_size ELSE 0 END - before)))::BIGINT AS taken
 FROM placed
+""",
+    # crc32 a bit at a time: eight steps per byte, the first of which takes the byte in
+    "op13_prefix_trie": f"""
+WITH turns AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+taking AS (
+  SELECT conv_id, own, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) % 4 AS h FROM turns),
+rebuilt AS (
+  SELECT c.conv_id, coalesce(b.own[1:c.h], []) || c.own[c.h + 1:] AS s FROM taking c LEFT JOIN taking b ON b.conv_id = c.conv_id - c.conv_id % 20),
+prefixes AS (SELECT conv_id, len(s) AS n, d, s[1:d] AS p FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM rebuilt)),
+members AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '') AS ends
+  FROM prefixes GROUP BY p, d),
+kids AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS k FROM members WHERE d > 0 GROUP BY ALL),
+nodes AS (
+  SELECT m.*, coalesce(k, 0) AS n_children, CASE WHEN m.d > 0 THEN (n_convs - 1) * len(regexp_extract_all(m.p[m.d]['x'], '{_WORD}')) ELSE 0 END AS saved
+  FROM members m LEFT JOIN kids USING (p, d)),
+below AS (
+  SELECT p[1:a] AS p, a AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT p, n_children, saved, unnest(range(d + 1)) AS a FROM nodes) GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, b.saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN below b ON b.p = n.p AND b.d = n.d LEFT JOIN members u ON u.d = n.d - 1 AND u.p = n.p[1:n.d - 1]
 """,
 }
