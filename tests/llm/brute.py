@@ -91,7 +91,7 @@ def base_spans(text):
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
         out.append(("email", m.start(), m.end()))
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
-        if all(int(x) <= 255 for x in m[0].split(".")):
+        if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or "0") <= 255 for x in m[0].split(".")):
             out.append(("ip", m.start(), m.end()))
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         digits = re.sub(r"[^0-9]", "", m[0])

@@ -60,3 +60,10 @@ def test_personal_data_is_masked_whatever_stands_nearby(spark):
     assert {t for d, t in got if d < 0} == {masked_plainly(t) for d, t in rows if d < 0}
     texts = dict(got)
     assert "+1 (068) 555-2748" not in texts[2403] and "213.174.22.103" not in texts[3029]
+
+
+def test_masking_of_long_digit_runs(spark):
+    text = "1" * 5_000 + ".2.3.4 and 0" + "0" * 5_000 + "9.9.9.9"
+    docs = spark.createDataFrame([(1, text, len(text))], "doc_id bigint, text string, n_chars bigint")
+    row = corpus_pipeline.mask_personal_data(spark, docs, "").first()
+    assert row["text"] == masked_plainly(text) and row["n_chars"] == len(row["text"])

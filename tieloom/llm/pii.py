@@ -6,8 +6,6 @@ spans. Repeated rows give repeated results; other columns are not read.
 
 from __future__ import annotations
 
-import bisect
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -92,6 +90,12 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _octet(digits: str) -> bool:
+    """Whether a run of digits, of any length, is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def proposed(text: str) -> Iterator[tuple[str, int, int]]:
     """Confirmed spans in order of kind and start, without context."""
     if "@" in text:
@@ -101,7 +105,7 @@ def proposed(text: str) -> Iterator[tuple[str, int, int]]:
         return
     if "." in text:
         for m in _IP.finditer(text):
-            if all(int(part) <= 255 for part in m[0].split(".")):
+            if all(map(_octet, m[0].split("."))):
                 yield "ip", m.start(), m.end()
     for m in _CARD.finditer(text):
         if len(m[0]) >= 16 and 16 <= len(d := _digits(m[0])) <= 19 and luhn(d):
@@ -173,7 +177,3 @@ def redact(docs: DataFrame, text_column: str = "text", length_column: str | None
     mask = F.pandas_udf(masked_batch, "string", F.PandasUDFType.SCALAR)
     out = docs.withColumn(text_column, mask(F.col(f"`{text_column}`")))
     return out.withColumn(length_column, F.length(text_column).cast("long")) if length_column else out
-
-
-def digest_spans(items) -> str:
-    return ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in items)
