@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import math
 import random
@@ -93,6 +94,62 @@ def test_near_duplicates_in_a_chain_and_a_large_star(spark):
     assert got == brute.near_duplicates(rows)
 
 
+def test_near_duplicates_of_a_dense_group_without_links(spark):
+    """Texts between half and three quarters alike: buckets stay open, nothing is linked but two copies."""
+    rng = random.Random(8)
+    core = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(2_000):
+        w = list(core)
+        for at in rng.sample(range(120), 4):
+            w[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(w)))
+    rows += [(5_000, rows[1_000][1]), (5_001, rows[1_001][1] + " end")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    # brute force: how many shingles any two share, as a product of the matrix of those that several hold
+    sets = [brute.shingles(t) for _, t in rows]
+    held = collections.Counter(x for own in sets for x in own)
+    number = {x: k for k, x in enumerate(x for x, n in held.items() if n > 1)}
+    matrix = np.zeros((len(rows), len(number)), np.float32)
+    for k, own in enumerate(sets):
+        matrix[k, [number[x] for x in own if x in number]] = 1
+    both, sizes = matrix @ matrix.T, np.array([len(own) for own in sets])
+    close = np.argwhere(np.triu(100 * both >= 75 * (sizes[:, None] + sizes - both), 1))
+    links = [(rows[a][0], rows[b][0]) for a, b in close]
+    want = {i: i for i, _ in rows}
+    for i, j in links:  # few, found by brute force
+        low, high = sorted((want[i], want[j]))
+        want = {k: low if v == high else v for k, v in want.items()}
+    assert 2 <= len(links) < 200 and got == want
+
+
+def test_pairs_of_pieces_equal_plain_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 2**62, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 270, replace=False), rng.integers(1, 2**62, 30, dtype=np.uint64)])) for _ in range(40)]
+    key = int(near_dedup.bucket_keys(sets[0]).view(np.int64)[0])
+    rows = [(k % 2, k, k % 7, len(s), -1, near_dedup.two_bits(s), near_dedup.bucket_keys(s).view(np.int64)) for k, s in enumerate(sets)]
+    for _, _, _, _, _, _, bands in rows:
+        bands[0] = key
+    rows.sort(key=lambda r: r[:2])
+    found = [tuple(sorted((rows[x][1], rows[y][1]))) for x, y in near_dedup._pairs_of_pieces(rows, key)]
+    want = set()
+    for a in rows:
+        for b in rows:
+            differ = np.bitwise_count((x := a[5].view(np.uint64) ^ b[5].view(np.uint64))[:16] | x[16:]).sum()
+            if a[0] == 0 and b[0] == 1 and a[2] != b[2] and 4 * min(a[3], b[3]) >= 3 * max(a[3], b[3]) and differ <= near_dedup._MAY_DIFFER:
+                want.add((min(a[1], b[1]), max(a[1], b[1])))
+    assert want and set(found) == want and len(found) == len(want)
+
+
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(5, a), (5, b), (2, a + " more"), (7, b + " more"), (9, "alone and away"), (5, a), (5, None)]
+    got = sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(2, 2), (5, 2), (5, 2), (5, 2), (5, 5), (7, 2), (9, 9)]
+
+
 def test_near_duplicates_edge_rows(spark, empty):
     assert near_dedup.near_duplicates(empty).collect() == []
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None), (3, "")]
@@ -215,6 +272,15 @@ def test_pii(spark, empty):
     assert pii.find_spans(empty).collect() == []
 
 
+def test_pii_in_digit_runs_of_any_length(spark):
+    run = "1" * 5_000
+    texts = [f"{run}.2.3.4", f"{'0' * 5_000}.2.3.255", f"1.2.{run}.4 and 000255.1.1.1", ".".join([run] * 6), f"+{run}", f"4{run}", "256.1.1.1"]
+    rows = pii.find_spans(made_docs(spark, texts)).orderBy("doc_id").collect()
+    assert [[tuple(s)[:3] for s in r["spans"] if s["kind"] in pii.BASE_KINDS] for r in rows] == [brute.base_spans(t) for t in texts]
+    masked = [r["text"] for r in pii.redact(made_docs(spark, texts)).orderBy("doc_id").collect()]
+    assert masked[0] == texts[0] and masked[1] == "[IP]" and masked[2] == f"1.2.{run}.4 and [IP]"
+
+
 def test_pii_of_test_table(spark, small_dir):
     rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()}
     for r in queries.op9_pii(spark, small_dir).collect():

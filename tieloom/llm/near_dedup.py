@@ -11,15 +11,20 @@
    size, not its square. Pairs whose sizes alone rule a link out are left out, as are pairs that
    an earlier round compared. The others are confirmed on whole sets, a large star in chunks.
 4. What is left are buckets whose members are not all in one component: the centre has been
-   compared with every member, the others not with each other. Two of them are compared if they are
-   in different components, if their sizes and what each shares with the centre leave room for a
-   link (exact), and if two bits of each of 1,024 finer bins agree often enough: a pair at the threshold
-   falls 4.5 standard deviations short with a probability of 3 in a million. Each such pair comes from
-   the least bucket that it shares, so it is formed once.
-5. Components of the confirmed links, by alternating stars.
+   compared with every member, the others not with each other. Such a bucket is cut into pieces, and
+   pieces meet in pairs, each pair of pieces in a task of its own with the texts of both. Two documents are
+   compared if they are in different components, if their sizes and what each shares with the centre leave
+   room for a link (exact), and if two bits of each of 1,024 finer bins agree often enough: a pair at the
+   threshold falls 4.5 standard deviations short with a probability of 3 in a million. Pairs are a matrix in the
+   task, never rows, and are compared on whole sets where the first band that they share is. A task joins
+   the components that it links and leaves as many links as it takes to join them.
+5. Components of the confirmed links, by alternating stars. Their vertices are classes, numbered in
+   the order of their representatives.
 
 Null and empty texts have no shingles, are linked with nothing and stay. Rows with a null id
-come back with themselves as component (null) and are kept. Repeated rows give repeated results.
+come back with themselves as component (null) and are kept. Repeated rows give repeated results. Rows of one
+id with different texts are linked with each other: whatever is linked with one is reachable from all. Sets
+are compared by 64-bit hashes of their shingles, and are equal if 128-bit digests of these are.
 Further columns are ignored. An empty table gives an empty result.
 """
 
@@ -34,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tieloom.llm.components import components
+from tieloom.llm.positions import placed
 from tieloom.llm.words import Words, mix, sequence_hashes, slices
 from tieloom.staging import staged
 
@@ -41,6 +47,8 @@ SHINGLE = 5
 PERCENT = 75
 BINS, ROWS = 384, 6
 CHUNK = 64
+#: Documents, and shingles of all of them, of a piece of a bucket.
+PIECE, PIECE_SHINGLES = 512, 1 << 20
 #: Sets below this size are compared whatever their bits: two hashes in one bin weigh too much in them.
 SMALL = 32
 
@@ -112,39 +120,46 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, assume_unique=True))
 
 
+def text_digest(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, set_id, keys`` of ``docs`` (``doc_id, text``)."""
+    """``doc_id, n_shingles, set_id, text_id, keys`` of ``docs`` (``doc_id, text``)."""
 
     def run(batches):
         for batch in slices(batches, 1):
             words = Words(batch.column(1))
             h = words.hashes()
             n, ids, keys = [], [], []
+            own = [None if t is None else text_digest(t.encode()) for t in batch.column(1).to_pylist()]
             for i, j in zip(words.first[:-1], words.first[1:], strict=True):
                 s = shingle_set(h[i:j])
                 n.append(len(s))
                 ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 keys.append(bucket_keys(s).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_id", "keys"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(own, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_id", "text_id", "keys"],
             )
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n_shingles bigint, set_id binary, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n_shingles bigint, set_id binary, text_id binary, keys array<bigint>")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """``doc, text`` with texts compressed, for the tables that carry them through shuffles."""
+    """``doc_id, text_id, text`` with texts compressed, for the tables that carry them through shuffles."""
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches, 1):
-            texts = [pack.compress(t.encode()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["doc", "text"])
+            texts = [t.encode() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(map(text_digest, texts), pa.binary()), pa.array(map(pack.compress, texts), pa.binary())], ["doc_id", "text_id", "text"]
+            )
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(run, f"doc {key}, text binary")
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(run, f"doc_id {key}, text_id binary, text binary")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -183,21 +198,24 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"rep {key}, doc {key}, both int, linked boolean")
 
 
+def _set_of(packed: bytes) -> np.ndarray:
+    """Shingles of a packed text."""
+    return shingle_set(Words(pa.array([zstandard.ZstdDecompressor().decompress(packed).decode()], pa.large_string())).hashes())
+
+
 def _bits(texts: DataFrame) -> DataFrame:
-    """``doc, bits, keys`` of packed texts (``doc, text``)."""
+    """``doc, bits, keys, text`` of packed texts (``doc, text``); keys in the order of bands."""
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor()
         for batch in slices(batches, 1, 1 << 20):
-            words = Words(pa.array([unpack.decompress(t).decode() for t in batch.column(1).to_pylist()], pa.large_string()))
-            h = words.hashes()
-            sets = [shingle_set(h[i:j]) for i, j in zip(words.first[:-1], words.first[1:], strict=True)]
+            sets = [_set_of(t.as_py()) for t in batch.column(1)]
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([two_bits(s) for s in sets], longs), pa.array([bucket_keys(s).view(np.int64) for s in sets], longs)], ["doc", "bits", "keys"]
+                [batch.column(0), pa.array([two_bits(s) for s in sets], longs), pa.array([bucket_keys(s).view(np.int64) for s in sets], longs), batch.column(1)],
+                ["doc", "bits", "keys", "text"],
             )
 
-    return texts.mapInArrow(run, f"doc {texts.schema['doc'].dataType.simpleString()}, bits array<bigint>, keys array<bigint>")
+    return texts.mapInArrow(run, f"doc {texts.schema['doc'].dataType.simpleString()}, bits array<bigint>, keys array<bigint>, text binary")
 
 
 def _open(members: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -213,65 +231,165 @@ def _open(members: DataFrame, comp: DataFrame | None) -> DataFrame:
     return staged(members.join(centres, "key"), "open")
 
 
-def _possible(left: DataFrame, compared: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (``rep, doc``) of members of open buckets that may be linked; centres are done."""
+def _pairs_of_pieces(rows: list[tuple], key: int) -> np.ndarray:
+    """Pairs (places in ``rows``) between the two pieces of a cell, or within its only one, that may be linked."""
+    piece, doc, comp, n, both = (np.array([r[k] for r in rows], np.int64) for k in range(5))
+    bits = np.array([r[5] for r in rows], np.int64).view(np.uint64).reshape(len(rows), 2, _LONGS)
+    bands = np.array([r[6] for r in rows], np.int64)
+    found = [np.zeros((0, 2), np.int64)]
+    left = np.flatnonzero(piece == piece.min())
+    right = np.flatnonzero(piece == piece.max())
+    for start in range(0, len(left), 128):
+        a, b = left[start : start + 128, None], right[None, :]
+        smaller = np.minimum(n[a], n[b])
+        through = np.minimum(both[a], both[b]) + np.minimum(n[a] - both[a], n[b] - both[b])
+        room = np.where((both[a] >= 0) & (both[b] >= 0), np.minimum(smaller, through), smaller)
+        wanted = (comp[a] != comp[b]) & (100 * room >= PERCENT * (n[a] + n[b] - room))
+        if piece.min() == piece.max():
+            wanted &= doc[a] < doc[b]
+        i, j = np.nonzero(wanted)
+        i, j = a[i, 0], b[0, j]
+        for first in range(0, len(i), 1 << 14):
+            x, y = i[first : first + (1 << 14)], j[first : first + (1 << 14)]
+            apart = bits[x] ^ bits[y]
+            differ = np.bitwise_count(apart[:, 0] | apart[:, 1]).sum(axis=1, dtype=np.int64)
+            near = (np.minimum(n[x], n[y]) < SMALL) | (differ <= _MAY_DIFFER)
+            x, y = x[near], y[near]
+            shared = bands[x] == bands[y]
+            own = shared.any(axis=1) & (bands[x, shared.argmax(axis=1)] == key) if len(x) else np.zeros(0, bool)
+            found.append(np.stack([x[own], y[own]], axis=1))
+    return np.concatenate(found)
+
+
+def _links_of_pieces(rows: list[tuple], key: int) -> list[tuple[int, int]]:
+    """Links between documents of a cell, enough to join all components that its links join.
+
+    ``rows`` hold piece, document, component, size, what is shared with the centre (-1: not known), bits, bands
+    and packed text.
+    """
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := parent.get(c, c)) != c:
+            parent[c] = parent.get(up, up)
+            c = up
+        return c
+
+    sets: dict[int, np.ndarray] = {}
+
+    def set_at(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = _set_of(rows[k][7])
+        return sets[k]
+
+    out = []
+    for x, y in _pairs_of_pieces(rows, key).tolist():
+        a, b = root(rows[x][2]), root(rows[y][2])
+        if a == b:
+            continue
+        both = common(set_at(x), set_at(y))
+        if 100 * both >= PERCENT * (rows[x][3] + rows[y][3] - both):
+            parent[max(a, b)] = min(a, b)
+            out.append((rows[x][1], rows[y][1]))
+    return out
+
+
+def _open_links(left: DataFrame, compared: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (``a, b``) between members of open buckets; centres are done."""
     left = left.where("doc != rep")
     # without its centre a bucket may be of one component
-    apart = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    apart = (
+        left.groupBy("key")
+        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.greatest(F.ceil(F.count("*") / PIECE), F.ceil(F.sum("n") / PIECE_SHINGLES)).cast("int").alias("pieces"))
+        .where("lo < hi").drop("lo", "hi")
+    )
     left = staged(left.join(apart, "key").join(compared.select("rep", "doc", "both"), ["rep", "doc"], "left"), "apart")
-    left = left.join(_bits(texts.join(left.select("doc").distinct(), "doc", "left_semi")), "doc").drop("rep", "rep_n")
-    mine = left.select("key", *[F.col(c).alias(f"a_{c}") for c in ("doc", "comp", "n", "both", "bits", "keys")])
-    theirs = left.select("key", *[F.col(c).alias(f"b_{c}") for c in ("doc", "comp", "n", "both", "bits", "keys")])
-    a = {c: F.col(f"a_{c}") for c in ("doc", "comp", "n", "both", "bits", "keys")}
-    b = {c: F.col(f"b_{c}") for c in a}
-    smaller = F.least(a["n"], b["n"])
-    through_centre = F.least(a["both"], b["both"]) + F.least(a["n"] - a["both"], b["n"] - b["both"])
-    room = F.least(smaller, F.when(a["both"].isNotNull() & b["both"].isNotNull(), through_centre).otherwise(smaller))
-    differ = sum(
-        (
-            F.bit_count(
-                F.get(a["bits"], i).bitwiseXOR(F.get(b["bits"], i)).bitwiseOR(F.get(a["bits"], i + _LONGS).bitwiseXOR(F.get(b["bits"], i + _LONGS)))
-            )
-            for i in range(_LONGS)
-        ),
-        F.lit(0),
+    known = _bits(texts.join(left.select("doc").distinct(), "doc", "left_semi"))
+    piece = F.pmod(F.xxhash64("doc"), F.col("pieces")).cast("int")
+    other = F.sequence(F.lit(0), F.col("pieces") - 1)
+    cells = left.withColumn("piece", piece).select(
+        "key", "piece", "doc", "comp", "n", F.coalesce("both", F.lit(-1)).alias("both"), F.explode(F.transform(other, lambda o: F.struct(F.least(o, "piece").alias("i"), F.greatest(o, "piece").alias("j")))).alias("cell")
     )
-    wanted = (
-        (a["doc"] < b["doc"]) & (a["comp"] != b["comp"]) & (100 * room >= PERCENT * (a["n"] + b["n"] - room)) & ((smaller < SMALL) | (differ <= _MAY_DIFFER))
-        & (mine["key"] == F.array_min(F.array_intersect(a["keys"], b["keys"])))
-    )
-    return mine.join(theirs, (mine["key"] == theirs["key"]) & wanted).select(a["doc"].alias("rep"), b["doc"].alias("doc"))
+    columns = ["key", "cell.i", "cell.j", "piece", "doc", "comp", "n", "both", "bits", "keys", "text"]
+    rows = cells.join(known, "doc").select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "piece", "doc")
+
+    def run(batches):
+        current, held = None, []
+
+        def made():
+            if current is None or current[1] != current[2] and held[0][0] == held[-1][0]:
+                return None  # a cell of two pieces of which one is empty
+            links = _links_of_pieces(held, current[0])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"]) if links else None
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    if row[:3] != current:
+                        if (out := made()) is not None:
+                            yield out
+                        current, held = row[:3], []
+                    held.append((*row[3:8], np.array(row[8], np.int64), np.array(row[9], np.int64), row[10]))
+        if (out := made()) is not None:
+            yield out
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+def _classes(signed: DataFrame) -> DataFrame:
+    """``set_id, rep, text_id, cls``: classes of equal sets with the smallest id, one of its texts, and a number in
+    the order of these ids."""
+    least = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_id")).alias("least"))
+    named = least.select("set_id", F.col("least.doc_id").alias("rep"), F.col("least.text_id").alias("text_id"))
+    return staged(placed(named, "rep", "set_id", name="class_order").withColumnRenamed("at", "cls"), "classes")
+
+
+def _same_id(signed: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (``a, b``) between the classes of ids that stand on several different texts."""
+    found = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").select("doc_id")
+    several = staged(found, "several")
+    if several.isEmpty():
+        return None
+    own = signed.join(several, "doc_id").join(classes.select("set_id", "cls"), "set_id").select("doc_id", "cls").distinct()
+    return own.join(own.groupBy("doc_id").agg(F.min("cls").alias("first")), "doc_id").where("cls != first").select(F.col("first").alias("a"), F.col("cls").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id, text``)."""
     docs = docs.select("doc_id", "text")
     signed = staged(signatures(docs), "signatures")
-    classes = signed.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    spoken = signed.join(classes, ["set_id"]).where(F.col("doc_id") == F.col("rep"))
-    keyed = spoken.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"), F.col("n_shingles").cast("int").alias("n"))
+    classes = _classes(signed)
+    # below, a document stands for its class and has the number of that
+    spoken = signed.select("set_id", "n_shingles", "keys", "doc_id", "text_id").join(classes, ["set_id", "text_id"]).where(F.col("doc_id") == F.col("rep"))
+    keyed = spoken.select(F.explode("keys").alias("key"), F.col("cls").alias("doc"), F.col("n_shingles").cast("int").alias("n"))
     shared = keyed.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
-    members = staged(keyed.join(shared, "key"), "buckets")
-    texts = staged(packed_texts(docs).join(members.select("doc").distinct(), "doc", "left_semi"), "texts")
+    members = staged(keyed.join(shared, "key").distinct(), "buckets")
+    met = classes.join(members.select(F.col("doc").alias("cls")).distinct(), "cls", "left_semi").select(F.col("rep").alias("doc_id"), "text_id", F.col("cls").alias("doc"))
+    texts = packed_texts(docs).join(met, ["doc_id", "text_id"]).groupBy("doc_id", "text_id").agg(F.first("doc").alias("doc"), F.first("text").alias("text"))
+    texts = staged(texts.select("doc", "text"), "texts")
 
-    comp = None
+    links, comp = _same_id(signed, classes), None
     found = _open(members, None)
     if not found.isEmpty():
         close = F.least("n", "rep_n") * 100 >= F.greatest("n", "rep_n") * PERCENT
         stars = staged(found.where("doc != rep").where(close).select("rep", "doc").distinct(), "pairs")
         compared = staged(confirmed(stars, texts), "compared")
-        links = compared.where("linked").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+        near = compared.where("linked").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+        links = near if links is None else links.union(near)
         comp = components(links)
         left = _open(members, comp)
         if not left.isEmpty():
-            rest = staged(_possible(left, compared, texts), "pairs")
-            more = staged(confirmed(rest, texts).where("linked"), "links")
+            more = staged(_open_links(left, compared, texts), "links")
             if not more.isEmpty():
-                comp = components(links.union(more.select(F.col("rep").alias("a"), F.col("doc").alias("b"))))
+                # components so far are stars, so their edges stand for their links
+                comp = components(comp.select(F.col("comp").alias("a"), F.col("doc").alias("b")).union(more))
+    elif links is not None:
+        comp = components(links)
 
-    out = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
-    component = F.col("rep")
+    named = classes.select("set_id", "rep", "cls")
     if comp is not None:
-        out, component = out.join(comp.withColumnRenamed("doc", "rep"), "rep", "left"), F.coalesce("comp", "rep")
-    component = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce(component, F.col("doc_id")))
+        first = classes.select(F.col("cls").alias("comp"), F.col("rep").alias("comp_rep"))
+        named = named.join(comp.withColumnRenamed("doc", "cls").join(first, "comp"), "cls", "left").withColumn("rep", F.coalesce("comp_rep", "rep"))
+    out = signed.select("doc_id", "n_shingles", "set_id").join(named.select("set_id", "rep"), "set_id", "left")
+    component = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
