@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tests import graphs
-from tieloom.operators import graph, triads
+from tieloom.operators import graph, triads, triangles
 from tieloom.staging import staged
 
 
@@ -49,12 +49,12 @@ def test_canonical_edges(spark):
     assert rows == {(1, 2): 5, (2, 3): 1}
 
 
-@pytest.mark.parametrize("ties_per_piece", [50_000, 5])
-def test_hubs_against_plain_python(spark, ties_per_piece):
-    """Hubs that are split into pieces give the numbers of the definition."""
+@pytest.mark.parametrize("edges_per_cell", [1_000_000, 20])
+def test_hubs_against_plain_python(spark, edges_per_cell):
+    """Hubs with colours of their own give the numbers of the definition, in large cells and small ones."""
     edges, ids = graphs.hub_network()
     focal = {0, 1} | set(range(0, len(ids), 7))
-    m = measures(spark, edges, ids, focal, ties_per_piece=ties_per_piece)
+    m = measures(spark, edges, ids, focal, edges_per_cell=edges_per_cell)
     for ego in focal:
         assert m[ego].open_triads_count == graphs.open_pairs(edges, ego)
         assert m[ego].overall_constraint == pytest.approx(graphs.constraint(edges, ego), abs=5.1e-5)
@@ -82,3 +82,34 @@ def test_open_and_closed_pairs_add_up(spark, pairs):
     for ego in range(10):
         n = len(nb[ego])
         assert got[ego] == graphs.open_pairs(edges, ego) == n * (n - 1) // 2 - closed.get(ego, 0)
+
+
+@pytest.mark.parametrize("k", [2, 3, 7])
+def test_only_copies_of_edges_are_shuffled(spark, k):
+    """No more rows than 3 k per edge for k colours, hubs' own included, and every triangle in one cell."""
+    edges, ids = graphs.hub_network()
+    annotated = staged(graph.annotated_edges(graphs.edge_table(spark, edges), graphs.vertex_table(spark, ids)), "annotated")
+    turned = triangles.oriented(annotated)
+    cells = triangles.in_cells(turned, k, len(edges)).collect()
+    _, colours = triangles._coloured(turned, k, len(edges))
+    assert k <= colours <= 2 * k
+    assert len(cells) <= 3 * colours * len(edges)
+    if colours == k:
+        assert len(cells) <= 3 * k * len(edges)
+    sides = {}
+    for r in cells:
+        own = sides.setdefault(r.cell, {"ab": set(), "bc": set(), "ac": set()})
+        for name, pair in (("ab", (r.i, r.j)), ("bc", (r.j, r.l)), ("ac", (r.i, r.l))):
+            if (r.x, r.y) == pair:
+                own[name].add((r.low, r.high))
+    found = [(a, b, c) for own in sides.values() for a, b in own["ab"] for x, c in own["bc"] if x == b and (a, c) in own["ac"]]
+    nb = graphs.neighbours(edges)
+    want = {tuple(sorted((a, b, c))) for a, b, *_ in edges for c in set(nb[a]) & set(nb[b])}
+    assert len(found) == len(want) and {tuple(sorted(t)) for t in found} == want
+
+
+def test_no_exchange_carries_paths(spark):
+    edges, ids = graphs.hub_network()
+    annotated = staged(graph.annotated_edges(graphs.edge_table(spark, edges), graphs.vertex_table(spark, ids)), "annotated")
+    plan = triads.constraint(annotated)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("FlatMapGroupsInArrow") == 1

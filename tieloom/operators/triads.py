@@ -1,9 +1,7 @@
 """Open and closed triads of egos: brokerage, normalized brokerage, structural constraint.
 
-All measures come from the closed triads only. They are found by giving every edge a
-direction from the end of lower degree to the end of higher degree. A vertex then has at most
-``sqrt(2 * edges)`` outgoing edges, whatever its degree, and each triangle appears exactly
-once, as a path a -> b -> c that an edge a -> c closes.
+All measures come from the closed triads only, which ``triangles`` finds; pairs and paths are never
+written out.
 """
 
 from __future__ import annotations
@@ -11,62 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tieloom.functions.numeric import copies, every_piece, half_up, piece_of, ratio
+from tieloom.functions.numeric import half_up, ratio
 from tieloom.operators.graph import annotated_ties
-from tieloom.staging import spread
-
-TIES_PER_PIECE = 5_000
-
-NOTES = ("degree", "strength", "is_ego")
-
-
-def _oriented(annotated: DataFrame) -> DataFrame:
-    """Edges from ``low`` to ``high``, by degree and then by id, with the notes of both ends."""
-    low_is_src = "src_degree < dst_degree OR (src_degree = dst_degree AND src < dst)"
-    columns = ["weight"]
-    for n in ("", *(f"_{n}" for n in NOTES)):
-        columns.append(f"if(low_is_src, src{n}, dst{n}) AS low{n}")
-        columns.append(f"if(low_is_src, dst{n}, src{n}) AS high{n}")
-    return annotated.selectExpr("*", f"{low_is_src} AS low_is_src").selectExpr(*columns)
-
-
-def closed_triads(annotated: DataFrame, ties_per_piece: int = TIES_PER_PIECE) -> DataFrame:
-    """Triangles ``a, b, c`` with an ego among them, with the weights of the three ties.
-
-    The path join meets at b. A b of high degree can be the upper end of a large part of all
-    edges, so its incoming edges are spread over pieces and its few outgoing edges repeated
-    in each. The closing join is keyed by a pair, which has few paths on either side.
-
-    A tie without an ego only needs to go on to an ego. This is part of the join key, so the
-    other paths are not formed at all: ties to an ego are offered under both keys.
-    """
-    edges = _oriented(annotated)
-    first = edges.selectExpr(
-        "low AS a", "low_strength AS a_strength", "low_is_ego AS a_is_ego",
-        "high AS b", "high_strength AS b_strength", "high_is_ego AS b_is_ego",
-        "weight AS w_ab", "high_degree", "NOT (low_is_ego OR high_is_ego) AS ego_next",
-    ).withColumn("piece", piece_of(F.col("a"), copies(F.col("high_degree"), ties_per_piece)))
-    second = edges.selectExpr(
-        "low AS b", "high AS c", "high_strength AS c_strength", "high_is_ego AS c_is_ego",
-        "weight AS w_bc", "low_degree", "explode(if(high_is_ego, array(true, false), array(false))) AS ego_next",
-    ).withColumn("piece", every_piece(copies(F.col("low_degree"), ties_per_piece)))
-    closing = edges.selectExpr("low AS a", "high AS c", "weight AS w_ac")
-    paths = spread(first.drop("high_degree"), "b", "piece").join(
-        second.drop("low_degree"), ["b", "piece", "ego_next"]
-    )
-    return paths.join(closing, ["a", "c"]).drop("piece", "ego_next")
-
-
-def closed_pairs(annotated: DataFrame, ties_per_piece: int = TIES_PER_PIECE) -> DataFrame:
-    """Per ego, the number of neighbour pairs that are tied to each other."""
-    corners = ", ".join(f"struct({x} AS id, {x}_is_ego AS is_ego)" for x in "abc")
-    return (
-        closed_triads(annotated, ties_per_piece)
-        .selectExpr(f"inline(array({corners}))")
-        .filter("is_ego")
-        .groupBy("id")
-        .agg(F.count("*").alias("closed_pairs"))
-    )
+from tieloom.operators.triangles import EDGES_PER_CELL, closed_pairs, indirect_shares
 
 
 def _brokerage_columns(n: Column, closed: Column) -> list[Column]:
@@ -78,7 +23,7 @@ def _brokerage_columns(n: Column, closed: Column) -> list[Column]:
     ]
 
 
-def brokerage(annotated: DataFrame, egos: DataFrame, ties_per_piece: int = TIES_PER_PIECE) -> DataFrame:
+def brokerage(annotated: DataFrame, egos: DataFrame, edges_per_cell: int = EDGES_PER_CELL) -> DataFrame:
     """Open triads per ego and their share of all neighbour pairs; 0 for egos without a pair."""
     sizes = (
         annotated_ties(annotated, of_egos=True)
@@ -88,7 +33,7 @@ def brokerage(annotated: DataFrame, egos: DataFrame, ties_per_piece: int = TIES_
     return (
         egos.select("id")
         .join(sizes, "id", "left")
-        .join(closed_pairs(annotated, ties_per_piece), "id", "left")
+        .join(closed_pairs(annotated, edges_per_cell), "id", "left")
         .select("id", *_brokerage_columns(F.col("n"), F.coalesce("closed_pairs", F.lit(0))))
     )
 
@@ -102,7 +47,7 @@ def open_pairs(annotated: DataFrame, egos: DataFrame) -> DataFrame:
     )
 
 
-def _contacts(annotated: DataFrame, ties_per_piece: int) -> DataFrame:
+def _contacts(annotated: DataFrame, edges_per_cell: int) -> DataFrame:
     """Per ego and neighbour: direct plus indirect share of tie strength, and closed triads."""
     direct = (
         annotated_ties(annotated, ("strength",), weight=True, of_egos=True)
@@ -114,18 +59,7 @@ def _contacts(annotated: DataFrame, ties_per_piece: int) -> DataFrame:
         )
     )
 
-    def by_way_of(ego: str, q: str, alter: str) -> str:
-        out, onward = "w_" + "".join(sorted(ego + q)), "w_" + "".join(sorted(q + alter))
-        share = f"double({out}) / {ego}_strength * (double({onward}) / {q}_strength)"
-        return f"struct({ego}_is_ego AS is_ego, {ego} AS ego, {alter} AS alter, {share} AS share, 1L AS triads)"
-
-    roles = ["abc", "acb", "bac", "bca", "cab", "cba"]
-    indirect = (
-        closed_triads(annotated, ties_per_piece)
-        .selectExpr(f"inline(array({', '.join(by_way_of(*r) for r in roles)}))")
-        .filter("is_ego")
-        .drop("is_ego")
-    )
+    indirect = indirect_shares(annotated, edges_per_cell)
     return (
         direct.unionByName(indirect)
         .groupBy("ego", "alter")
@@ -133,23 +67,23 @@ def _contacts(annotated: DataFrame, ties_per_piece: int) -> DataFrame:
     )
 
 
-def constraint(annotated: DataFrame, ties_per_piece: int = TIES_PER_PIECE) -> DataFrame:
+def constraint(annotated: DataFrame, edges_per_cell: int = EDGES_PER_CELL) -> DataFrame:
     """Aggregate structural constraint per ego, to 4 decimals; egos without edges are absent."""
     return (
-        _contacts(annotated, ties_per_piece)
+        _contacts(annotated, edges_per_cell)
         .groupBy(F.col("ego").alias("id"))
         .agg(F.sum(F.col("share") * F.col("share")).alias("raw"))
         .select("id", half_up(F.col("raw"), 4).alias("overall_constraint"))
     )
 
 
-def triad_measures(annotated: DataFrame, egos: DataFrame, ties_per_piece: int = TIES_PER_PIECE) -> DataFrame:
+def triad_measures(annotated: DataFrame, egos: DataFrame, edges_per_cell: int = EDGES_PER_CELL) -> DataFrame:
     """Brokerage and constraint from one search for the closed triads.
 
     Each triad of an ego counts once for either neighbour, hence twice per ego.
     """
     per_ego = (
-        _contacts(annotated, ties_per_piece)
+        _contacts(annotated, edges_per_cell)
         .groupBy(F.col("ego").alias("id"))
         .agg(
             F.count("*").alias("n"),
