@@ -89,13 +89,10 @@ def test_only_copies_of_edges_are_shuffled(spark, k):
     """No more rows than 3 k per edge for k colours, hubs' own included, and every triangle in one cell."""
     edges, ids = graphs.hub_network()
     annotated = staged(graph.annotated_edges(graphs.edge_table(spark, edges), graphs.vertex_table(spark, ids)), "annotated")
-    turned = triangles.oriented(annotated)
-    cells = triangles.in_cells(turned, k, len(edges)).collect()
-    _, colours = triangles._coloured(turned, k, len(edges))
+    turned, colours = triangles._coloured(triangles.oriented(annotated), k, len(edges))
     assert k <= colours <= 2 * k
+    cells = triangles.in_cells(turned, k, colours).collect()
     assert len(cells) <= 3 * colours * len(edges)
-    if colours == k:
-        assert len(cells) <= 3 * k * len(edges)
     sides = {}
     for r in cells:
         own = sides.setdefault(r.cell, {"ab": set(), "bc": set(), "ac": set()})
@@ -112,4 +109,4 @@ def test_no_exchange_carries_paths(spark):
     edges, ids = graphs.hub_network()
     annotated = staged(graph.annotated_edges(graphs.edge_table(spark, edges), graphs.vertex_table(spark, ids)), "annotated")
     plan = triads.constraint(annotated)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan and plan.count("FlatMapGroupsInArrow") == 1
+    assert "Join" not in plan and plan.count("FlatMapGroupsInArrow") == 2  # blocks, then cells

@@ -1,15 +1,16 @@
 """Triangles of a network, found in the cells of a grid of colours.
 
 Every vertex has one of k colours, by hash. A triangle a, b, c, named by degree from low to high, lies in
-the cell of its three colours. An edge is sent to the cells in which it can be the side ab, bc or ac, fewer
-than 3 k of the k^3, so what is shuffled are copies of edges, never paths. Inside a cell the sorted lists of
-higher neighbours of a and of b are intersected for each side ab, and what the triangles add to a side or a
+the cell of its three colours. Edges are dealt once into blocks by the colours of their ends and packed there as sorted
+adjacency lists; a block is sent to the cells in which its edges can be the side ab, bc or ac, fewer than 3 k of
+the k^3. What is shuffled are copies of packed edges, never paths. Inside a cell the lists of higher
+neighbours of a and of b are intersected for each side ab, and what the triangles add to a side or a
 corner is summed up before it leaves.
 
 Edges point from the end of lower degree to the end of higher degree, so a vertex has at most
 ``sqrt(2 * edges)`` outgoing edges, whatever its degree. Vertices of a k-th of all edges have colours of their own. As
 they have the highest degrees, they stand at the upper end of a triangle, and other vertices meet them
-only there. The edges of such a vertex lie in the cells of its colour, a k-th of them in each.
+only there. The edges of such a vertex lie in the blocks of its colour, a k-th of them in each.
 """
 
 from __future__ import annotations
@@ -64,23 +65,76 @@ def _coloured(edges: DataFrame, k: int, count: int) -> tuple[DataFrame, int]:
     return edges, k + len(hubs)
 
 
-def in_cells(edges: DataFrame, k: int, count: int) -> DataFrame:
-    """Each of the ``oriented`` edges in every ``cell`` where it can be a side, with the colours of its ends and
-    ``i, j, l``, the colours of the cell."""
-    coloured, colours = _coloured(edges, k, count)
+class Block:
+    """Edges as adjacency lists: ``first[i]`` to ``first[i + 1]`` are the places of the edges of ``lows[i]``, sorted
+    by ``high``, which are places in ``highs``. Both lists of ids are sorted."""
+
+    ARRAYS = {"lows": np.int64, "highs": np.int64, "first": np.int64, "high": np.int32, "low_ego": np.bool_, "high_ego": np.bool_, "up": np.float64, "down": np.float64}
+
+    def __init__(self, **arrays: np.ndarray):
+        self.__dict__.update(arrays)
+
+    @classmethod
+    def of(cls, low, high, low_ego, high_ego, up, down) -> Block:
+        lows, low_at, low_place = np.unique(low, return_index=True, return_inverse=True)
+        highs, high_at, high_place = np.unique(high, return_index=True, return_inverse=True)
+        order = np.lexsort((high_place, low_place))
+        first = np.concatenate([[0], np.cumsum(np.bincount(low_place, minlength=len(lows)))])
+        return cls(
+            lows=lows, highs=highs, first=first, high=high_place[order].astype(np.int32), low_ego=low_ego[low_at], high_ego=high_ego[high_at], up=up[order], down=down[order]
+        )
+
+    def packed(self) -> dict[str, bytes]:
+        return {name: np.ascontiguousarray(getattr(self, name), kind).tobytes() for name, kind in self.ARRAYS.items()}
+
+    @classmethod
+    def unpacked(cls, row: dict) -> Block:
+        return cls(**{name: np.frombuffer(row[name], kind) for name, kind in cls.ARRAYS.items()})
+
+    @property
+    def low(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.lows)), np.diff(self.first))
+
+
+_PACKED = ", ".join(f"{name} binary" for name in Block.ARRAYS)
+
+
+def blocks(edges: DataFrame) -> DataFrame:
+    """``x, y`` and a packed ``Block`` of the coloured edges of these colours."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        columns = [table.column(c).to_numpy() for c in ("low", "high", "low_is_ego", "high_is_ego", "up_share", "down_share")]
+        made = Block.of(*columns).packed()
+        return pa.table({"x": table.column("x")[:1], "y": table.column("y")[:1], **{name: pa.array([data], pa.binary()) for name, data in made.items()}})
+
+    return edges.select("x", "y", "low", "high", "low_is_ego", "high_is_ego", "up_share", "down_share").groupBy("x", "y").applyInArrow(pack, f"x int, y int, {_PACKED}")
+
+
+def in_cells(packed: DataFrame, k: int, colours: int) -> DataFrame:
+    """Each row of ``packed`` (``x, y, ...``) in every ``cell`` where its edges can be a side, with ``i, j, l``, the
+    colours of the cell. The first ``k`` colours are those of vertices that share them."""
     every = F.sequence(F.lit(0), F.lit(colours - 1))
     cool, hot = F.slice(every, 1, k), F.slice(every, k + 1, max(1, colours - k))
     x, y = F.col("x"), F.col("y")
 
-    def cells(others, place):
-        return F.transform(others, lambda o: place(o.cast("long")))
+    def cells(others, i, j, l):  # noqa: E741
+        return F.transform(others, lambda o: (F.coalesce(i, o).cast("long") * colours + F.coalesce(j, o)) * colours + F.coalesce(l, o))
+
+    free = F.lit(None).cast("int")
+    as_ab = cells(F.when(y >= k, hot).otherwise(every), x, y, free)
+    as_bc = cells(F.when(x >= k, every).otherwise(cool), free, x, y)
+    as_ac = cells(F.when(x >= k, hot).when(y >= k, every).otherwise(cool), x, free, y)
+    placed = packed.withColumn("cell", F.explode(F.array_distinct(F.concat(as_ab, as_bc, as_ac))))
+    return placed.withColumns(
+        {"i": F.floor(F.col("cell") / (colours * colours)).cast("int"), "j": (F.floor(F.col("cell") / colours) % colours).cast("int"), "l": (F.col("cell") % colours).cast("int")}
+    )
 
-    number = lambda i, j, l: (i * colours + j) * colours + l
-    as_ab = cells(F.when(y >= k, hot).otherwise(every), lambda o: number(x, y, o))
-    as_bc = cells(F.when(x >= k, every).otherwise(cool), lambda o: number(o, x, y))
-    as_ac = cells(F.when(x >= k, hot).when(y >= k, every).otherwise(cool), lambda o: number(x, o, y))
-    placed = coloured.select("low", "high", "low_is_ego", "high_is_ego", "up_share", "down_share", "x", "y", F.explode(F.array_distinct(F.concat(as_ab, as_bc, as_ac))).alias("cell"))
-    return placed.withColumns({"i": F.floor(F.col("cell") / (colours * colours)), "j": F.floor(F.col("cell") / colours) % colours, "l": F.col("cell") % colours})
+
+def _places(of: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Where the sorted ids ``of`` stand in the sorted ids ``among``; -1 where they do not."""
+    found = np.searchsorted(among, of)
+    found[found == len(among)] = 0
+    return np.where(among[found] == of, found, -1)
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -89,51 +143,54 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
-def intersected(low: np.ndarray, high: np.ndarray, ab: np.ndarray, bc: np.ndarray, ac: np.ndarray):
-    """Triangles of edges ``low``, ``high`` (numbers from 0): places of their sides ab, bc and ac, a part at a time.
+def intersected(ab: Block, bc: Block, ac: Block):
+    """Triangles as places of edges in ``ab``, ``bc`` and ``ac``, a part at a time.
 
-    ``ab``, ``bc`` and ``ac`` are the places of edges that can be that side. For a side ab the shorter of the
-    two lists of higher neighbours is looked up in the longer.
+    For a side ab the shorter of the two lists of higher neighbours is looked up in the longer.
     """
-    size = int(max(low.max(initial=0), high.max(initial=0))) + 1
-    keys, places, first, counts = {}, {}, {}, {}
-    for name, side in (("bc", bc), ("ac", ac)):
-        code = low[side].astype(np.int64) * size + high[side]
-        order = np.argsort(code, kind="stable")
-        keys[name], places[name] = code[order], side[order]
-        first[name] = np.searchsorted(keys[name], np.arange(size + 1, dtype=np.int64) * size)
-        counts[name] = np.diff(first[name])
-    a, b = low[ab], high[ab]
-    from_b = counts["bc"][b] <= counts["ac"][a]
-    for chosen, own, own_end, other, other_end in ((from_b, "bc", b, "ac", a), (~from_b, "ac", a, "bc", b)):
-        sides = np.flatnonzero(chosen & (counts["bc"][b] > 0) & (counts["ac"][a] > 0))
-        lengths = counts[own][own_end[sides]]
-        total = np.cumsum(lengths)
+    size = len(ac.highs)
+    third = _places(bc.highs, ac.highs)[bc.high]
+    usable = np.flatnonzero(third >= 0)
+    bc_first = np.searchsorted(usable, bc.first)
+    lists = {"ac": (ac.first, np.arange(len(ac.high)), ac.high.astype(np.int64)), "bc": (bc_first, usable, third[usable])}
+    a, b = _places(ab.lows, ac.lows)[ab.low], _places(ab.highs, bc.lows)[ab.high]
+    sides = np.flatnonzero((a >= 0) & (b >= 0))
+    ends = {"ac": a[sides], "bc": b[sides]}
+    lengths = {name: np.diff(lists[name][0])[ends[name]] for name in lists}
+    some = (lengths["ac"] > 0) & (lengths["bc"] > 0)
+    from_b = lengths["bc"] <= lengths["ac"]
+    for own, other, chosen in (("bc", "ac", some & from_b), ("ac", "bc", some & ~from_b)):
+        first, place, c = lists[own]
+        other_first, other_place, other_c = lists[other]
+        keys = np.repeat(np.arange(len(other_first) - 1), np.diff(other_first)) * size + other_c
+        part = np.flatnonzero(chosen)
+        total = np.cumsum(lengths[own][part])
         at = 0
-        while at < len(sides):
+        while at < len(part):
             done = int(total[at - 1]) if at else 0
             to = max(at + 1, int(np.searchsorted(total, done + PAIRS_AT_A_TIME)))
-            part, n = sides[at:to], lengths[at:to]
-            mine = _ranges(first[own][own_end[part]], n)
-            side = np.repeat(part, n)
-            wanted = other_end[side].astype(np.int64) * size + high[places[own][mine]]
-            found = np.searchsorted(keys[other], wanted)
-            found[found == len(keys[other])] = 0
-            hit = keys[other][found] == wanted
-            one, two = places[own][mine[hit]], places[other][found[hit]]
-            yield ab[side[hit]], one if own == "bc" else two, two if own == "bc" else one
+            now = part[at:to]
+            n = lengths[own][now]
+            mine = _ranges(first[ends[own][now]], n)
+            side = np.repeat(now, n)
+            wanted = ends[other][side] * size + c[mine]
+            found = np.searchsorted(keys, wanted)
+            found[found == len(keys)] = 0
+            hit = keys[found] == wanted
+            one, two = place[mine[hit]], other_place[found[hit]]
+            yield sides[side[hit]], one if own == "bc" else two, two if own == "bc" else one
             at = to
 
 
-def _cell(table: pa.Table):
-    """Ends of the edges of a cell as numbers, their ids, and the triangles."""
-    columns = {name: table.column(name).combine_chunks() for name in table.column_names}
-    x, y, i, j, l = (columns[c].to_numpy(zero_copy_only=False) for c in ("x", "y", "i", "j", "l"))  # noqa: E741
-    both = pa.concat_arrays([columns["low"], columns["high"]]).dictionary_encode()
-    ends = both.indices.to_numpy()
-    low, high = ends[: len(x)], ends[len(x) :]
-    sides = [np.flatnonzero((x == p) & (y == q)) for p, q in ((i, j), (j, l), (i, l))]
-    return columns, low, high, intersected(low, high, *sides)
+def _sides(table: pa.Table) -> tuple[Block, Block, Block] | None:
+    """The blocks of a cell by side; none if one is missing."""
+    found = {}
+    for row in table.to_pylist():
+        found[row["x"], row["y"]] = row
+    i, j, l = row["i"], row["j"], row["l"]  # noqa: E741
+    if (i, j) not in found or (j, l) not in found or (i, l) not in found:
+        return None
+    return tuple(Block.unpacked(found[side]) for side in ((i, j), (j, l), (i, l)))
 
 
 def closed_pairs(annotated: DataFrame, edges_per_cell: int = EDGES_PER_CELL) -> DataFrame:
@@ -141,21 +198,21 @@ def closed_pairs(annotated: DataFrame, edges_per_cell: int = EDGES_PER_CELL) ->
     kind = annotated.schema["src"].dataType.simpleString()
 
     def count(table: pa.Table) -> pa.Table:
-        columns, low, high, triangles = _cell(table)
-        size = int(max(low.max(), high.max())) + 1
-        closed = np.zeros(size, np.int64)
-        for ab, bc, _ in triangles:
-            for corner in (low[ab], high[ab], high[bc]):
-                closed += np.bincount(corner, minlength=size)
-        ids, flag = np.concatenate([low, high]), np.concatenate([columns["low_is_ego"].to_numpy(zero_copy_only=False), columns["high_is_ego"].to_numpy(zero_copy_only=False)])
-        ego = np.zeros(size, bool)
-        ego[ids[flag]] = True
-        place = np.zeros(size, np.int64)
-        place[ids] = np.arange(len(ids))
-        keep = np.flatnonzero(ego & (closed > 0))
-        return pa.table({"id": pa.concat_arrays([columns["low"], columns["high"]]).take(pa.array(place[keep])), "n": pa.array(closed[keep])})
-
-    found = _grid(annotated, edges_per_cell, shares=False).groupBy("cell").applyInArrow(count, f"id {kind}, n long")
+        ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if (sides := _sides(table)) is not None:
+            ab, bc, _ = sides
+            closed = {"a": np.zeros(len(ab.lows), np.int64), "b": np.zeros(len(ab.highs), np.int64), "c": np.zeros(len(bc.highs), np.int64)}
+            low = ab.low
+            for one, two, _ in intersected(*sides):
+                for corner, place in (("a", low[one]), ("b", ab.high[one]), ("c", bc.high[two])):
+                    closed[corner] += np.bincount(place, minlength=len(closed[corner]))
+            for corner, names, ego in (("a", ab.lows, ab.low_ego), ("b", ab.highs, ab.high_ego), ("c", bc.highs, bc.high_ego)):
+                keep = ego & (closed[corner] > 0)
+                ids.append(names[keep])
+                counts.append(closed[corner][keep])
+        return pa.table({"id": np.concatenate(ids), "n": np.concatenate(counts)})
+
+    found = _grid(annotated, edges_per_cell).groupBy("cell").applyInArrow(count, f"id {kind}, n long")
     return found.groupBy("id").agg(F.sum("n").alias("closed_pairs"))
 
 
@@ -167,32 +224,39 @@ def indirect_shares(annotated: DataFrame, edges_per_cell: int = EDGES_PER_CELL)
     kind = annotated.schema["src"].dataType.simpleString()
 
     def collect(table: pa.Table) -> pa.Table:
-        columns, low, high, triangles = _cell(table)
-        up, down = (columns[c].to_numpy(zero_copy_only=False) for c in ("up_share", "down_share"))
-        n = len(low)
-        share, triads = {side: np.zeros(n) for side in ("up", "down")}, np.zeros(n, np.int64)
-        for ab, bc, ac in triangles:
-            for side, edge, way in (
-                ("up", ac, up[ab] * up[bc]), ("up", ab, up[ac] * down[bc]),  # from a
-                ("up", bc, down[ab] * up[ac]), ("down", ab, up[bc] * down[ac]),  # from b
-                ("down", bc, down[ac] * up[ab]), ("down", ac, down[bc] * down[ab]),  # from c
-            ):
-                share[side] += np.bincount(edge, weights=way, minlength=n)
-            for edge in (ab, bc, ac):
-                triads += np.bincount(edge, minlength=n)
         parts = []
-        for side, ego, alter in (("up", "low", "high"), ("down", "high", "low")):
-            keep = pa.array(np.flatnonzero((triads > 0) & columns[f"{ego}_is_ego"].to_numpy(zero_copy_only=False)))
-            parts.append(pa.table({"ego": columns[ego].take(keep), "alter": columns[alter].take(keep), "share": pa.array(share[side]).take(keep), "triads": pa.array(triads).take(keep)}))
-        return pa.concat_tables(parts)
-
-    return _grid(annotated, edges_per_cell, shares=True).groupBy("cell").applyInArrow(collect, f"ego {kind}, alter {kind}, share double, triads long")
-
-
-def _grid(annotated: DataFrame, edges_per_cell: int, shares: bool) -> DataFrame:
-    """The edges in their cells, dealt out by cell. ``annotated`` should be a written table, as it is counted first."""
+        if (sides := _sides(table)) is not None:
+            ab, bc, ac = sides
+            up = [np.zeros(len(s.high)) for s in sides]
+            down = [np.zeros(len(s.high)) for s in sides]
+            triads = [np.zeros(len(s.high), np.int64) for s in sides]
+            for places in intersected(*sides):
+                one, two, three = places
+                ways = (
+                    (ac.up[three] * bc.down[two], bc.up[two] * ac.down[three]),  # a to b, b to a
+                    (ab.down[one] * ac.up[three], ac.down[three] * ab.up[one]),  # b to c, c to b
+                    (ab.up[one] * bc.up[two], bc.down[two] * ab.down[one]),  # a to c, c to a
+                )
+                for k, (there, back) in enumerate(ways):
+                    up[k] += np.bincount(places[k], weights=there, minlength=len(up[k]))
+                    down[k] += np.bincount(places[k], weights=back, minlength=len(up[k]))
+                    triads[k] += np.bincount(places[k], minlength=len(up[k]))
+            for k, s in enumerate(sides):
+                low = s.low
+                for share, is_ego, ego, alter in ((up[k], s.low_ego[low], s.lows[low], s.highs[s.high]), (down[k], s.high_ego[s.high], s.highs[s.high], s.lows[low])):
+                    keep = is_ego & (triads[k] > 0)
+                    parts.append(pa.table({"ego": ego[keep], "alter": alter[keep], "share": share[keep], "triads": triads[k][keep]}))
+        empty = np.zeros(0, np.int64)
+        return pa.concat_tables(parts) if parts else pa.table({"ego": empty, "alter": empty, "share": np.zeros(0), "triads": empty})
+
+    return _grid(annotated, edges_per_cell).groupBy("cell").applyInArrow(collect, f"ego {kind}, alter {kind}, share double, triads long")
+
+
+def _grid(annotated: DataFrame, edges_per_cell: int) -> DataFrame:
+    """The blocks of the edges in their cells, dealt out by cell. ``annotated`` should be a written table, as it is
+    counted first."""
     count = annotated.count()
     tasks = int(annotated.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     k = colours_for(count, tasks, edges_per_cell)
-    cells = in_cells(oriented(annotated), k, count)
-    return (cells if shares else cells.drop("up_share", "down_share")).repartition(max(tasks, min(k**3 // 4, 100 * tasks)), "cell")
+    coloured, colours = _coloured(oriented(annotated), k, count)
+    return in_cells(blocks(coloured), k, colours).repartition(max(tasks, min(k**3 // 4, 100 * tasks)), "cell")
