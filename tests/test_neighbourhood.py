@@ -1,7 +1,7 @@
 import pytest
 
 from tests import graphs
-from tieloom.operators import graph, neighbourhood, triads
+from tieloom.operators import graph, neighbourhood, second_order, triads
 from tieloom.plans.ego_analysis import focal_stats
 from tieloom.staging import staged
 from tieloom.sources.tables import rows_to_table
@@ -50,22 +50,30 @@ def test_reach_modes(spark):
     assert overlap[3].reach == 1.0
 
 
-@pytest.mark.parametrize("ties_per_piece", [10_000, 20, 3])
-def test_second_order_degree(spark, ties_per_piece):
+@pytest.mark.parametrize("ties_per_block", [1_000_000, 200, 20])
+def test_second_order_degree(spark, ties_per_block):
     """Two hubs, egos with either, both or none of them; hubs cut into pieces give the same means."""
     edges, ids = graphs.hub_network()
     egos = graph.focals(graphs.vertex_table(spark, ids, set(range(0, len(ids), 3))))
     annotated = staged(graph.annotated_edges(graphs.edge_table(spark, edges), egos), "annotated")
-    got = by_id(neighbourhood.second_order_degree(annotated, ties_per_piece))
+    got = by_id(second_order.second_order_degree(annotated, ties_per_block))
     for ego in range(0, len(ids), 3):
         want = graphs.second_order_mean(edges, ego)
         assert got[ego].second_order_collab_mean_degree == pytest.approx(want) if want else ego not in got
 
 
+def test_second_order_moves_blocks_not_paths(spark):
+    edges, ids = graphs.hub_network()
+    annotated = staged(graph.annotated_edges(graphs.edge_table(spark, edges), graphs.vertex_table(spark, ids)), "annotated")
+    plan = second_order.second_order_degree(annotated)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and "Join Inner" in plan
+    assert all("broadcast" in line for line in plan.splitlines() if "Join Inner" in line)  # the numbers of blocks
+
+
 def test_second_order_of_single_edge_is_absent(spark):
     egos = graphs.vertex_table(spark, [1, 2])
     annotated = graph.annotated_edges(graphs.edge_table(spark, [(1, 2)]), egos)
-    assert neighbourhood.second_order_degree(annotated).count() == 0
+    assert second_order.second_order_degree(annotated).count() == 0
 
 
 def test_path_counts(spark):

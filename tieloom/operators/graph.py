@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tieloom.functions.numeric import ratio
 
+#: What annotated edges say of their ends.
+NOTES = ("degree", "strength", "is_ego")
+
 
 def canonical_edges(edges: DataFrame) -> DataFrame:
     """One row per pair with ``src < dst``: self-ties dropped, both directions added up."""

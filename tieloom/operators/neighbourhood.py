@@ -1,4 +1,4 @@
-"""Measures over an ego's direct neighbours, and the mean degree two steps away."""
+"""Measures over an ego's direct neighbours."""
 
 from __future__ import annotations
 
@@ -6,18 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tieloom.functions.arrays import has_entries, same_array, share_a_value
-from tieloom.functions.numeric import copies, every_piece, half_up, piece_of, ratio
-from tieloom.operators.graph import annotated_ties, bidirectional
-from tieloom.staging import spread
+from tieloom.functions.numeric import half_up, ratio
+from tieloom.operators.graph import bidirectional
 
 # The categories that count towards the neighbour total.
 CATEGORIES = ["male", "female", "unknown"]
 
 ATTRIBUTES = ["category", "first_pub_year", "pub_count", "subject_areas", "countries", "countries_wo_eu"]
 
-# Ties of a vertex that are joined in one place.
-TIES_PER_PIECE = 5_000
-
 
 def ego_ties(edges: DataFrame, egos: DataFrame, vertices: DataFrame) -> DataFrame:
     """Ties of the egos with the attributes of both ends, ``ego_*`` and ``alter_*``.
@@ -157,41 +153,3 @@ def reach(edges: DataFrame, vertices: DataFrame, columns: list[str], mode: str =
     )
     rows = [F.struct(F.lit(c).alias("attribute"), _reach(c).alias("reach")) for c in columns]
     return counted.select("id", F.inline(F.array(*rows))).filter("reach IS NOT NULL")
-
-
-def second_order_degree(annotated: DataFrame, ties_per_piece: int = TIES_PER_PIECE) -> DataFrame:
-    """Mean degree of the distinct vertices two steps away from each ego.
-
-    ``annotated`` comes from ``annotated_edges``. A vertex b counts once per ego, however many
-    neighbours lead to it, and also if it is a neighbour itself.
-
-    The paths ego - via - reached are joined and made distinct, which combines map-side; their
-    number is the cost. A vertex in the middle with many ties is cut on both sides: its egos and
-    its onward ties are dealt into pieces, and each pair of pieces meets in a place of its own.
-    """
-    pieces = copies(F.col("via_degree"), ties_per_piece)
-    to_via = (
-        annotated_ties(annotated, dst=("degree",), of_egos=True)
-        .select(F.col("src").alias("ego"), F.col("dst").alias("via"), F.col("dst_degree").alias("via_degree"))
-        .select("ego", "via", piece_of(F.col("ego"), pieces).alias("ego_piece"), every_piece(pieces).alias("onward_piece"))
-    )
-    onward = (
-        annotated_ties(annotated, ("degree",), ("degree",))
-        .select(
-            F.col("src").alias("via"), F.col("dst").alias("reached"),
-            F.col("src_degree").alias("via_degree"), F.col("dst_degree").alias("reached_degree"),
-        )
-        .select(
-            "via", "reached", "reached_degree", piece_of(F.col("reached"), pieces).alias("onward_piece"), every_piece(pieces).alias("ego_piece"),
-        )
-    )
-    place = ["via", "ego_piece", "onward_piece"]
-    return (
-        spread(to_via, *place)
-        .join(onward, place)
-        .filter(F.col("reached") != F.col("ego"))
-        .select("ego", "reached", "reached_degree")
-        .distinct()
-        .groupBy(F.col("ego").alias("id"))
-        .agg(ratio(F.sum("reached_degree"), F.count("*")).alias("second_order_collab_mean_degree"))
-    )

@@ -65,6 +65,16 @@ def _coloured(edges: DataFrame, k: int, count: int) -> tuple[DataFrame, int]:
     return edges, k + len(hubs)
 
 
+def adjacency(low: np.ndarray, high: np.ndarray):
+    """Sorted ids ``lows`` and ``highs``, the bounds ``first`` of the list of each low, the order of the edges by both
+    ends, places of their ``high`` in ``highs``, and an edge of each low and each high."""
+    lows, low_at, low_place = np.unique(low, return_index=True, return_inverse=True)
+    highs, high_at, high_place = np.unique(high, return_index=True, return_inverse=True)
+    order = np.lexsort((high_place, low_place))
+    first = np.concatenate([[0], np.cumsum(np.bincount(low_place, minlength=len(lows)))])
+    return lows, highs, first, order, high_place[order].astype(np.int32), low_at, high_at
+
+
 class Block:
     """Edges as adjacency lists: ``first[i]`` to ``first[i + 1]`` are the places of the edges of ``lows[i]``, sorted
     by ``high``, which are places in ``highs``. Both lists of ids are sorted."""
@@ -76,13 +86,8 @@ class Block:
 
     @classmethod
     def of(cls, low, high, low_ego, high_ego, up, down) -> Block:
-        lows, low_at, low_place = np.unique(low, return_index=True, return_inverse=True)
-        highs, high_at, high_place = np.unique(high, return_index=True, return_inverse=True)
-        order = np.lexsort((high_place, low_place))
-        first = np.concatenate([[0], np.cumsum(np.bincount(low_place, minlength=len(lows)))])
-        return cls(
-            lows=lows, highs=highs, first=first, high=high_place[order].astype(np.int32), low_ego=low_ego[low_at], high_ego=high_ego[high_at], up=up[order], down=down[order]
-        )
+        lows, highs, first, order, places, low_at, high_at = adjacency(low, high)
+        return cls(lows=lows, highs=highs, first=first, high=places, low_ego=low_ego[low_at], high_ego=high_ego[high_at], up=up[order], down=down[order])
 
     def packed(self) -> dict[str, bytes]:
         return {name: np.ascontiguousarray(getattr(self, name), kind).tobytes() for name, kind in self.ARRAYS.items()}
@@ -99,15 +104,16 @@ class Block:
 _PACKED = ", ".join(f"{name} binary" for name in Block.ARRAYS)
 
 
-def blocks(edges: DataFrame) -> DataFrame:
-    """``x, y`` and a packed ``Block`` of the coloured edges of these colours."""
+def blocks(edges: DataFrame, tasks: int) -> DataFrame:
+    """``x, y`` and a packed ``Block`` of the coloured edges of these colours, made in ``tasks`` tasks: adaptive
+    execution goes by bytes and would merge them into a few."""
 
     def pack(table: pa.Table) -> pa.Table:
         columns = [table.column(c).to_numpy() for c in ("low", "high", "low_is_ego", "high_is_ego", "up_share", "down_share")]
         made = Block.of(*columns).packed()
         return pa.table({"x": table.column("x")[:1], "y": table.column("y")[:1], **{name: pa.array([data], pa.binary()) for name, data in made.items()}})
 
-    return edges.select("x", "y", "low", "high", "low_is_ego", "high_is_ego", "up_share", "down_share").groupBy("x", "y").applyInArrow(pack, f"x int, y int, {_PACKED}")
+    return edges.select("x", "y", "low", "high", "low_is_ego", "high_is_ego", "up_share", "down_share").repartition(tasks, "x", "y").groupBy("x", "y").applyInArrow(pack, f"x int, y int, {_PACKED}")
 
 
 def in_cells(packed: DataFrame, k: int, colours: int) -> DataFrame:
@@ -130,14 +136,14 @@ def in_cells(packed: DataFrame, k: int, colours: int) -> DataFrame:
     )
 
 
-def _places(of: np.ndarray, among: np.ndarray) -> np.ndarray:
+def places_in(of: np.ndarray, among: np.ndarray) -> np.ndarray:
     """Where the sorted ids ``of`` stand in the sorted ids ``among``; -1 where they do not."""
     found = np.searchsorted(among, of)
     found[found == len(among)] = 0
     return np.where(among[found] == of, found, -1)
 
 
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each range, one after the other."""
     before = np.cumsum(lengths) - lengths
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
@@ -149,11 +155,11 @@ def intersected(ab: Block, bc: Block, ac: Block):
     For a side ab the shorter of the two lists of higher neighbours is looked up in the longer.
     """
     size = len(ac.highs)
-    third = _places(bc.highs, ac.highs)[bc.high]
+    third = places_in(bc.highs, ac.highs)[bc.high]
     usable = np.flatnonzero(third >= 0)
     bc_first = np.searchsorted(usable, bc.first)
     lists = {"ac": (ac.first, np.arange(len(ac.high)), ac.high.astype(np.int64)), "bc": (bc_first, usable, third[usable])}
-    a, b = _places(ab.lows, ac.lows)[ab.low], _places(ab.highs, bc.lows)[ab.high]
+    a, b = places_in(ab.lows, ac.lows)[ab.low], places_in(ab.highs, bc.lows)[ab.high]
     sides = np.flatnonzero((a >= 0) & (b >= 0))
     ends = {"ac": a[sides], "bc": b[sides]}
     lengths = {name: np.diff(lists[name][0])[ends[name]] for name in lists}
@@ -171,7 +177,7 @@ def intersected(ab: Block, bc: Block, ac: Block):
             to = max(at + 1, int(np.searchsorted(total, done + PAIRS_AT_A_TIME)))
             now = part[at:to]
             n = lengths[own][now]
-            mine = _ranges(first[ends[own][now]], n)
+            mine = ranges(first[ends[own][now]], n)
             side = np.repeat(now, n)
             wanted = ends[other][side] * size + c[mine]
             found = np.searchsorted(keys, wanted)
@@ -259,4 +265,4 @@ def _grid(annotated: DataFrame, edges_per_cell: int) -> DataFrame:
     tasks = int(annotated.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     k = colours_for(count, tasks, edges_per_cell)
     coloured, colours = _coloured(oriented(annotated), k, count)
-    return in_cells(blocks(coloured), k, colours).repartition(max(tasks, min(k**3 // 4, 100 * tasks)), "cell")
+    return in_cells(blocks(coloured, max(tasks, min(k * k // 2, 100 * tasks))), k, colours).repartition(max(tasks, min(k**3 // 4, 100 * tasks)), "cell")

@@ -21,6 +21,7 @@ from tieloom.operators import (
     graph,
     neighbourhood,
     predictions,
+    second_order,
     summaries,
     triads,
 )
@@ -182,7 +183,7 @@ def exploded_attributes(spark, d):
 
 def second_order_degree(spark, d):
     annotated = staged(_annotated(spark, d), "annotated")
-    return _rounded(neighbourhood.second_order_degree(annotated))
+    return _rounded(second_order.second_order_degree(annotated))
 
 
 def second_order_paths(spark, d):
@@ -262,17 +263,16 @@ def batch_assign(spark, d):
 
 
 def append_resume(spark, d):
-    """A constraint run that stops after some batches, is resumed, and is compacted."""
+    """A constraint run that stops after some batches, runs one of them twice, and is resumed."""
     net = pn.load(spark, d)
     path = fresh_path(spark, "constraint")
-    degrees = staged(graph.degree(net.edges, graph.focals(net.vertices)), "degrees")
-    todo = resume.pending(degrees, None)
-    resume.run_batches(net.edges, todo, path, 4, only=range(2))
-    done = tables.read_table(spark, path)
-    rest = staged(resume.pending(degrees, done), "rest")
-    resume.run_batches(net.edges, rest, path, 2)
-    resume.finish(spark, path)
-    return tables.read_table(spark, path)
+    egos = graph.focals(net.vertices)
+    ties = resume.ties_by_vertex(net.edges, egos)
+    plan = resume.plan_batches(resume.pending(graph.degree(net.edges, egos), None), 4)
+    resume.run_batches(ties, plan, path, range(2))
+    resume.run_batches(ties, plan, path, [1])
+    resume.run_batches(ties, plan, path, resume.unfinished(plan, tables.read_table(spark, path)))
+    return tables.read_table(spark, path).drop("batch")
 
 
 def csv_roundtrip(spark, d):

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tieloom.operators.features import year_features, years_since_first
 from tieloom.operators.graph import annotated_edges, focals
-from tieloom.operators.neighbourhood import neighbourhood_measures, second_order_degree
+from tieloom.operators.neighbourhood import neighbourhood_measures
+from tieloom.operators.second_order import second_order_degree
 from tieloom.operators.triads import triad_measures
 from tieloom.staging import staged
 

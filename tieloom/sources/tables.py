@@ -50,19 +50,30 @@ def compact(spark: SparkSession, path: str, keys: list[str], order: list[str] |
     """Rewrite an appended output with one row per key.
 
     The result is written beside the output, as ``<path>.compacted``, and takes its place by two
-    renames. A job that dies on the way leaves a complete copy there: the next call finishes the
-    exchange before it does anything else.
+    renames, by way of ``<path>.replaced``. A job that dies between them leaves both; the next call takes the
+    complete copy up first, together with what was appended in the meantime.
     """
     here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     output, kept, old = (here(f"{path.rstrip('/')}{end}") for end in ("", ".compacted", ".replaced"))
     files = output.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(output) and files.exists(kept):
-        files.rename(kept, output)
+
+    def move(source, target) -> None:
+        if not files.rename(source, target):
+            raise OSError(f"cannot move {source} to {target}")
+
+    if files.exists(kept) and (files.exists(old) or not files.exists(output)):
+        if files.exists(output):
+            append_table(spark.read.parquet(kept.toString()), path)
+            files.delete(kept, True)
+        else:
+            move(kept, output)
+    elif files.exists(old) and not files.exists(output):
+        move(old, output)
     files.delete(kept, True)
     files.delete(old, True)
     dedupe_by_key(spark.read.parquet(path), keys, order).write.parquet(kept.toString())
-    files.rename(output, old)
-    files.rename(kept, output)
+    move(output, old)
+    move(kept, output)
     files.delete(old, True)
 
 

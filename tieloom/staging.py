@@ -55,14 +55,3 @@ def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         _blocks[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by keys into the session's full number of shuffle partitions.
-
-    For the input of a join that yields many rows per input row: the join needs the
-    partitioning anyway, and adaptive execution, which goes by input bytes, must not merge it
-    into a few tasks.
-    """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, *keys)
