@@ -14,7 +14,8 @@ from tieloom.operators.graph import annotated_ties
 from tieloom.operators.triangles import EDGES_PER_CELL, closed_pairs, indirect_shares
 
 
-def _brokerage_columns(n: Column, closed: Column) -> list[Column]:
+def brokerage_columns(n: Column, closed: Column) -> list[Column]:
+    """Open triads and their share from the number of ties and of closed pairs; 0 without a pair."""
     pairs = F.shiftright(n * (n - 1), 1)
     open_pairs = pairs - closed
     return [
@@ -34,7 +35,7 @@ def brokerage(annotated: DataFrame, egos: DataFrame, edges_per_cell: int = EDGES
         egos.select("id")
         .join(sizes, "id", "left")
         .join(closed_pairs(annotated, edges_per_cell), "id", "left")
-        .select("id", *_brokerage_columns(F.col("n"), F.coalesce("closed_pairs", F.lit(0))))
+        .select("id", *brokerage_columns(F.col("n"), F.coalesce("closed_pairs", F.lit(0))))
     )
 
 
@@ -94,5 +95,5 @@ def triad_measures(annotated: DataFrame, egos: DataFrame, edges_per_cell: int =
     return (
         egos.select("id")
         .join(per_ego, "id", "left")
-        .select("id", *_brokerage_columns(F.col("n"), F.col("closed")), "overall_constraint")
+        .select("id", *brokerage_columns(F.col("n"), F.col("closed")), "overall_constraint")
     )

@@ -24,9 +24,11 @@ from tieloom.operators import (
     second_order,
     summaries,
     triads,
+    updates,
 )
 from tieloom.plans import ego_analysis, model_suite, part_network as pn
 from tieloom.sources import tables
+from tieloom.sources.bucketed import overwrite_part
 from tieloom.staging import fresh_path, staged
 from tieloom.streaming import resume
 
@@ -275,6 +277,33 @@ def append_resume(spark, d):
     return tables.read_table(spark, path).drop("batch")
 
 
+def _last_year_added(spark, d):
+    before, added = pn.edges_before_and_of(spark, d, pn.END_YEAR)
+    return staged(before, "before"), staged(added, "added")
+
+
+def brokerage_update(spark, d):
+    """Brokerage of the years before the last from scratch, then the last year's edges as deltas; ``changed`` egos were written."""
+    before, added = _last_year_added(spark, d)
+    egos = graph.focals(pn.load(spark, d).vertices)
+    path = fresh_path(spark, "brokerage-log")
+    for step, (had, new) in enumerate(((before.limit(0), before), (before, added))):
+        overwrite_part(updates.brokerage_deltas(had, new, egos).withColumn("step", F.lit(step)), path, "step")
+    log = tables.read_table(spark, path)
+    changed = log.filter("step = 1").select("id", F.lit(True).alias("changed"))
+    return updates.brokerage_from(log, egos).join(changed, "id", "left").withColumn("changed", F.col("changed").isNotNull().cast("long"))
+
+
+def constraint_update(spark, d):
+    """Constraint of the years before the last, replaced for the egos that the last year's edges touch."""
+    before, added = _last_year_added(spark, d)
+    egos = graph.focals(pn.load(spark, d).vertices)
+    earlier = triads.constraint(staged(graph.annotated_edges(before, egos), "annotated"))
+    now = staged(updates.constraint_changes(before, added, egos), "constraint_changes")
+    kept = earlier.join(now.select("id"), "id", "left_anti").withColumn("touched", F.lit(0).cast("long"))
+    return kept.unionByName(now.withColumn("touched", F.lit(1).cast("long")))
+
+
 def csv_roundtrip(spark, d):
     """A group summary through a CSV file."""
     path = fresh_path(spark, "summary-csv")
@@ -627,7 +656,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         neighbor_means, reach_overlap, reach_exact, window_totals, exploded_attributes,
         second_order_degree, second_order_paths, two_paths, neighbor_sets, neighbor_pairs, open_pairs,
         brokerage, constraint, triad_measures, ego_subgraph, focal_stats, sink_roundtrip,
-        dedupe_by_key, batch_assign, append_resume, csv_roundtrip, cohort_filter, cohort_stats,
+        dedupe_by_key, batch_assign, append_resume, brokerage_update, constraint_update, csv_roundtrip, cohort_filter, cohort_stats,
         year_features, analysis_table, range_filter, null_audit, multi_affiliation, quadrant_share, group_summary,
         group_median, zero_share, describe_table, summary_transposed, design_moments,
         cross_affiliation, design_multihot, design_exploded, design_interactions, nb_by_group,

@@ -594,6 +594,19 @@ ZERO_SHARE = (
 
 _net_mix = NETWORK + "," + MIX
 _net_triads = NETWORK + "," + TRIADS
+# The network without its last year, and what that year adds.
+UPDATED = f"""
+new AS MATERIALIZED (
+  SELECT DISTINCT a.id AS src, b.id AS dst FROM pub a JOIN pub b ON a.ok = b.ok AND a.id <> b.id WHERE a.y = {pn.END_YEAR}),
+bi0 AS MATERIALIZED (
+  SELECT DISTINCT a.id AS src, b.id AS dst FROM pub a JOIN pub b ON a.ok = b.ok AND a.id <> b.id WHERE a.y < {pn.END_YEAR}),
+tri AS (
+  SELECT a.src AS id, count(*) AS closed FROM bi a JOIN bi b ON b.src = a.src AND a.dst < b.dst
+  JOIN bi e ON e.src = a.dst AND e.dst = b.dst GROUP BY 1),
+tri0 AS (
+  SELECT a.src AS id, count(*) AS closed FROM bi0 a JOIN bi0 b ON b.src = a.src AND a.dst < b.dst
+  JOIN bi0 e ON e.src = a.dst AND e.dst = b.dst GROUP BY 1),
+deg0 AS (SELECT src AS id, count(*) AS degree FROM bi0 GROUP BY 1)"""
 _stats = ",".join([NETWORK, MIX, MEANS, SECOND, YEARLY, STATS])
 _multihot = ALL + "," + MULTIHOT
 _exploded = ALL + "," + EXPLODED
@@ -692,6 +705,15 @@ ORACLE: dict[str, str] = {
         _net_triads,
         f"SELECT cons.* FROM cons JOIN deg ON deg.id = cons.id WHERE degree > 0",
     ),
+    "brokerage_update": _with(
+        _net_triads + "," + UPDATED,
+        """SELECT brok.*, CAST(coalesce(deg.degree, 0) <> coalesce(deg0.degree, 0) OR coalesce(tri.closed, 0) <> coalesce(tri0.closed, 0) AS BIGINT) AS changed
+        FROM brok LEFT JOIN deg USING (id) LEFT JOIN deg0 USING (id) LEFT JOIN tri USING (id) LEFT JOIN tri0 USING (id)""",
+    ),
+    "constraint_update": _with(
+        _net_triads + "," + UPDATED,
+        """SELECT cons.*, CAST(id IN (SELECT src FROM new) OR id IN (SELECT bi.dst FROM bi JOIN new ON new.src = bi.src) AS BIGINT) AS touched FROM cons""",
+    ),
     "csv_roundtrip": _with(ALL, f"SELECT category, {ZERO_SHARE} FROM analysis GROUP BY category"),
     "cohort_filter": _with(
         NETWORK,

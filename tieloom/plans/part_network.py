@@ -78,6 +78,12 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence_edges(incidence(spark, sf_dir, AFTER_BASELINE), "id", "context")
 
 
+def edges_before_and_of(spark: SparkSession, sf_dir: str, year: int) -> tuple[DataFrame, DataFrame]:
+    """Edges of the orders of earlier years, and those that the orders of ``year`` add."""
+    rows = incidence(spark, sf_dir, f"{year + 1}-01-01")
+    return tuple(cooccurrence_edges(rows.filter(part), "id", "context") for part in (F.col("year") < year, F.col("year") == year))
+
+
 def yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders per part and year, null where there are none."""
     return (
