@@ -1,3 +1,4 @@
+import math
 import random
 import statistics
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from tests import graphs
 from tieloom.operators import cohorts, densities, features, quantiles, summaries
 from tieloom.functions.numeric import half_up
-from tieloom.staging import fresh_path
+from tieloom.staging import fresh_path, staged
 from tieloom.sources import tables
 from tieloom.sources.tables import rows_to_table
 
@@ -104,6 +105,44 @@ def test_density_curve_integrates_to_one(spark):
         assert len(mine) == 200 and sum(d for _, d in mine) * step == pytest.approx(1, abs=5e-3)
 
 
+def test_density_curve_against_a_plain_sum(spark, monkeypatch):
+    """Uneven partitions, repeated values, names as groups, a group without spread, nulls; in small pieces."""
+    monkeypatch.setattr(densities, "VALUES_AT_A_TIME", 7)
+    monkeypatch.setattr(densities, "GROUPS_AT_A_TIME", 1)
+    values = {"a": [(i * i % 31) / 3 for i in range(90)], "b": [float(i % 5) for i in range(40)], "flat": [2.0] * 6}
+    rows = [(g, v) for g, vs in values.items() for v in vs] + [("a", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = {}
+    for r in densities.density_curve(df, "x", "g", points=30).collect():
+        got.setdefault(r.g, []).append((r.point, r.x, r.density))
+    assert got.pop("flat") == [(0, 2.0, None)] and set(got) == {"a", "b"}
+    for g, found in got.items():
+        x = values[g]
+        width = statistics.stdev(x) * len(x) ** -0.2
+        assert [p for p, _, _ in sorted(found)] == list(range(30))
+        for _, at, density in found:
+            want = sum(math.exp(-(((at - v) / width) ** 2) / 2) for v in x) / (len(x) * width * math.sqrt(2 * math.pi))
+            assert density == pytest.approx(want, rel=1e-9)
+
+
+def test_density_shuffles_sums_only(spark):
+    df = staged(spark.range(20_000).select((F.col("id") % 2).alias("g"), (F.col("id") * 1.5).alias("x")).repartition(4), "values")
+    plan = densities.density_curve(df, "x", "g")._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffled and all("point" in line for line in shuffled)
+
+
+def test_sketches_merge_upwards(spark):
+    df = spark.range(60_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 50).alias("h"), F.pmod(F.col("id") * 7919, F.lit(60_000)).cast("double").alias("x"))
+    parts = quantiles.quantile_sketches(df, ["g", "h"], ["x"], 400)
+    for keys in (["g"], []):
+        for r in quantiles.sketched_quantile(quantiles.merged_sketches(parts, keys, 400)).collect():
+            assert r.n == (20_000 if keys else 60_000) and abs(r["median"] - 30_000) <= 3 * quantiles.rank_error(400) * 60_000
+    few = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 9.0), ("a", None), ("b", float("nan")), ("c", 4.0)], "g string, x double")
+    got = {r.g: (r.n, r["median"]) for r in quantiles.sketched_quantile(quantiles.quantile_sketches(few, ["g"], ["x"])).collect()}
+    assert got == {"a": (3, 2.0), "c": (1, 4.0)}
+
+
 def test_seeded_sample_does_not_depend_on_partitions(spark):
     df = spark.range(1000).withColumnRenamed("id", "key")
     a = [r.key for r in densities.seeded_sample(df.repartition(9), "key", 30, 42).collect()]

@@ -1,4 +1,4 @@
-"""Exact medians of large groups."""
+"""Exact medians of large groups, and quantile sketches to store and merge."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ SKETCH_ACCURACY = 10_000
 BRACKET = 0.001
 # Bins that the bracket is cut into.
 BINS = 4096
+# Size of a stored sketch; groups of fewer values are kept whole.
+SKETCH_K = 4_000
 
 
 def long_format(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -94,3 +96,28 @@ def approximate_medians(
         .agg(F.percentile_approx("value", 0.5, accuracy).alias("median"))
         .filter("median IS NOT NULL")
     )
+
+
+def quantile_sketches(df: DataFrame, keys: list[str], columns: list[str], k: int = SKETCH_K) -> DataFrame:
+    """The keys, ``metric, n`` and a ``sketch`` of the values, for storing and merging; nulls are ignored."""
+    return (
+        long_format(df, keys, columns)
+        .filter(F.col("value").isNotNull() & ~F.isnan("value"))
+        .groupBy(*keys, "metric")
+        .agg(F.count("*").alias("n"), F.kll_sketch_agg_double("value", F.lit(k)).alias("sketch"))
+    )
+
+
+def merged_sketches(sketches: DataFrame, keys: list[str], k: int = SKETCH_K) -> DataFrame:
+    """Sketches of larger groups, by fewer keys, from those of smaller ones; values are not read again."""
+    return sketches.groupBy(*keys, "metric").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+
+
+def sketched_quantile(sketches: DataFrame, rank: float = 0.5, name: str = "median") -> DataFrame:
+    """The least value that has a share ``rank`` of all values up to it, to within ``rank_error``."""
+    return sketches.withColumn(name, F.kll_sketch_get_quantile_double("sketch", F.lit(rank))).drop("sketch")
+
+
+def rank_error(k: int = SKETCH_K) -> float:
+    """Share of the rows by which a sketched rank errs at most, with 99 % confidence."""
+    return 2.296 / k**0.9723

@@ -21,6 +21,7 @@ from tieloom.operators import (
     graph,
     neighbourhood,
     predictions,
+    quantiles,
     second_order,
     summaries,
     triads,
@@ -388,6 +389,24 @@ def group_median(spark, d):
     )
 
 
+def approx_median(spark, d):
+    """Medians by category from stored sketches of smaller groups; ``within``: its true rank is within the bound."""
+    columns = ["normalized_brokerage", "brokerage", "constraint"]
+    table = _analysis(spark, d)
+    sketches = staged(quantiles.quantile_sketches(table, ["category", "years_from_first_pub"], columns), "sketches")
+    found = staged(quantiles.sketched_quantile(quantiles.merged_sketches(sketches, ["category"])), "sketched")
+    value, error = F.col("value"), quantiles.rank_error()
+    ranks = (
+        quantiles.long_format(table, ["category"], columns)
+        .alias("v")
+        .join(found.alias("f"), F.col("v.category").eqNullSafe(F.col("f.category")) & (F.col("v.metric") == F.col("f.metric")))
+        .groupBy("f.category", "f.metric", "n", "median")
+        .agg(F.count_if(value < F.col("median")).alias("below"), F.count_if(value <= F.col("median")).alias("upto"))
+    )
+    within = (F.col("below") <= (0.5 + error) * F.col("n")) & (F.col("upto") >= (0.5 - error) * F.col("n"))
+    return _rounded(ranks.select("category", "metric", "n", "median", within.cast("long").alias("within")), 6)
+
+
 def zero_share(spark, d):
     return _rounded(
         summaries.zero_share(
@@ -658,7 +677,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         brokerage, constraint, triad_measures, ego_subgraph, focal_stats, sink_roundtrip,
         dedupe_by_key, batch_assign, append_resume, brokerage_update, constraint_update, csv_roundtrip, cohort_filter, cohort_stats,
         year_features, analysis_table, range_filter, null_audit, multi_affiliation, quadrant_share, group_summary,
-        group_median, zero_share, describe_table, summary_transposed, design_moments,
+        group_median, approx_median, zero_share, describe_table, summary_transposed, design_moments,
         cross_affiliation, design_multihot, design_exploded, design_interactions, nb_by_group,
         nb_two_param, nb_full, nb_rate_full, nb_model_suite, grid_points, profile_grid, profile_grid_held,
         scenario_grid, predict_grid, predict_interval, marginal_effects, log_outcomes,

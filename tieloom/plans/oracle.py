@@ -757,6 +757,15 @@ ORACLE: dict[str, str] = {
             for x in ("normalized_brokerage", "brokerage", "constraint")
         ),
     ),
+    # sketches keep groups of up to their size whole, so the answer is exact here
+    "approx_median": _with(
+        ALL,
+        " UNION ALL ".join(
+            f"SELECT category, '{x}' AS metric, count({q(x)}) AS n, {r(f'quantile_disc(CAST({q(x)} AS DOUBLE), 0.5)', 6)} AS median, CAST(1 AS BIGINT) AS within"
+            f" FROM analysis GROUP BY category HAVING count({q(x)}) > 0"
+            for x in ("normalized_brokerage", "brokerage", "constraint")
+        ),
+    ),
     "zero_share": _with(ALL, f"SELECT category, {ZERO_SHARE} FROM analysis GROUP BY category"),
     "describe_table": _with(_stats, _describe()),
     "summary_transposed": _with(ALL, _transposed()),
