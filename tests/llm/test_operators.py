@@ -510,6 +510,16 @@ def test_the_order_by_bytes_saved_decides(monkeypatch):
     assert named() == []
 
 
+def test_a_template_is_compiled_once_and_keeps_nothing(monkeypatch):
+    parsed = []
+    parse = chat_format.parse
+    monkeypatch.setattr(chat_format, "parse", lambda source: parsed.append(source) or parse(source))
+    template = chat_format.Template(chat_format.DEFAULT_TEMPLATE)
+    talks = [[{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}], [], [{"role": "assistant", "content": "c"}]]
+    together = [template.render(t) for t in talks + talks]
+    assert len(parsed) == 1 and together == 2 * [chat_format.Template(chat_format.DEFAULT_TEMPLATE).render(t) for t in talks]
+
+
 NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "MIT": "Released under the MIT License.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "reserved": "All rights reserved.",

@@ -28,6 +28,7 @@ import operator
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -417,10 +418,15 @@ class Template:
 
     source: str
 
+    @cached_property
+    def program(self) -> Callable[[dict, Output], Iterator]:
+        """The closure of the whole template, made once."""
+        return _statement(fold(parse(self.source)))
+
     def pieces(self, messages: Iterable[dict], **values) -> Iterator[tuple[str, list[tuple[int, int]]]]:
         """Formatted pieces in order, each with its generated spans (code points in the piece)."""
         out = Output()
-        for _ in _statement(fold(parse(self.source)))({"messages": messages, **values}, out):
+        for _ in self.program({"messages": messages, **values}, out):
             if out.length:
                 yield "".join(out.texts), out.spans
                 out.texts, out.length, out.spans = [], 0, []
