@@ -20,7 +20,7 @@ def duck(small_dir):
 
 
 #: Models of more parameters than the smallest data can tell apart; check.py compares them on more.
-UNDETERMINED = {"nb_multihot_model_cov", "predict_profile", "scenario_predictions"}
+UNDETERMINED = {"nb_multihot_model_cov", "nb_all_products", "predict_interval_full", "predict_profile", "scenario_predictions"}
 
 
 @pytest.mark.parametrize("name", [q for q in queries() if q not in UNDETERMINED])

@@ -36,6 +36,34 @@ def test_mix_homophily_and_means(spark):
     assert degrees[1].degree == 5 and degrees[7].degree == 1
 
 
+def test_mix_of_any_values(spark):
+    """Values are those that occur: text, numbers and arrays, with nulls, repeats and unknown neighbours."""
+    edges = graphs.edge_table(spark, [(1, 2), (1, 3), (1, 4), (1, 5), (1, 6), (7, 8)])
+    vertices = graphs.vertex_table(
+        spark, [1, 2, 3, 4, 5, 7],  # 6 and 8 are not in the vertex table
+        focal={1, 5, 7},
+        category={1: "x", 2: "x", 3: None, 4: "y", 5: None},
+        first_pub_year={2: None, 3: 1987},
+        countries={1: ["A", None, "B"], 2: ["B", "B"], 3: ["A", "C"], 4: [], 5: None},
+    )
+    egos = graph.focals(vertices)
+    columns = ["category", "first_pub_year", "countries"]
+    rows = neighbourhood.value_mix(edges, egos, vertices, columns).collect()
+    got = {(r.attribute, r.value): (r.n, r.share) for r in rows if r.id == 1}
+    assert got == {
+        ("category", "x"): (1, 0.25), ("category", "y"): (1, 0.25), ("category", None): (2, 0.5),
+        ("first_pub_year", "1990"): (2, 0.5), ("first_pub_year", "1987"): (1, 0.25), ("first_pub_year", None): (1, 0.25),
+        ("countries", "A"): (1, 0.25), ("countries", "B"): (1, 0.25), ("countries", "C"): (1, 0.25), ("countries", None): (2, 0.5),
+    }
+    assert {r.id for r in rows} == {1, 5}
+    same = {(r.id, r.attribute): (r.n_neighbours, r.n_same, r.share) for r in neighbourhood.own_share(edges, egos, vertices, columns).collect()}
+    assert same[1, "category"] == (4, 1, 0.25) and same[1, "countries"] == (4, 2, 0.5)
+    assert same[5, "category"] == (1, None, None) and same[5, "countries"] == (1, None, None)
+    assert 7 not in {ego for ego, _ in same}
+    none = neighbourhood.value_mix(edges.limit(0), egos, vertices, columns)
+    assert none.count() == 0
+
+
 def test_reach_modes(spark):
     edges = graphs.edge_table(spark, [(1, 2), (1, 3), (1, 4), (1, 5), (1, 6)])
     vertices = graphs.vertex_table(

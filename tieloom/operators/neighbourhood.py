@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tieloom.functions.arrays import has_entries, same_array, share_a_value
 from tieloom.functions.numeric import half_up, ratio
 from tieloom.operators.graph import bidirectional
+from tieloom.staging import staged
 
 # The categories that count towards the neighbour total.
 CATEGORIES = ["male", "female", "unknown"]
@@ -153,3 +154,69 @@ def reach(edges: DataFrame, vertices: DataFrame, columns: list[str], mode: str =
     )
     rows = [F.struct(F.lit(c).alias("attribute"), _reach(c).alias("reach")) for c in columns]
     return counted.select("id", F.inline(F.array(*rows))).filter("reach IS NOT NULL")
+
+
+def _values(df: DataFrame, column: str) -> Column:
+    """The values of a scalar or array column as an array of text, without nulls and repeats; null counts as empty."""
+    one = F.col(f"`{column}`")
+    if df.schema[column].dataType.typeName() != "array":
+        one = F.array(one)
+    return F.array_distinct(F.array_compact(F.coalesce(one, F.array().cast("array<string>")).cast("array<string>")))
+
+
+def value_mix(edges: DataFrame, egos: DataFrame, vertices: DataFrame, columns: list[str]) -> DataFrame:
+    """Neighbours by value of any attributes: ``id, attribute, value, n, share``.
+
+    No list of values is given or looked up. A neighbour with several values counts at each of them, one
+    without any at the null value; the share is of all neighbours in the vertex table. Counts combine before
+    they are shuffled by ego, attribute and value, so neither an ego's neighbours nor its values meet in a task.
+    """
+    def entries_of(column: str) -> Column:
+        values = _values(vertices, column)
+        listed = F.when(F.size(values) > 0, values).otherwise(F.array(F.lit(None).cast("string")))
+        return F.transform(listed, lambda v: F.struct(F.lit(column).alias("attribute"), v.alias("value")))
+
+    everyone = F.array(F.struct(F.lit(None).cast("string").alias("attribute"), F.lit(None).cast("string").alias("value")))
+    alter = vertices.select(F.col("id").alias("dst"), F.concat(everyone, *map(entries_of, columns)).alias("entries"))
+    counts = staged(
+        bidirectional(edges)
+        .join(egos.select(F.col("id").alias("src")), "src", "left_semi")
+        .join(alter, "dst")
+        .select(F.col("src").alias("id"), F.inline("entries"))
+        .groupBy("id", "attribute", "value")
+        .agg(F.count("*").alias("n")),
+        "value_counts",
+    )
+    totals = counts.filter("attribute IS NULL").select("id", F.col("n").alias("total"))
+    return (
+        counts.filter("attribute IS NOT NULL")
+        .join(totals, "id")
+        .select("id", "attribute", "value", "n", ratio(F.col("n"), F.col("total")).alias("share"))
+    )
+
+
+def own_share(edges: DataFrame, egos: DataFrame, vertices: DataFrame, columns: list[str]) -> DataFrame:
+    """Homophily in any attributes: ``id, attribute, n_neighbours, n_same, share``.
+
+    A neighbour is the same if it has a value of the ego's. Egos without a value of an attribute have a null
+    count and share there. Neighbours outside of the vertex table do not count.
+    """
+    mine = egos.select(F.col("id").alias("src"), *[_values(egos, c).alias(f"ego_{c}") for c in columns])
+    theirs = vertices.select(F.col("id").alias("dst"), *[_values(vertices, c).alias(f"alter_{c}") for c in columns])
+    counted = (
+        bidirectional(edges)
+        .join(mine, "src")
+        .join(theirs, "dst")
+        .groupBy(F.col("src").alias("id"))
+        .agg(
+            F.count("*").alias("n_neighbours"),
+            *[
+                F.sum(F.when(F.size(f"ego_{c}") > 0, F.arrays_overlap(f"ego_{c}", f"alter_{c}").cast("long"))).alias(f"same_{c}")
+                for c in columns
+            ],
+        )
+    )
+    rows = [F.struct(F.lit(c).alias("attribute"), F.col(f"same_{c}").alias("n_same")) for c in columns]
+    return counted.select("id", "n_neighbours", F.inline(F.array(*rows))).withColumn(
+        "share", ratio(F.col("n_same"), F.col("n_neighbours"))
+    )

@@ -38,6 +38,7 @@ LOW_QUADRANT = (0.2786, 0.01749)
 HIGH_QUADRANT = (0.8092, 0.3887)
 SAMPLE_ROWS, SAMPLE_SEED = 150, 42
 BROKERAGE_BATCHES = 20
+OPEN_ATTRIBUTES = ["category", "first_pub_year", "countries"]
 # Bounds of the range filter query.
 MOST_DEGREE, MORE_THAN = 60, 1
 
@@ -141,6 +142,17 @@ def homophily(spark, d):
     return _rounded(neighbourhood.homophily(net.edges, graph.focals(net.vertices), net.vertices))
 
 
+def value_mix(spark, d):
+    """Neighbours by every value that occurs, for a category, a year and an array of regions."""
+    net = pn.load(spark, d)
+    return _rounded(neighbourhood.value_mix(net.edges, graph.focals(net.vertices), net.vertices, OPEN_ATTRIBUTES))
+
+
+def own_share(spark, d):
+    net = pn.load(spark, d)
+    return _rounded(neighbourhood.own_share(net.edges, graph.focals(net.vertices), net.vertices, OPEN_ATTRIBUTES))
+
+
 def neighbor_means(spark, d):
     net = pn.load(spark, d)
     return neighbourhood.neighbour_means(net.edges, graph.focals(net.vertices), net.vertices, pn.END_YEAR)
@@ -351,6 +363,13 @@ def analysis_table(spark, d):
     )
 
 
+def analysis_required(spark, d):
+    """The analysis table of the egos that are also in a further measure table, reach by country without the region."""
+    net = pn.load(spark, d)
+    measured = neighbourhood.reach(net.edges, net.vertices, ["countries_wo_eu"], "exact")
+    return _report(ego_analysis.from_network(net, pn.BASELINE, pn.OUTCOME, pn.END_YEAR, (measured,)))
+
+
 def range_filter(spark, d):
     """The analysis table within bounds, with the number of rows that each bound removes."""
     table = _analysis(spark, d)
@@ -516,6 +535,12 @@ def nb_model_suite(spark, d):
     return _long_counts(table.withColumns({n: shown(n) for n in names}))
 
 
+def nb_all_products(spark, d):
+    """Constraint, homophily and degree with products of women with these and with every place."""
+    model = model_suite.constraint_model("outcome_output", PLACES, "all")
+    return _coefficients(spark, count_models.fit(_multihot(spark, d), model, covariance="model"), 4)
+
+
 # --- predictions and plot data -------------------------------------------------------------
 
 
@@ -546,6 +571,13 @@ def profile_grid(spark, d):
     return _report(grid, 6)
 
 
+def profile_grid_exploded(spark, d):
+    """The grid for models of exploded rows: means over the rows that were fitted."""
+    moments = predictions.wide_moments(_exploded(spark, d), PREDICTORS)
+    grid = predictions.profile_grid(moments, PREDICTORS, "normalized_brokerage", predictions.arange_points(0.0, 1.0, 0.1))
+    return _report(grid, 6)
+
+
 def profile_grid_held(spark, d):
     low, high = predictions.moment("min", "constraint"), predictions.moment("max", "constraint")
     parts = []
@@ -619,6 +651,20 @@ def predict_profile(spark, d):
     )
 
 
+def predict_interval_full(spark, d):
+    """Intervals of the full model along one predictor: of 95 % on the link scale, and plus and minus ten standard errors."""
+    fitted = _full_multihot(spark, d)
+    grid = predictions.profile_grid(
+        _moments(spark, d), PREDICTORS, "normalized_brokerage", predictions.arange_points(0.0, 1.0, 0.1)
+    )
+    shown = ["women", "normalized_brokerage", "predicted", "std_error", "lower_bound", "upper_bound"]
+    parts = [
+        predictions.predict_interval(grid, fitted, z, scale).select(F.lit(scale).alias("scale"), *shown)
+        for z, scale in ((predictions.Z_95, "link"), (10.0, "response"))
+    ]
+    return _report(parts[0].unionByName(parts[1]), 4)
+
+
 def scenario_predictions(spark, d):
     """The full model for combinations of two predictors."""
     grid = predictions.scenario_grid(
@@ -671,17 +717,17 @@ def density_curve(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        cooccurrence_edges, bidirectional, focals, degree, degree_ranked, attribute_mix, homophily,
+        cooccurrence_edges, bidirectional, focals, degree, degree_ranked, attribute_mix, homophily, value_mix, own_share,
         neighbor_means, reach_overlap, reach_exact, window_totals, exploded_attributes,
         second_order_degree, second_order_paths, two_paths, neighbor_sets, neighbor_pairs, open_pairs,
         brokerage, constraint, triad_measures, ego_subgraph, focal_stats, sink_roundtrip,
         dedupe_by_key, batch_assign, append_resume, brokerage_update, constraint_update, csv_roundtrip, cohort_filter, cohort_stats,
-        year_features, analysis_table, range_filter, null_audit, multi_affiliation, quadrant_share, group_summary,
+        year_features, analysis_table, analysis_required, range_filter, null_audit, multi_affiliation, quadrant_share, group_summary,
         group_median, approx_median, zero_share, describe_table, summary_transposed, design_moments,
         cross_affiliation, design_multihot, design_exploded, design_interactions, nb_by_group,
-        nb_two_param, nb_full, nb_rate_full, nb_model_suite, grid_points, profile_grid, profile_grid_held,
+        nb_two_param, nb_full, nb_rate_full, nb_model_suite, nb_all_products, grid_points, profile_grid, profile_grid_exploded, profile_grid_held,
         scenario_grid, predict_grid, predict_interval, marginal_effects, log_outcomes,
-        nb_multihot_model_cov, predict_profile, scenario_predictions, predict_interval_response,
+        nb_multihot_model_cov, predict_profile, predict_interval_full, scenario_predictions, predict_interval_response,
         seeded_sample, density_histogram, density_curve,
     )
 }

@@ -107,8 +107,10 @@ def within(table: DataFrame, max_degree: int | None = None, more_than: int | Non
     return table
 
 
-def from_network(network, baseline: list[int], outcome: list[int], end_year: int) -> DataFrame:
-    """The analysis table of a network, from its edges.
+def from_network(
+    network, baseline: list[int], outcome: list[int], end_year: int, required: tuple[DataFrame, ...] = ()
+) -> DataFrame:
+    """The analysis table of a network, from its edges, for the egos that are in all of ``required``.
 
     The normalized homophily of the input tables is not computed here; homophily itself
     stands in for it.
@@ -128,4 +130,5 @@ def from_network(network, baseline: list[int], outcome: list[int], end_year: int
         baseline,
         outcome,
         end_year,
+        required,
     )

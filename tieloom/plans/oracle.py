@@ -108,6 +108,25 @@ def _reach(column: str, mode: str) -> str:
       WHERE len(a.{column}) > 0 AND len(b.{column}) > 0 GROUP BY 1"""
 
 
+def _as_list(column: str, table: str) -> str:
+    """The values of an attribute as a list of text, empty where there are none."""
+    text = f"CAST({table}.{column} AS VARCHAR{'[]' if column == 'countries' else ''})"
+    return f"coalesce({text if column == 'countries' else f'CASE WHEN {text} IS NULL THEN [] ELSE [{text}] END'}, CAST([] AS VARCHAR[]))"
+
+
+OPEN_MIX = (
+    "known AS (SELECT id, count(*) AS total FROM ft GROUP BY 1),\ncounted AS ("
+    + " UNION ALL ".join(
+        f"""SELECT e.src AS id, '{x}' AS attribute, value, count(*) AS n
+      FROM bi e JOIN focals f ON f.id = e.src
+      JOIN (SELECT v.id, unnest(CASE WHEN len({_as_list(x, "v")}) = 0 THEN [NULL] ELSE {_as_list(x, "v")} END) AS value FROM vertices v) u ON u.id = e.dst
+      GROUP BY 1, 2, 3"""
+        for x in c.OPEN_ATTRIBUTES
+    )
+    + ")"
+)
+
+
 # Open pairs in the textbook form: all neighbour pairs less those with an edge.
 TRIADS = f"""
 pairs AS (
@@ -382,6 +401,49 @@ def _full_model(outcome: str) -> str:
     )
 
 
+def _all_products() -> str:
+    model = model_suite.constraint_model("outcome_output", c.PLACES, "all")
+    names = ", ".join(f"({j}, '{v}')" for j, v in enumerate(model.parameters))
+    return _with(
+        _multihot + ",\n" + _newton([model], expected=True),
+        f"""SELECT CAST(0 AS BIGINT) AS position, 'Log-Likelihood' AS variable, {r("ll", 4)} AS coefficient, NULL AS irr,
+          NULL AS std_error, NULL AS z, NULL AS p_value FROM ll
+        UNION ALL SELECT CAST(j + 1 AS BIGINT), name, {r("b", 4)}, {sig("exp(b)")}, {r("se", 4)}, {r("z", 4)}, {r(p_value("z"), 4)}
+        FROM plain JOIN (VALUES {names}) n(k, name) ON k = j""",
+    )
+
+
+def _interval_full() -> str:
+    """Each grid row as one row per parameter; the variance is their quadratic form with the robust covariance."""
+    model = model_suite.main_model("outcome_output", c.PLACES)
+    values = ["1e0", *[q(t) if isinstance(t, str) else f"{q(t[0])} * {q(t[1])}" for t in model.terms]]
+    grid = _unrounded({"women": "w.women", "normalized_brokerage": "k * 0.1e0"})
+    cells = " UNION ALL ".join(f"SELECT women, normalized_brokerage, {j} AS j, {v} AS x FROM pg" for j, v in enumerate(values))
+    ctes = [
+        _multihot, _newton([model]), MOMENTS.lstrip(),
+        f"pg AS (SELECT {grid} FROM m, range(10) t(k), (VALUES (1), (0)) w(women))",
+        f"cells AS MATERIALIZED ({cells})",
+        "cov AS MATERIALIZED (SELECT h.i, a.j, sum(h.v * a.v) AS v FROM half h JOIN inverse a ON a.i = h.j GROUP BY 1, 2)",
+        "line AS (SELECT women, normalized_brokerage, sum(x * b) AS eta FROM cells JOIN est USING (j) GROUP BY 1, 2)",
+        """spread AS (SELECT l.women, l.normalized_brokerage, sqrt(sum(l.x * r.x * cov.v)) AS se FROM cells l
+          JOIN cells r ON r.women = l.women AND r.normalized_brokerage = l.normalized_brokerage
+          JOIN cov ON cov.i = l.j AND cov.j = r.j GROUP BY 1, 2)""",
+    ]
+    bounds = {
+        "link": (f"exp(eta - {Z_95}e0 * se)", f"exp(eta + {Z_95}e0 * se)"),
+        "response": ("exp(eta) - 10e0 * exp(eta) * se", "exp(eta) + 10e0 * exp(eta) * se"),
+    }
+    return _with(
+        ",\n".join(ctes),
+        " UNION ALL ".join(
+            f"""SELECT '{scale}' AS scale, CAST(women AS BIGINT) AS women, {r("normalized_brokerage", 4)} AS normalized_brokerage,
+            {r("exp(eta)", 4)} AS predicted, {r("exp(eta) * se", 4)} AS std_error, {r(low, 4)} AS lower_bound, {r(high, 4)} AS upper_bound
+            FROM line JOIN spread USING (women, normalized_brokerage)"""
+            for scale, (low, high) in bounds.items()
+        ),
+    )
+
+
 def _model_cov() -> str:
     models = [model_suite.constraint_model("outcome_output", c.PLACES, crossed) for crossed in ("none", "key")]
     names = ", ".join(f"('{m.name}', {j}, '{v}')" for m in models for j, v in enumerate(m.parameters))
@@ -619,6 +681,12 @@ STATS_SELECT = f"""SELECT id, degree, {r("pct_male_first_order")} AS pct_male_fi
   {r("interdisciplinary_reach")} AS interdisciplinary_reach, {r("international_reach_with_eu")} AS international_reach_with_eu,
   {r("international_reach_no_eu")} AS international_reach_no_eu, {", ".join(f'"{y}"' for y in YEARS)} FROM stats"""
 
+ANALYSIS_SELECT = f"""SELECT id, degree, category, CAST(years_from_first_pub AS BIGINT) AS years_from_first_pub,
+  {r("interdisciplinary_reach")} AS interdisciplinary_reach, {r("rate_outcome")} AS rate_outcome, baseline_output, outcome_output,
+  brokerage, {r("normalized_brokerage")} AS normalized_brokerage, {r('"constraint"')} AS "constraint", {r("homophily")} AS homophily,
+  {r("normalized_homophily")} AS normalized_homophily, {r("avg_year_diff")} AS avg_year_diff,
+  {_text("countries_focal")} AS countries_focal, {_text("subjects_focal")} AS subjects_focal FROM analysis"""
+
 ORACLE: dict[str, str] = {
     "cooccurrence_edges": _with(NETWORK, "SELECT src, dst, weight FROM edges"),
     "bidirectional": _with(NETWORK, "SELECT src, dst, weight FROM bi"),
@@ -638,6 +706,16 @@ ORACLE: dict[str, str] = {
         f"{r('pct_female_first_order')} AS pct_female_first_order FROM (SELECT *, {SHARES} FROM mix)",
     ),
     "homophily": _with(_net_mix, f"SELECT id, category, {r(HOMOPHILY)} AS pct_homophilic_collabs FROM mix"),
+    "value_mix": _with(NETWORK + "," + OPEN_MIX, f"SELECT id, attribute, value, n, {r('n / total')} AS share FROM counted JOIN known USING (id)"),
+    "own_share": _with(
+        NETWORK,
+        " UNION ALL ".join(
+            f"""SELECT id, '{x}' AS attribute, n_neighbours, n_same, {r("n_same / n_neighbours")} AS share FROM (
+              SELECT e.src AS id, count(*) AS n_neighbours, CAST(sum(CASE WHEN len({a}) > 0 THEN CAST(list_has_any({a}, {b}) AS INTEGER) END) AS BIGINT) AS n_same
+              FROM bi e JOIN focals f ON f.id = e.src JOIN vertices v ON v.id = e.dst GROUP BY 1)"""
+            for x, a, b in ((x, _as_list(x, "f"), _as_list(x, "v")) for x in c.OPEN_ATTRIBUTES)
+        ),
+    ),
     "neighbor_means": _with(NETWORK + "," + MEANS, "SELECT * FROM means"),
     **{
         f"reach_{mode}": _with(
@@ -725,13 +803,9 @@ ORACLE: dict[str, str] = {
         f"""SELECT id, outcome_output, baseline_output, {r("avg_year_diff")} AS avg_year_diff, CAST({pn.END_YEAR} - first_pub_year AS BIGINT) AS years_from_first_pub
         FROM (SELECT id, {YEAR_COLUMNS} FROM yearly) JOIN vertices USING (id)""",
     ),
-    "analysis_table": _with(
-        ALL,
-        f"""SELECT id, degree, category, CAST(years_from_first_pub AS BIGINT) AS years_from_first_pub,
-        {r("interdisciplinary_reach")} AS interdisciplinary_reach, {r("rate_outcome")} AS rate_outcome, baseline_output, outcome_output,
-        brokerage, {r("normalized_brokerage")} AS normalized_brokerage, {r('"constraint"')} AS "constraint", {r("homophily")} AS homophily,
-        {r("normalized_homophily")} AS normalized_homophily, {r("avg_year_diff")} AS avg_year_diff,
-        {_text("countries_focal")} AS countries_focal, {_text("subjects_focal")} AS subjects_focal FROM analysis""",
+    "analysis_table": _with(ALL, ANALYSIS_SELECT),
+    "analysis_required": _with(
+        ALL, ANALYSIS_SELECT + f" WHERE id IN (SELECT id FROM ({_reach('countries_wo_eu', 'exact')}))"
     ),
     "range_filter": _with(
         ALL,
@@ -801,6 +875,8 @@ ORACLE: dict[str, str] = {
     "nb_rate_full": _full_model("rate_outcome"),
     "nb_model_suite": _suite(),
     "nb_multihot_model_cov": _model_cov(),
+    "nb_all_products": _all_products(),
+    "predict_interval_full": _interval_full(),
     "predict_profile": _profile_predictions(),
     "scenario_predictions": _scenario_predictions(),
     "grid_points": _with(_multihot + "," + DEGREE_GRID, _grids()),
@@ -810,6 +886,12 @@ ORACLE: dict[str, str] = {
         + _held(c.PREDICTORS, {"women": "w.women", "normalized_brokerage": "k * 0.1e0"})
         + " FROM m, range(10) t(k), (VALUES (1), (0)) w(women)",
     ),
+    "profile_grid_exploded": _with(
+        _exploded + "," + MOMENTS,
+        "SELECT "
+        + _held(c.PREDICTORS, {"women": "w.women", "normalized_brokerage": "k * 0.1e0"})
+        + " FROM m, range(10) t(k), (VALUES (1), (0)) w(women)",
+    ),
     "profile_grid_held": _with(
         _multihot + "," + MOMENTS,
         " UNION ALL ".join(
