@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tieloom.operators import count_models as cm
 from tieloom.operators import predictions
+from tieloom.operators import sparse_design as sd
 from tieloom.plans import model_suite
 from tieloom.sources.tables import rows_to_table
 
@@ -156,3 +157,48 @@ def test_scenarios_and_points(spark, rows):
     assert points.lin == pytest.approx(np.linspace(2, 9, 100))
     assert points.log == pytest.approx(np.logspace(np.log10(3), np.log10(10), 100) - 1)
     assert points.ar == pytest.approx(np.arange(0, 1, 0.1))
+
+
+def test_sparse_rows_give_the_dense_fit(spark):
+    """500 values of an array, products with all of them, nulls and a value that is the reference."""
+    rng = random.Random(11)
+    data = []
+    for k in range(6000):
+        place = [f"v{k % 501:03d}"] + ([f"v{rng.randrange(501):03d}"] if k % 3 else [])
+        x = None if k % 97 == 0 else rng.random()
+        y = 1 + np.random.default_rng(k).poisson(1 + (k % 501) % 7)
+        data.append((k % 2, x, None if k % 101 == 0 else place, int(y)))
+    rows = rows_to_table(spark, data, "women int, x double, place array<string>, y long").repartition(4)
+    values = [f"v{v:03d}" for v in range(1, 501)]
+    sparse, names = sd.sparse_design(rows, "y", ["women", "x", sd.Places("place", "place", "v000")], "women", ["x"])
+    got = cm.fit_sparse(sparse, names)
+    # the dense form on one machine
+    ok = [r for r in data if r[1] is not None and r[2] is not None]
+    x = np.zeros((len(ok), 504))
+    for i, (w, v, places, _) in enumerate(ok):
+        x[i, [0, 1, 2, 503]] = 1, w, v, w * v
+        for p in places:
+            if p != "v000":
+                x[i, 3 + values.index(p)] = 1
+    y = np.array([r[3] for r in ok], float)
+    beta, mean = plain_fit(x, y)
+    assert names == ["Intercept", "women", "x", *[f"place_{v}" for v in values], "women:x"]
+    assert got.rows == len(ok)
+    assert got.coefficients == pytest.approx(beta, abs=1e-6)
+    s = x * ((y - mean) / (1 + mean))[:, None]
+    a = np.linalg.inv((x * (mean * (1 + y) / (1 + mean) ** 2)[:, None]).T @ x)
+    assert got.standard_errors == pytest.approx(np.sqrt(np.diag(a @ (s.T @ s) @ a)), rel=1e-4)
+
+
+def test_sparse_rows_hold_what_is_not_zero(spark):
+    df = rows_to_table(
+        spark, [(1, 0.0, "a", ["p", None, "p"], 2), (0, 3.0, None, ["r"], 1), (1, 2.0, "b", [], 4), (1, 1.0, "b", None, 5)],
+        "women int, x double, one string, many array<string>, y long",
+    )
+    one, many = sd.Places("one", "one", "b"), sd.Places("many", "many")
+    rows, names = sd.sparse_design(df, "y", ["women", "x", one, many], "women", ["x", many])
+    assert names == ["Intercept", "women", "x", "one_a", "many_p", "many_r", "women:x", "women:many_p", "women:many_r"]
+    got = {r.y: r["columns"] and dict(zip(r["columns"], r["values"])) for r in rows.collect()}
+    assert got == {2: {0: 1, 1: 1, 3: 1, 4: 1, 7: 1}, 1: {0: 1, 2: 3, 5: 1}, 4: {0: 1, 1: 1, 2: 2, 6: 2}, 5: None}
+    with pytest.raises(ValueError):
+        cm.fit_sparse(rows.limit(0), names)

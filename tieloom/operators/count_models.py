@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tieloom.operators.sparse_design import SparseRows
 from tieloom.sources.tables import rows_to_table
 from tieloom.staging import staged
 
@@ -96,13 +97,40 @@ def _design(model: Model, data: dict[str, np.ndarray]) -> tuple[np.ndarray, np.n
     return x[complete], y[complete]
 
 
+def _dense_batch(models: list[Model], batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    names = batch.schema.names
+    data = {n: batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k, n in enumerate(names)}
+    for i, model in enumerate(models):
+        yield i, *_design(model, data)
+
+
+def _sparse_batch(models: list[Model], batch: pa.RecordBatch) -> Iterator[tuple[int, SparseRows, np.ndarray]]:
+    """Outcome, columns and values of one model; rows without entries or with one that is not finite are left out."""
+    y = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+    sizes = np.nan_to_num(batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    column = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+    value = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float)
+    owner = np.repeat(np.arange(len(y)), sizes)
+    keep = np.isfinite(y) & (sizes > 0)
+    keep &= np.bincount(owner, ~np.isfinite(value), len(y)) == 0
+    entry = keep[owner]
+    yield 0, SparseRows(sizes[keep], column[entry], value[entry], len(models[0].parameters)), y[keep]
+
+
+def _gram(x: np.ndarray | SparseRows, weight: np.ndarray) -> np.ndarray:
+    return x.gram(weight) if isinstance(x, SparseRows) else (x * weight[:, None]).T @ x
+
+
+def _project(x: np.ndarray | SparseRows, v: np.ndarray) -> np.ndarray:
+    return x.project(v) if isinstance(x, SparseRows) else x.T @ v
+
+
 def _start_sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Sums of a weighted least squares fit to the log of the shifted outcome."""
     mean = y + 0.5
     weight = mean / (1 + mean)
     target = np.log(mean) + (y - mean) / mean
-    xw = x * weight[:, None]
-    return np.concatenate([[len(y)], xw.T @ target, (xw.T @ x).ravel()])
+    return np.concatenate([[len(y)], _project(x, weight * target), _gram(x, weight).ravel()])
 
 
 def _step_sums(x: np.ndarray, y: np.ndarray, beta: np.ndarray, full: bool) -> np.ndarray:
@@ -110,28 +138,26 @@ def _step_sums(x: np.ndarray, y: np.ndarray, beta: np.ndarray, full: bool) -> np
     mean = np.exp(x @ beta)
     log_likelihood = np.sum(y * np.log(mean / (1 + mean)) - np.log1p(mean))
     residual = (y - mean) / (1 + mean)
-    observed = (x * (mean * (1 + y) / (1 + mean) ** 2)[:, None]).T @ x
-    sums = [[len(y), log_likelihood], x.T @ residual, observed.ravel()]
+    observed = _gram(x, mean * (1 + y) / (1 + mean) ** 2)
+    sums = [[len(y), log_likelihood], _project(x, residual), observed.ravel()]
     if full:
-        expected = (x * (mean / (1 + mean))[:, None]).T @ x
-        squared = (x * (residual**2)[:, None]).T @ x
+        expected = _gram(x, mean / (1 + mean))
+        squared = _gram(x, residual**2)
         sums += [expected.ravel(), squared.ravel()]
     return np.concatenate(sums)
 
 
-def _summed(design: DataFrame, models: list[Model], sums_of) -> dict[int, np.ndarray]:
-    """Add up ``sums_of(i, x, y)`` over all design rows, for every model ``i``."""
-    names = design.columns
+def _summed(design: DataFrame, models: list[Model], sums_of, matrices=_dense_batch) -> dict[int, np.ndarray]:
+    """Add up ``sums_of(i, x, y)`` over all design rows, for every model ``i``.
+
+    ``matrices`` gives the models' matrices and outcomes of a batch.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            data = {
-                n: batch.column(k).to_numpy(zero_copy_only=False).astype(float)
-                for k, n in enumerate(names)
-            }
-            for i, model in enumerate(models):
-                part = sums_of(i, *_design(model, data))
+            for i, x, y in matrices(models, batch):
+                part = sums_of(i, x, y)
                 if part is not None:
                     totals[i] = totals[i] + part if i in totals else part
         if totals:
@@ -202,9 +228,32 @@ def fit_models(
     models = list(models)
     columns = list(dict.fromkeys(c for m in models for c in m.columns))
     design = staged(rows.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]), "design")
+    return _fits(design, models, _dense_batch, covariance, bread, tolerance, max_passes)
+
+
+def fit_sparse(
+    rows: DataFrame,
+    names: Sequence[str],
+    name: str = "sparse",
+    covariance: str = "robust",
+    bread: str = "observed",
+    tolerance: float = 1e-8,
+    max_passes: int = 100,
+) -> Fit:
+    """Fit one model to the rows of ``sparse_design``, whose column names are ``names``."""
+    model = Model(name, rows.columns[0], tuple(names[1:]))
+    fits = _fits(staged(rows, "design"), [model], _sparse_batch, covariance, bread, tolerance, max_passes)
+    if name not in fits:
+        raise ValueError(f"model {name} could not be fitted")
+    return fits[name]
 
+
+def _fits(
+    design: DataFrame, models: list[Model], matrices, covariance: str, bread: str, tolerance: float, max_passes: int
+) -> dict[str, Fit]:
+    """Newton's method for all models over a staged design."""
     beta: dict[int, np.ndarray] = {}
-    for i, sums in _summed(design, models, lambda i, x, y: _start_sums(x, y)).items():
+    for i, sums in _summed(design, models, lambda i, x, y: _start_sums(x, y), matrices).items():
         p = len(models[i].parameters)
         if sums[0] > 0:
             beta[i] = _solve(sums[1 + p :].reshape(p, p), sums[1 : 1 + p])
@@ -214,7 +263,7 @@ def fit_models(
     while open_fits and passes < max_passes:
         now = {i: beta[i] for i in open_fits}
         summed = _summed(
-            design, models, lambda i, x, y: _step_sums(x, y, now[i], False) if i in now else None
+            design, models, lambda i, x, y: _step_sums(x, y, now[i], False) if i in now else None, matrices
         )
         passes += 1
         for i, sums in summed.items():
@@ -240,7 +289,7 @@ def fit_models(
     final = dict(beta)
     fits: dict[str, Fit] = {}
     summed = (
-        _summed(design, models, lambda i, x, y: _step_sums(x, y, final[i], True) if i in final else None)
+        _summed(design, models, lambda i, x, y: _step_sums(x, y, final[i], True) if i in final else None, matrices)
         if final
         else {}
     )

@@ -23,6 +23,7 @@ from tieloom.operators import (
     predictions,
     quantiles,
     second_order,
+    sparse_design,
     summaries,
     triads,
     updates,
@@ -513,6 +514,24 @@ def nb_full(spark, d):
     return _coefficients(spark, fitted, 4)
 
 
+def nb_full_sparse(spark, d):
+    """The same model from sparse rows, with the countries and subjects that occur."""
+    crossed = features.cross_affiliation(_analysis(spark, d), "countries_focal", "subjects_focal")
+    rows, names = sparse_design.sparse_design(
+        crossed.withColumn("women", features.women()),
+        "outcome_output",
+        [
+            "women", *model_suite.KEY_PREDICTORS,
+            sparse_design.Places("country", "country", pn.REFERENCE_REGION),
+            sparse_design.Places("subject", "subject", pn.REFERENCE_SUBJECT),
+            *model_suite.CONTROLS,
+        ],
+        "women",
+        model_suite.KEY_PREDICTORS,
+    )
+    return _coefficients(spark, count_models.fit_sparse(rows, names), 4)
+
+
 def nb_rate_full(spark, d):
     """The full model of the other outcome, a rate."""
     fitted = count_models.fit(_exploded(spark, d), model_suite.main_model("rate_outcome", PLACES))
@@ -725,7 +744,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         year_features, analysis_table, analysis_required, range_filter, null_audit, multi_affiliation, quadrant_share, group_summary,
         group_median, approx_median, zero_share, describe_table, summary_transposed, design_moments,
         cross_affiliation, design_multihot, design_exploded, design_interactions, nb_by_group,
-        nb_two_param, nb_full, nb_rate_full, nb_model_suite, nb_all_products, grid_points, profile_grid, profile_grid_exploded, profile_grid_held,
+        nb_two_param, nb_full, nb_full_sparse, nb_rate_full, nb_model_suite, nb_all_products, grid_points, profile_grid, profile_grid_exploded, profile_grid_held,
         scenario_grid, predict_grid, predict_interval, marginal_effects, log_outcomes,
         nb_multihot_model_cov, predict_profile, predict_interval_full, scenario_predictions, predict_interval_response,
         seeded_sample, density_histogram, density_curve,

@@ -872,6 +872,7 @@ ORACLE: dict[str, str] = {
         f"SELECT CAST(position AS BIGINT) AS position, variable, coefficient, irr, std_error, z, p_value FROM ({_coefficient_rows('fit').format(slope='degree')})",
     ),
     "nb_full": _full_model("outcome_output"),
+    "nb_full_sparse": _full_model("outcome_output"),
     "nb_rate_full": _full_model("rate_outcome"),
     "nb_model_suite": _suite(),
     "nb_multihot_model_cov": _model_cov(),
