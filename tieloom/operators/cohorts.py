@@ -22,17 +22,18 @@ def cohort_stats(
     vertices: DataFrame,
     measures: DataFrame,
     columns: list[str],
-    categorys: list[str],
+    categories: list[str],
     countries: list[str],
     subjects: list[str],
 ) -> DataFrame:
     """Mean, median, extremes and deviation of measures for all cohorts in one job.
 
     An ego's measures do not depend on the cohort, so each ego is repeated for its countries
-    and subjects and grouped once. One row per cohort and measure.
+    and subjects. The pass that looks for the medians also takes the other statistics. One row per
+    cohort and measure; null and NaN values are left out of all of them.
     """
     placed = (
-        vertices.filter(F.col("is_focal") & F.col("category").isin(categorys))
+        vertices.filter(F.col("is_focal") & F.col("category").isin(categories))
         .select("id", "category", F.explode(F.array_distinct("countries")).alias("country"), "subject_areas")
         .filter(F.col("country").isin(countries))
         .select("id", "category", "country", F.explode(F.array_distinct("subject_areas")).alias("subject"))
@@ -40,28 +41,5 @@ def cohort_stats(
         .join(measures.select("id", *columns), "id")
     )
     keys = ["category", "country", "subject"]
-    stats = (
-        placed.groupBy(*keys)
-        .agg(
-            *[
-                f(F.col(c).cast("double")).alias(f"{name}__{c}")
-                for c in columns
-                for name, f in (("mean", F.avg), ("max", F.max), ("min", F.min), ("std_dev", F.stddev))
-            ]
-        )
-        .select(
-            *keys,
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(c).alias("metric"),
-                            *[F.col(f"{s}__{c}").alias(s) for s in ("mean", "max", "min", "std_dev")],
-                        )
-                        for c in columns
-                    ]
-                )
-            ),
-        )
-    )
-    return stats.join(exact_medians(placed, keys, columns), [*keys, "metric"])
+    statistics = {"mean": F.avg("value"), "max": F.max("value"), "min": F.min("value"), "std_dev": F.stddev("value")}
+    return exact_medians(placed, keys, columns, statistics)

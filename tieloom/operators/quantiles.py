@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieloom.staging import staged
@@ -25,9 +25,12 @@ def long_format(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame
     return df.select(*keys, F.inline(F.array(*pairs)))
 
 
-def exact_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Median of each column per group: the keys, ``metric`` and ``median``; nulls are ignored.
+def exact_medians(
+    df: DataFrame, keys: list[str], columns: list[str], also: dict[str, Column] | None = None
+) -> DataFrame:
+    """Median of each column per group: the keys, ``metric`` and ``median``; nulls and NaN are ignored.
 
+    ``also`` names further aggregates of ``value``, which are taken in the first pass over the values.
     No pass brings a whole group into one task. A quantile sketch gives two values that enclose
     the median by its error bound. The range between them is cut into bins; counts per bin, rows
     below included, tell which bin or two hold the median, and only the distinct values of those
@@ -36,22 +39,29 @@ def exact_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFra
     values = long_format(df, keys, columns).filter(
         F.col("value").isNotNull() & ~F.isnan("value")
     )
+    also = also or {}
     group = [*keys, "metric"]
     quantiles = F.percentile_approx(
         "value", [0.5 - BRACKET, 0.5 + BRACKET], SKETCH_ACCURACY
     )
     bracket = (
         values.groupBy(*group)
-        .agg(quantiles.alias("q"), F.count("*").alias("n"))
-        .select(*[F.col(k).alias(f"b_{k}") for k in group], "n", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+        .agg(quantiles.alias("q"), F.count("*").alias("n"), *[a.alias(f"also_{name}") for name, a in also.items()])
+        .select(
+            *[F.col(k).alias(f"b_{k}") for k in group], "n", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"),
+            *[f"also_{name}" for name in also],
+        )
     )
     # Written down, its true size tells Spark whether it can be broadcast.
     bracket = staged(bracket, "bracket")
     same_group = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in group]
+    # where both ends of the bracket are one value, that is the median
+    settled = bracket.filter("lo = hi")
+    open_ends = bracket.filter("lo < hi").drop(*[f"also_{name}" for name in also])
     width = (F.col("hi") - F.col("lo")) / BINS
     place = F.when(F.col("value") < F.col("lo"), -1).when(width > 0, F.floor((F.col("value") - F.col("lo")) / width)).otherwise(0)
     binned = (
-        values.join(bracket, same_group)
+        values.join(open_ends, same_group)
         .filter(F.col("value") <= F.col("hi"))
         .withColumn("bin", place.cast("long"))
         .select(*group, "n", "bin", "value")
@@ -75,7 +85,7 @@ def exact_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFra
     )
     picked = staged(picked, "bins")
     by_value = Window.partitionBy(*group).orderBy("value")
-    return (
+    searched = (
         binned.join(picked, same_group)
         .filter(F.col("bin").isin(F.col("low_bin"), F.col("high_bin")))
         .groupBy(*group, "n", "before", "value")
@@ -84,6 +94,10 @@ def exact_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFra
         .groupBy(*group)
         .agg(((at(low_rank, "value") + at(high_rank, "value")) / 2).alias("median"))
     )
+    medians = settled.select(*[F.col(f"b_{k}").alias(k) for k in group], F.col("lo").alias("median")).unionByName(searched)
+    if not also:
+        return medians
+    return medians.join(bracket, same_group).select(*group, *[F.col(f"also_{name}").alias(name) for name in also], "median")
 
 
 def approximate_medians(
