@@ -337,6 +337,30 @@ def test_decontamination(spark, docs, texts):
     assert kept.columns == docs.columns and kept.count() == docs.count() - len({d for d, _ in got})
 
 
+def test_items_are_partitioned_by_size(spark):
+    """Items of 1 to 300 shingles, whole, three quarters and less of them in long and short documents, some over two rows of an id."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(5000)}"
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([2, 5, 6, 7, 9, 12, 20, 36, 60, 68, 69, 130, 304] * 3)]
+    texts = []
+    for k, (_, text) in enumerate(items):
+        words = text.split()
+        part = words[: max(1, int(len(words) * (1, 0.85, 0.7)[k % 3]))]
+        texts.append(" ".join([word() for _ in range(400 * (k % 2))] + part + [word() for _ in range(5)]))
+    long = items[12][1].split()
+    docs = [*enumerate(texts), (900, " ".join(long[:150])), (900, " ".join(long[146:]))]
+    items_df = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["item_shingles"], r["shared"]) for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), items_df).collect()}
+    assert got.pop((900, 12)) == (300, 300)
+    want = brute.contaminated(list(enumerate(texts)), items)
+    assert got == want and len(want) > 20
+    classes = decontamination.classes_of(decontamination.sketches(decontamination.item_shingles(items_df)))
+    assert [c for c, _ in classes] == [0, 1, 2, 3, 4, 5, 6, 8]
+    hashes = spark.range(4000).select(F.collect_list(F.xxhash64("id")).alias("h"))
+    probed = {r["size_class"]: r["n"] for r in hashes.select(F.inline(decontamination.probes(F.col("h"), classes))).groupBy("size_class").agg(F.count("*").alias("n")).collect()}
+    assert probed[8] < 4000 / 5 < probed[0]
+
+
 def test_decontamination_empty(spark, empty, docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontamination.contaminated(docs, none).collect() == [] and decontamination.decontaminate(docs, none).count() == docs.count()

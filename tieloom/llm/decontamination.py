@@ -5,10 +5,13 @@ that a document holds is the containment; a document may be a thousand times lon
 sketch is taken from the item: its least shingle hashes, each of which lies in a document with the
 containment as probability, as many as make a miss at the threshold rarer than ``miss``. Where that
 reaches the number of shingles that may be missing, plus one, no miss is possible; with the defaults
-this holds for items of up to 59 shingles. Items are not partitioned by size: the same number of
-hashes serves every size, and the size class in ``sketches`` is for information. Documents shorter
-than the shingles that an item needs are not probed for it. Candidates are verified by exact containment
-of all shingles.
+this holds for items of up to 59 shingles.
+
+Items are partitioned by size, a class per power of two of their shingles, and the class is part of the
+join key. The longer the items of a class, the smaller the share of their hashes that is in a sketch: no
+hash of a class lies above the greatest of its sketches, so of a document only the shingles up to there are
+probed in that class. Short documents are probed like others, as several rows of an id count together.
+Candidates are verified by exact containment of all shingles, by their 64-bit hashes.
 
 Texts are lower-cased; an item of fewer than five words is one shingle of its whole length. Null
 and empty texts have no shingles and take part in no pair. Repeated rows of a document give one
@@ -68,7 +71,7 @@ def item_shingles(items: DataFrame) -> DataFrame:
 
 
 def sketches(items: DataFrame, least: float = LEAST, miss: float = MISS) -> DataFrame:
-    """``item_id, s, needs``: the sketch of each item and the shingles a document must have."""
+    """``item_id, words, size_class, s, needs``: the sketch of each item, and the shared shingles that make a pair."""
     n = F.size("shingles")
     size_class = F.floor(F.log2(n)).cast("int")
     slots = math.ceil(math.log(miss) / math.log(1 - least))
@@ -78,6 +81,23 @@ def sketches(items: DataFrame, least: float = LEAST, miss: float = MISS) -> Data
     )
 
 
+def classes_of(sketch: DataFrame) -> list[tuple[int, int]]:
+    """Size classes with the greatest hash in a sketch of each; some 30 rows at most."""
+    found = sketch.groupBy("size_class").agg(F.max("s").alias("upto")).collect()
+    return sorted((r["size_class"], r["upto"]) for r in found)
+
+
+def probes(shingles: Column, classes: list[tuple[int, int]]) -> Column:
+    """Array of ``size_class, s``: the shingles of a text that can meet a sketch of each class."""
+    none = F.array().cast("array<struct<size_class:int,s:bigint>>")
+
+    def of_class(h: Column, size_class: int, upto: int) -> Column:
+        low = F.filter(h, lambda s: s <= F.lit(upto))
+        return F.transform(low, lambda s: F.struct(F.lit(size_class).alias("size_class"), s.alias("s")))
+
+    return _let(F.array_distinct(shingles), lambda h: F.concat(none, *[of_class(h, *c) for c in classes]))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, miss: float = MISS) -> DataFrame:
     """``doc_id, item_id, item_shingles, shared, containment`` of every pair that reaches ``least``."""
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
@@ -85,10 +105,9 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, miss:
     sketch = staged(sketches(items, least, miss), "sketches")
     lengths = sorted({r["words"] for r in items.select("words").distinct().collect()})  # at most five
     all_shingles = text_shingles(F.col("text"), lengths)
-    # what goes along with the shingles is computed below the explosion, once per text
-    probed = docs.select("doc_id", F.length("text").alias("n"), all_shingles.alias("h")).select("doc_id", "n", F.explode("h").alias("s"))
+    probed = docs.select("doc_id", probes(all_shingles, classes_of(sketch)).alias("h")).select("doc_id", F.inline("h"))
     pairs = staged(
-        probed.join(small(sketch.select("item_id", "s", "needs")), "s").where("n >= needs").select("doc_id", "item_id").distinct(),
+        probed.join(small(sketch.select("item_id", "size_class", "s")), ["size_class", "s"]).select("doc_id", "item_id").distinct(),
         "candidates",
     )
     # the candidates' documents, read again
