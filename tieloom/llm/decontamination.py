@@ -87,15 +87,13 @@ def classes_of(sketch: DataFrame) -> list[tuple[int, int]]:
     return sorted((r["size_class"], r["upto"]) for r in found)
 
 
-def probes(shingles: Column, classes: list[tuple[int, int]]) -> Column:
-    """Array of ``size_class, s``: the shingles of a text that can meet a sketch of each class."""
-    none = F.array().cast("array<struct<size_class:int,s:bigint>>")
+def probes(shingles: DataFrame, classes: list[tuple[int, int]]) -> DataFrame:
+    """Rows with a shingle ``s``, once for each ``size_class`` with a sketch that it can be in.
 
-    def of_class(h: Column, size_class: int, upto: int) -> Column:
-        low = F.filter(h, lambda s: s <= F.lit(upto))
-        return F.transform(low, lambda s: F.struct(F.lit(size_class).alias("size_class"), s.alias("s")))
-
-    return _let(F.array_distinct(shingles), lambda h: F.concat(none, *[of_class(h, *c) for c in classes]))
+    Comparisons with the classes' bounds stay in generated code, unlike a filter over arrays.
+    """
+    within = F.array(*[F.when(F.col("s") <= F.lit(upto), F.lit(size_class)) for size_class, upto in classes])
+    return shingles.select("*", F.explode(within.cast("array<int>")).alias("size_class")).where("size_class IS NOT NULL")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, miss: float = MISS) -> DataFrame:
@@ -105,7 +103,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, miss:
     sketch = staged(sketches(items, least, miss), "sketches")
     lengths = sorted({r["words"] for r in items.select("words").distinct().collect()})  # at most five
     all_shingles = text_shingles(F.col("text"), lengths)
-    probed = docs.select("doc_id", probes(all_shingles, classes_of(sketch)).alias("h")).select("doc_id", F.inline("h"))
+    probed = probes(docs.select("doc_id", all_shingles.alias("h")).select("doc_id", F.explode("h").alias("s")), classes_of(sketch))
     pairs = staged(
         probed.join(small(sketch.select("item_id", "size_class", "s")), ["size_class", "s"]).select("doc_id", "item_id").distinct(),
         "candidates",
