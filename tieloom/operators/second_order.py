@@ -1,6 +1,9 @@
-"""Vertices two steps away, found as a product of blocks of adjacency lists.
+"""Vertices two steps away, found from the lists that egos need or as a product of blocks of adjacency lists.
 
-The ties of egos are packed into blocks by ego, and all ties into blocks by the vertex that is reached. Each
+Where degrees are bounded, the ``lists`` of their neighbours are sent to the blocks of egos, which grows with the ties.
+In a dense network the product of blocks sends fewer copies. The cheaper of the two is taken.
+
+In the product, the ties of egos are packed into blocks by ego, and all ties into blocks by the vertex that is reached. Each
 pair of an ego block and a reached block meets in a cell. There a bitmap, egos by reached vertices, is marked
 along the ties of the vertices between, so a vertex counts once per ego however many ways lead to it; only sums per ego
 leave. What is shuffled are copies of packed ties, never paths.
@@ -20,8 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tieloom.functions.numeric import ratio
+from tieloom.operators import lists
 from tieloom.operators.graph import annotated_ties
-from tieloom.operators.triangles import adjacency, places_in, ranges
+from tieloom.operators.lists import ranges
+from tieloom.operators.triangles import adjacency, places_in
 from tieloom.sources.tables import rows_to_table
 from tieloom.staging import staged
 
@@ -100,8 +105,30 @@ def second_order_degree(annotated: DataFrame, ties_per_block: int = TIES_PER_BLO
     neighbours lead to it, and also if it is a neighbour itself.
     """
     tasks = int(annotated.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ties, ego_ties = (r or 0 for r in annotated.agg(F.count("*") * 2, F.sum(F.col("src_is_ego").cast("long") + F.col("dst_is_ego").cast("long"))).first())
+    edges, ego_ties, paths, most = lists.totals(annotated)
     least = ceil((4 * tasks) ** 0.5)
+    copies = 2 * edges * max(least, ceil(ego_ties / ties_per_block)) + ego_ties * max(least, ceil(2 * edges / ties_per_block))
+    if most <= lists.TIES_PER_EGO and paths < copies:
+        found = _listed(annotated, paths)
+    else:
+        found = _product(annotated, 2 * edges, ego_ties, least, ties_per_block)
+    return found.groupBy("id").agg(ratio(F.sum("total"), F.sum("n")).alias("second_order_collab_mean_degree")).where(F.col("second_order_collab_mean_degree").isNotNull())
+
+
+def _listed(annotated: DataFrame, paths: int, **options) -> DataFrame:
+    """``id, total, n`` per cell: the degrees of an ego's distinct second-order vertices in the cell's piece, and their number."""
+    own = annotated_ties(annotated, dst=("degree",), of_egos=True).select(F.col("src").alias("ego"), F.col("dst").alias("via"), F.col("dst_degree").alias("via_degree"))
+    ties = annotated_ties(annotated, src=("degree",), dst=("degree",)).select(F.col("src").alias("owner"), F.col("dst").alias("member"), F.col("dst_degree").alias("value"), F.col("src_degree").alias("owner_degree"))
+
+    def meet(mine: pa.Table, came: list[lists.Lists]) -> pa.Table:
+        return pa.table(dict(zip(("id", "total", "n"), lists.distinct_ends(mine, came), strict=True)))
+
+    return lists.in_cells(own, ties, paths, meet, "id long, total long, n long", **options)
+
+
+def _product(annotated: DataFrame, ties: int, ego_ties: int, least: int, ties_per_block: int) -> DataFrame:
+    """``id, total, n`` per ego and part of what it reaches, from the product of blocks."""
+    tasks = int(annotated.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = annotated_ties(annotated, src=("degree",), of_egos=True).select(F.col("src").alias("low"), F.col("dst").alias("high"), F.lit(0).cast("long").alias("degree"), F.col("src_degree").alias("owner_degree"))
     onward = annotated_ties(annotated, dst=("degree",)).select(F.col("src").alias("low"), F.col("dst").alias("high"), F.col("dst_degree").alias("degree"), F.col("dst_degree").alias("owner_degree"))
     first, n_first = _blocks(first, "low", ego_ties, least, ties_per_block, "ego_blocks")
@@ -123,7 +150,6 @@ def second_order_degree(annotated: DataFrame, ties_per_block: int = TIES_PER_BLO
         return pa.concat_tables(parts) if parts else pa.table({c: pa.array([], long) for c in ("id", "reached", "total", "n")})
 
     found = cells.groupBy("i", "r").applyInArrow(meet, "id long, reached long, total long, n long")
-    once = found.groupBy("id", "reached").agg(
+    return found.groupBy("id", "reached").agg(
         F.when(F.col("reached").isNull(), F.sum("total")).otherwise(F.max("total")).alias("total"), F.when(F.col("reached").isNull(), F.sum("n")).otherwise(F.max("n")).alias("n")
     )
-    return once.groupBy("id").agg(ratio(F.sum("total"), F.sum("n")).alias("second_order_collab_mean_degree")).where(F.col("second_order_collab_mean_degree").isNotNull())

@@ -11,6 +11,9 @@ Edges point from the end of lower degree to the end of higher degree, so a verte
 ``sqrt(2 * edges)`` outgoing edges, whatever its degree. Vertices of a k-th of all edges have colours of their own. As
 they have the highest degrees, they stand at the upper end of a triangle, and other vertices meet them
 only there. The edges of such a vertex lie in the blocks of its colour, a k-th of them in each.
+
+The copies grow with the power 1.5 of the edges, which a dense network needs. Where degrees are bounded, sending
+``lists`` to the blocks of egos that need them moves less and grows with the edges; the cheaper of the two is taken.
 """
 
 from __future__ import annotations
@@ -23,6 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tieloom.functions.numeric import ratio
+from tieloom.operators import lists
+from tieloom.operators.graph import annotated_ties
+from tieloom.operators.lists import ranges
 from tieloom.sources.tables import rows_to_table
 
 #: Edges of a cell, about, and pairs of an intersection that are looked up at a time.
@@ -35,15 +41,15 @@ def colours_for(edges: int, tasks: int, edges_per_cell: int = EDGES_PER_CELL) ->
     return max(2, ceil((3 * edges / edges_per_cell) ** 0.5), ceil((4 * tasks) ** (1 / 3)))
 
 
-def oriented(annotated: DataFrame) -> DataFrame:
-    """Edges from ``low`` to ``high``, by degree and then by id, with shares of tie strength and ego flags."""
+def oriented(annotated: DataFrame, *also: str) -> DataFrame:
+    """Edges from ``low`` to ``high``, by degree and then by id, with shares of tie strength and ego flags, and the columns ``also``."""
     turned = annotated.selectExpr("*", "src_degree < dst_degree OR (src_degree = dst_degree AND src < dst) AS up")
     ends = []
     for n in ("", "_degree", "_strength", "_is_ego"):
         ends += [f"if(up, src{n}, dst{n}) AS low{n}", f"if(up, dst{n}, src{n}) AS high{n}"]
     return turned.selectExpr("weight", *ends).select(
         "low", "high", "low_degree", "high_degree", "low_is_ego", "high_is_ego",
-        ratio(F.col("weight"), F.col("low_strength")).alias("up_share"), ratio(F.col("weight"), F.col("high_strength")).alias("down_share"),
+        ratio(F.col("weight"), F.col("low_strength")).alias("up_share"), ratio(F.col("weight"), F.col("high_strength")).alias("down_share"), *also,
     )
 
 
@@ -143,12 +149,6 @@ def places_in(of: np.ndarray, among: np.ndarray) -> np.ndarray:
     return np.where(among[found] == of, found, -1)
 
 
-def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each range, one after the other."""
-    before = np.cumsum(lengths) - lengths
-    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
-
-
 def intersected(ab: Block, bc: Block, ac: Block):
     """Triangles as places of edges in ``ab``, ``bc`` and ``ac``, a part at a time.
 
@@ -200,7 +200,65 @@ def _sides(table: pa.Table) -> tuple[Block, Block, Block] | None:
 
 
 def closed_pairs(annotated: DataFrame, edges_per_cell: int = EDGES_PER_CELL) -> DataFrame:
-    """Per ego, the number of neighbour pairs that are tied to each other."""
+    """Per ego, the number of neighbour pairs that are tied to each other. ``annotated`` should be a written table."""
+    edges, _, paths, most = lists.totals(annotated)
+    if _lists_move_less(annotated, edges, paths, most, edges_per_cell):
+        return listed_pairs(annotated, paths)
+    return _grid_pairs(annotated, edges, edges_per_cell)
+
+
+def indirect_shares(annotated: DataFrame, edges_per_cell: int = EDGES_PER_CELL) -> DataFrame:
+    """Per cell, ego and alter: the summed shares of tie strength by way of a third, and the number of triads.
+
+    A way from i by q to j counts ``p_iq * p_qj``. Each triangle has two ways for each of its corners. ``annotated`` should be
+    a written table.
+    """
+    edges, _, paths, most = lists.totals(annotated)
+    if _lists_move_less(annotated, edges, paths, most, edges_per_cell):
+        return listed_shares(annotated, paths)
+    return _grid_shares(annotated, edges, edges_per_cell)
+
+
+def _lists_move_less(annotated: DataFrame, edges: int, paths: int, most: int, edges_per_cell: int) -> bool:
+    """Whether the lists that egos need, with each edge in that of its lower end, are fewer entries than the copies on a grid."""
+    k = colours_for(edges, int(annotated.sparkSession.conf.get("spark.sql.shuffle.partitions")), edges_per_cell)
+    return most <= lists.TIES_PER_EGO and paths // 2 < 3 * k * edges
+
+
+def _listed(annotated: DataFrame, paths: int, meet, schema: str, **options) -> DataFrame:
+    half = lambda c: F.ceil(F.col(c) / F.lit(2))
+    own = annotated_ties(annotated, ("strength",), ("degree", "strength"), weight=True, of_egos=True).select(
+        F.col("src").alias("ego"), F.col("dst").alias("via"), half("dst_degree").alias("via_degree"),
+        ratio(F.col("weight"), F.col("src_strength")).alias("share"), F.col("dst_strength").alias("strength"),
+    )
+    turned = oriented(annotated, "weight").select(F.col("low").alias("owner"), F.col("high").alias("member"), F.col("weight").alias("value"), half("low_degree").alias("owner_degree"))
+    return lists.in_cells(own, turned, paths // 2, meet, schema, **options)
+
+
+def listed_pairs(annotated: DataFrame, paths: int, **options) -> DataFrame:
+    """``closed_pairs`` from the lists that egos need. ``paths`` are those of ``lists.totals``."""
+    kind = annotated.schema["src"].dataType.simpleString()
+
+    def count(mine: pa.Table, came: list[lists.Lists]) -> pa.Table:
+        ego, _, _, triads = lists.closed_ways(mine, came)
+        ids, at = np.unique(ego, return_inverse=True)
+        return pa.table({"id": ids, "n": np.bincount(at, triads, len(ids)).astype(np.int64)})
+
+    found = _listed(annotated, paths, count, f"id {kind}, n long", **options)
+    return found.groupBy("id").agg(F.shiftright(F.sum("n"), 1).alias("closed_pairs"))  # either neighbour counts it
+
+
+def listed_shares(annotated: DataFrame, paths: int, **options) -> DataFrame:
+    """``indirect_shares`` from the lists that egos need."""
+    kind = annotated.schema["src"].dataType.simpleString()
+
+    def collect(mine: pa.Table, came: list[lists.Lists]) -> pa.Table:
+        return pa.table(dict(zip(("ego", "alter", "share", "triads"), lists.closed_ways(mine, came), strict=True)))
+
+    return _listed(annotated, paths, collect, f"ego {kind}, alter {kind}, share double, triads long", **options)
+
+
+def _grid_pairs(annotated: DataFrame, edges: int, edges_per_cell: int) -> DataFrame:
     kind = annotated.schema["src"].dataType.simpleString()
 
     def count(table: pa.Table) -> pa.Table:
@@ -218,15 +276,11 @@ def closed_pairs(annotated: DataFrame, edges_per_cell: int = EDGES_PER_CELL) ->
                 counts.append(closed[corner][keep])
         return pa.table({"id": np.concatenate(ids), "n": np.concatenate(counts)})
 
-    found = _grid(annotated, edges_per_cell).groupBy("cell").applyInArrow(count, f"id {kind}, n long")
+    found = _grid(annotated, edges, edges_per_cell).groupBy("cell").applyInArrow(count, f"id {kind}, n long")
     return found.groupBy("id").agg(F.sum("n").alias("closed_pairs"))
 
 
-def indirect_shares(annotated: DataFrame, edges_per_cell: int = EDGES_PER_CELL) -> DataFrame:
-    """Per cell, ego and alter: the summed shares of tie strength by way of a third, and the number of triads.
-
-    A way from i by q to j counts ``p_iq * p_qj``. Each triangle has two ways for each of its corners.
-    """
+def _grid_shares(annotated: DataFrame, edges: int, edges_per_cell: int) -> DataFrame:
     kind = annotated.schema["src"].dataType.simpleString()
 
     def collect(table: pa.Table) -> pa.Table:
@@ -255,13 +309,11 @@ def indirect_shares(annotated: DataFrame, edges_per_cell: int = EDGES_PER_CELL)
         empty = np.zeros(0, np.int64)
         return pa.concat_tables(parts) if parts else pa.table({"ego": empty, "alter": empty, "share": np.zeros(0), "triads": empty})
 
-    return _grid(annotated, edges_per_cell).groupBy("cell").applyInArrow(collect, f"ego {kind}, alter {kind}, share double, triads long")
+    return _grid(annotated, edges, edges_per_cell).groupBy("cell").applyInArrow(collect, f"ego {kind}, alter {kind}, share double, triads long")
 
 
-def _grid(annotated: DataFrame, edges_per_cell: int) -> DataFrame:
-    """The blocks of the edges in their cells, dealt out by cell. ``annotated`` should be a written table, as it is
-    counted first."""
-    count = annotated.count()
+def _grid(annotated: DataFrame, count: int, edges_per_cell: int) -> DataFrame:
+    """The blocks of the ``count`` edges in their cells, dealt out by cell."""
     tasks = int(annotated.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     k = colours_for(count, tasks, edges_per_cell)
     coloured, colours = _coloured(oriented(annotated), k, count)
