@@ -3,7 +3,8 @@ import os
 import pytest
 
 from tests import graphs
-from tieloom.operators import batching, graph, triads
+from tieloom import staging as staging_module
+from tieloom.operators import batching, graph, neighbourhood, triads
 from tieloom.schemas import EDGES, conform
 from tieloom.sources import bucketed, cooccurrence, tables
 from tieloom.staging import fresh_path, staged, staging
@@ -33,6 +34,17 @@ def test_cooccurrence_with_split_contexts(spark):
         assert {(r.src, r.dst): r.weight for r in got.collect()} == want
 
 
+def test_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
+    """Compressed files of many vertices are small, their rows on the driver are not."""
+    edges, ids = graphs.hub_network()
+    vertices = staged(graphs.vertex_table(spark, ids), "test-vertices")
+    table = staged(graphs.edge_table(spark, edges), "test-edges")
+    plan = lambda: neighbourhood.ego_ties(table, vertices, vertices)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan()
+    monkeypatch.setattr(staging_module, "LOOKUP_ROWS", 100)
+    assert "BroadcastHashJoin" not in plan() and "SortMergeJoin" in plan()
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_global_index(spark, parts):
     ids = [(i * 37 % 1009, "x") for i in range(1009)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tieloom.functions.arrays import has_entries, same_array, share_a_value
 from tieloom.functions.numeric import half_up, ratio
 from tieloom.operators.graph import bidirectional
-from tieloom.staging import staged
+from tieloom.staging import lookup, staged
 
 # The categories that count towards the neighbour total.
 CATEGORIES = ["male", "female", "unknown"]
@@ -32,8 +32,8 @@ def ego_ties(edges: DataFrame, egos: DataFrame, vertices: DataFrame) -> DataFram
     return (
         bidirectional(edges)
         .select(F.col("src").alias("ego"), F.col("dst").alias("alter"))
-        .join(ego, "ego")
-        .join(alter, "alter", "left")
+        .join(lookup(ego), "ego")
+        .join(lookup(alter), "alter", "left")
     )
 
 
@@ -181,7 +181,7 @@ def value_mix(edges: DataFrame, egos: DataFrame, vertices: DataFrame, columns: l
     counts = staged(
         bidirectional(edges)
         .join(egos.select(F.col("id").alias("src")), "src", "left_semi")
-        .join(alter, "dst")
+        .join(lookup(alter), "dst")
         .select(F.col("src").alias("id"), F.inline("entries"))
         .groupBy("id", "attribute", "value")
         .agg(F.count("*").alias("n")),
@@ -205,8 +205,8 @@ def own_share(edges: DataFrame, egos: DataFrame, vertices: DataFrame, columns: l
     theirs = vertices.select(F.col("id").alias("dst"), *[_values(vertices, c).alias(f"alter_{c}") for c in columns])
     counted = (
         bidirectional(edges)
-        .join(mine, "src")
-        .join(theirs, "dst")
+        .join(lookup(mine), "src")
+        .join(lookup(theirs), "dst")
         .groupBy(F.col("src").alias("id"))
         .agg(
             F.count("*").alias("n_neighbours"),

@@ -10,7 +10,7 @@ from tieloom.operators.graph import annotated_edges, focals
 from tieloom.operators.neighbourhood import neighbourhood_measures
 from tieloom.operators.second_order import second_order_degree
 from tieloom.operators.triads import triad_measures
-from tieloom.staging import staged
+from tieloom.staging import lookup, staged
 
 
 def focal_stats(
@@ -33,7 +33,7 @@ def focal_stats(
     second_order = second_order_degree(annotated)
     return (
         first_order.join(second_order, "id", "left")
-        .join(yearly, "id", "left")
+        .join(lookup(yearly), "id", "left")
         .select(
             "id",
             "degree",
@@ -72,12 +72,12 @@ def analysis_table(
     table = (
         year_features(stats, baseline, outcome)
         .join(normalized_homophily.select("id", "normalized_homophily"), "id")
-        .join(rate.select("id", "rate_outcome"), "id")
-        .join(who, "id")
+        .join(lookup(rate.select("id", "rate_outcome")), "id")
+        .join(lookup(who), "id")
         .join(triads.filter(F.col("overall_constraint").isNotNull()), "id")
     )
     for other in required:
-        table = table.join(other.select("id"), "id", "left_semi")
+        table = table.join(other.select("id").hint("merge"), "id", "left_semi")  # may have a row per vertex
     return table.select(
         "id",
         "degree",

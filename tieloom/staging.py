@@ -55,3 +55,16 @@ def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         _blocks[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Tables of more rows than this are not sent to all tasks, however few bytes their files have.
+LOOKUP_ROWS = 200_000
+
+
+def lookup(df: DataFrame) -> DataFrame:
+    """``df``, from a written table, to be joined by its key: by shuffle if it has many rows.
+
+    Parquet files and shuffled blocks are compressed, so their bytes, by which Spark decides what to broadcast, say little of the
+    memory that the rows take on the driver.
+    """
+    return df.hint("merge") if df.limit(LOOKUP_ROWS + 1).count() > LOOKUP_ROWS else df
