@@ -5,6 +5,7 @@ import pytest
 from tests import graphs
 from tieloom import staging as staging_module
 from tieloom.operators import batching, graph, neighbourhood, triads
+from tieloom.plans import part_network
 from tieloom.schemas import EDGES, conform
 from tieloom.sources import bucketed, cooccurrence, tables
 from tieloom.staging import fresh_path, staged, staging
@@ -34,6 +35,20 @@ def test_cooccurrence_with_split_contexts(spark):
         assert {(r.src, r.dst): r.weight for r in got.collect()} == want
 
 
+def test_cooccurrence_tasks_follow_the_pairs(spark):
+    """Ten contexts of ten units have 450 pairs; merging by bytes would leave one task."""
+    incidence = rows_to_table(spark, [(u, c) for c in range(10) for u in range(10 * c, 10 * c + 10)], "unit long, context long")
+    got = cooccurrence.cooccurrence_edges(incidence, "unit", "context", pairs_per_task=30)
+    assert got.rdd.getNumPartitions() == 15 and got.count() == 450
+    assert cooccurrence.cooccurrence_edges(incidence.limit(0), "unit", "context").count() == 0
+
+
+def test_order_lines_are_not_merged_by_bytes(spark, small_dir, monkeypatch):
+    monkeypatch.setattr(part_network, "LINES_PER_TASK", 600)
+    lines = spark.read.parquet(f"{small_dir}/lineitem.parquet").count()
+    assert part_network.lines(spark, small_dir).rdd.getNumPartitions() == -(-lines // 600) > 4
+
+
 def test_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
     """Compressed files of many vertices are small, their rows on the driver are not."""
     edges, ids = graphs.hub_network()
