@@ -2,6 +2,7 @@ import random
 
 from tests import graphs
 from tieloom.operators import graph, triads, updates
+from tieloom.plans import catalogue, part_network
 from tieloom.sources.bucketed import overwrite_part
 from tieloom.staging import fresh_path, staged
 
@@ -62,3 +63,10 @@ def test_nothing_added(spark):
     assert rows(updates.brokerage_deltas(had, had.limit(0), egos)) == []
     assert rows(updates.constraint_changes(had, had.limit(0), egos)) == []
     assert rows(updates.brokerage_deltas(had.limit(0), had.limit(0), egos)) == []
+
+
+def test_only_the_tables_that_are_read_are_written(spark, small_dir):
+    """An update of brokerage needs the vertices of the network, not its edges, yearly counts and rates."""
+    part_network._written.clear()
+    catalogue.brokerage_update(spark, small_dir)
+    assert set(vars(part_network.load(spark, small_dir))) & {"edges", "vertices", "yearly", "rate"} == {"vertices"}

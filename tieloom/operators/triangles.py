@@ -225,7 +225,10 @@ def _lists_move_less(annotated: DataFrame, edges: int, paths: int, most: int, ed
     return most <= lists.TIES_PER_EGO and paths // 2 < 3 * k * edges
 
 
-def _listed(annotated: DataFrame, paths: int, meet, schema: str, **options) -> DataFrame:
+def _listed(annotated: DataFrame, paths: int, meet, schema: str, weighted: bool, **options) -> DataFrame:
+    """Own ties and lists in cells; where triads are only counted, without shares and weights, which hardly compress."""
+    if not weighted:
+        annotated = annotated.withColumns({c: F.lit(1).cast("long") for c in ("weight", "src_strength", "dst_strength")})
     half = lambda c: F.ceil(F.col(c) / F.lit(2))
     own = annotated_ties(annotated, ("strength",), ("degree", "strength"), weight=True, of_egos=True).select(
         F.col("src").alias("ego"), F.col("dst").alias("via"), half("dst_degree").alias("via_degree"),
@@ -244,7 +247,7 @@ def listed_pairs(annotated: DataFrame, paths: int, **options) -> DataFrame:
         ids, at = np.unique(ego, return_inverse=True)
         return pa.table({"id": ids, "n": np.bincount(at, triads, len(ids)).astype(np.int64)})
 
-    found = _listed(annotated, paths, count, f"id {kind}, n long", **options)
+    found = _listed(annotated, paths, count, f"id {kind}, n long", False, **options)
     return found.groupBy("id").agg(F.shiftright(F.sum("n"), 1).alias("closed_pairs"))  # either neighbour counts it
 
 
@@ -255,7 +258,7 @@ def listed_shares(annotated: DataFrame, paths: int, **options) -> DataFrame:
     def collect(mine: pa.Table, came: list[lists.Lists]) -> pa.Table:
         return pa.table(dict(zip(("ego", "alter", "share", "triads"), lists.closed_ways(mine, came), strict=True)))
 
-    return _listed(annotated, paths, collect, f"ego {kind}, alter {kind}, share double, triads long", **options)
+    return _listed(annotated, paths, collect, f"ego {kind}, alter {kind}, share double, triads long", True, **options)
 
 
 def _grid_pairs(annotated: DataFrame, edges: int, edges_per_cell: int) -> DataFrame:

@@ -6,7 +6,7 @@ orders of the baseline window. The other columns play the roles that the operato
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,14 +39,27 @@ REFERENCE_SUBJECT = "S1"
 REFERENCE_REGION = "AMERICA"
 
 
-@dataclass(frozen=True)
 class Network:
-    """Edges, vertices, output per year, and mean line quantity in the outcome window."""
+    """Edges, vertices, output per year, and mean line quantity in the outcome window, each written when it is first read."""
 
-    edges: DataFrame
-    vertices: DataFrame
-    yearly: DataFrame
-    rate: DataFrame
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._from = spark, sf_dir
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return conform(staged(edges(*self._from), "edges", keep=True), EDGES)
+
+    @cached_property
+    def vertices(self) -> DataFrame:
+        return conform(staged(vertices(*self._from), "vertices", keep=True), VERTICES)
+
+    @cached_property
+    def yearly(self) -> DataFrame:
+        return staged(yearly(*self._from), "yearly", keep=True)
+
+    @cached_property
+    def rate(self) -> DataFrame:
+        return staged(rate(*self._from), "rate", keep=True)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +95,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges_before_and_of(spark: SparkSession, sf_dir: str, year: int) -> tuple[DataFrame, DataFrame]:
     """Edges of the orders of earlier years, and those that the orders of ``year`` add."""
-    rows = incidence(spark, sf_dir, f"{year + 1}-01-01")
+    rows = staged(incidence(spark, sf_dir, f"{year + 1}-01-01"), "incidence")
     return tuple(cooccurrence_edges(rows.filter(part), "id", "context") for part in (F.col("year") < year, F.col("year") == year))
 
 
@@ -161,13 +174,8 @@ _written: dict[tuple[str, str], Network] = {}
 
 
 def load(spark: SparkSession, sf_dir: str) -> Network:
-    """The network of ``sf_dir``, written once per application and read from there."""
+    """The network of ``sf_dir``, whose tables are written once per application and read from there."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
-        _written[key] = Network(
-            edges=conform(staged(edges(spark, sf_dir), "edges", keep=True), EDGES),
-            vertices=conform(staged(vertices(spark, sf_dir), "vertices", keep=True), VERTICES),
-            yearly=staged(yearly(spark, sf_dir), "yearly", keep=True),
-            rate=staged(rate(spark, sf_dir), "rate", keep=True),
-        )
+        _written[key] = Network(spark, sf_dir)
     return _written[key]
