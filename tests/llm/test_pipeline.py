@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
-from tieloom.llm import pii
+from tieloom.llm import near_dedup, pii, tables, toxicity
 from tieloom.staging import staged
 
 
@@ -67,3 +68,20 @@ def test_masking_of_long_digit_runs(spark):
     docs = spark.createDataFrame([(1, text, len(text))], "doc_id bigint, text string, n_chars bigint")
     row = corpus_pipeline.mask_personal_data(spark, docs, "").first()
     assert row["text"] == masked_plainly(text) and row["n_chars"] == len(row["text"])
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    docs = spark.range(40, numPartitions=1).selectExpr("id AS doc_id", "repeat('word ', 100000) AS text")
+
+    def bytes_of(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    def largest(docs):
+        return staged(docs.mapInArrow(bytes_of, "n long"), "sizes").agg(F.max("n")).first()[0]
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    assert largest(docs) > 4 * tables.BATCH_BYTES
+    assert tables.in_small_batches(largest)(docs) < tables.BATCH_BYTES + (1 << 20)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+    assert all(hasattr(f, "__wrapped__") for f in (near_dedup.near_duplicates, toxicity.score_texts))

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from tieloom.llm.components import components
 from tieloom.llm.positions import placed
+from tieloom.llm.tables import in_small_batches
 from tieloom.llm.words import Words, mix, sequence_hashes, slices
 from tieloom.staging import staged
 
@@ -354,6 +355,7 @@ def _same_id(signed: DataFrame, classes: DataFrame) -> DataFrame | None:
     return own.join(own.groupBy("doc_id").agg(F.min("cls").alias("first")), "doc_id").where("cls != first").select(F.col("first").alias("a"), F.col("cls").alias("b"))
 
 
+@in_small_batches
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id, text``)."""
     docs = docs.select("doc_id", "text")

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tieloom.llm.tables import in_small_batches
 from tieloom.llm.words import slices
 from tieloom.staging import staged
 
@@ -207,6 +208,7 @@ def fit_logistic(rows: list[list[int]], target: np.ndarray, weight: np.ndarray,
     return beta[:width], float(beta[width])
 
 
+@in_small_batches
 def score_texts(
     docs: DataFrame, labels: DataFrame, held_out, labelled_rows: int = 12_000, fitted_rows: int = 12_000, most_terms: int = 512
 ) -> tuple[DataFrame, Model]:

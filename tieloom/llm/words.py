@@ -24,7 +24,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_VALUE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SLICE_BYTES = 1 << 21
+_SLICE_BYTES = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -104,7 +104,7 @@ def sequence_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of about ``most`` bytes of the text column, a row at least."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
