@@ -13,16 +13,16 @@ from tieloom.staging import fresh_path
 LISTED_KEYS = 1_000
 
 
-def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None) -> DataFrame:
+def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None, dealt: bool = False) -> DataFrame:
     """Write ``df`` once, in buckets by ``key``, and return the written table.
 
     A bucket is one file, sorted by key. There are as many as shuffle partitions by default: a join by the key
-    then moves the other side only.
+    then moves the other side only. ``dealt``: the rows are already in tasks by ``key``, as many as buckets.
     """
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex[:12]}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", fresh_path(spark, name)).saveAsTable(table)
+    (df if dealt else df.repartition(buckets, key)).write.bucketBy(buckets, key).sortBy(key).option("path", fresh_path(spark, name)).saveAsTable(table)
     return spark.table(table)
 
 
