@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests import graphs
@@ -76,3 +78,19 @@ def test_an_edge_without_triads(spark):
     annotated = staged(graph.annotated_edges(graphs.edge_table(spark, [(1, 2)]), egos), "annotated")
     assert triangles.listed_pairs(annotated, 2).count() == 0
     assert second_order._listed(annotated, 2).count() == 0
+
+
+def test_lists_are_packed_by_steps_and_bytes():
+    """Sorted ids as they are shuffled x."""
+    rng = np.random.default_rng(3)
+    for values in (rng.integers(-5, 9, 50), rng.integers(0, 1 << 40, 50), np.zeros(0, np.int64), rng.random(7)):
+        real = values.dtype.kind == "f"
+        assert np.array_equal(lists._unpacked(lists._packed(values), len(values), real), values)
+    owner, member = np.repeat(np.arange(400), 50), rng.integers(0, 1_000_000, 20_000)
+    ties = pa.table({"owner": owner, "member": member, "value": rng.integers(40, 80, 20_000)})
+    needs = pa.table({"block": np.zeros(400, np.int64), "pieces": np.ones(400, np.int32), "owner": np.arange(400)})
+    row = lists._send(ties, needs).to_pylist()[0]
+    got = lists.Lists(row, False)
+    order = np.lexsort((member, owner))
+    assert np.array_equal(got.member, member[order]) and np.array_equal(got.value, ties["value"].to_numpy()[order]) and np.array_equal(got.owner, np.arange(400))
+    assert len(pa.compress(row["member"], "lz4", asbytes=True)) < 0.75 * 4 * len(member)

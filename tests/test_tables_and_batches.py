@@ -176,3 +176,12 @@ def test_pending_bounds(spark):
     degrees = rows_to_table(spark, [(1, 0), (2, 250), (3, 251)], "id long, degree long")
     assert [r.id for r in resume.pending(degrees, None, 250).collect()] == [2]
     assert sorted(r.id for r in resume.pending(degrees, None).collect()) == [2, 3]
+
+
+def test_a_network_joins_order_lines_once(spark, small_dir, monkeypatch):
+    joined = []
+    lines = part_network.lines
+    monkeypatch.setattr(part_network, "lines", lambda *args: joined.append(args) or lines(*args))
+    net = part_network.Network(spark, small_dir)
+    assert net.edges.count() and net.vertices.count() == 200 and net.yearly.count() and net.rate.count()
+    assert len(joined) == 1

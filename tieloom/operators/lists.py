@@ -43,15 +43,24 @@ def totals(annotated: DataFrame) -> tuple[int, int, int, int]:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Integers in as few bytes as the largest takes."""
+    """Integers in as few bytes as the largest takes, first all lowest bytes, then the next: high ones are alike and compress."""
     if values.dtype.kind != "f":
         low, high = (int(values.min()), int(values.max())) if len(values) else (0, 0)
         values = values.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
-    return values.tobytes()
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
 
 
 def _unpacked(data: bytes, count: int, real: bool = False) -> np.ndarray:
-    return np.frombuffer(data, np.float64 if real else f"i{len(data) // count}" if count else np.int64)
+    if not count:
+        return np.zeros(0, np.float64 if real else np.int64)
+    size = len(data) // count
+    planes = np.frombuffer(data, np.uint8).reshape(size, count)
+    return np.ascontiguousarray(planes.T).view(np.float64 if real else f"i{size}").ravel()
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Differences of integers, which are small in sorted lists."""
+    return np.diff(values.astype(np.int64), prepend=np.int64(0))
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -68,7 +77,7 @@ def _send(ties: pa.Table, needs: pa.Table) -> pa.Table:
     out = {name: [] for name in ("block", "piece", "owners", "entries", "owner", "length", "member", "value")}
     if ties.num_rows and needs.num_rows:
         owner, member, value = (ties.column(c).to_numpy() for c in ("owner", "member", "value"))
-        order = np.argsort(owner, kind="stable")
+        order = np.lexsort((member, owner))
         member, value = member[order], value[order]
         owners, first = np.unique(owner[order], return_index=True)
         first = np.append(first, len(order))
@@ -87,7 +96,7 @@ def _send(ties: pa.Table, needs: pa.Table) -> pa.Table:
             for number in range(k):
                 mine = entry if k == 1 else entry[piece == number]
                 size = length if k == 1 else np.bincount(np.repeat(np.arange(len(own)), length)[piece == number], minlength=len(own))
-                row = (int(block[i]), number, len(own), len(mine), _packed(owners[own]), _packed(size), _packed(member[mine]), _packed(value[mine]))
+                row = (int(block[i]), number, len(own), len(mine), _packed(_steps(owners[own])), _packed(size), _packed(_steps(member[mine])), _packed(value[mine]))
                 for column, x in zip(out.values(), row, strict=True):
                     column.append(x)
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
@@ -98,8 +107,9 @@ class Lists:
     """A row of lists: the ``owner`` and ``length`` of each, and the ``member`` and ``value`` of all entries."""
 
     def __init__(self, row: dict, real: bool):
-        self.owner, self.length = (_unpacked(row[c], row["owners"]) for c in ("owner", "length"))
-        self.member, self.value = _unpacked(row["member"], row["entries"]), _unpacked(row["value"], row["entries"], real)
+        self.owner, self.length = np.cumsum(_unpacked(row["owner"], row["owners"]), dtype=np.int64), _unpacked(row["length"], row["owners"])
+        self.member = np.cumsum(_unpacked(row["member"], row["entries"]), dtype=np.int64)
+        self.value = _unpacked(row["value"], row["entries"], real)
         self.first = np.cumsum(self.length, dtype=np.int64) - self.length
 
 

@@ -40,26 +40,34 @@ REFERENCE_REGION = "AMERICA"
 
 
 class Network:
-    """Edges, vertices, output per year, and mean line quantity in the outcome window, each written when it is first read."""
+    """Edges, vertices, output per year, and mean line quantity in the outcome window, each written when it is first read.
+
+    All come from ``incidence``, so order lines are joined to their orders once.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self._from = spark, sf_dir
 
+    @cached_property
+    def incidence(self) -> DataFrame:
+        return staged(counted_incidence(*self._from), "incidence", keep=True)
+
     @cached_property
     def edges(self) -> DataFrame:
-        return conform(staged(edges(*self._from), "edges", keep=True), EDGES)
+        rows = self.incidence.filter(F.col("year") <= END_YEAR).select("id", "context")
+        return conform(staged(cooccurrence_edges(rows, "id", "context"), "edges", keep=True), EDGES)
 
     @cached_property
     def vertices(self) -> DataFrame:
-        return conform(staged(vertices(*self._from), "vertices", keep=True), VERTICES)
+        return conform(staged(vertices(*self._from, self.incidence), "vertices", keep=True), VERTICES)
 
     @cached_property
     def yearly(self) -> DataFrame:
-        return staged(yearly(*self._from), "yearly", keep=True)
+        return staged(yearly(self.incidence), "yearly", keep=True)
 
     @cached_property
     def rate(self) -> DataFrame:
-        return staged(rate(*self._from), "rate", keep=True)
+        return staged(rate(self.incidence), "rate", keep=True)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +97,15 @@ def incidence(spark: SparkSession, sf_dir: str, before: str | None = None) -> Da
     return lines(spark, sf_dir, before).select("id", "context", "year").distinct()
 
 
+def counted_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per part and order, with the number of its lines and their quantity."""
+    return (
+        lines(spark, sf_dir)
+        .groupBy("context", "id", "year")
+        .agg(F.count("quantity").alias("lines"), F.sum("quantity").alias("quantity"))
+    )
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence_edges(incidence(spark, sf_dir, AFTER_BASELINE), "id", "context")
 
@@ -99,25 +116,23 @@ def edges_before_and_of(spark: SparkSession, sf_dir: str, year: int) -> tuple[Da
     return tuple(cooccurrence_edges(rows.filter(part), "id", "context") for part in (F.col("year") < year, F.col("year") == year))
 
 
-def yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
+def yearly(incidence: DataFrame) -> DataFrame:
     """Orders per part and year, null where there are none."""
     return (
-        incidence(spark, sf_dir)
-        .groupBy("id")
+        incidence.groupBy("id")
         .agg(*[F.sum(F.when(F.col("year") == y, F.lit(1))).alias(str(y)) for y in BASELINE + OUTCOME])
     )
 
 
-def rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rate(incidence: DataFrame) -> DataFrame:
     return (
-        lines(spark, sf_dir)
-        .filter(F.col("year").isin(OUTCOME))
+        incidence.filter(F.col("year").isin(OUTCOME))
         .groupBy("id")
-        .agg(F.avg("quantity").alias("rate_outcome"))
+        .agg(F.try_divide(F.sum("quantity"), F.sum("lines")).alias("rate_outcome"))
     )
 
 
-def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vertices(spark: SparkSession, sf_dir: str, incidence: DataFrame) -> DataFrame:
     nation_region = _table(spark, sf_dir, "nation").join(
         _table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
@@ -137,7 +152,7 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
         size != 49, one_or_two(F.col("first_region"), F.col("second_region"))
     )
     published = (
-        incidence(spark, sf_dir, AFTER_BASELINE)
+        incidence.filter(F.col("year") <= END_YEAR)
         .groupBy(F.col("id").alias("p_partkey"))
         .agg(F.count("*").alias("pub_count"))
     )
