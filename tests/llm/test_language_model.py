@@ -52,3 +52,29 @@ def test_common_last_words_are_spread_and_lose_nothing(spark):
     assert (spread.tokens, spread.types, spread.discount) == (whole.tokens, whole.types, whole.discount)
     assert spread.customers[0][0] == whole.customers[0][0] and spread.tables[0][0] == whole.tables[0][0]
     assert len({int(g) for g in place.block(np.full(50, the), np.arange(50, dtype=np.uint64))}) > 1
+
+
+def test_common_words_are_written_as_numbers(spark):
+    words = [f"word{i}" for i in range(3000)]
+    texts = [" ".join(words[(i * 7 + j * j * 11) % 3000] for j in range(400)) for i in range(30)] + [None, ""]
+    docs = spark.createDataFrame([(i, t, i % 5 == 0) for i, t in enumerate(texts)], "doc_id bigint, text string, held_out boolean")
+    place = lm.places(docs, 2)
+    assert set(lm.tokens_of(pa.array(texts))[0]) <= set(place.common) and (np.diff(place.common) > 0).all()
+    plain = lm.Places(2, place.hot, place.parts)
+    few, many = (lm.sampled(docs, p, 2, 0) for p in (place, plain))
+    assert few[3].tokens == many[3].tokens and few[3].discount == many[3].discount
+    assert all((a == b).all() for a, b in zip(few[3].tables + few[3].customers, many[3].tables + many[3].customers, strict=True))
+    few, many = (s[0].agg(F.sum(F.octet_length("cells"))).first()[0] for s in (few, many))
+    assert few < 0.7 * many
+
+
+def test_packed_arrays_come_back():
+    rng = np.random.default_rng(1)
+    common = np.unique(rng.integers(0, 2**64, 50, np.uint64))
+    mixed = np.concatenate([common[::3], rng.integers(0, 2**64, 9, np.uint64), common[:2]])
+    arrays = [mixed, np.sort(mixed), common, common[:0], rng.integers(0, 2**40, 7), np.arange(300, dtype=np.uint16), np.array([True, False]), np.zeros(0, np.uint8)]
+    for known in (common, lm.NO_WORDS, common[:1]):
+        for a, b in zip(arrays, lm._unpack(lm._pack(*arrays, common=known), known), strict=True):
+            assert a.dtype == b.dtype and (a == b).all()
+    steps = lm._pairs(2**40, np.array([0, 5, 5]), np.array([7, 0, 2**39]))
+    assert steps.dtype == np.int64 and [x.tolist() for x in lm._unpaired(2**40, steps)] == [[0, 5, 5], [7, 0, 2**39]]

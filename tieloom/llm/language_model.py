@@ -39,6 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tieloom.llm.tables import in_small_batches
 from tieloom.llm.words import Words, mix, slices
 from tieloom.sources.bucketed import bucketed
 from tieloom.staging import staged
@@ -47,25 +48,64 @@ END = np.uint64(0x0E9D0E9D0E9D0E9D)
 BEGIN = np.uint64(0xBE61BE61BE61BE61)
 HOT = 2048
 GROUP_TOKENS = 1_500_000
-SLICE_BYTES = 8 << 20
-#: Texts by which common last words are found, about.
-SAMPLE_TEXTS = 2000
+SLICE_BYTES = 4 << 20
+#: Texts by which common words are found, about, and how many of these are listed.
+SAMPLE_TEXTS = 16_000
+COMMON = 1 << 18
 SWEEPS, BURN_IN = 3, 1
 STRENGTH = 1.0
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes. Of hashes, the differences by byte: those of sorted ones have less to tell."""
-    planes = [np.diff(a, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T if a.dtype == np.uint64 else a for a in arrays]
-    return zstandard.compress(pickle.dumps([np.ascontiguousarray(a) for a in planes], 5), 1)
+NO_WORDS = np.zeros(0, np.uint64)
 
 
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    return [np.cumsum(np.ascontiguousarray(a.T).view(np.uint64).ravel(), dtype=np.uint64) if a.ndim == 2 else a for a in pickle.loads(zstandard.decompress(blob))]
+def _pack(*arrays: np.ndarray, common: np.ndarray = NO_WORDS) -> bytes:
+    """Arrays as bytes, each place of their numbers compressed by itself. Of hashes, the place in ``common`` for those that are there,
+    and the others; of both the differences, as those of sorted ones have less to tell."""
+    compressor = zstandard.ZstdCompressor(level=1)
+
+    def planes(a: np.ndarray):
+        by_byte = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+        return a.dtype.str, len(a), [compressor.compress(p.tobytes()) for p in by_byte] if len(a) else []
+
+    def hashes(a: np.ndarray):
+        at = np.searchsorted(common, a).clip(max=max(len(common) - 1, 0))
+        known = common[at] == a if len(common) else np.zeros(len(a), bool)
+        return [planes(x) for x in (np.packbits(known), np.diff(at[known].astype(np.int32), prepend=np.int32(0)), np.diff(a[~known], prepend=np.uint64(0)))]
+
+    return pickle.dumps([hashes(a) if a.dtype == np.uint64 else planes(a) for a in arrays], 5)
+
+
+def _unpack(blob: bytes, common: np.ndarray = NO_WORDS) -> list[np.ndarray]:
+    decompressor = zstandard.ZstdDecompressor()
+
+    def whole(kind: str, n: int, planes: list[bytes]) -> np.ndarray:
+        by_byte = np.frombuffer(b"".join(map(decompressor.decompress, planes)), np.uint8).reshape(-1, n) if n else np.zeros((1, 0), np.uint8)
+        return np.array(by_byte.T, order="C").view(kind).ravel() if n else np.zeros(0, kind)
+
+    def hashes(known, at, others) -> np.ndarray:
+        at, others = np.cumsum(whole(*at), dtype=np.int64), np.cumsum(whole(*others), dtype=np.uint64)
+        out = np.empty(len(at) + len(others), np.uint64)
+        known = np.unpackbits(whole(*known), count=len(out)).astype(bool)
+        out[known], out[~known] = common[at], others
+        return out
+
+    return [hashes(*a) if isinstance(a, list) else whole(*a) for a in pickle.loads(blob)]
 
 
 def _narrow(a: np.ndarray) -> np.ndarray:
-    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+    """The numbers, none below 0, in the fewest bytes that hold all; never in the type of hashes."""
+    kind = np.min_scalar_type(int(a.max()) if len(a) else 0)
+    return a.astype(np.int64 if kind == np.uint64 else kind)
+
+
+def _pairs(size: int, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Sorted pairs of numbers below ``size`` as their differences."""
+    return _narrow(np.diff(last.astype(np.int64) * size + before, prepend=0))
+
+
+def _unpaired(size: int, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.divmod(np.cumsum(steps, dtype=np.int64), size)
 
 
 def _starts(*keys: np.ndarray) -> np.ndarray:
@@ -116,11 +156,13 @@ def _sorted_by(size: int, *keys: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Places:
-    """Where cells are: number of ``groups``, and the last words whose pairs are spread over ``parts`` blocks."""
+    """Where cells are: number of ``groups``, and the last words whose pairs are spread over ``parts`` blocks. Words that are
+    ``common``, sorted, are written as their number there; others as hashes."""
 
     groups: int
     hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    common: np.ndarray = field(default_factory=lambda: NO_WORDS)
 
     def hot_number(self, word: np.ndarray) -> np.ndarray:
         """1 and more for words that are spread, 0 for others."""
@@ -135,27 +177,26 @@ class Places:
 
 
 def places(docs: DataFrame, groups: int | None = None) -> Places:
-    """The words that would fill a good part of a block by themselves, in a sample of the texts; a group per ``GROUP_TOKENS`` if not given."""
+    """The words that would fill a good part of a block by themselves, and the common ones, in a sample of the texts; a group per
+    ``GROUP_TOKENS`` if not given."""
     size, texts = docs.agg(F.sum(F.octet_length("text")).cast("long"), F.count("*")).first()
     groups = groups or max(48, (size or 0) // 6 // GROUP_TOKENS)  # some six bytes a word
 
     def count(batches):
         for batch in gathered(batches, 0):
-            _, last, _, _ = tokens_of(batch.column(0))
-            word, n = np.unique(last, return_counts=True)
-            top = np.argsort(-n, kind="stable")[: 4 * groups]
-            yield pa.RecordBatch.from_arrays([pa.array([word[top].view(np.int64).tolist()]), pa.array([n[top].tolist()]), pa.array([len(last)])], ["w", "n", "of"])
+            word, n = np.unique(tokens_of(batch.column(0))[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["w", "n"])
 
     share = min(1.0, SAMPLE_TEXTS / max(texts, 1))
     chosen = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    total, found = 0, {}
-    for row in chosen.mapInArrow(count, "w array<bigint>, n array<bigint>, of bigint").collect():
-        total += row["of"]
-        for w, n in zip(row["w"], row["n"], strict=True):
-            found[w] = found.get(w, 0) + n
-    parts = {int(np.int64(w).view(np.uint64)): -(-n * 4 * groups // total) for w, n in found.items() if n * 4 * groups > total}
-    hot = np.array(sorted(parts), np.uint64)
-    return Places(groups, hot, np.array([parts[int(w)] for w in hot], np.int64))
+    counted = staged(chosen.mapInArrow(count, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")), "sample")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    top = counted.orderBy(F.desc("n"), "w").limit(COMMON).toArrow()
+    w, n = top["w"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(w)
+    w, n = w[order], n[order]
+    hot = n * 4 * groups > total
+    return Places(groups, w[hot], -(-n[hot] * 4 * groups // max(total, 1)), np.unique(np.append(w, END)))
 
 
 def gathered(batches, column: int):
@@ -187,7 +228,7 @@ def dealt_blocks(docs: DataFrame, place: Places) -> DataFrame:
             one[1:], two[2:] = number[:-1], number[:-2]
             one[last == BEGIN] = begin
             two[before == BEGIN] = begin
-            del token, last, before
+            del last, before
             order = np.argsort(group.astype(np.uint16 if place.groups < 1 << 16 else np.int64), kind="stable")
             first = _starts(group[order])
             out = [], [], []
@@ -200,29 +241,31 @@ def dealt_blocks(docs: DataFrame, place: Places) -> DataFrame:
                 present, local = np.unique(owner[own][by], return_inverse=True)
                 out[0].append(int(group[own[0]]))
                 out[1].append([ids[k] for k in present])
-                out[2].append(_pack(words[used], *map(_narrow, (a[by], b[by], c[by], local)), learned[present]))
+                out[2].append(_pack(words[used], _pairs(len(used), a[by], b[by]), _narrow(c[by]), _narrow(local), learned[present], common=place.common))
             kind = pa.list_(batch.schema.field(0).type)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], kind), pa.array(out[2], pa.binary())], ["g", "ids", "blob"])
+            del token, number, one, two, owner, group, order
+            for i in range(0, len(out[0]), 16):  # an executor holds what comes back in buffers twice its size
+                yield pa.RecordBatch.from_arrays([pa.array(o[i : i + 16], k) for o, k in zip(out, (pa.int32(), kind, pa.binary()), strict=True)], ["g", "ids", "blob"])
 
     def merge(table: pa.Table) -> pa.Table:
-        parts = [_unpack(b) for b in table["blob"].to_pylist()]
+        parts = [_unpack(b, place.common) for b in table["blob"].to_pylist()]
         words = np.unique(np.concatenate([p[0] for p in parts]))
         keys = [], [], []
         for p in parts:
             at = np.searchsorted(words, p[0]).astype(np.int32)
-            for column, k in zip(keys, p[1:4], strict=True):
+            for column, k in zip(keys, (*_unpaired(len(at), p[1]), p[2]), strict=True):
                 column.append(at[k])
         ids = pa.concat_arrays([c.flatten() for c in table["ids"].chunks])
-        offset = np.cumsum([0, *[len(p[5]) for p in parts]])
-        owner = np.concatenate([p[4].astype(np.int32) + np.int32(o) for p, o in zip(parts, offset[:-1], strict=True)])
-        learned = np.concatenate([p[5] for p in parts])
+        offset = np.cumsum([0, *[len(p[4]) for p in parts]])
+        owner = np.concatenate([p[3].astype(np.int32) + np.int32(o) for p, o in zip(parts, offset[:-1], strict=True)])
+        learned = np.concatenate([p[4] for p in parts])
         last, before, token = map(np.concatenate, keys)
         del parts, keys
         order = _sorted_by(len(words), last, before, token)
         last, before, token, owner = last[order], before[order], token[order], owner[order]
         first = _starts(last, before, token)
         n = np.add.reduceat(learned[owner].astype(np.int64), first)
-        cells = _pack(words, _narrow(np.diff(last[first], prepend=0)), _narrow(before[first]), _narrow(token[first]), _narrow(n))
+        cells = _pack(words, _pairs(len(words), last[first], before[first]), _narrow(token[first]), _narrow(n), common=place.common)
         asks = _pack(_narrow(_sizes(first, len(owner))), _narrow(owner))
         lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
         return pa.table({"g": pa.array([table["g"][0].as_py()], pa.int32()), "cells": pa.array([cells], pa.binary()), "ids": lists, "asks": pa.array([asks], pa.binary())})
@@ -310,9 +353,9 @@ class Block:
 
     @classmethod
     def whole(cls, g: int, blob: bytes, totals: Totals) -> Block:
-        words, last, before, token, n = _unpack(blob)
-        last = np.cumsum(last, dtype=np.int64)
+        words, pairs, token, n = _unpack(blob, totals.place.common)
         size = len(words)
+        last, before = _unpaired(size, pairs)
         at2, at1 = _starts(last, before), _starts(last)
         dishes, dish = np.unique(last * size + token, return_inverse=True)
         lasts = last[at1]
@@ -456,7 +499,7 @@ def _replayed(rows: pa.Table, totals: Totals, upto: int):
     """A shard in each of its states, from all that the blocks told it, with the state's number."""
     by_state: dict[int, dict[int, list[np.ndarray]]] = {}
     for s, b, blob in zip(rows["s"].to_pylist(), rows["g"].to_pylist(), rows["blob"].to_pylist(), strict=True):
-        by_state.setdefault(s, {})[b] = _unpack(blob)
+        by_state.setdefault(s, {})[b] = _unpack(blob, totals.place.common)
     blocks = sorted(by_state[0])
     shard = Shard(rows["shard"][0].as_py(), [(b, by_state[0][b]) for b in blocks], totals)
     customers = shard.first
@@ -491,7 +534,7 @@ def _rows(rows: list[tuple]) -> pa.Table:
 def _by_shard(block: Block, columns: list[np.ndarray]):
     first = _starts(block.shard)
     for i, j in zip(first, np.append(first[1:], len(block.shard)), strict=False):
-        yield int(block.shard[i]), _pack(*[c[i:j] if c.dtype == np.uint64 else _narrow(c[i:j]) for c in columns])
+        yield int(block.shard[i]), _pack(*[c[i:j] if c.dtype == np.uint64 else _narrow(c[i:j]) for c in columns], common=block.totals.place.common)
 
 
 def _introduced(block: Block) -> pa.Table:
@@ -600,7 +643,7 @@ def fit(docs: DataFrame, groups: int, sweeps: int = SWEEPS, seed: int = 1, stren
         pairs = [{"w": int(w), "n": int(c)} for w, c in zip(shard.words[top].view(np.int64), shard.count[top], strict=True)]
         return pa.table(
             {
-                "g": pa.array([shard.g], pa.int32()), "cells": pa.array([_pack(shard.words, shard.count, *states)], pa.binary()),
+                "g": pa.array([shard.g], pa.int32()), "cells": pa.array([_pack(shard.words, shard.count, *states, common=totals.place.common)], pa.binary()),
                 "top": pa.array([pairs], pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int64())]))),
             }
         )
@@ -614,7 +657,7 @@ def fit(docs: DataFrame, groups: int, sweeps: int = SWEEPS, seed: int = 1, stren
 
 def averaged(g: int, blob: bytes, totals: Totals, burn_in: int, ask_word: np.ndarray, ask_context: np.ndarray):
     """Averaged probability of words of a shard after words that no training text has, whichever these are, and their counts."""
-    words, count, *states = _unpack(blob)
+    words, count, *states = _unpack(blob, totals.place.common)
     at = np.searchsorted(words, ask_word).clip(max=len(words) - 1)
     known = words[at] == ask_word
     every = [totals.root(s, np.where(known, states[2 * s][at], 0), np.where(known, states[2 * s + 1][at], 0)) for s in range(burn_in + 1, len(totals.tables))]
@@ -626,6 +669,7 @@ def unknown(totals: Totals, burn_in: int) -> float:
     return float(np.mean([totals.root(s, 0, 0) for s in range(burn_in + 1, len(totals.tables))]))
 
 
+@in_small_batches
 def score_texts(docs: DataFrame, held_out, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int = 1) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per id of ``docs``
     (``doc_id, text``). ``held_out`` is a Column of ``doc_id``: rows not learned from."""
